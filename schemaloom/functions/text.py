@@ -18,7 +18,7 @@ def is_null_token(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return F.when(c.rlike(NUMBER), F.expr("1").cast("double") * c.try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def dtype_vote(value: Column) -> Column:
