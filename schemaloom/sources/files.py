@@ -47,7 +47,7 @@ def inds(spark: SparkSession, path: str) -> DataFrame:
 def cfds(spark: SparkSession, path: str) -> DataFrame:
     """``(0, 1=1996) => 2``: lhs, rhs, pattern. Rules need a constant."""
     rule = _lines(spark, path).where(r"line rlike '^\\(.*\\)\\s*=>.*' and length(line) - length(replace(line, '=', '')) >= 2")
-    part = lambda text: F.transform(F.split(text, ","), F.trim)
+    part = lambda text: F.transform(F.split(text, ","), lambda x: F.trim(x))
     rule = rule.select(part(F.regexp_extract("line", r"^\((.*)\)\s*=>", 1)).alias("l"), part(F.regexp_extract("line", r"=>\s*(.*)$", 1)).alias("r"))
     ids = lambda c: F.transform(c, lambda x: F.trim(F.substring_index(x, "=", 1)).cast("int"))
     fixed = F.filter(F.concat("l", "r"), lambda x: F.contains(x, F.lit("=")))
