@@ -173,9 +173,15 @@ def _normalise(table: pa.Table, folder: str) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*index), (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["archive", "position", "size", "kind"])
 
 
+def _by_archive(rows: DataFrame):
+    """A partition for each archive: its rows are few, but its file isn't small."""
+    archives = rows.select("archive").distinct().count()
+    return rows.repartition(max(1, archives), "archive").groupBy("archive")
+
+
 def normalise(decisions: DataFrame, folder: str) -> DataFrame:
     """The index of all archives: archive, position, size, kind. One task's group is one archive."""
-    return stored(decisions.groupBy("archive").applyInArrow(lambda t: _normalise(t, folder), "archive string, position long, size long, kind string"), "index")
+    return stored(_by_archive(decisions).applyInArrow(lambda t: _normalise(t, folder), "archive string, position long, size long, kind string"), "index")
 
 
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long"
@@ -199,7 +205,7 @@ def _read(table: pa.Table, folder: str) -> pa.Table:
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    return index.groupBy("archive").applyInArrow(lambda t: _read(t, folder), RESULT)
+    return _by_archive(index).applyInArrow(lambda t: _read(t, folder), RESULT)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
