@@ -12,8 +12,9 @@ Large groups stay linear:
 * a bucket first links its members to its least member (a star), not to each other;
 * the verified stars give components; then only members of a bucket that are still in different
   components are compared, smaller components against larger ones, in blocks of ``BLOCK`` rows
-  whose signatures are compared as arrays; only pairs whose signatures agree in
-  ``ESTIMATE`` of their values (six standard deviations below the threshold) are verified.
+  whose signatures are compared as arrays; pairs whose signatures agree in ``ESTIMATE`` of their
+  values (six standard deviations below the threshold) are confirmed in the same task, which
+  gives out links, never candidates, and skips what it has joined already.
 
 A link that can change a component is thus lost only where banding misses it: with 32 bands of 4
 values a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -43,7 +44,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 80
 #: Agreeing signature values, of 2 * PERMUTATIONS, from which a pair is verified.
 ESTIMATE = int(2 * PERMUTATIONS * (PERCENT / 100 - 6 * (0.16 / (2 * PERMUTATIONS)) ** 0.5))
-BLOCK = 512
+BLOCK = 1024
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,7 +101,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = (key ^ sigs[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
             key = key ^ (key >> np.uint64(32))
         ids = batch.column("id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids))), pa.array(np.repeat(ids, BANDS))], ["bucket", "band", "id"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,17 +125,44 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _blocks(key, left, right):
-    """One block of a bucket against another; pairs in different components whose signatures agree."""
-    a, b = left.to_pandas(), right.to_pandas()
+def _blocks(left: pa.Table, right: pa.Table, k: int, percent: int) -> pa.Table:
+    """One block of a bucket against another: the confirmed links between different components.
+
+    A pair that shares several buckets is looked at in the bucket of its first common band only.
+    Signatures are compared as arrays; the full sets of the pairs that they leave possible are
+    compared here too, so what leaves the task are links, not candidates.
+    """
     out: list[tuple[int, int]] = []
-    if len(a) and len(b):
-        p, q = (np.frombuffer(b"".join(x.sig), np.uint32).reshape(-1, 2 * PERMUTATIONS) for x in (a, b))
-        for i in range(len(a)):
-            near = (q == p[i]).sum(axis=1) >= ESTIMATE
-            near &= b.comp.to_numpy() != a.comp[i]
-            out += [(min(a.id[i], x), max(a.id[i], x)) for x in b.id[near]]
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    if left.num_rows and right.num_rows:
+        band = left.column("band")[0].as_py()
+        (x, p, c, t), (y, q, d, u) = ((z.column("id").to_numpy(), np.frombuffer(b"".join(z.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS), z.column("comp").to_numpy(), z.column("text").cast(pa.binary()).to_pylist()) for z in (left.combine_chunks(), right.combine_chunks()))
+        sets: dict[bytes, np.ndarray] = {}
+        joined: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while joined.get(i, i) != i:
+                i = joined[i]
+            return i
+
+        for i in range(len(x)):
+            same = q == p[i]
+            near = np.flatnonzero((d != c[i]) & (same.sum(axis=(1, 2)) >= ESTIMATE))
+            near = near[same[near].all(axis=2).argmax(axis=1) == band]
+            for j in near.tolist():
+                one, other = root(int(c[i])), root(int(d[j]))
+                if one == other:
+                    continue
+                for text in (t[i], u[j]):
+                    if text not in sets:
+                        sets[text] = shingles(text, k)
+                m, n = sets[t[i]], sets[u[j]]
+                if 100 * min(len(m), len(n)) < percent * max(len(m), len(n)):
+                    continue
+                both = len(np.intersect1d(m, n, assume_unique=True))
+                if 100 * both >= percent * (len(m) + len(n) - both):
+                    joined[max(one, other)] = min(one, other)
+                    out.append((min(int(x[i]), int(y[j])), max(int(x[i]), int(y[j]))))
+    return pa.table({"a": pa.array([v for v, _ in out], pa.int64()), "b": pa.array([w for _, w in out], pa.int64())})
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -179,9 +207,9 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     tied = full.join(own, "digest").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     twice = stored(tied.where("a != b").select("a", "b").distinct(), "tied")
     sigs = stored(own.join(sets.where("digest is not null").select(F.col("doc_id").alias("rep"), "digest", "sig"), ["rep", "digest"]).select(F.col("rep").alias("id"), "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "signatures")
-    buckets = sigs.mapInArrow(_bands, "bucket long, id long")
+    buckets = sigs.mapInArrow(_bands, "bucket long, band int, id long")
     centre = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
-    members = stored(buckets.join(centre, "bucket").select("bucket", "id", "a").distinct(), "buckets")
+    members = stored(buckets.join(centre, "bucket").select("bucket", "band", "id", "a").distinct(), "buckets")
     near = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi").withColumn("h", F.xxhash64("text"))
     texts = stored(texts.dropDuplicates(["id", "h"]).drop("h"), "texts")
@@ -195,17 +223,17 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
 
     # Buckets that still hold two components or more: their members outside the largest one
     # against all others, in blocks.
-    named = _labelled(members.select("id", "bucket"), comps)
+    named = _labelled(members.select("id", "bucket", "band"), comps)
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     inside = stored(named.join(mixed.select("bucket", "n"), "bucket"), "mixed")
     sizes = inside.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp"))["comp"].alias("top"))
-    inside = inside.join(most, "bucket").join(sigs, "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    inside = inside.join(most, "bucket").join(sigs.join(texts, "id"), "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     grid = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
-    left = inside.where("comp != top").select("bucket", F.col("block").alias("i"), grid("j"), "id", "comp", "sig")
-    right = inside.select(F.col("bucket").alias("bucket"), grid("i"), F.col("block").alias("j"), *(F.col(c).alias(c) for c in ("id", "comp", "sig")))
-    pairs = left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(_blocks, "a long, b long").distinct()
-    more = _confirmed(pairs, texts, k, percent)
+    columns = ("band", "id", "comp", "sig", "text")
+    left = inside.where("comp != top").select("bucket", F.col("block").alias("i"), grid("j"), *columns)
+    right = inside.select(F.col("bucket").alias("bucket"), grid("i"), F.col("block").alias("j"), *(F.col(c).alias(c) for c in columns))
+    more = stored(left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(lambda a, b: _blocks(a, b, k, percent), "a long, b long").distinct(), "links")
     comps = components(links.union(more).union(twice.select("a", "b")))
 
     rep = _labelled(own.select(F.col("rep").alias("id"), "digest"), comps).select("digest", F.col("comp").alias("component"))
