@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
@@ -36,19 +38,18 @@ from .common import small_batches, stored, utf8
 
 WINDOW, END = 4096, 2
 BLOCK_TOKENS = 1 << 22
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+MARKS = b".,;:!?"
 GROUP = 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """Lengths and how often each is taken: the longest one, and what comes closest to the capacity with it."""
-    lengths = sorted((x for x, n in counts.items() if n and x <= capacity), reverse=True)
-    if not lengths:
-        return {}
-    first, mask = lengths[0], (1 << (capacity + 1)) - 1
+def fill(counts: dict[int, int], order: list[int], capacity: int) -> dict[int, int]:
+    """Lengths and how often each is taken: the longest one, and what comes closest to the capacity
+    with it. ``order``: the lengths in stock, ascending, none over the capacity."""
+    first, mask = order[-1], (1 << (capacity + 1)) - 1
     reach, stages = 1 << first, []
-    for x in lengths:
+    for x in reversed(order):
         left = counts[x] - (x == first)
         left = min(left, (capacity - first) // x)
         step = 1
@@ -75,9 +76,14 @@ def pack(lengths: list[int], capacity: int, cut: bool) -> list[list[tuple[int, i
         if lengths[i]:
             stock.setdefault(lengths[i], []).append((i, 0))
     counts = {x: len(v) for x, v in stock.items()}
-    out = []
+    order, out = sorted(counts), []
+
+    def drop(x: int) -> None:
+        if not counts[x]:
+            del counts[x], stock[x], order[bisect_left(order, x)]
+
     while counts:
-        taken = fill(counts, capacity)
+        taken = fill(counts, order, capacity)
         slack = capacity - sum(x * n for x, n in taken.items())
         # The same multiset serves as many windows as the counts allow.
         times = min(counts[x] // n for x, n in taken.items()) if not slack or not cut else 1
@@ -90,17 +96,17 @@ def pack(lengths: list[int], capacity: int, cut: bool) -> list[list[tuple[int, i
                 counts[x] -= n
             out.append(own)
         for x in taken:
-            if not counts[x]:
-                del counts[x], stock[x]
+            drop(x)
         if slack and cut and counts:
-            x = max(counts)
+            x = order[-1]
             item, start = stock[x].pop()
             counts[x] -= 1
-            if not counts[x]:
-                del counts[x], stock[x]
+            drop(x)
             part = min(slack, x)
             out[-1].append((item, start, part))
             if x > part:
+                if x - part not in counts:
+                    insort(order, x - part)
                 stock.setdefault(x - part, []).append((item, start + part))
                 counts[x - part] = counts.get(x - part, 0) + 1
     return out
@@ -113,16 +119,49 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end], np.uint32).tobytes(), {}
+        self.cores: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.end, self.known = array("I", [end]).tobytes(), {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        """A word's ids are those of its lower-case form, and of what stands before one closing
+        mark and of the mark, as the tokenizer lower-cases and never joins letters and marks.
+        What may hold a special token is left as it is."""
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known, self.cores = {w: x for w in words if (x := self.known.get(w))}, {}
+        parts, unseen = [], set()
+        for w in words - self.known.keys():
+            core = w if b"<|" in w else w.lower()
+            mark = core[-1:] if core[-1] in MARKS and core[-2:-1].isalnum() else b""
+            core = core[: len(core) - len(mark)]
+            parts.append((w, core, mark))
+            unseen.add(core)
+            unseen.add(mark)
+        new = [(w, w.decode("utf-8", "replace")) for w in sorted(unseen - self.cores.keys())]
+        spelled = [x for x in new if x[1].isalpha()]
+        for at in range(0, len(spelled), 2048):
+            self._spelled(spelled[at : at + 2048])
+        self._encode([x for x in new if not x[1].isalpha()])
+        for w, core, mark in parts:
+            self.known[w] = self.cores[core] + self.cores[mark]
+
+    def _encode(self, words: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                self.cores[w] = array("I", e.ids).tobytes()
+
+    def _spelled(self, words: list[tuple[bytes, str]]) -> None:
+        """Words of letters alone, as one text: each ends at the first token that ends a word."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(t for _, t in words)], add_special_tokens=False)[0].ids
+        cuts = [i + 1 for i, x in enumerate(ids) if x in self.last]
+        if len(cuts) != len(words):  # a letter whose lower case isn't one
+            self._encode(words)
+            return
+        ids = array("I", ids).tobytes()
+        for (w, _), a, b in zip(words, [0, *cuts], cuts):
+            self.cores[w] = ids[4 * a : 4 * b]
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end token."""
