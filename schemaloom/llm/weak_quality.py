@@ -4,12 +4,16 @@ Heuristic labellers vote bad, good or nothing on a document; human labels, where
 one that may be learned from, are one more labeller. All documents are summed by pattern of votes,
 so expectation-maximisation works on exact counts of all of them and on at most 3^n patterns. It
 estimates how often each labeller votes what on good and on bad documents, and gives each pattern
-the posterior of being good. Two such models stand side by side, one for quality and one for
-toxicity.
+the posterior of being good. A document with a human label has that label's posterior from the start
+(``TRUST``), so the heuristics' accuracies are learned against it. Two such models stand side by
+side, one for quality and one for toxicity.
 
-The posteriors label a sample of about ``SAMPLE_DOCS`` documents, chosen by a hash of doc_id, on
-which a linear scorer over 2^18 hashed features (words and their beginnings), a few rates and the bad votes is
-trained for each of the two by logistic regression. It scores every whole text.
+The posteriors label a sample, chosen by a hash of doc_id: about ``SAMPLE_DOCS`` documents with a
+human label and ``SAMPLE_REST`` without, which count ``REST_WEIGHT`` each. On them a linear scorer is
+trained for each of the two by logistic regression: first over a few rates and the bad votes by
+Newton's method, then, for what these leave over, over 2^20 hashed features (a text's distinct words
+and their beginnings) that stand in ``MIN_DOCS`` sampled texts or one in 125, whichever is less, but
+three at least. It scores every whole text.
 
 Defined results: a null or empty text gets no labeller's vote but that of length, and score of the
 bias alone. Of several labels for a document the worst counts. Without any labels the heuristics
@@ -31,8 +35,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, utf8
 from .quality_rules import Doc
 
-BITS, SAMPLE_DOCS, EPOCHS, RATE, L2 = 18, 12_000, 6, 0.5, 1e-6
-DENSE, PREFIX = 7 + 8, 5
+BITS, MIN_DOCS, EPOCHS, RATE, L2, RIDGE = 20, 20, 10, 1.0, 1e-3, 1.0
+SAMPLE_DOCS, SAMPLE_REST, REST_WEIGHT = 9_000, 3_000, 0.3
+TRUST = 0.97
+DENSE, PREFIXES = 7 + 8, (4, 6)
+PER_WORD = 1 + len(PREFIXES)
 CACHE_WORDS = 200_000
 ROUNDS = 50
 #: Insults whose presence is a vote for toxic.
@@ -41,6 +48,7 @@ _TRIM = b".,;:!?\"'()[]#*$%&|<>"
 
 #: Votes: b (bad), g (good), - (none). The first string belongs to quality, the second to toxicity.
 HEADS = ("quality", "toxic")
+TARGETS = [f"{x}_{h}" for h in HEADS for x in "pw"]
 
 
 def heuristics(d: Doc) -> tuple[str, str]:
@@ -55,10 +63,10 @@ def rates(d: Doc) -> list[float]:
     return [1.0, min(1.0, 4 * d.n_symbols / n), min(1.0, 3 * d.n_upper / chars), d.n_repeat_words / n, d.lines[1] / max(1, d.lines[0]), min(1.0, n / 100), 1 - d.n_distinct / n] + [float(v == "b") for x in heuristics(d) for v in x]
 
 
-def features(word: bytes) -> tuple[int, int]:
+def features(word: bytes) -> tuple[int, ...]:
     w = word.strip(_TRIM)
     mask = (1 << BITS) - 1
-    return zlib.crc32(w) & mask, zlib.crc32(b"^" + w.decode("utf-8", "replace")[:PREFIX].encode()) & mask
+    return zlib.crc32(w) & mask, *(zlib.crc32(b"^" + w[:n]) & mask for n in PREFIXES)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,18 +82,19 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = ROUNDS) ->
         return {}
     n = np.array([patterns[x] for x in names], float)
     votes = np.array([["b-g".index(v) for v in x] for x in names])
-    margin = (votes - 1).astype(float)
-    margin[:, -1] *= 4  # a human label, the last voter, starts with more trust
-    good = np.clip(0.5 + 0.2 * margin.sum(axis=1), 0.05, 0.95)
+    label = votes[:, -1] - 1  # the last voter is human
+    good = np.clip(0.5 + 0.2 * (votes - 1).sum(axis=1), 0.05, 0.95)
     for _ in range(rounds):
+        good = np.where(label == 0, good, np.where(label > 0, TRUST, 1 - TRUST))
         like = []
         for p in (1 - good, good):
             own = np.log((p * n).sum() + 1)
-            for j in range(votes.shape[1]):
+            for j in range(votes.shape[1] - 1):
                 seen = np.array([(p * n)[votes[:, j] == v].sum() for v in range(3)]) + 0.1
                 own = own + np.log(seen / seen.sum())[votes[:, j]]
             like.append(own)
         good = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
+    good = np.where(label == 0, good, np.where(label > 0, TRUST, 1 - TRUST))
     return dict(zip(names, good.tolist()))
 
 
@@ -94,31 +103,45 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sparse, dense = [], []
         for t in utf8(batch.column("text")):
             d = Doc(t)
-            sparse.append(np.unique(np.array([f for w in set(d.text.lower().split()) for f in features(w)], np.uint32)).tobytes())
+            sparse.append(np.array(sorted(f for w in set(d.text.lower().split()) for f in features(w)), np.uint32).tobytes())
             dense.append(np.array(rates(d)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("p_quality"), batch.column("p_toxic"), pa.array(sparse, pa.binary()), pa.array(dense, pa.binary())], ["p_quality", "p_toxic", "sparse", "dense"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TARGETS), pa.array(sparse, pa.binary()), pa.array(dense, pa.binary())], [*TARGETS, "sparse", "dense"])
+
+
+def newton(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression on few columns."""
+    v = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        slope = x.T @ (weight * (p - target)) + RIDGE * v
+        v -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(v)), slope)
+    return v
 
 
 def train(rows: pa.Table) -> pa.Table:
-    """Weights of both heads by AdaGrad, in a fixed order of rows."""
+    """Weights of both heads, the hashed ones by AdaGrad in a fixed order of rows."""
     rows = rows.sort_by([("sparse", "ascending")])
     sparse, dense = ([np.frombuffer(x, t) for x in rows.column(c).to_pylist()] for c, t in (("sparse", np.uint32), ("dense", np.float64)))
-    targets = np.stack([rows.column(f"p_{h}").to_numpy() for h in HEADS], axis=1)
-    share = targets.mean(axis=0)
-    weight = np.where(targets >= 0.5, 0.5 / np.maximum(share, 0.02), 0.5 / np.maximum(1 - share, 0.02))  # both sides count alike
-    w, g, v, q = (np.zeros((1 << BITS, 2)), np.full((1 << BITS, 2), 1e-3), np.zeros((DENSE, 2)), np.full((DENSE, 2), 1e-3))
+    seen = np.zeros(1 << BITS, np.int32)
+    sparse = [(len(x), *np.unique(x, return_counts=True)) for x in sparse]
+    for _, x, _ in sparse:
+        seen[x] += 1
+    least = max(3, min(MIN_DOCS, len(sparse) // 125))
+    sparse = [(x[often := seen[x] >= least], c[often, None] / max(1, n) ** 0.5) for n, x, c in sparse]
+    targets, trust = (np.stack([rows.column(f"{x}_{h}").to_numpy() for h in HEADS], axis=1) for x in "pw")
+    share = (targets * trust).sum(axis=0) / trust.sum(axis=0)
+    weight = trust * np.where(targets >= 0.5, 0.5 / np.maximum(share, 0.02), 0.5 / np.maximum(1 - share, 0.02))  # both sides count alike
+    dense = np.stack(dense)
+    v = np.stack([newton(dense, targets[:, k], weight[:, k]) for k in range(2)], axis=1)
+    base, w, g = dense @ v, np.zeros((1 << BITS, 2)), np.full((1 << BITS, 2), 1e-3)
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in order.permutation(len(sparse)):
-            x, d = sparse[i], dense[i]
-            s = 1 / max(1.0, len(x) ** 0.5)
-            err = (1 / (1 + np.exp(-np.clip(w[x].sum(axis=0) * s + d @ v, -30, 30))) - targets[i]) * weight[i]
-            step = err * s + L2 * w[x]
+            x, c = sparse[i]
+            err = (1 / (1 + np.exp(-np.clip((w[x] * c).sum(axis=0) + base[i], -30, 30))) - targets[i]) * weight[i]
+            step = err * c + L2 * w[x]
             g[x] += step**2
             w[x] -= RATE * step / np.sqrt(g[x])
-            step = np.outer(d, err)
-            q += step**2
-            v -= RATE * step / np.sqrt(q)
     return pa.table({"head": list(HEADS), "w": [w[:, k].astype(np.float32).tobytes() for k in range(2)], "v": [v[:, k].tobytes() for k in range(2)]})
 
 
@@ -134,18 +157,18 @@ def _score(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatc
         if len(known) + len(new) > CACHE_WORDS:
             new, known, rows = list(seen), {}, rows[:0]
         known |= {x: len(rows) + i for i, x in enumerate(new)}
-        pairs = np.array([features(x) for x in new], np.int64).reshape(-1, 2)
+        pairs = np.array([features(x) for x in new], np.int64).reshape(-1, PER_WORD)
         rows = np.concatenate([rows, w[pairs].sum(axis=1)])
         out = np.zeros((len(texts), 2))
         for i, (t, words) in enumerate(zip(texts, split)):
             if words:
-                out[i] = rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) / (2 * len(words)) ** 0.5
+                out[i] = rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) / (PER_WORD * len(words)) ** 0.5
             out[i] += np.array(rates(Doc(t))) @ v
         p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "quality_score", "clean_score"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rest: int = SAMPLE_REST) -> DataFrame:
     """doc_id, quality_score, clean_score (1: not toxic) and kept, which both must allow.
 
     docs: doc_id, text; labels: doc_id, quality, toxic, those that may be learned from.
@@ -161,10 +184,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     for head in HEADS:
         posterior[head] = expectation_maximisation({r[0]: r[1] for r in votes.groupBy(head).count().collect()})
     look = lambda head, c: F.element_at(F.create_map(*(F.lit(x) for kv in posterior[head].items() for x in kv)), F.col(c)) if posterior[head] else F.lit(None).cast("double")
-    n = votes.count()
-    chosen = votes.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_docs / max(1, n)) + 1)).dropDuplicates(["k"]).select("k", look("quality", "quality").alias("p_quality"), look("toxic", "toxic").alias("p_toxic"))
-    sample = docs.withColumn("k", F.xxhash64("doc_id", "text")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_docs / max(1, n)) + 1)).join(chosen, "k").select("p_quality", "p_toxic", "text")
-    fitted = sample.mapInArrow(_rows, "p_quality double, p_toxic double, sparse binary, dense binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: train(t.select(["p_quality", "p_toxic", "sparse", "dense"])), "head string, w binary, v binary").collect()
+    labelled = F.greatest(*(~F.col(h).endswith("-") for h in HEADS))
+    n = {r[0]: r[1] for r in votes.groupBy(labelled).count().collect()}
+    most = {x: int((1 << 20) * min(1.0, size / max(1, n.get(x, 0)))) + 1 for x, size in ((True, sample_docs), (False, sample_rest))}
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 20))
+    weight = lambda h: F.when(F.col(h).endswith("-"), REST_WEIGHT).otherwise(1.0)
+    chosen = votes.where(draw < F.when(labelled, most[True]).otherwise(most[False])).dropDuplicates(["k"])
+    chosen = chosen.select("k", *(c for h in HEADS for c in (look(h, h).alias(f"p_{h}"), weight(h).alias(f"w_{h}"))))
+    sample = docs.withColumn("k", F.xxhash64("doc_id", "text")).where(draw < max(most.values())).join(chosen, "k").select(*TARGETS, "text")
+    fitted = sample.mapInArrow(_rows, ", ".join(f"{c} double" for c in TARGETS) + ", sparse binary, dense binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: train(t.select([*TARGETS, "sparse", "dense"])), "head string, w binary, v binary").collect()
     fitted = {r["head"]: r for r in fitted}
     w = np.stack([np.frombuffer(fitted[h]["w"], np.float32) for h in HEADS], axis=1) if fitted else np.zeros((1 << BITS, 2), np.float32)
     v = np.stack([np.frombuffer(fitted[h]["v"], np.float64) for h in HEADS], axis=1) if fitted else np.zeros((DENSE, 2))
