@@ -39,7 +39,7 @@ from .common import small_batches, stored, utf8
 WINDOW, END = 4096, 2
 BLOCK_TOKENS = 1 << 22
 CACHE_WORDS = 500_000
-MARKS = b".,;:!?"
+MARKS = ".,;:!?#*$%&|"
 GROUP = 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -119,53 +119,63 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.cores: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.last = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.end, self.known = array("I", [end]).tobytes(), {}
 
     def learn(self, words: set[bytes]) -> None:
-        """A word's ids are those of its lower-case form, and of what stands before one closing
-        mark and of the mark, as the tokenizer lower-cases and never joins letters and marks.
-        What may hold a special token is left as it is."""
+        """A word's ids are those of what stands before its closing marks and of the marks, as the
+        tokenizer never joins letters and marks. What may hold a special token is left as it is."""
         if len(self.known) + len(words) > CACHE_WORDS:
-            self.known, self.cores = {w: x for w in words if (x := self.known.get(w))}, {}
-        parts, unseen = [], set()
-        for w in words - self.known.keys():
-            core = w if b"<|" in w else w.lower()
-            mark = core[-1:] if core[-1] in MARKS and core[-2:-1].isalnum() else b""
-            core = core[: len(core) - len(mark)]
-            parts.append((w, core, mark))
-            unseen.add(core)
-            unseen.add(mark)
-        new = [(w, w.decode("utf-8", "replace")) for w in sorted(unseen - self.cores.keys())]
-        spelled = [x for x in new if x[1].isalpha()]
+            self.known = {w: x for w in words if (x := self.known.get(w)) is not None}
+        known = self.known
+        new = list(words - known.keys())
+        spelled, other, parts, unseen = [], [], [], {}
+        for w, t in zip(new, b" ".join(new).decode("utf-8", "replace").split(" ")):
+            if t.isalpha():
+                spelled.append((w, t))
+            elif (core := t.rstrip(MARKS)) != t and core[-1:].lower().isalnum() and "<|" not in core:
+                n = len(core) - len(t)  # marks are one byte each
+                parts.append((w, w[:n], w[n:]))
+                if w[:n] not in known and w[:n] not in words:
+                    unseen[w[:n]] = core
+                if w[n:] not in known and w[n:] not in words:
+                    unseen[w[n:]] = t[n:]
+            else:
+                other.append((w, t))
+        for k, x in unseen.items():
+            (spelled if x.isalpha() else other).append((k, x))
         for at in range(0, len(spelled), 2048):
             self._spelled(spelled[at : at + 2048])
-        self._encode([x for x in new if not x[1].isalpha()])
-        for w, core, mark in parts:
-            self.known[w] = self.cores[core] + self.cores[mark]
+        self._encode(other)
+        for w, core, marks in parts:
+            known[w] = known[core] + known[marks]
 
     def _encode(self, words: list[tuple[bytes, str]]) -> None:
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self.cores[w] = array("I", e.ids).tobytes()
+                self.known[w] = array("I", e.ids).tobytes()
 
     def _spelled(self, words: list[tuple[bytes, str]]) -> None:
         """Words of letters alone, as one text: each ends at the first token that ends a word."""
-        ids = self.tokenizer.encode_batch_fast([" ".join(t for _, t in words)], add_special_tokens=False)[0].ids
-        cuts = [i + 1 for i, x in enumerate(ids) if x in self.last]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in words])], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
         if len(cuts) != len(words):  # a letter whose lower case isn't one
             self._encode(words)
             return
-        ids = array("I", ids).tobytes()
-        for (w, _), a, b in zip(words, [0, *cuts], cuts):
-            self.cores[w] = ids[4 * a : 4 * b]
+        ids = ids.tobytes()
+        self.known.update(zip([w for w, _ in words], [ids[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end token."""
-        split = [(t or b"").split() for t in texts]
+        """Little-endian unsigned 32-bit ids of each text, with the end token.
+
+        Texts are put in lower case first, as the tokenizer does it too; not those that may hold a
+        special token, which it looks for before.
+        """
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         self.learn(set().union(*split) if split else set())
         get = self.known.__getitem__
         for words in split:

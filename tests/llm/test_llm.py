@@ -296,3 +296,15 @@ def test_registry_and_pipeline(spark):
     assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def test_packing_ids_of_odd_texts():
+    """The table of words gives the ids of whole texts, special tokens, marks and odd letters included."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, words, rng = Tokenizer.from_file(path), packing.Words(path, 2), random.Random(1)
+    parts = ["a", "B", "é", "É", "İ", "ß", "'s", "'", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ".", "!", "#", "*%", " ", "\n", "\x0b", "\x1c", "　", "1", "²", "日", "̸", "don't", "$$$", "ǅ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(next(words.ids([text.encode()])), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids + [2], text
