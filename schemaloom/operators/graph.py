@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,3 +66,50 @@ def cosine(left: DataFrame, right: DataFrame, vector: str = "embedding") -> Data
     a, b = left.select(F.col("id").alias("a"), F.col(vector).alias("x"), F.sqrt(dot(vector, vector)).alias("nx")), right.select(F.col("id").alias("b"), F.col(vector).alias("y"), F.sqrt(dot(vector, vector)).alias("ny"))
     scale = F.col("nx") * F.col("ny")
     return a.crossJoin(F.broadcast(b)).select("a", "b", F.when(scale == 0, 0.0).otherwise(dot("x", "y") / scale).alias("cosine"))
+
+
+#: Rows of a shard and queries of a block: a task holds one of each. Shards, at least.
+SHARD, BLOCK, SHARDS = 1 << 16, 1 << 14, 16
+
+
+def _top(left: pd.DataFrame, right: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    """The k rows of left nearest to each row of right; equal rounded cosines go by id."""
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})
+    if left.empty or right.empty:
+        return none
+    left, unit, out = left.sort_values("id"), 10**digits, [none]
+
+    def scaled(v):
+        x = np.stack(v.to_list()).astype(np.float64)
+        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    x, y, a = scaled(left["v"]), scaled(right["v"]), left["id"].to_numpy()
+    for at in range(0, len(y), 512):
+        best = np.empty((len(y[at : at + 512]), 0), np.int64)
+        for i in range(0, len(x), 8192):
+            c = y[at : at + 512] @ x[i : i + 8192].T * unit
+            c = (np.sign(c) * np.floor(np.abs(c) + 0.5)).astype(np.int64)
+            best = np.concatenate([best, (c << 32) - np.arange(i, i + c.shape[1])], axis=1)  # a cosine, then a place
+            if best.shape[1] > k:
+                best = -np.partition(-best, k - 1, axis=1)[:, :k]
+        c = -(-best >> 32)  # places count down, so the cosine is rounded up
+        out.append(pd.DataFrame({"a": a[((c << 32) - best).ravel()], "b": np.repeat(right["id"].to_numpy()[at : at + 512], best.shape[1]), "cosine": c.ravel() / unit}))
+    return pd.concat(out[1:] or out)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, digits: int = 4, vector: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """a, b, cosine, rank: the k rows a nearest to each query b, by the rounded cosine and then by a.
+
+    rows, queries: id and a vector, all of one length. Every block of queries meets every shard of
+    rows in a task that gives out its best k, so neither side is broadcast. A zero vector gives 0;
+    rows without an id or a vector have no part.
+    """
+    pick = lambda df: df.where(F.col("id").isNotNull() & F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(vector).alias("v"))
+    left, right = pick(rows), pick(queries)
+    n, m = max(SHARDS, -(-left.count() // shard)), -(-right.count() // block) or 1
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left, right = left.select("*", own(n).alias("s"), each(m).alias("t")), right.select("*", each(n).alias("s"), own(m).alias("t"))
+    best = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInPandas(lambda x, y: _top(x, y, k, digits), "a long, b long, cosine double")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("b").orderBy(F.desc("cosine"), "a")).cast("long")).where(F.col("rank") <= k)

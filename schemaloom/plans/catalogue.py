@@ -404,6 +404,13 @@ def _(spark, sf_dir):
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine"), "a")).cast("long")).where("rank <= 5")
 
 
+@query("cosine_neighbours", "WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e), q AS (SELECT * FROM n WHERE vec_id % 20 = 0), c AS (SELECT n.vec_id AS a, q.vec_id AS b, CASE WHEN n.n * q.n = 0 THEN 0 ELSE list_dot_product(n.v, q.v) / (n.n * q.n) END AS x FROM n, q) SELECT a, b, round(x, 4) AS cosine, row_number() OVER (PARTITION BY b ORDER BY round(x, 4) DESC, a) AS rank FROM c QUALIFY rank <= 5")
+def _(spark, sf_dir):
+    """Top five neighbours of every vector whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return graph.nearest(e, e.where("id % 20 = 0"))
+
+
 @query("embedding_full")
 def _(spark, sf_dir):
     feature = values(spark, "attr_id int, row_gid long", *((a, r) for r in range(40) for a in range(4) if (r * 7 + a * 3) % 5 < 2))

@@ -170,3 +170,19 @@ def test_stream_profile(spark, tmp_path):
     incremental.start(stream, "t", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = {r["col"]: (r["n"], r["n_unique"]) for r in incremental.profile(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": (100, 7), "b": (100, 3)}
+
+
+def test_nearest_takes_every_query(spark):
+    from schemaloom.plans import catalogue
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties and some zero vectors
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 4), (320, None)], "id long, embedding array<float>")
+    n = np.linalg.norm(x, axis=1)
+    c = np.round(np.divide(x @ x.T, np.outer(n, n), out=np.zeros((300, 300)), where=np.outer(n, n) > 0), 4)
+    want = {(int(a), b, c[a, b], r) for b in range(0, 300, 20) for r, a in enumerate(np.lexsort((np.arange(300), -c[:, b]))[:5], 1)}
+    for shard, block in ((1 << 16, 1 << 14), (10, 4)):
+        assert set(map(tuple, graph.nearest(df, df.where("id % 20 = 0"), shard=shard, block=block).collect())) == want
+    sf = "/root/testdata/sf0.001"
+    got = {r["b"] for r in catalogue.QUERIES["cosine_neighbours"](spark, sf).collect()}
+    assert got == {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
