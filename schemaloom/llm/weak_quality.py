@@ -8,6 +8,11 @@ the posterior of being good. A document with a human label has that label's post
 (``TRUST``), so the heuristics' accuracies are learned against it. Two such models stand side by
 side, one for quality and one for toxicity.
 
+The toxic head has three labellers of which each counts words the others don't: words learned from
+the labels, beginnings of other words learned from them, and a general list of insults in four languages
+for what is neither. Learned are those in whose documents toxic labels are much more frequent than elsewhere, over all
+documents with a label that may be learned from.
+
 The posteriors label a sample, chosen by a hash of doc_id: about ``SAMPLE_DOCS`` documents with a
 human label and ``SAMPLE_REST`` without, which count ``REST_WEIGHT`` each. On them a linear scorer is
 trained for each of the two by logistic regression: first over a few rates and the bad votes by
@@ -42,8 +47,12 @@ DENSE, PREFIXES = 7 + 8, (4, 6)
 PER_WORD = 1 + len(PREFIXES)
 CACHE_WORDS = 200_000
 ROUNDS = 50
-#: Insults whose presence is a vote for toxic.
-INSULTS = frozenset(x.encode() for x in "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: Insults whose presence is a vote for toxic, written down from common use in English,
+#: German, French and Spanish, not from any table; none is an everyday word of another of these languages.
+INSULTS = frozenset(x.encode() for x in "asshole bastard bitch coward creep dumb idiot idiots imbecile jerk loser losers moron morons scumbag stupid arschloch blöd depp dummkopf dumm mistkerl schlampe trottel versager vollidiot abruti bouffon connard connasse crétin débile imbécile minable ordure salaud salope cabrón estúpida estúpido gilipollas idiota imbécil inútil pendejo tonto".split())
+#: A term is learned if so many toxic documents hold it, at least, so large a share of its documents is
+#: toxic, and the log-likelihood gained over the share of all documents is so large. Terms, at most.
+TERM_DOCS, TERM_SHARE, TERM_GAIN, TERMS, TERM_TABLE = 5, 0.8, 12.0, 4_000, 500_000
 _TRIM = b".,;:!?\"'()[]#*$%&|<>"
 
 #: Votes: b (bad), g (good), - (none). The first string belongs to quality, the second to toxicity.
@@ -51,16 +60,67 @@ HEADS = ("quality", "toxic")
 TARGETS = [f"{x}_{h}" for h in HEADS for x in "pw"]
 
 
-def heuristics(d: Doc) -> tuple[str, str]:
-    n, insults = d.n_words, sum(w.strip(_TRIM) in INSULTS for w in d.text.lower().split())
+Learned = tuple[frozenset[bytes], frozenset[bytes]]
+NOTHING: Learned = (frozenset(), frozenset())
+
+
+def terms(text: bytes) -> tuple[set[bytes], set[bytes]]:
+    """The distinct words of a text and their beginnings."""
+    words = {w.strip(_TRIM) for w in set(text.lower().split())}
+    words.discard(b"")
+    return words, {w[:n] for w in words for n in PREFIXES}
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and toxic documents that hold each term, in parts that are to be summed; the empty word is in all."""
+    counts: dict[bytes, list[int]] = {}
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(2))], ["term", "n", "bad"])
+        counts.clear()
+        return out
+
+    for batch in small_batches(batches):
+        for text, bad in zip(utf8(batch.column("text")), batch.column("bad").to_pylist()):
+            words, starts = terms(text or b"")
+            for t in [b"=", *(b"=" + w for w in words), *(b"^" + w for w in starts)]:
+                c = counts.setdefault(t, [0, 0])
+                c[0] += 1
+                c[1] += bad
+        if len(counts) > TERM_TABLE:
+            yield flush()
+    yield flush()
+
+
+def learn_terms(docs: DataFrame, human: DataFrame) -> Learned:
+    """Words and beginnings of words that tell toxic documents. human: doc_id and ht, 1 for toxic."""
+    known = docs.join(human.where("ht is not null"), "doc_id").select("text", (F.col("ht") != 0).cast("long").alias("bad"))
+    counts = stored(known.mapInArrow(_count_terms, "term binary, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("bad") >= TERM_DOCS), "terms")
+    whole = counts.where(F.col("term") == F.lit(b"=")).first()
+    if whole is None or whole["bad"] == whole["n"]:
+        return NOTHING
+    n, bad, share = F.col("n"), F.col("bad"), whole["bad"] / whole["n"]
+    gain = bad * F.log(bad / n / share) + F.when(bad < n, (n - bad) * F.log((n - bad) / n / (1 - share))).otherwise(0.0)
+    best = counts.where((F.col("term") != F.lit(b"=")) & (bad >= TERM_SHARE * n) & (gain >= TERM_GAIN)).orderBy(gain.desc(), "term").limit(TERMS)
+    found = [bytes(r["term"]) for r in best.select("term").collect()]
+    words, starts = (frozenset(t[1:] for t in found if t[:1] == k) for k in (b"=", b"^"))
+    return words, starts
+
+
+def heuristics(d: Doc, learned: Learned = NOTHING) -> tuple[str, str]:
+    n = d.n_words
     vote = lambda bad, good: "b" if bad else "g" if good else "-"
     quality = vote(10 * d.n_symbols > n, not d.n_symbols) + vote(5 * d.n_upper > d.word_chars, 20 * d.n_upper < d.word_chars) + vote(5 * d.n_repeat_words > 2 * n, not d.n_repeat_words) + vote(3 * d.lines[1] > d.lines[0], not d.lines[1] and d.lines[0] > 1) + vote(n < 10, n >= 100)
-    return quality, vote(insults, False) + vote(insults > 2, not insults) + vote(200 * insults > n and insults, False)
+    words = {w.strip(_TRIM) for w in set(d.text.lower().split())}
+    told, rest = not words.isdisjoint(learned[0]), words - learned[0]
+    starts = not all(learned[1].isdisjoint({w[:k] for w in rest}) for k in PREFIXES) if learned[1] else False
+    listed = any(all(w[:k] not in learned[1] for k in PREFIXES) for w in rest & INSULTS)
+    return quality, vote(listed, False) + vote(told, learned[0] and n) + vote(starts, learned[1] and n and not told)
 
 
-def rates(d: Doc) -> list[float]:
+def rates(d: Doc, learned: Learned = NOTHING) -> list[float]:
     n, chars = max(1, d.n_words), max(1, d.word_chars)
-    return [1.0, min(1.0, 4 * d.n_symbols / n), min(1.0, 3 * d.n_upper / chars), d.n_repeat_words / n, d.lines[1] / max(1, d.lines[0]), min(1.0, n / 100), 1 - d.n_distinct / n] + [float(v == "b") for x in heuristics(d) for v in x]
+    return [1.0, min(1.0, 4 * d.n_symbols / n), min(1.0, 3 * d.n_upper / chars), d.n_repeat_words / n, d.lines[1] / max(1, d.lines[0]), min(1.0, n / 100), 1 - d.n_distinct / n] + [float(v == "b") for x in heuristics(d, learned) for v in x]
 
 
 def features(word: bytes) -> tuple[int, ...]:
@@ -69,9 +129,9 @@ def features(word: bytes) -> tuple[int, ...]:
     return zlib.crc32(w) & mask, *(zlib.crc32(b"^" + w[:n]) & mask for n in PREFIXES)
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _votes(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        both = [heuristics(Doc(t)) for t in utf8(batch.column("text"))]
+        both = [heuristics(Doc(t), learned) for t in utf8(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array([a for a, _ in both], pa.string()), pa.array([b for _, b in both], pa.string())], ["doc_id", "k", "quality", "toxic"])
 
 
@@ -98,13 +158,13 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = ROUNDS) ->
     return dict(zip(names, good.tolist()))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         sparse, dense = [], []
         for t in utf8(batch.column("text")):
             d = Doc(t)
             sparse.append(np.array(sorted(f for w in set(d.text.lower().split()) for f in features(w)), np.uint32).tobytes())
-            dense.append(np.array(rates(d)).tobytes())
+            dense.append(np.array(rates(d, learned)).tobytes())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TARGETS), pa.array(sparse, pa.binary()), pa.array(dense, pa.binary())], [*TARGETS, "sparse", "dense"])
 
 
@@ -145,7 +205,7 @@ def train(rows: pa.Table) -> pa.Table:
     return pa.table({"head": list(HEADS), "w": [w[:, k].astype(np.float32).tobytes() for k in range(2)], "v": [v[:, k].tobytes() for k in range(2)]})
 
 
-def _score(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weights, learned: Learned) -> Iterator[pa.RecordBatch]:
     w, v = weights.value
     known: dict[bytes, int] = {}
     rows = np.zeros((0, 2), np.float32)
@@ -163,7 +223,7 @@ def _score(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatc
         for i, (t, words) in enumerate(zip(texts, split)):
             if words:
                 out[i] = rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0) / (PER_WORD * len(words)) ** 0.5
-            out[i] += np.array(rates(Doc(t))) @ v
+            out[i] += np.array(rates(Doc(t), learned)) @ v
         p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "quality_score", "clean_score"])
 
@@ -175,8 +235,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
     """
     spark = docs.sparkSession
     docs, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
-    votes = docs.withColumn("k", F.xxhash64("doc_id", "text")).mapInArrow(_votes, f"doc_id {kind}, k long, quality string, toxic string")
     human = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("hq"), F.max("toxic").alias("ht"))
+    learned = learn_terms(docs, human)
+    votes = docs.withColumn("k", F.xxhash64("doc_id", "text")).mapInArrow(partial(_votes, learned=learned), f"doc_id {kind}, k long, quality string, toxic string")
     votes = votes.join(human, "doc_id", "left")
     say = lambda c, good: F.when(F.col(c).isNull(), "-").when(F.col(c) == good, "g").otherwise("b")
     votes = stored(votes.select("doc_id", "k", F.concat("quality", say("hq", 1)).alias("quality"), F.concat("toxic", say("ht", 0)).alias("toxic")), "votes")
@@ -192,11 +253,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
     chosen = votes.where(draw < F.when(labelled, most[True]).otherwise(most[False])).dropDuplicates(["k"])
     chosen = chosen.select("k", *(c for h in HEADS for c in (look(h, h).alias(f"p_{h}"), weight(h).alias(f"w_{h}"))))
     sample = docs.withColumn("k", F.xxhash64("doc_id", "text")).where(draw < max(most.values())).join(chosen, "k").select(*TARGETS, "text")
-    fitted = sample.mapInArrow(_rows, ", ".join(f"{c} double" for c in TARGETS) + ", sparse binary, dense binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: train(t.select([*TARGETS, "sparse", "dense"])), "head string, w binary, v binary").collect()
+    fitted = sample.mapInArrow(partial(_rows, learned=learned), ", ".join(f"{c} double" for c in TARGETS) + ", sparse binary, dense binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: train(t.select([*TARGETS, "sparse", "dense"])), "head string, w binary, v binary").collect()
     fitted = {r["head"]: r for r in fitted}
     w = np.stack([np.frombuffer(fitted[h]["w"], np.float32) for h in HEADS], axis=1) if fitted else np.zeros((1 << BITS, 2), np.float32)
     v = np.stack([np.frombuffer(fitted[h]["v"], np.float64) for h in HEADS], axis=1) if fitted else np.zeros((DENSE, 2))
-    scored = docs.mapInArrow(partial(_score, weights=spark.sparkContext.broadcast((w, v))), f"doc_id {kind}, quality_score double, clean_score double")
+    scored = docs.mapInArrow(partial(_score, weights=spark.sparkContext.broadcast((w, v)), learned=learned), f"doc_id {kind}, quality_score double, clean_score double")
     return scored.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("clean_score") >= 0.5))
 
 

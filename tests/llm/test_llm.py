@@ -290,6 +290,22 @@ def test_weak_quality(spark, docs, texts):
     assert weak_quality.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxic_labellers_are_learned(spark):
+    """Any word that toxic labels single out is a vote, in any language; no word votes twice."""
+    rng = random.Random(12)
+    bad = [f"{words(rng, 30)} zorgle{'n' * (i % 2)} {words(rng, 30)}" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(bad), *((i, words(rng, 60)) for i in range(30, 300)), (300, None)], "doc_id long, text string")
+    human = spark.createDataFrame([(i, int(i < 30)) for i in range(301)], "doc_id long, ht int")
+    learned = weak_quality.learn_terms(docs, human)
+    assert learned == ({b"zorgle", b"zorglen"}, {b"zorg", b"zorgle"})
+    votes = lambda t: weak_quality.heuristics(quality_rules.Doc(t), learned)[1]
+    assert [votes(t) for t in (b"w1 Zorgle!", b"w1 zorgles", b"w1 idiot", b"w1 w2", b"")] == ["-b-", "-gb", "bgg", "-gg", "---"]
+    assert weak_quality.learn_terms(docs, human.limit(0)) == weak_quality.NOTHING
+    labels = human.where("doc_id < 250").selectExpr("doc_id", "1 AS quality", "ht AS toxic")
+    new = docs.union(spark.createDataFrame([(900 + i, f"{words(rng, 40)} zorgle {words(rng, 20)}") for i in range(5)], "doc_id long, text string"))
+    assert all(not r["kept"] for r in weak_quality.classify(new, labels).where("doc_id >= 900").collect())
+
+
 def test_registry_and_pipeline(spark):
     import corpus_pipeline
 
