@@ -173,9 +173,11 @@ class Words:
         """Little-endian unsigned 32-bit ids of each text, with the end token.
 
         Texts are put in lower case first, as the tokenizer does it too; not those that may hold a
-        special token, which it looks for before.
+        special token, which it looks for before, or a combining mark (U+0300 to U+036F, whose first
+        bytes stand for nothing else but U+0370 to U+037F), with which it composes letters before: H, J,
+        T, W and Y take marks in lower case that they don't take in upper case.
         """
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() if t else [] for t in texts]
         self.learn(set().union(*split) if split else set())
         get = self.known.__getitem__
         for words in split:

@@ -324,3 +324,22 @@ def test_packing_ids_of_odd_texts():
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(next(words.ids([text.encode()])), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids + [2], text
+
+
+def test_packing_ids_of_decomposed_letters():
+    """Letters that only compose in lower case keep the ids of the whole text; beside marks on any letter."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, rng = Tokenizer.from_file(path), random.Random(2)
+    five = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZhjtwyzé."
+    texts = [f"{x}x a{x}b" for x in five] + [c + chr(m) + "x" for c in letters for m in range(0x300, 0x370)] + ["".join(rng.choice([*five, *letters, " ", "\u0323", "\u0301"]) for _ in range(9)) for _ in range(2000)]
+    words = packing.Words(path, 2)
+    for text in texts:
+        assert np.frombuffer(next(words.ids([text.encode()])), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids + [2], text
+    # No mark outside of this range composes with an ASCII letter.
+    import unicodedata
+
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        assert all(unicodedata.normalize("NFC", c + chr(m)) == c + unicodedata.normalize("NFC", chr(m)) for m in range(0x370, 0x11000) if not 0xD800 <= m < 0xE000)
