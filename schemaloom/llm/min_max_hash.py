@@ -56,7 +56,7 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= k:
+    if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64)
     codes = dict.fromkeys(words)
     for w in codes:

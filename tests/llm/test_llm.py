@@ -118,6 +118,14 @@ def test_near_duplicates(spark, docs, texts):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in min_max_hash.classes(clash, 4).collect())[1:] == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_texts_of_one_shingle(spark):
+    """A text of k words has the shingle that it has in a longer text."""
+    out = ["ha ha ha ha", "ha ha ha ha ha", "Ha ha ha ha ha ha", "ha ha ha", "a b c d", "a b c d", "x a b c d"]
+    df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in min_max_hash.classes(df, 4).collect()}
+    assert got == brute_components(out, 4) and [got[i][1] for i in range(7)] == [0, 0, 0, 3, 4, 4, 6]
+
+
 def test_chains_of_near_duplicates(spark):
     rng = random.Random(5)
     own, out = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
