@@ -5,10 +5,12 @@ window of the fewest lines that come to ``min_words`` words picks the least hash
 fingerprint; the same holds backwards, for the window that ends at a line. Equal runs of
 ``min_words`` words or more hold a whole window at the same place, so they share its minimum:
 that is the guarantee of winnowing. Only windows whose fingerprint stands at two places or more
-are looked at further. Each is extended from its fingerprint to both of its ends: windows with
-the same fingerprint and the same lines before and after it are the same passage, and the first
+are looked at further. A match is extended from its fingerprint to both ends of its window: windows
+with the same fingerprint and the same lines before and after it are the same passage, and the first
 by (doc_id, line) is the one that stays. Windows that overlap join to runs, and every line of a
-later run goes, with the blank lines inside it.
+later run goes, with the blank lines inside it. That is as far as a match can be extended by lines,
+since every line of a longest common run of ``min_words`` words lies in a window that is common too;
+no match is extended by words into a line that is shared in part.
 
 No pairs of places are made: all places of a passage meet its first place only, through an
 aggregate with partial sums, so the rows stay linear in the number of lines whatever repeats.
@@ -16,7 +18,7 @@ aggregate with partial sums, so the rows stay linear in the number of lines what
 Defined results: null texts and rows with a null doc_id stay as they are. Rows with the same
 doc_id and the same text are treated as one and keep the same text. Ties within a text go to
 the earlier line. A text that is a copy of an earlier one becomes empty; its row stays. Extra
-columns are kept. An empty table gives an empty table.
+columns are kept, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Scratch, stored, unused
 
 MIN_WORDS = 50
 
@@ -60,32 +62,43 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, copy, first, last: the runs of lines that repeat an earlier run."""
-    windows = _windows(_lines(docs), min_words)
-    place = F.struct("doc_id", "first", "copy").alias("place")
-    marks = windows.groupBy("mark").agg(F.min(F.struct("doc_id", "first", "copy")).alias("lo"), F.max(F.struct("doc_id", "first", "copy")).alias("hi")).where("lo < hi").select("mark")
-    found = windows.join(marks, "mark")
-    firsts = found.groupBy("mark", "before", "after").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
-    later = found.join(firsts, ["mark", "before", "after"]).where(F.struct("doc_id", "first", "copy") != F.col("origin")).select("doc_id", "copy", "first", "last")
-    by_doc = W.partitionBy("doc_id", "copy").orderBy("first", "last")
-    later = later.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    return later.withColumn("run", F.sum("new").over(by_doc)).groupBy("doc_id", "copy", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, with ``text`` rid of later repeated runs and ``_removed``, the number of lines that went."""
-    runs = repeated_runs(docs, min_words).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_runs")
-    both = docs.join(runs, (docs["doc_id"] == runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_copy"]), "left")
+    """doc_id, copy, first, last: the runs of lines that repeat an earlier run.
+
+    Windows are made once. Marks and passages that stand at several places are written as tables, so
+    that a hot one, in the joins with all windows, is a partition that adaptive execution can split.
+    """
+    place = F.struct("doc_id", "first", "copy")
+    with Scratch(docs.sparkSession) as tmp:
+        windows = tmp.stored(_windows(_lines(docs), min_words), "windows")
+        at = F.xxhash64("doc_id", "first", "copy")
+        marks = tmp.stored(windows.groupBy("mark").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi").select("mark"), "marks")
+        found = tmp.stored(windows.join(marks, "mark"), "found")
+        firsts = found.groupBy("mark", "before", "after").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
+        firsts = tmp.stored(firsts, "passages")
+        later = tmp.stored(found.join(firsts, ["mark", "before", "after"]).where(place != F.col("origin")).select("doc_id", "copy", "first", "last"), "later")
+        by_doc = W.partitionBy("doc_id", "copy").orderBy("first", "last")
+        later = later.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+        later = later.withColumn("run", F.sum("new").over(by_doc)).groupBy("doc_id", "copy", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+        return stored(later, "runs")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed_lines") -> DataFrame:
+    """The documents, with ``text`` rid of later repeated runs, and the number of lines that went in a column
+    named by ``removed``, a name that ``docs`` must not have."""
+    own, of, cut = (unused(c, docs) for c in ("own", "of", "cut"))
+    runs = repeated_runs(docs, min_words).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias(cut))
+    runs = runs.select(F.col("doc_id").alias(own), F.col("copy").alias(of), cut)
+    both = docs.join(runs, (docs["doc_id"] == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: i.between(r["first"], r["last"])))
-    gone = F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return both.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), gone.alias("_removed"))
+    left = F.filter(lines, lambda _, i: ~F.exists(cut, lambda r: i.between(r["first"], r["last"])))
+    gone = F.when(F.col(cut).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return both.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns), gone.alias(removed))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "text", F.col("_removed").alias("n_removed_lines"))
+    return dedup(docs)
 
 
 #: Fewer words than a window, and no fingerprints: every window of lines, by its text.

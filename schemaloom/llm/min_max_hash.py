@@ -10,20 +10,29 @@ Large groups stay linear:
 
 * texts with equal sets are one class, whose least doc_id stands for it (no buckets, no pairs);
 * a bucket first links its members to its least member (a star), not to each other;
-* the verified stars give components; then only members of a bucket that are still in different
-  components are compared, smaller components against larger ones, in blocks of ``BLOCK`` rows
-  whose signatures are compared as arrays; pairs whose signatures agree in ``ESTIMATE`` of their
-  values (six standard deviations below the threshold) are confirmed in the same task, which
-  gives out links, never candidates, and skips what it has joined already.
+* the verified stars give components. Where a bucket still holds several, its members outside the
+  largest one (the outsiders) are compared with all members: blocks of ``OUTSIDERS`` of them meet
+  blocks of ``MEMBERS``, with numbers and signatures only, so a bucket of n members with r outsiders
+  moves about n * r / OUTSIDERS + n short rows;
+* a block names, for two components, the ``FIRST`` pairs at most whose signatures agree best, of
+  those that agree in ``ESTIMATE`` of their values (six standard deviations below the threshold), and
+  says whether it held pairs back. The texts of named pairs only are fetched and compared. While any
+  block holds pairs back between components that are still apart, it is asked again for many more;
+  so no pair is dropped, and components that do touch cost a few comparisons.
 
 A link that can change a component is thus lost only where banding misses it: with 32 bands of 4
 values a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
-Defined results: a text without words, or null, has an empty set, is linked with nothing and is
-its own component. Fewer words than a shingle: the whole sequence is the one shingle. Rows with
-equal doc_ids are one document if their sets are equal, and are otherwise joined through that
-doc_id; a row with a null doc_id is left out of components (component_id null, kept true). Extra
-columns are kept by ``keep``. Empty tables give empty tables.
+Joins on a digest, bucket or centre that a large part of the rows may share have a stored table on
+their other side, so that adaptive execution can split the hot partition.
+
+Defined results: doc_ids are integers. A text without words, or null, has an empty set, is linked
+with nothing and is its own component. Fewer words than a shingle: the whole sequence is the one
+shingle. Rows with equal doc_ids are one document if their sets are equal, and are otherwise joined
+through that doc_id; a row with a null doc_id is left out of components (component_id null, kept
+true). ``keep`` keeps extra columns, whatever their names, and all rows of a doc_id that stays, so
+rows that are repeated with their doc_id stay repeated. Empty tables give empty tables. Components
+that don't settle in ``most`` rounds are an error.
 """
 
 from __future__ import annotations
@@ -37,14 +46,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8
+from .common import Scratch, small_batches, stored, unused, utf8
 
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 80
 #: Agreeing signature values, of 2 * PERMUTATIONS, from which a pair is verified.
 ESTIMATE = int(2 * PERMUTATIONS * (PERCENT / 100 - 6 * (0.16 / (2 * PERMUTATIONS)) ** 0.5))
-BLOCK = 1024
+OUTSIDERS, MEMBERS = 512, 8192
+#: Pairs that a block names for two components at first, and how many times more it does each time it is asked again.
+FIRST, MORE = 8, 16
+#: Rows of small buckets that are handled together.
+ROWS_A_GROUP = 4096
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,66 +138,88 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _blocks(left: pa.Table, right: pa.Table, k: int, percent: int) -> pa.Table:
-    """One block of a bucket against another: the confirmed links between different components.
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of 16 bits a value: equal values stay equal, others are equal in 1 of 65536 cases."""
+    for batch in batches:
+        sigs = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column("sig").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "sig"])
+
 
-    A pair that shares several buckets is looked at in the bucket of its first common band only.
-    Signatures are compared as arrays; the full sets of the pairs that they leave possible are
-    compared here too, so what leaves the task are links, not candidates.
+def _bucket(left: dict[str, np.ndarray], right: dict[str, np.ndarray], first: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of outsiders (left) and members (right) of one bucket that may be links, the ``first`` best
+    for any two components, and whether there were more.
+
+    A pair that shares several buckets is looked at in the bucket of its first common band only, and
+    a pair of outsiders from its smaller id only.
     """
-    out: list[tuple[int, int]] = []
+    pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    band, ids, comps, sigs = int(left["band"][0]), right["id"], right["comp"], right["sig"]
+    for x, c, p in zip(left["id"].tolist(), left["comp"].tolist(), left["sig"]):
+        at = np.flatnonzero((comps != c) & (~right["outside"] | (ids > x)))
+        same = sigs[at] == p
+        agree = np.count_nonzero(same, axis=1)
+        near = np.flatnonzero(agree >= ESTIMATE)
+        near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        for j in near.tolist():
+            y, d = int(ids[at[j]]), int(comps[at[j]])
+            pairs.setdefault((min(c, d), max(c, d)), []).append((-int(agree[j]), min(x, y), max(x, y)))
+        if len(pairs) and max(map(len, pairs.values())) > 64 * first:  # bounded, whatever the block holds
+            pairs = {k: sorted(set(v))[: first + 1] for k, v in pairs.items()}
+    best = {k: sorted(set(v)) for k, v in pairs.items()}
+    return [(a, b) for v in best.values() for _, a, b in v[:first]], any(len(v) > first for v in best.values())
+
+
+def _blocks(left: pa.Table, right: pa.Table, first: int) -> pa.Table:
+    """One block of outsiders against one of members, or all of those of some small buckets."""
+    out: list[tuple[int, int, bool]] = []
     if left.num_rows and right.num_rows:
-        band = left.column("band")[0].as_py()
-        (x, p, c, t), (y, q, d, u) = ((z.column("id").to_numpy(), np.frombuffer(b"".join(z.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS), z.column("comp").to_numpy(), z.column("text").cast(pa.binary()).to_pylist()) for z in (left.combine_chunks(), right.combine_chunks()))
-        sets: dict[bytes, np.ndarray] = {}
-        joined: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while joined.get(i, i) != i:
-                i = joined[i]
-            return i
-
-        for i in range(len(x)):
-            same = q == p[i]
-            near = np.flatnonzero((d != c[i]) & (same.sum(axis=(1, 2)) >= ESTIMATE))
-            near = near[same[near].all(axis=2).argmax(axis=1) == band]
-            for j in near.tolist():
-                one, other = root(int(c[i])), root(int(d[j]))
-                if one == other:
-                    continue
-                for text in (t[i], u[j]):
-                    if text not in sets:
-                        sets[text] = shingles(text, k)
-                m, n = sets[t[i]], sets[u[j]]
-                if 100 * min(len(m), len(n)) < percent * max(len(m), len(n)):
-                    continue
-                both = len(np.intersect1d(m, n, assume_unique=True))
-                if 100 * both >= percent * (len(m) + len(n) - both):
-                    joined[max(one, other)] = min(one, other)
-                    out.append((min(int(x[i]), int(y[j])), max(int(x[i]), int(y[j]))))
-    return pa.table({"a": pa.array([v for v, _ in out], pa.int64()), "b": pa.array([w for _, w in out], pa.int64())})
+
+        def by_bucket(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+            t = t.sort_by("bucket").combine_chunks()
+            own = {c: t.column(c).to_numpy() for c in ("bucket", "band", "id", "comp", "outside")}
+            own["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS)
+            return own, *np.unique(own["bucket"], return_index=True)
+
+        x, names, starts = by_bucket(left)
+        y, others, begins = by_bucket(right)
+        for k, name in enumerate(names):
+            j = int(np.searchsorted(others, name))
+            if j == len(others) or others[j] != name:
+                continue
+            a, b = (slice(at[i], at[i + 1] if i + 1 < len(at) else None) for at, i in ((starts, k), (begins, j)))
+            found, more = _bucket({c: v[a] for c, v in x.items()}, {c: v[b] for c, v in y.items()}, first)
+            out += [(*p, more) for p in found]
+    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64()), "more": pa.array([p[2] for p in out], pa.bool_())})
+
+
+def _asked(first: int):
+    return lambda left, right: _blocks(left, right, first)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """id, comp: the least id that each end of an edge can reach.
 
     Rounds of large star and small star, each written to the shared folder; the number of rounds
-    grows with the logarithm of the longest path. Hot centres meet partial aggregates and joins
-    that Spark may split.
+    grows with the logarithm of the longest path. Rows of hot centres meet in partial aggregates, and
+    in joins with stored tables that adaptive execution can split.
     """
+    spark = edges.sparkSession
+    marks = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    was = marks(e)
     for _ in range(most):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        now = stored(small, "edges")
-        was, e = e, now
-        same = was.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if same == e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first():
-            break
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        with Scratch(spark) as tmp:
+            both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = tmp.stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+            large = tmp.stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large")
+            low = tmp.stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            e = stored(small, "edges")
+        now = marks(e)
+        if now == was:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        was = now
+    raise RuntimeError(f"components haven't settled in {most} rounds")
 
 
 def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
@@ -193,57 +228,82 @@ def _labelled(ids: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, k=k, percent=percent), "a long, b long"), "links")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, k=k, percent=percent), "a long, b long").distinct()
+
+
+def _grid(members: DataFrame, comps: DataFrame, sigs: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison inside buckets of several components: outsiders and members, each
+    copied to the blocks that it meets."""
+    named = tmp.stored(_labelled(members.select("id", "bucket", "band"), comps), "named")
+    sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = tmp.stored(mixed.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("rs"), F.ceil((F.col("n") - F.col("top.c")) / OUTSIDERS).cast("int").alias("ls"), "n"), "mixed")
+    groups = max(1, (mixed.agg(F.sum("n")).first()[0] or 0) // ROWS_A_GROUP)
+    inside = named.join(mixed.drop("n"), "bucket").join(sigs, "id").withColumn("outside", F.col("comp") != F.col("top"))
+    # Buckets of one block by one block are handled together, so many to a group.
+    inside = tmp.stored(inside.withColumn("g", F.when((F.col("ls") == 1) & (F.col("rs") == 1), F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket"))), "inside")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    alone = ((F.col("ls") == 1) & (F.col("rs") == 1)).alias("alone")
+    columns = ("bucket", "band", "id", "comp", "outside", "sig")
+    left = inside.where("outside").select(alone, "g", block("ls").alias("i"), each("rs").alias("j"), *columns)
+    right = inside.select(alone, "g", each("ls").alias("i"), block("rs").alias("j"), *columns)
+    return left, right
 
 
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(docs.mapInArrow(partial(_sets, k=k), "doc_id long, n_shingles long, digest binary, sig binary"), "sets")
-    full = sets.where("doc_id is not null and digest is not null").select("doc_id", "digest")
-    # Equal sets are one class. Rows that share a doc_id tie their classes together; where it stands
-    # for several classes, each of its texts takes part under that one id.
-    own = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    tied = full.join(own, "digest").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    twice = stored(tied.where("a != b").select("a", "b").distinct(), "tied")
-    sigs = stored(own.join(sets.where("digest is not null").select(F.col("doc_id").alias("rep"), "digest", "sig"), ["rep", "digest"]).select(F.col("rep").alias("id"), "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "signatures")
-    buckets = sigs.mapInArrow(_bands, "bucket long, band int, id long")
-    centre = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
-    members = stored(buckets.join(centre, "bucket").select("bucket", "band", "id", "a").distinct(), "buckets")
-    near = members.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi").withColumn("h", F.xxhash64("text"))
-    texts = stored(texts.dropDuplicates(["id", "h"]).drop("h"), "texts")
-    sigs = stored(sigs.join(near, "id", "left_semi"), "sigs")
-
-    star = members.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    sig_a, sig_b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    star = stored(star.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long"), "stars")
-    links = _confirmed(star, texts, k, percent)
-    comps = components(links)
-
-    # Buckets that still hold two components or more: their members outside the largest one
-    # against all others, in blocks.
-    named = _labelled(members.select("id", "bucket", "band"), comps)
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    inside = stored(named.join(mixed.select("bucket", "n"), "bucket"), "mixed")
-    sizes = inside.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp"))["comp"].alias("top"))
-    inside = inside.join(most, "bucket").join(sigs.join(texts, "id"), "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    grid = lambda name: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(name)
-    columns = ("band", "id", "comp", "sig", "text")
-    left = inside.where("comp != top").select("bucket", F.col("block").alias("i"), grid("j"), *columns)
-    right = inside.select(F.col("bucket").alias("bucket"), grid("i"), F.col("block").alias("j"), *(F.col(c).alias(c) for c in columns))
-    more = stored(left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInArrow(lambda a, b: _blocks(a, b, k, percent), "a long, b long").distinct(), "links")
-    comps = components(links.union(more).union(twice.select("a", "b")))
-
-    rep = _labelled(own.select(F.col("rep").alias("id"), "digest"), comps).select("digest", F.col("comp").alias("component"))
-    return sets.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with all its columns."""
-    gone = classes(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with Scratch(spark) as tmp:
+        sets = tmp.stored(docs.mapInArrow(partial(_sets, k=k), "doc_id long, n_shingles long, digest binary, sig binary"), "sets")
+        full = sets.where("doc_id is not null and digest is not null").select("doc_id", "digest")
+        # Equal sets are one class. Rows that share a doc_id tie their classes together; where it stands
+        # for several classes, each of its texts takes part under that one id.
+        own = tmp.stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "own")
+        several = tmp.stored(full.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x != y").select("doc_id"), "several")
+        tied = full.join(several, "doc_id", "left_semi").join(own, "digest").groupBy("doc_id").agg(F.min("rep").alias("least"), F.collect_set("rep").alias("reps"))
+        links = tmp.stored(tied.select(F.col("least").alias("a"), F.explode("reps").alias("b")).where("a != b").distinct(), "links")
+        sigs = own.join(sets.where("digest is not null").select(F.col("doc_id").alias("rep"), "digest", "sig"), ["rep", "digest"])
+        sigs = tmp.stored(sigs.select(F.col("rep").alias("id"), "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "signatures")
+        buckets = sigs.mapInArrow(_bands, "bucket long, band int, id long")
+        centre = tmp.stored(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a"), "centres")
+        members = tmp.stored(buckets.join(centre, "bucket").select("bucket", "band", "id", "a").distinct(), "buckets")
+        near = tmp.stored(members.select("id").distinct(), "near")
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(near, "id", "left_semi").withColumn("h", F.xxhash64("text"))
+        texts = tmp.stored(texts.dropDuplicates(["id", "h"]).drop("h"), "texts")
+        sigs = tmp.stored(sigs.join(near, "id", "left_semi"), "sigs")
+
+        star = members.where("id != a").select("a", F.col("id").alias("b")).distinct()
+        sig_a, sig_b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        star = tmp.stored(star.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long").distinct(), "stars")
+        links = tmp.stored(links.union(_confirmed(star, texts, k, percent)), "links")
+        comps = components(links)
+
+        # Buckets that still hold several components: outsiders against all members, until no pair is held back.
+        short, first, more = tmp.stored(sigs.mapInArrow(_short, "id long, sig binary"), "short"), FIRST, True
+        while more:
+            left, right = _grid(members, comps, short, tmp)
+            key = ("alone", "g", "i", "j")
+            found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_asked(first), "a long, b long, more boolean")
+            found = tmp.stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
+            links = tmp.stored(links.union(_confirmed(found.select("a", "b"), texts, k, percent)), "links")
+            comps = components(links)
+            more, first = not found.where("more").isEmpty(), first * MORE
+
+        rep = tmp.stored(_labelled(own.select(F.col("rep").alias("id"), "digest"), comps).select("digest", F.col("comp").alias("component")), "labels")
+        return stored(sets.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "classes")
+
+
+def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT, also: DataFrame | None = None) -> DataFrame:
+    """One document of each component, the one with the least doc_id, with all its columns.
+
+    ``also``: further texts (doc_id, text) that stand for these documents; near copies of them link too.
+    """
+    texts = docs.select("doc_id", "text")
+    out = classes(texts if also is None else texts.union(also.select("doc_id", "text")), k, percent)
+    gone = unused("gone", docs)
+    out = out.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def op10_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,11 +122,12 @@ def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names, most rejections per second first, by a sample of about ``sample_rows`` documents.
 
-    The sample takes texts by a hash of their doc_id. Ties go by name. The figures of a task are
+    The sample takes texts by a hash of their doc_id and text, so that null and repeated doc_ids don't
+    enlarge it. Ties go by name. The figures of a task are
     sums over its sample, so the driver receives a few numbers a task at most.
     """
     rows = docs.count()
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(1, rows)) + 1)).select("text")
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(1, rows)) + 1)).select("text")
     seen = part.mapInArrow(_trial, "rule string, s double, hits long, n long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits")).collect()
     rate = {r["rule"]: r["hits"] / max(r["s"], 1e-9) for r in seen}
     return sorted(RULES, key=lambda x: (-rate.get(x, 0.0), x))

@@ -351,3 +351,127 @@ def test_packing_ids_of_decomposed_letters():
 
     for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
         assert all(unicodedata.normalize("NFC", c + chr(m)) == c + unicodedata.normalize("NFC", chr(m)) for m in range(0x370, 0x11000) if not 0xD800 <= m < 0xE000)
+
+
+def test_one_outsider_in_a_large_bucket(spark):
+    """A bucket of 20,000 members with one outsider: rows stay linear, and the outsider's link is found."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(1 << 30, size=2 * min_max_hash.PERMUTATIONS, dtype=np.int64).astype(np.uint32)
+    members = spark.createDataFrame([(i, 7, 0) for i in range(20_000)], "id long, bucket long, band int")
+    comps = spark.createDataFrame([(i, 0) for i in range(1, 19_999)], "id long, comp long")  # the last one stands alone
+    short = spark.range(20_000).select("id", min_max_hash.F.lit(bytearray(sig.astype(np.uint16).tobytes())).alias("sig"))
+    with min_max_hash.Scratch(spark) as tmp:
+        left, right = min_max_hash._grid(members, comps, short, tmp)
+        assert (left.count(), right.count()) == (-(-20_000 // min_max_hash.MEMBERS), 20_000)
+        key = ("alone", "g", "i", "j")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: min_max_hash._blocks(a, b, 8), "a long, b long, more boolean").collect()
+    assert 0 < len(found) <= 3 * 8 and all(r["b"] == 19_999 and r["more"] for r in found)
+
+
+def test_blocks_are_asked_again(spark, monkeypatch):
+    """Two groups in common buckets whose only link is between two members that agree less than others do."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    out = []
+    for i in range(40):  # all alike at about 0.7: many candidates, few links
+        own = base[:]
+        for j in rng.sample(range(60), 3):
+            own[j] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    monkeypatch.setattr(min_max_hash, "FIRST", 1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in min_max_hash.classes(df, 4).collect()} == brute_components(out, 4)
+
+
+def test_components_that_dont_settle_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert {r["comp"] for r in min_max_hash.components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        min_max_hash.components(path, most=2)
+
+
+def test_clashing_names(spark, docs, texts):
+    """Columns named like internal ones are kept as they are."""
+    names = ["_gone", "gone", "_runs", "cut", "own", "of", "_removed", "removed", "copy", "bucket", "id"]
+    odd = docs.withColumns({n: language_id.F.lit(n) for n in names})
+    for f in (lambda d: min_max_hash.keep(d, 5), lambda d: line_dedup.dedup(d).drop("n_removed_lines"), quality_rules.keep):
+        plain, got = f(docs), f(odd)
+        assert got.columns == odd.columns and all(r[n] == n for r in got.collect() for n in names)
+        assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == sorted((r["doc_id"], r["text"] or "") for r in plain.collect())
+
+
+def brute_pipeline_near(ids, own, whole):
+    """The documents that stay: the least of each component, linked by their own or their whole texts."""
+    sets = []
+    for i in ids:
+        each = []
+        for t in {own[i], whole[i]}:
+            w = (t or "").lower().split()
+            each.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+        sets.append(each)
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if any(a and b and 100 * len(a & b) >= 80 * len(a | b) for a in sets[i] for b in sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {ids[i] for i in range(len(ids)) if find(i) == i}
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Copies leave one document, cut near copies too; nothing that packing gets is empty."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    line = lambda n: " ".join(f"{'abcdefgh'[rng.randrange(8)]}x{rng.randrange(3000)}" for _ in range(n))
+    text = lambda: "\n".join(line(30) for _ in range(8))
+    base, passage = text(), "\n".join([line(30), line(30)])
+    near = base.split("\n")
+    for k in (3, 5):  # the rest is cut, but for three lines
+        near[k] = line(2) + " " + near[k].split(" ", 2)[2]
+    item = f"{line(20)}. {line(6)}."
+    rows = [text() for _ in range(20)] + [base, base, "\n".join(near), base.replace("\n", " \n"), f"{text()}\n{passage}", f"{passage}\n{text()}", passage, f"{text()}\n{item}", "short", None, "", "x " * 200]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage, seen = dict(corpus_pipeline.STAGES), {}
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name in list(stage)[:-1]:
+        now = stage[name](spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert sorted(now.columns) == sorted(docs.columns)
+        seen[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    good = {i: t for i, t in enumerate(rows) if quality_rules.verdict(quality_rules.Doc((t or "").encode()), list(quality_rules.RULES))}
+    assert seen["quality_rules"] == good and set(good) == set(range(28))
+    assert set(seen["line_dedup"]) == set(range(28)) - {21, 26}
+    assert seen["line_dedup"][25] == rows[25].split("\n", 2)[2] and seen["line_dedup"][22] == "\n".join(near[3:6])
+    ids = sorted(seen["line_dedup"])
+    assert set(seen["near_dedup"]) == brute_pipeline_near(ids, seen["line_dedup"], rows)
+    assert 20 in seen["near_dedup"] and not {21, 22, 23, 26} & set(seen["near_dedup"])
+    assert set(seen["decontamination"]) == set(seen["near_dedup"]) - {27}
+    packed = stage["packing"](spark, now, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(seen["decontamination"]) and min(r["doc_tokens"] for r in packed) > 50
+    for name, f in list(stage.items()):
+        none = f(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name != "packing":
+            odd = f(spark, docs.where("doc_id > 26").withColumns({c: corpus_pipeline.F.lit(c) for c in ("removed", "own", "x")}), str(tmp_path))
+            assert {"removed", "own", "x"} <= set(odd.columns) and all(r["own"] == "own" for r in odd.collect())
+
+
+def test_pipeline_leaves_no_copies(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    packed = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(corpus_pipeline.F.max("doc_tokens").alias("n")).collect()
+    assert min(r["n"] for r in packed) > 50
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(r["doc_id"] for r in packed)
+    assert brute_pipeline_near(ids, texts, texts) == set(ids)
