@@ -2,16 +2,21 @@
 
 ``STAGES`` lists (name, function) in order. A function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and further columns of ``docs`` whatever their names.
+
+Defined results: null and empty texts fail the quality rules; a stage that is given them all the same
+keeps them, but for line dedup, see there. Rows repeated with their doc_id are one document, and stay
+or go together. Empty tables give empty tables; without benchmark items nothing is decontaminated.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from schemaloom.llm import decontaminate, line_dedup, min_max_hash, packing, quality_rules
-from schemaloom.llm.common import stored
+from schemaloom.llm.common import WORD, stored, unused
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,16 +27,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: later repeated runs of lines are cut from the texts; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    out = line_dedup.dedup(docs).drop("_removed")
+    """Operator 2: later repeated runs of lines are cut from the texts; n_chars follows the text.
+
+    A text of which the cut leaves fewer words than the quality rules ask for, as of a whole copy, goes
+    with its row. A text that isn't cut stays, however short it is.
+    """
+    removed = unused("removed", docs)
+    out = line_dedup.dedup(docs, removed=removed)
+    out = out.where((F.col(removed) == 0) | (F.regexp_count("text", F.lit(WORD)) >= quality_rules.MIN_WORDS)).drop(removed)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, on five-word shingles: one document of each group of near duplicates."""
-    return min_max_hash.keep(docs, k=5)
+    """Operator 10, on five-word shingles: one document of each group of near duplicates.
+
+    A near copy that has lost lines to line dedup is no longer like its original, so documents also stand
+    for their text in ``documents`` where theirs is what the cut left of it: all its lines are lines of that text.
+    """
+    own = docs.select("doc_id", F.col("text").alias("own"))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("x")).join(whole.select("doc_id", F.xxhash64("text").alias("y")), "doc_id").where("x != y").select("doc_id").distinct()
+    cut = whole.join(ids, "doc_id", "left_semi").join(own, "doc_id")
+    split = lambda c: F.split(c, "\n")
+    cut = cut.where((F.size(split("own")) < F.size(split("text"))) & (F.size(F.array_except(split("own"), split("text"))) == 0))
+    return min_max_hash.keep(docs, k=5, also=cut.select("doc_id", "text"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
