@@ -88,7 +88,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed
     own, of, cut = (unused(c, docs) for c in ("own", "of", "cut"))
     runs = repeated_runs(docs, min_words).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias(cut))
     runs = runs.select(F.col("doc_id").alias(own), F.col("copy").alias(of), cut)
-    both = docs.join(runs, (docs["doc_id"] == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
+    # Always a merge join: the runs grow with the documents, so the plan is the same at every size.
+    both = docs.join(runs.hint("merge"), (docs["doc_id"] == F.col(own)) & (F.xxhash64(docs["text"]) == F.col(of)), "left")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda _, i: ~F.exists(cut, lambda r: i.between(r["first"], r["last"])))
     gone = F.when(F.col(cut).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
