@@ -12,13 +12,14 @@ Large groups stay linear:
 * a bucket first links its members to its least member (a star), not to each other;
 * the verified stars give components. Where a bucket still holds several, its members outside the
   largest one (the outsiders) are compared with all members: blocks of ``OUTSIDERS`` of them meet
-  blocks of ``MEMBERS``, with numbers and signatures only, so a bucket of n members with r outsiders
-  moves about n * r / OUTSIDERS + n short rows;
-* a block names, for two components, the ``FIRST`` pairs at most whose signatures agree best, of
-  those that agree in ``ESTIMATE`` of their values (six standard deviations below the threshold), and
-  says whether it held pairs back. The texts of named pairs only are fetched and compared. While any
-  block holds pairs back between components that are still apart, it is asked again for many more;
-  so no pair is dropped, and components that do touch cost a few comparisons.
+  blocks of ``MEMBERS``, so a bucket of n members with r outsiders moves about n * r / OUTSIDERS + n
+  rows, and one with a single outsider n;
+* in a first pass these rows are numbers and signatures. A block names the ``FIRST`` pairs at most of
+  each component whose signatures agree best, of those that agree in ``ESTIMATE`` of their values (six
+  standard deviations below the threshold), and says whether it held pairs back. Only the texts of
+  named pairs are fetched and compared;
+* a second pass, over the buckets that held pairs back and still hold several components, carries the
+  full sets too. Its blocks compare all pairs that may be links and are apart, and give out links.
 
 A link that can change a component is thus lost only where banding misses it: with 32 bands of 4
 values a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
@@ -54,8 +55,8 @@ PERCENT = 80
 #: Agreeing signature values, of 2 * PERMUTATIONS, from which a pair is verified.
 ESTIMATE = int(2 * PERMUTATIONS * (PERCENT / 100 - 6 * (0.16 / (2 * PERMUTATIONS)) ** 0.5))
 OUTSIDERS, MEMBERS = 512, 8192
-#: Pairs that a block names for two components at first, and how many times more it does each time it is asked again.
-FIRST, MORE = 8, 16
+#: Pairs that a block names for a component in the first pass.
+FIRST = 2
 #: Rows of small buckets that are handled together.
 ROWS_A_GROUP = 4096
 
@@ -145,39 +146,80 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "sig"])
 
 
-def _bucket(left: dict[str, np.ndarray], right: dict[str, np.ndarray], first: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of outsiders (left) and members (right) of one bucket that may be links, the ``first`` best
-    for any two components, and whether there were more.
+def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Short signatures and full sets of texts."""
+    for batch in small_batches(batches):
+        sets = [shingles(t, k) for t in utf8(batch.column("text"))]
+        sigs = [signature(s).astype(np.uint32).astype(np.uint16).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "set"])
+
+
+def _near(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each outsider (left) of a bucket its place, those of the members (right) that it may be linked
+    with, and in how many values they agree, best first.
 
     A pair that shares several buckets is looked at in the bucket of its first common band only, and
     a pair of outsiders from its smaller id only.
     """
-    pairs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     band, ids, comps, sigs = int(left["band"][0]), right["id"], right["comp"], right["sig"]
-    for x, c, p in zip(left["id"].tolist(), left["comp"].tolist(), left["sig"]):
+    for i, (x, c, p) in enumerate(zip(left["id"].tolist(), left["comp"].tolist(), left["sig"])):
         at = np.flatnonzero((comps != c) & (~right["outside"] | (ids > x)))
         same = sigs[at] == p
         agree = np.count_nonzero(same, axis=1)
         near = np.flatnonzero(agree >= ESTIMATE)
         near = near[same[near].reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-        for j in near.tolist():
-            y, d = int(ids[at[j]]), int(comps[at[j]])
-            pairs.setdefault((min(c, d), max(c, d)), []).append((-int(agree[j]), min(x, y), max(x, y)))
-        if len(pairs) and max(map(len, pairs.values())) > 64 * first:  # bounded, whatever the block holds
-            pairs = {k: sorted(set(v))[: first + 1] for k, v in pairs.items()}
-    best = {k: sorted(set(v)) for k, v in pairs.items()}
-    return [(a, b) for v in best.values() for _, a, b in v[:first]], any(len(v) > first for v in best.values())
-
-
-def _blocks(left: pa.Table, right: pa.Table, first: int) -> pa.Table:
-    """One block of outsiders against one of members, or all of those of some small buckets."""
-    out: list[tuple[int, int, bool]] = []
+        near = near[np.argsort(-agree[near], kind="stable")]
+        yield i, at[near], agree[near]
+
+
+def _named(left: dict, right: dict, first: int) -> tuple[list[tuple[int, int]], bool]:
+    """The ``first`` best pairs of each outsider's component, and whether there were more."""
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    more = False
+    for i, at, agree in _near(left, right):
+        own = best.setdefault(int(left["comp"][i]), [])
+        own += zip((-agree[: first + 1]).tolist(), [int(left["id"][i])] * len(at), right["id"][at[: first + 1]].tolist())
+        more |= len(own) > first
+        own.sort()
+        del own[first:]
+    return [(min(x, y), max(x, y)) for own in best.values() for _, x, y in own], more
+
+
+def _linked(left: dict, right: dict, percent: int) -> list[tuple[int, int]]:
+    """Links between different components, by full sets; what is joined by one isn't compared again."""
+    out, joined = [], {}
+
+    def root(i: int) -> int:
+        while joined.get(i, i) != i:
+            i = joined[i]
+        return i
+
+    for i, at, _ in _near(left, right):
+        x, p = int(left["id"][i]), np.frombuffer(left["set"][i], np.uint64)
+        for j in at.tolist():
+            one, other = root(int(left["comp"][i])), root(int(right["comp"][j]))
+            q = np.frombuffer(right["set"][j], np.uint64)
+            if one == other or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+                continue
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * both >= percent * (len(p) + len(q) - both):
+                joined[max(one, other)] = min(one, other)
+                out.append((min(x, int(right["id"][j])), max(x, int(right["id"][j]))))
+    return out
+
+
+def _blocks(left: pa.Table, right: pa.Table, first: int, percent: int) -> pa.Table:
+    """One block of outsiders against one of members, or all of those of some small buckets. With sets:
+    links; without them: the best pairs."""
+    out: list[tuple[int, int, int, bool]] = []
     if left.num_rows and right.num_rows:
 
-        def by_bucket(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        def by_bucket(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
             t = t.sort_by("bucket").combine_chunks()
             own = {c: t.column(c).to_numpy() for c in ("bucket", "band", "id", "comp", "outside")}
             own["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS)
+            if "set" in t.column_names:
+                own["set"] = np.array([*t.column("set").to_pylist(), None], object)[:-1]
             return own, *np.unique(own["bucket"], return_index=True)
 
         x, names, starts = by_bucket(left)
@@ -187,13 +229,15 @@ def _blocks(left: pa.Table, right: pa.Table, first: int) -> pa.Table:
             if j == len(others) or others[j] != name:
                 continue
             a, b = (slice(at[i], at[i + 1] if i + 1 < len(at) else None) for at, i in ((starts, k), (begins, j)))
-            found, more = _bucket({c: v[a] for c, v in x.items()}, {c: v[b] for c, v in y.items()}, first)
-            out += [(*p, more) for p in found]
-    return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64()), "more": pa.array([p[2] for p in out], pa.bool_())})
+            p, q = {c: v[a] for c, v in x.items()}, {c: v[b] for c, v in y.items()}
+            found, more = (_linked(p, q, percent), False) if "set" in p else _named(p, q, first)
+            out += [(*pair, int(name), more) for pair in found]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.table([pa.array([p[i] for p in out], t) for i, t in enumerate(kinds)], ["a", "b", "bucket", "more"])
 
 
-def _asked(first: int):
-    return lambda left, right: _blocks(left, right, first)
+def _asked(first: int, percent: int):
+    return lambda left, right: _blocks(left, right, first, percent)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -232,7 +276,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _grid(members: DataFrame, comps: DataFrame, sigs: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the comparison inside buckets of several components: outsiders and members, each
+    """sigs: id, sig and, for the second pass, set. Both sides of the comparison inside buckets of several components: outsiders and members, each
     copied to the blocks that it meets."""
     named = tmp.stored(_labelled(members.select("id", "bucket", "band"), comps), "named")
     sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -245,12 +289,24 @@ def _grid(members: DataFrame, comps: DataFrame, sigs: DataFrame, tmp: Scratch) -
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     alone = ((F.col("ls") == 1) & (F.col("rs") == 1)).alias("alone")
-    columns = ("bucket", "band", "id", "comp", "outside", "sig")
+    columns = ("bucket", "band", "id", "comp", "outside", *sigs.drop("id").columns)
     left = inside.where("outside").select(alone, "g", block("ls").alias("i"), each("rs").alias("j"), *columns)
     right = inside.select(alone, "g", each("ls").alias("i"), block("rs").alias("j"), *columns)
     return left, right
 
 
+def _compared(members: DataFrame, comps: DataFrame, sigs: DataFrame, tmp: Scratch, percent: int) -> DataFrame:
+    left, right = _grid(members, comps, sigs, tmp)
+    key = ("alone", "g", "i", "j")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_asked(FIRST, percent), "a long, b long, bucket long, more boolean")
+    return tmp.stored(found, "pairs")
+
+
+def _joined(links: DataFrame, new: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the components that they give."""
+    return (links, comps) if new.isEmpty() else (both := links.union(new), components(both))
+
+
 def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -279,16 +335,16 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
         links = tmp.stored(links.union(_confirmed(star, texts, k, percent)), "links")
         comps = components(links)
 
-        # Buckets that still hold several components: outsiders against all members, until no pair is held back.
-        short, first, more = tmp.stored(sigs.mapInArrow(_short, "id long, sig binary"), "short"), FIRST, True
-        while more:
-            left, right = _grid(members, comps, short, tmp)
-            key = ("alone", "g", "i", "j")
-            found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_asked(first), "a long, b long, more boolean")
-            found = tmp.stored(found.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "pairs")
-            links = tmp.stored(links.union(_confirmed(found.select("a", "b"), texts, k, percent)), "links")
-            comps = components(links)
-            more, first = not found.where("more").isEmpty(), first * MORE
+        # Buckets that still hold several components: first by signatures, then by sets where pairs were held back.
+        short = sigs.mapInArrow(_short, "id long, sig binary")
+        found = _compared(members, comps, short, tmp, percent)
+        new = tmp.stored(_confirmed(found.select("a", "b").distinct(), texts, k, percent), "links")
+        links, comps = _joined(links, new, comps)
+        members = tmp.stored(members.join(found.where("more").select("bucket").distinct(), "bucket", "left_semi"), "held")
+        if not members.isEmpty():
+            some = texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(partial(_full, k=k), "id long, sig binary, set binary")
+            found = _compared(members, comps, some, tmp, percent)
+            links, comps = _joined(links, found.select("a", "b"), comps)
 
         rep = tmp.stored(_labelled(own.select(F.col("rep").alias("id"), "digest"), comps).select("digest", F.col("comp").alias("component")), "labels")
         return stored(sets.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "classes")

@@ -364,8 +364,8 @@ def test_one_outsider_in_a_large_bucket(spark):
         left, right = min_max_hash._grid(members, comps, short, tmp)
         assert (left.count(), right.count()) == (-(-20_000 // min_max_hash.MEMBERS), 20_000)
         key = ("alone", "g", "i", "j")
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: min_max_hash._blocks(a, b, 8), "a long, b long, more boolean").collect()
-    assert 0 < len(found) <= 3 * 8 and all(r["b"] == 19_999 and r["more"] for r in found)
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(min_max_hash._asked(2, 80), "a long, b long, bucket long, more boolean").collect()
+    assert 0 < len(found) <= 3 * 2 and all(r["b"] == 19_999 and r["more"] for r in found)
 
 
 def test_blocks_are_asked_again(spark, monkeypatch):
