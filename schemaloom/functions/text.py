@@ -34,11 +34,16 @@ def char_class(value: Column) -> Column:
     return F.when(F.count(value) == 0, "mixed").when(fits(r"^\p{L}+$", "[ -]"), "alpha").when(fits(r"^\p{Nd}+$", "[^\\s\\S]"), "digit").when(fits(r"^[\p{L}\p{Nd}]+$", " "), "alnum").otherwise("mixed")
 
 
-def canonical(name: str, kind: str) -> Column:
-    """A cell as text that doesn't depend on the engine: doubles with six decimals, timestamps in full."""
-    c = F.col(f"`{name}`")
+def canonical(c: Column, kind: str) -> Column:
+    """A cell as text that doesn't depend on the engine.
+
+    Doubles have six decimals if that says all; others (beyond 1e12, or with more decimals) keep the
+    shortest text that gives the number again, so different doubles have different texts. NaN is the
+    null token it spells; infinities are values.
+    """
     if kind in ("double", "float"):
-        return c.cast("decimal(18,6)").cast("string")
+        short = (F.abs(c) < 1e12) & (F.round(c, 6) == c)
+        return F.when(short, F.when(short, c).cast("decimal(18,6)").cast("string")).otherwise(c.cast("string"))
     if kind.startswith("timestamp"):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return c.cast("string")

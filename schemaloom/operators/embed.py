@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from .graph import signatures
 
 
+#: Distinct match patterns of the rules that the driver takes.
+MOST_SIGNATURES = 100_000
+
+
 def _rows(a: np.ndarray) -> np.ndarray:
     s = np.abs(a).sum(axis=1, keepdims=True)
     return np.divide(a, s, out=np.zeros_like(a), where=s > 0)
@@ -50,6 +54,11 @@ def coordinate_descent(y: np.ndarray, mult: np.ndarray, w: np.ndarray, h: np.nda
     return w, h, False
 
 
+def frobenius_error(y: np.ndarray, mult: np.ndarray, w: np.ndarray, h: np.ndarray) -> float:
+    """The norm of y - w h', columns weighted by ``mult``."""
+    return float(np.sqrt((((y - w @ h.T) ** 2) * mult).sum()))
+
+
 def embed(p: np.ndarray, features: list[tuple[list[int], int]], hops: int = 5, alpha: float = 0.5, dims: int | None = None, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward vectors of each node. ``features``: (attributes, multiplicity) per signature."""
     n = len(p)
@@ -73,11 +82,18 @@ def embed(p: np.ndarray, features: list[tuple[list[int], int]], hops: int = 5, a
 
 
 def embed_graph(p: DataFrame, feature: DataFrame, n: int, **options) -> tuple[np.ndarray, np.ndarray]:
-    """From transition (src, dst, p) and feature (attr_id, row_gid); both results are small."""
+    """From transition (src, dst, p) and feature (attr_id, row_gid).
+
+    The driver receives the edges, at most n * n, and the signatures, of which more than ``MOST_SIGNATURES``
+    are an error.
+    """
     m = np.zeros((n, n))
     for r in p.collect():
         m[r["src"], r["dst"]] = r["p"]
-    return embed(m, [(r["sig"], r["mult"]) for r in signatures(feature).orderBy("sig").collect()], **options)
+    own = signatures(feature).orderBy("sig").limit(MOST_SIGNATURES + 1).collect()
+    if len(own) > MOST_SIGNATURES:
+        raise ValueError(f"more than {MOST_SIGNATURES} signatures: the rules match in too many combinations")
+    return embed(m, [(r["sig"], r["mult"]) for r in own], **options)
 
 
 def similarity(forward: np.ndarray, backward: np.ndarray, n_source: int) -> np.ndarray:

@@ -6,21 +6,23 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def edges(fds: DataFrame | None = None, inds: DataFrame | None = None, bridge: DataFrame | None = None, positional: bool = True) -> DataFrame:
     """src, dst, kind, weight: FDs point from left to right, INDs and bridges both ways; repeats add up.
+    Without inputs there are no edges.
 
     ``positional`` pairs the sides of a composite IND by place; otherwise all with all.
     """
-    parts = []
+    parts = [SparkSession.active().createDataFrame([], "src int, dst int, kind string")]
+    every = lambda d: d.select(F.explode("lhs").alias("src"), "rhs").select("src", F.explode("rhs").alias("dst"))
     if fds is not None:
-        parts.append(fds.select(F.explode("lhs").alias("src"), "rhs").select("src", F.explode("rhs").alias("dst"), F.lit("fd").alias("kind")))
+        parts.append(every(fds).withColumn("kind", F.lit("fd")))
     if inds is not None:
-        one = inds.select(F.explode(F.arrays_zip("lhs", "rhs")).alias("z")).select(F.col("z.lhs").alias("src"), F.col("z.rhs").alias("dst")) if positional else inds.select(F.explode("lhs").alias("src"), "rhs").select("src", F.explode("rhs").alias("dst"))
+        one = inds.select(F.inline(F.arrays_zip("lhs", "rhs"))).toDF("src", "dst") if positional else every(inds)
         parts.append(one.union(one.select("dst", "src")).withColumn("kind", F.lit("ind")))
     if bridge is not None:
         both = bridge.select(F.col("t_attr").alias("src"), F.col("s_attr").alias("dst"))
@@ -48,10 +50,15 @@ def signatures(feature: DataFrame) -> DataFrame:
     return feature.distinct().groupBy("row_gid").agg(F.sort_array(F.collect_list("attr_id")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def log_affinity(forward: DataFrame, n: int) -> DataFrame:
-    """Column-normalised values to log2(n * z + 1)."""
+#: Nodes from which on affinities aren't normalised.
+MANY_NODES = 1_000_000
+
+
+def log_affinity(forward: DataFrame, n: int, many: int = MANY_NODES) -> DataFrame:
+    """log2(n * z + 1), of column-normalised values, or of the values themselves from ``many`` on."""
     total = F.sum("value").over(W.partitionBy("col"))
-    return forward.select("attr_id", "col", F.log2(n * F.when(total == 0, 0.0).otherwise(F.col("value") / total) + 1).alias("value"))
+    z = F.when(total == 0, 0.0).otherwise(F.col("value") / total) if n < many else F.col("value")
+    return forward.select("attr_id", "col", F.log2(n * z + 1).alias("value"))
 
 
 def gram(z: DataFrame) -> DataFrame:
@@ -60,14 +67,6 @@ def gram(z: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.col") == F.col("b.col")) & (F.col("a.attr_id") <= F.col("b.attr_id"))).groupBy(F.col("a.attr_id").alias("i"), F.col("b.attr_id").alias("j")).agg(F.sum(F.col("a.mult") * F.col("a.value") * F.col("b.value")).alias("g"))
 
 
-def cosine(left: DataFrame, right: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Cosine of every left row with every right row of a bounded side; a zero vector gives 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    a, b = left.select(F.col("id").alias("a"), F.col(vector).alias("x"), F.sqrt(dot(vector, vector)).alias("nx")), right.select(F.col("id").alias("b"), F.col(vector).alias("y"), F.sqrt(dot(vector, vector)).alias("ny"))
-    scale = F.col("nx") * F.col("ny")
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.when(scale == 0, 0.0).otherwise(dot("x", "y") / scale).alias("cosine"))
-
-
 #: Rows of a shard and queries of a block: a task holds one of each. Shards, at least.
 SHARD, BLOCK, SHARDS = 1 << 16, 1 << 14, 16
 

@@ -1,9 +1,16 @@
-"""Column profiles. The value domain (value and count of each column) is the one aggregate that
-scans a table; everything else comes from it, and its partial sums keep hot values small."""
+"""Column profiles from the value domain: each column's distinct values with their counts.
+
+The domain is built from typed values (whole numbers, doubles, texts), so that its partial sums are
+hash aggregates, hot values stay small, and only distinct values are ever turned into text. Quantiles
+are exact without a sort of a whole column: a first pass brackets them by mergeable sketches, and only
+the values inside a bracket are ranked, from the number of cells below it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,11 +18,23 @@ from ..functions.text import canonical, char_class, dtype_vote, is_null_token, n
 
 #: Distinct values up to which a column counts as exact, and the size of the sample beyond.
 EXACT_UNIQUE, SAMPLE_VALUES = 500, 200
+QUANTILES = (0.25, 0.5, 0.75)
+#: Accuracy of the sketches (rank error 1 / ACCURACY) and half the width of a bracket, ten times that error.
+ACCURACY, BRACKET = 10_000, 1e-3
+
+
+def kind_of(type_name: str) -> str | None:
+    """whole, double or text; None for columns that aren't profiled."""
+    if type_name.startswith(("array", "map", "struct", "binary", "variant")):
+        return None
+    if type_name in ("tinyint", "smallint", "int", "bigint"):
+        return "whole"
+    return "double" if type_name in ("double", "float") else "text"
 
 
 def cells(df: DataFrame, table: str) -> DataFrame:
-    """tbl, col, raw: a row per cell."""
-    named = df.select(*(canonical(n, t).alias(n) for n, t in df.dtypes if not t.startswith(("array", "map", "struct"))))
+    """tbl, col, raw: a row per cell, as text."""
+    named = df.select(*(canonical(F.col(f"`{n}`"), t).alias(n) for n, t in df.dtypes if kind_of(t)))
     return named.unpivot([], named.columns, "col", "raw").select(F.lit(table).alias("tbl"), "col", "raw")
 
 
@@ -23,31 +42,83 @@ def value_domain(cell: DataFrame) -> DataFrame:
     return cell.groupBy("tbl", "col", "raw").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def profile(cell: DataFrame, exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VALUES) -> DataFrame:
-    """One row per column with counts, inferred type, quantiles, string statistics and values.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-    Distinct counts are exact, so that approximate mode only limits the values kept: all of them
-    up to ``exact``, else the ``sample`` first by md5.
-    """
-    domain = value_domain(cell).withColumn("null", is_null_token(F.col("raw"))).withColumn("v", F.when(~F.col("null"), F.trim("raw")))
-    ranked = domain.groupBy("tbl", "col", "v").agg(F.sum("cnt").alias("cnt"))
-    x = number(F.col("v"))
-    base = ranked.groupBy("tbl", "col").agg(
+
+def _domain(df: DataFrame, table: str) -> DataFrame:
+    """tbl, col, kind, v (text, null for null tokens), x (number), cnt."""
+    parts = []
+    for kind, cast in (("whole", "bigint"), ("double", "double"), ("text", "string")):
+        own = [(n, t) for n, t in df.dtypes if kind_of(t) == kind]
+        if own:
+            value = lambda n, t: canonical(F.col(f"`{n}`"), t) if kind == "text" else F.col(f"`{n}`").cast(cast)  # noqa: E731, B023
+            narrow = df.select(*(value(n, t).alias(n) for n, t in own))
+            each = narrow.unpivot([], narrow.columns, "col", "raw").groupBy("col", "raw").agg(F.count(F.lit(1)).alias("cnt"))
+            text = canonical(F.col("raw"), cast)
+            v = F.when(~is_null_token(text), F.trim(text))
+            x = number(v) if kind == "text" else F.when(v.isNotNull(), F.col("raw").cast("double"))
+            each = each.select("col", F.lit(kind).alias("kind"), v.alias("v"), x.alias("x"), "cnt")
+            parts.append(each.groupBy("col", "kind", "v").agg(F.first("x").alias("x"), F.sum("cnt").alias("cnt")) if kind == "text" else each)
+    return _union(parts).withColumn("tbl", F.lit(table))
+
+
+def _edges(x: Column) -> Column:
+    """Bounds below and above each quantile."""
+    probabilities = [min(1.0, max(0.0, q + d)) for q in QUANTILES for d in (-BRACKET, BRACKET)]
+    return F.percentile_approx(x, probabilities, ACCURACY)
+
+
+def _brackets(df: DataFrame, table: str) -> DataFrame:
+    """tbl, col, edges of a table's columns, in one pass that moves sketches only."""
+    own = [(n, kind_of(t)) for n, t in df.dtypes if kind_of(t)]
+    x = lambda n, k: number(F.trim(F.col(f"`{n}`").cast("string"))) if k == "text" else F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None))
+    one = df.agg(F.array(*(F.struct(F.lit(n).alias("col"), _edges(x(n, k)).alias("edges")) for n, k in own)).alias("all"))
+    return one.select(F.lit(table).alias("tbl"), F.inline("all"))
+
+
+def _quantiles(domain: DataFrame, edges: DataFrame) -> DataFrame:
+    """tbl, col, q: the quantiles, interpolated between the two values around each."""
+    key, values = ["tbl", "col"], domain.where("x is not null").select("tbl", "col", "x", "cnt")
+    bounds = edges.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(QUANTILES) - 1)), lambda i: F.struct(F.get("edges", 2 * i).alias("lo"), F.get("edges", 2 * i + 1).alias("hi")))).alias("i", "b")).select(*key, "i", "b.lo", "b.hi")
+    # A row a column and quantile, so the bounds are as small as the schema. Outside a bracket the number of
+    # cells below it counts, and the values next to it, which the last interpolation may need.
+    each = values.join(F.broadcast(bounds), key)
+    inside = each.where("x between lo and hi").groupBy(*key, "i", "x").agg(F.sum("cnt").alias("cnt"))
+    less, more = F.when(F.col("x") < F.col("lo"), F.col("x")), F.when(F.col("x") > F.col("hi"), F.col("x"))
+    rest = each.where("x not between lo and hi").groupBy(*key, "i").agg(F.sum(F.when(less.isNotNull(), F.col("cnt"))).alias("below"), F.max(less).alias("prev"), F.min(more).alias("next"))
+    row = lambda x, cnt: F.struct(x.alias("x"), cnt.cast("long").alias("cnt"))
+    rows = F.array(F.when(F.col("below") > 1, row(F.lit(None).cast("double"), F.col("below") - 1)), F.when(F.col("below") > 0, row(F.col("prev"), F.lit(1))), F.when(F.col("next").isNotNull(), row(F.col("next"), F.lit(1))))
+    near = inside.union(rest.select(*key, "i", F.inline(F.array_compact(rows))))
+    n = values.groupBy(*key).agg(F.sum("cnt").alias("n"))
+    order = W.partitionBy(*key, "i").orderBy(F.asc_nulls_first("x"))
+    ranked = near.withColumn("upto", F.sum("cnt").over(order)).where("x is not null").join(F.broadcast(n), key)
+    want = F.element_at(F.array(*map(F.lit, QUANTILES)), F.col("i") + 1) * (F.col("n") - 1)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    got = ranked.groupBy(*key, "i").agg(at(F.floor(want)).alias("a"), at(F.ceil(want)).alias("b"), F.first(want - F.floor(want)).alias("f"))
+    got = got.select(*key, "i", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("v"))
+    return got.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+
+
+def _from_domain(domain: DataFrame, edges: DataFrame, exact: int, sample: int) -> DataFrame:
+    text = F.when(F.col("kind") == "text", F.col("v"))
+    typed = F.when(F.col("kind") != "text", F.col("kind"))
+    base = domain.groupBy("tbl", "col").agg(
         F.sum("cnt").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("cnt"))), F.lit(0)).alias("n_null"),
         F.count("v").alias("n_unique"),
-        dtype_vote(F.col("v")).alias("dtype"),
+        F.when(F.count("v") == 0, "str").when(F.max(typed) == "whole", "int").when(F.max(typed) == "double", "float").otherwise(dtype_vote(text)).alias("dtype"),
         char_class(F.col("v")).alias("char_class"),
         (F.sum(F.length("v") * F.col("cnt")) / F.sum(F.when(F.col("v").isNotNull(), F.col("cnt")))).alias("avg_len"),
-        F.min(x).alias("lo"),
-        F.max(x).alias("hi"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).alias("q"),
+        F.min("x").alias("lo"),
+        F.max("x").alias("hi"),
     )
     numeric = F.col("dtype").isin("int", "float")
     stat = lambda c, name: F.when(numeric, c).alias(name)
     order = W.partitionBy("tbl", "col").orderBy(F.md5(F.col("v").cast("binary")), "v")
-    kept = ranked.where("v is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= exact).groupBy("tbl", "col").agg(F.collect_list(F.struct("k", "v")).alias("own"))
-    both = base.join(kept, ["tbl", "col"], "left")
+    kept = domain.where("v is not null").select("tbl", "col", "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= exact)
+    kept = kept.groupBy("tbl", "col").agg(F.collect_list(F.struct("k", "v")).alias("own"))
+    both = base.join(F.broadcast(kept), ["tbl", "col"], "left").join(F.broadcast(_quantiles(domain, edges)), ["tbl", "col"], "left")  # a row a column
     values = F.coalesce(F.sort_array(F.transform(F.filter("own", lambda s: (F.col("n_unique") <= exact) | (s["k"] <= sample)), lambda s: s["v"])), F.array().cast("array<string>"))
     return both.select(
         "tbl", "col", "dtype", "n_rows", "n_unique",
@@ -59,15 +130,39 @@ def profile(cell: DataFrame, exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VAL
     )
 
 
+def profile_tables(tables: dict[str, DataFrame], exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VALUES) -> DataFrame:
+    """One row per column of typed or raw-string tables: counts, type, quantiles, string statistics, values.
+
+    Distinct counts are exact, so that approximate mode only limits the values kept: all of them up to
+    ``exact``, else the ``sample`` first by md5. Declared types decide; only texts are voted on.
+    """
+    some = {t: df for t, df in tables.items() if any(kind_of(k) for _, k in df.dtypes)}
+    return _from_domain(_union([_domain(df, t) for t, df in some.items()]), _union([_brackets(df, t) for t, df in some.items()]), exact, sample)
+
+
+def profile(cell: DataFrame, exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VALUES) -> DataFrame:
+    """The same from cells (tbl, col, raw)."""
+    v = F.when(~is_null_token(F.col("raw")), F.trim("raw"))
+    domain = cell.select("tbl", "col", v.alias("v")).groupBy("tbl", "col", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    edges = cell.groupBy("tbl", "col").agg(_edges(number(F.trim("raw"))).alias("edges"))
+    return _from_domain(domain.select("tbl", "col", F.lit("text").alias("kind"), "v", number(F.col("v")).alias("x"), "cnt"), edges, exact, sample)
+
+
 def sketches(cell: DataFrame, lg_k: int = 12) -> DataFrame:
     """Mergeable distinct-count sketches per column, for profiles that are kept up incrementally."""
     return cell.where(~is_null_token(F.col("raw"))).groupBy("tbl", "col").agg(F.hll_sketch_agg("raw", F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
 
 
+def fingerprint(df: DataFrame) -> str | None:
+    """Names, sizes and times of a file-backed table's files as one hash."""
+    files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("m")).distinct()
+    each = F.concat_ws("|", "f", "s", F.col("m").cast("string"))
+    return files.agg(F.md5(F.array_join(F.sort_array(F.collect_list(each)), ",").cast("binary"))).first()[0]
+
+
 def cached_profile(df: DataFrame, table: str, path: str, rebuild: bool = False) -> DataFrame:
     """The profile of a file-backed table, kept at ``path`` as long as the input files don't change."""
-    spark = df.sparkSession
-    stamp = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("m")).distinct().agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "f", "s", F.col("m").cast("string")))), ",").cast("binary"))).first()[0]
+    spark, stamp = df.sparkSession, fingerprint(df)
     try:
         old = spark.read.parquet(f"{path}/{table}")
         if not rebuild and old.select("fingerprint").first() == (stamp,):
@@ -75,5 +170,5 @@ def cached_profile(df: DataFrame, table: str, path: str, rebuild: bool = False)
     except Exception as e:  # only a missing cache is rebuilt
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    profile(cells(df, table)).withColumn("fingerprint", F.lit(stamp)).write.mode("overwrite").parquet(f"{path}/{table}")
+    profile_tables({table: df}).withColumn("fingerprint", F.lit(stamp)).write.mode("overwrite").parquet(f"{path}/{table}")
     return spark.read.parquet(f"{path}/{table}").drop("fingerprint")

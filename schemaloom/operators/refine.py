@@ -1,8 +1,12 @@
 """Refinement of similarity matrices by rewards for dependencies that hold on the target rows.
 
-The loop is sequential within a run and bounded by the matrix; runs are independent, so a table of
+The rounds of one run are sequential and bounded by its matrix; runs are independent, so a table of
 runs is refined with one grouped function. Which remapped dependencies hold depends on the target
 rows alone, so it is worked out once per mapping and looked up in every round.
+
+A run is one array, the state of its rounds. What a round needs to know of the last one (how far the
+array moved, how many source columns changed their best target, how many mappings held) is measured on
+the arrays before and after it.
 """
 
 from __future__ import annotations
@@ -10,12 +14,16 @@ from __future__ import annotations
 import itertools
 import json
 import math
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+KINDS = ("fd", "ind", "cfd")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -32,57 +40,76 @@ class Config:
     reward_min: float = 0.001
     reward_max: float = 0.05
     matrix_scale: float = 0.07
+    #: all (FDs and INDs), every (CFDs too), or one of KINDS
     dep_mode: str = "all"
     first_rows: int = 0  # compare only so many rows of a group; 0: all
     min_group_support: int = 1
-
-
-def sharpness(m: list[list[float]]) -> float:
-    gaps = [(s := sorted(row, reverse=True))[0] - s[1] for row in m if len(row) > 1]
-    return math.tanh(3 * sum(gaps) / len(gaps)) if gaps else 0.0
-
-
-def dynamic_k(t: int, sharp: float, c: Config) -> int:
-    wide = c.k_max - c.k_min
-    return max(c.k_min, int(round(min(c.k_max - t * wide / max(c.max_iter, 1), c.k_max - sharp * wide))))
-
-
-def reward_scale(m: list[list[float]], validated: int, c: Config) -> float:
-    if validated > 0:
-        scale = c.target_delta / validated
-    else:
-        cells = [v for row in m for v in row]
-        mean = sum(cells) / len(cells)
-        var = sum((v - mean) ** 2 for v in cells) / len(cells)
-        scale = c.target_delta * c.matrix_scale / (math.sqrt(var) if var > 0 else 1.0)
-    return max(c.reward_min, min(c.reward_max, scale))
-
-
-def reward(m, t: int, validated: int, delta: float, changed: float, c: Config) -> float:
-    scale = reward_scale(m, validated, c)
-    if validated == 0:
-        return scale * c.decay**t
-    return scale * math.exp(-c.k_stability * delta) * (1 - math.exp(-c.k_exploration * changed))
-
-
-def frobenius_delta(new, old) -> float:
-    off = sum((a - b) ** 2 for x, y in zip(new, old) for a, b in zip(x, y))
-    return math.sqrt(off) / (math.sqrt(sum(b * b for y in old for b in y)) + 1e-12)
-
-
-def top1_changes(new, old) -> int:
-    best = lambda m, j: max(range(len(m)), key=lambda i: (m[i][j], -i))
-    return sum(best(new, j) != best(old, j) for j in range(len(new[0]))) if new else 0
-
-
-def oscillates(history, window: int = 4) -> bool:
-    if len(history) < window:
-        return False
-    s = [sharpness(m) for m in history[-window:]]
-    halves = [s[0::2], s[1::2]]
-    means = [sum(h) / len(h) for h in halves]
-    stable = all(math.sqrt(sum((x - m) ** 2 for x in h) / len(h)) < 0.005 for h, m in zip(halves, means))
-    return stable and abs(means[0] - means[1]) > 0.01
+    #: a fixed reward for each kind turns a run into one round without a ceiling, on the candidates of the raw array
+    fixed: dict[str, float] | None = None
+
+    def kinds(self) -> tuple[str, ...]:
+        return {"all": KINDS[:2], "every": KINDS}.get(self.dep_mode, (self.dep_mode,))
+
+
+@dataclass
+class Rounds:
+    """The array of a run, and what was measured of its rounds."""
+
+    now: np.ndarray
+    config: Config
+    starts: list[np.ndarray] = field(default_factory=list)
+    held: int = 0
+    delta: float = 0.0
+    share: float = 1.0
+    quiet: int = 0
+
+    @staticmethod
+    def sharpness(m: np.ndarray) -> float:
+        """How far the best cell of a row stands out, on average, from 0 to 1."""
+        if m.size == 0 or m.shape[1] < 2:
+            return 0.0
+        two = np.sort(m, axis=1)[:, -2:]
+        return math.tanh(3 * float((two[:, 1] - two[:, 0]).mean()))
+
+    def width(self) -> int:
+        """Candidates for each source column: fewer as rounds go by and as the array gets sharper."""
+        c = self.config
+        used = max((len(self.starts) - 1) / max(c.max_iter, 1), self.sharpness(self.now))
+        return max(c.k_min, int(round(c.k_max - used * (c.k_max - c.k_min))))
+
+    def scale(self) -> float:
+        c = self.config
+        spread = float(self.now.std()) if self.now.size else 0.0
+        raw = c.target_delta / self.held if self.held else c.target_delta * c.matrix_scale / (spread or 1.0)
+        return float(np.clip(raw, c.reward_min, c.reward_max))
+
+    def reward(self) -> float:
+        c = self.config
+        if not self.held:
+            return self.scale() * c.decay ** (len(self.starts) - 1)
+        return self.scale() * math.exp(-c.k_stability * self.delta) * (1 - math.exp(-c.k_exploration * self.share))
+
+    @staticmethod
+    def moved(new: np.ndarray, old: np.ndarray) -> tuple[float, int]:
+        """The relative Frobenius distance, and the source columns whose best target (the first of equals) is another."""
+        return float(np.linalg.norm(new - old) / (np.linalg.norm(old) + 1e-12)), int((new.argmax(axis=0) != old.argmax(axis=0)).sum()) if new.size else 0
+
+    def swings(self) -> bool:
+        """Do the last four starts jump between two levels of sharpness?"""
+        if len(self.starts) < 4:
+            return False
+        levels = np.array([self.sharpness(m) for m in self.starts[-4:]]).reshape(2, 2)
+        return bool((levels.std(axis=0) < 0.005).all() and abs(np.subtract(*levels.mean(axis=0))) > 0.01)
+
+    def close(self, held: int) -> str:
+        """Measures the round; what to do next: go on, stop, or take the mean of the last starts."""
+        self.held = held
+        self.delta, changes = self.moved(self.now, self.starts[-1])
+        self.share = changes / max(self.now.shape[1], 1)
+        if self.swings():
+            return "mean"
+        self.quiet = self.quiet + 1 if self.delta < self.config.matrix_eps and not changes else 0
+        return "stop" if self.quiet >= self.config.patience else "go"
 
 
 class Rows:
@@ -92,71 +119,89 @@ class Rows:
         self.rows, self.first_rows, self.support = rows, first_rows, support
         self.fd, self.ind = lru_cache(None)(self._fd), lru_cache(None)(self._ind)
 
-    def _fd(self, lhs: tuple, rhs: tuple) -> bool:
+    def _fd(self, lhs: tuple, rhs: tuple, pattern: tuple = ()) -> bool:
+        """Also conditional: with a pattern, it must apply to a row."""
         groups: dict[tuple, list[tuple]] = {}
         for r in self.rows:
-            groups.setdefault(tuple(r[i] for i in lhs), []).append(tuple(r[i] for i in rhs))
+            if all(v == "_" or r[i] == v for i, v in pattern):
+                groups.setdefault(tuple(r[i] for i in lhs), []).append(tuple(r[i] for i in rhs))
         seen = (g[: self.first_rows] if self.first_rows else g for g in groups.values())
-        return all(len(set(g)) == 1 for g in seen) and max(map(len, groups.values()), default=0) >= self.support
+        return (bool(groups) or not pattern) and all(len(set(g)) == 1 for g in seen) and max(map(len, groups.values()), default=0) >= self.support
 
     def _ind(self, lhs: tuple, rhs: tuple) -> bool:
         return {tuple(r[i] for i in lhs) for r in self.rows} <= {tuple(r[i] for i in rhs) for r in self.rows}
 
 
-def refine(matrix: list[list[float]], rows: list[list[str]], fds: list[tuple], inds: list[tuple], c: Config = Config()) -> list[list[float]]:
-    """``fds`` and ``inds``: (lhs, rhs) of source columns, in order. Rewards act at once, so order matters."""
-    m = [list(row) for row in matrix]
-    n_source, holds = len(m[0]) if m else 0, Rows(rows, c.first_rows, c.min_group_support)
-    history: list = []
-    delta, changed, validated, quiet = 0.0, 1.0, 0, 0
-
-    def choices(attrs: tuple, k: int) -> list[dict[int, int]]:
-        best = [sorted(range(len(m)), key=lambda i: (m[i][a], i), reverse=True)[:k] for a in attrs]
-        return [dict(zip(attrs, x)) for x in itertools.product(*best)]
-
-    def give(assign: dict[int, int], r: float) -> None:
-        for s, t in assign.items():
-            m[t][s] += min(r, max(c.ceiling - m[t][s], 0.0))
-
-    for t in range(c.max_iter):
-        before = [list(row) for row in m]
-        history.append(before)
-        k = dynamic_k(t, sharpness(m), c)
-        r = reward(m, t, validated, delta, changed, c)
-        validated = 0
-        for lhs, rhs in fds if c.dep_mode in ("all", "fd") else ():
-            for a in choices(tuple(dict.fromkeys(lhs + rhs)), k):
-                x, y = tuple(a[i] for i in lhs), tuple(a[i] for i in rhs)
-                if len(set(x)) == len(x) and not set(x) & set(y) and holds.fd(x, y):
-                    give(a, r)
-                    validated += 1
-        for lhs, rhs in inds if c.dep_mode in ("all", "ind") else ():
-            for a in choices(tuple(lhs), k):
-                for b in choices(tuple(rhs), k):  # the right side sees rewards already given
-                    x, y = tuple(a[i] for i in lhs), tuple(b[i] for i in rhs)
-                    if not set(x) & set(y) and holds.ind(x, y):
-                        give(a, r)
-                        give(b, r)
-                        validated += 1
-        delta, moved = frobenius_delta(m, before), top1_changes(m, before)
-        changed = moved / max(n_source, 1)
-        if oscillates(history):
-            last = history[-4:]
-            return [[sum(h[i][j] for h in last) / len(last) for j in range(n_source)] for i in range(len(m))]
-        quiet = quiet + 1 if delta < c.matrix_eps and moved == 0 else 0
-        if quiet >= c.patience:
+def _choices(m: np.ndarray, attrs: tuple, k: int) -> list[dict[int, int]]:
+    """Every way to give each attribute one of its k best targets; of equal ones the higher id is better."""
+    best = [np.lexsort((np.arange(len(m)), m[:, a]))[::-1][:k].tolist() for a in attrs]
+    return [dict(zip(attrs, x)) for x in itertools.product(*best)]
+
+
+def _mappings(m: np.ndarray, kind: str, dep: tuple, k: int, rows: Rows) -> Iterator[list[dict[int, int]]]:
+    """The mappings of one dependency that hold. ``m`` may change between them: the candidates of an IND's right side are then looked up anew."""
+    lhs, rhs = dep[:2]
+    if kind == "ind":
+        for a in _choices(m, lhs, k):
+            for b in _choices(m, rhs, k):
+                x, y = tuple(a[i] for i in lhs), tuple(b[i] for i in rhs)
+                if not set(x) & set(y) and rows.ind(x, y):
+                    yield [a, b]
+        return
+    for a in _choices(m, tuple(dict.fromkeys(lhs + rhs)), k):
+        x, y = tuple(a[i] for i in lhs), tuple(a[i] for i in rhs)
+        pattern = tuple((a[i], v) for i, v in dep[2]) if kind == "cfd" else ()
+        if len(set(x)) == len(x) and not set(x) & set(y) and (kind == "fd" or pattern) and rows.fd(x, y, pattern):
+            yield [a]
+
+
+def _give(m: np.ndarray, mapping: dict[int, int], r: float, ceiling: float) -> None:
+    for s, t in mapping.items():
+        m[t, s] += min(r, max(ceiling - m[t, s], 0.0))
+
+
+def refine(matrix, rows: list[list[str]], fds: list[tuple], inds: list[tuple], c: Config = Config(), cfds: list[tuple] = ()) -> list[list[float]]:
+    """``fds``, ``inds``, ``cfds``: (lhs, rhs) of source columns, for CFDs with a pattern of (column,
+    constant) pairs, in order. Rewards act at once, so order matters."""
+    state, holds = Rounds(np.array(matrix, float), c), Rows(rows, c.first_rows, c.min_group_support)
+    deps = {"fd": fds, "ind": inds, "cfd": cfds}
+    if not state.now.size:
+        return state.now.tolist()
+    if c.fixed is not None:
+        raw = state.now.copy()
+        for kind in c.kinds():
+            for d in deps[kind]:
+                for mapping in itertools.chain.from_iterable(_mappings(raw, kind, d, c.k_max, holds)):
+                    _give(state.now, mapping, c.fixed.get(kind, 0.01), math.inf)
+        return state.now.tolist()
+    for _ in range(c.max_iter):
+        state.starts.append(state.now.copy())
+        k, r, held = state.width(), state.reward(), 0
+        for kind in c.kinds():
+            for d in deps[kind]:
+                for mappings in _mappings(state.now, kind, d, k, holds):
+                    held += 1
+                    for mapping in mappings:
+                        _give(state.now, mapping, r, c.ceiling)
+        then = state.close(held)
+        if then == "mean":
+            return np.mean(state.starts[-4:], axis=0).tolist()
+        if then == "stop":
             break
-    return m
+    return state.now.tolist()
+
+
+RUN_SCHEMA = "run_id string, matrix string, rows string, deps string, config string"
 
 
 def refine_runs(runs: DataFrame) -> DataFrame:
-    """runs: run_id, and matrix, rows, fds, inds, config as JSON. Gives run_id, t_attr, s_attr, score."""
+    """runs: run_id, and matrix, rows, deps (by kind) and config as JSON. Gives run_id, t_attr, s_attr, score."""
 
     def one(table):
         out = {"run_id": [], "t_attr": [], "s_attr": [], "score": []}
         for r in table.to_pylist():
-            deps = [[(tuple(a), tuple(b)) for a, b in json.loads(r[k])] for k in ("fds", "inds")]
-            m = refine(json.loads(r["matrix"]), json.loads(r["rows"]), *deps, Config(**json.loads(r["config"] or "{}")))
+            deps = {k: [tuple(tuple(map(tuple, x)) if i == 2 else tuple(x) for i, x in enumerate(d)) for d in v] for k, v in json.loads(r["deps"]).items()}
+            m = refine(json.loads(r["matrix"]), json.loads(r["rows"]), deps.get("fd", []), deps.get("ind", []), Config(**json.loads(r["config"] or "{}")), deps.get("cfd", []))
             for i, row in enumerate(m):
                 for j, v in enumerate(row):
                     for k, x in zip(out, (r["run_id"], i, j, v)):
@@ -166,8 +211,10 @@ def refine_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id").applyInArrow(one, "run_id string, t_attr int, s_attr int, score double")
 
 
-def run_row(run_id: str, matrix, rows, fds, inds=(), config: Config = Config()) -> tuple:
-    return run_id, json.dumps(matrix), json.dumps(rows), json.dumps([list(x) for x in fds]), json.dumps([list(x) for x in inds]), json.dumps(asdict(config))
+def run_row(run_id: str, matrix, rows, fds, inds=(), config: Config = Config(), cfds=()) -> tuple:
+    return run_id, json.dumps(matrix), json.dumps(rows), json.dumps({"fd": list(fds), "ind": list(inds), "cfd": list(cfds)}), json.dumps(asdict(config))
 
 
-RUN_SCHEMA = "run_id string, matrix string, rows string, fds string, inds string, config string"
+def grid(run_id: str, matrix, rows, fds, inds=(), cfds=(), configs: dict[str, Config] | None = None) -> list[tuple]:
+    """One run for each configuration of a sweep, named after it."""
+    return [run_row(f"{run_id}|{name}", matrix, rows, fds, inds, c, cfds) for name, c in (configs or {"": Config()}).items()]

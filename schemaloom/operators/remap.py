@@ -64,6 +64,26 @@ def holding_inds(deps: DataFrame, target: DataFrame) -> DataFrame:
     return deps.select("lhs", "rhs").join(broken, ["lhs", "rhs"], "left_anti")
 
 
+def mapped_cfds(deps: DataFrame, cand: DataFrame) -> DataFrame:
+    """Remapped CFDs (dep_id, lhs, rhs, pattern), patterns too; filtered as FDs are."""
+    entry = lambda e: F.struct(F.element_at("assign", e["key"]), e["value"])
+    out = assignments(deps.select("dep_id", "lhs", "rhs"), cand).join(deps.select("dep_id", "pattern"), "dep_id")
+    out = out.select(_mapped("lhs").alias("lhs"), _mapped("rhs").alias("rhs"), F.transform(F.map_entries("pattern"), entry).alias("p"))
+    out = out.where((F.size("lhs") == F.size(F.array_distinct("lhs"))) & ~F.arrays_overlap("lhs", "rhs"))
+    return out.select("lhs", "rhs", F.sort_array("p").alias("p")).distinct().select("lhs", "rhs", F.map_from_entries("p").alias("pattern"))
+
+
+def holding_cfds(deps: DataFrame, target: DataFrame) -> DataFrame:
+    """The CFDs (lhs, rhs, pattern) that hold on target rows, of which at least one has the pattern's constants."""
+    key = lambda c: F.transform(c, lambda a: F.element_at("m", a))
+    met = F.forall("p", lambda e: (e["value"] == "_") | F.coalesce(F.element_at("m", e["key"]) == e["value"], F.lit(False)))
+    own = deps.select("lhs", "rhs", F.sort_array(F.map_entries("pattern")).alias("p"))
+    each = row_maps(target).crossJoin(F.broadcast(own)).where(met)  # dependencies are as many as a schema has
+    groups = each.groupBy("lhs", "rhs", "p", key("lhs").alias("k")).agg((F.min(key("rhs")) == F.max(key("rhs"))).alias("ok"))
+    held = groups.groupBy("lhs", "rhs", "p").agg(F.bool_and("ok").alias("ok")).where("ok")
+    return held.select("lhs", "rhs", F.map_from_entries("p").alias("pattern"))
+
+
 def target_dependencies(fds: DataFrame, inds: DataFrame, scores: DataFrame, target: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     cand = candidates(scores, k)
     return minimise(holding_fds(mapped_fds(fds, cand), target)), holding_inds(mapped_inds(inds, cand), target)

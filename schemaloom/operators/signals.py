@@ -73,7 +73,12 @@ def semantic_signal(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def score(target: DataFrame, source: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """t_attr, s_attr, the four signals and their weighted total."""
+    """t_attr, s_attr, the four signals and their weighted total.
+
+    Each signal reads the profile, which is written once into memory (a row a column, at most EXACT_UNIQUE
+    values in it) instead of being worked out for each.
+    """
+    source = source.sparkSession.createDataFrame(source.select("s_attr", "dtype", "n_rows", "n_unique", "num_min", "num_max", "num_p25", "num_p75", "str_avg_len", "str_char_class", "exact_unique", "unique_vals").toArrow())
     weights, pair = weights or WEIGHTS, pairs(target, source)
     out = subset_signal(target, source).join(type_signal(pair), ["t_attr", "s_attr"]).join(distribution_signal(pair), ["t_attr", "s_attr"]).join(semantic_signal(target, source), ["t_attr", "s_attr"], "left")
     out = out.withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))

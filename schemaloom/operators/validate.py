@@ -1,14 +1,17 @@
-"""Functional, conditional and inclusion dependencies, in a fixed number of jobs however many there are.
+"""Functional, conditional and inclusion dependencies, in one scan a table however many there are.
 
-A group holds an FD if the least and the greatest right side in it are equal, which partial
-aggregates find without a distinct; sides are arrays, so nulls are values like any other.
+Keys are typed values, null-safe. A group holds an FD if the least and the greatest hash of its right
+sides are equal; two 64-bit hashes stand for a side, so sums are hash aggregates that combine before
+the shuffle and that no wide value passes through. A violation is missed only where both pairs of
+hashes of all its right sides coincide, which has a probability below 2^-120 for any table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,40 +26,96 @@ class Dependency:
         return f"{','.join(map(str, self.lhs))} -> {','.join(map(str, self.rhs))}"
 
 
-def _side(columns) -> F.Column:
-    return F.array(*(F.col(f"`{c}`").cast("string") for c in columns))
+def named(lhs, rhs) -> str:
+    return f"{','.join(lhs)}->{','.join(rhs)}"
+
+
+def _cols(columns) -> list[Column]:
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def _text(columns) -> Column:
+    return F.array(*(c.cast("string") for c in _cols(columns)))
+
+
+def _hashes(columns: list[Column]) -> list[Column]:
+    """Two independent hashes; null is a value of its own at each place."""
+    each = [x for c in columns for x in (c, c.isNull())]
+    return [F.xxhash64(F.lit(seed), *each) for seed in (1, 2)]
+
+
+def _same(hashes: list[Column]) -> list[Column]:
+    return [f(h).alias(f"{n}{i}") for i, h in enumerate(hashes) for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+_OK = "lo0 = hi0 AND lo1 = hi1"
 
 
 def fd_groups(df: DataFrame, lhs: list[str], rhs: list[str], first_rows: int | None = None, order: str | None = None) -> DataFrame:
-    """key, n, ok for each group. ``first_rows`` looks at so many rows of a group only, in ``order``."""
-    each = df.select(_side(lhs).alias("key"), _side(rhs).alias("val"), *([order] if order else []))
+    """The left side's columns as k0, k1 .., n, ok for each group. ``first_rows`` looks at so many rows of a
+    group only, in ``order``."""
+    keys = [f"k{i}" for i in range(len(lhs))]
+    each = df.select(*(c.alias(k) for c, k in zip(_cols(lhs), keys)), *(h.alias(f"h{i}") for i, h in enumerate(_hashes(_cols(rhs)))), *([F.col(f"`{order}`").alias("o")] if order else []))
     if first_rows:
-        each = each.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy(order))).where(F.col("k") <= first_rows)
-    return each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("val") == F.max("val")).alias("ok"))
+        each = each.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("o"))).where(F.col("place") <= first_rows)
+    return each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_same([F.col("h0"), F.col("h1")])).select(*keys, "n", F.expr(_OK).alias("ok"))
 
 
 def _verdict(groups: DataFrame, name: str) -> DataFrame:
-    return groups.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(~F.col("ok")).alias("n_violating"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_relevant")).select(F.lit(name).alias("dep"), (F.col("n_violating") == 0).alias("satisfied"), "n_groups", "n_violating", "n_relevant")
+    n = groups.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(~F.col("ok")).alias("n_violating"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_relevant"))
+    return n.select(F.lit(name).alias("dep"), (F.col("n_violating") == 0).alias("satisfied"), "n_groups", "n_violating", "n_relevant")
 
 
 def fd(df: DataFrame, lhs: list[str], rhs: list[str], name: str | None = None) -> DataFrame:
-    return _verdict(fd_groups(df, lhs, rhs), name or f"{','.join(lhs)}->{','.join(rhs)}")
+    return _verdict(fd_groups(df, lhs, rhs), name or named(lhs, rhs))
+
+
+def _batch(df: DataFrame, deps: list[tuple[str, Column, list[str], list[str], Column | None]]) -> DataFrame:
+    """dep, satisfied, n_groups, n_violating, n_relevant of (name, rows it is about, lhs, rhs, what rows must
+    have); also for dependencies that no row is about."""
+    row = lambda i, a, b, must: F.struct(F.lit(i).alias("i"), *(h.alias(f"k{j}") for j, h in enumerate(_hashes(_cols(a)))), *(h.alias(f"h{j}") for j, h in enumerate(_hashes(_cols(b)))), (F.lit(True) if must is None else must).alias("must"))
+    sides = F.array_compact(F.array(*(F.when(about, row(i, a, b, must)) for i, (_, about, a, b, must) in enumerate(deps))))
+    groups = df.select(F.inline(sides)).groupBy("i", "k0", "k1").agg(F.count(F.lit(1)).alias("n"), *_same([F.col("h0"), F.col("h1")]), F.bool_and("must").alias("must"))
+    groups = groups.select("i", "n", (F.expr(_OK) & F.col("must")).alias("ok"))
+    sums = groups.groupBy("i").agg(F.count(F.lit(1)).alias("g"), F.count_if(~F.col("ok")).alias("v"), F.sum("n").alias("r"))
+    names = df.sparkSession.createDataFrame([(i, d[0]) for i, d in enumerate(deps)], "i int, dep string")
+    zero = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
+    return names.join(F.broadcast(sums), "i", "left").select("dep", (F.coalesce("v", F.lit(0)) == 0).alias("satisfied"), zero("g", "n_groups"), zero("v", "n_violating"), zero("r", "n_relevant"))
 
 
 def fd_batch(df: DataFrame, deps: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """Many FDs over one table with one scan and one shuffle."""
-    sides = F.array(*(F.struct(F.lit(f"{','.join(a)}->{','.join(b)}").alias("dep"), _side(a).alias("key"), _side(b).alias("val")) for a, b in deps))
-    groups = df.select(F.explode(sides).alias("x")).select("x.*").groupBy("dep", "key").agg(F.count(F.lit(1)).alias("n"), (F.min("val") == F.max("val")).alias("ok"))
-    return groups.groupBy("dep").agg(F.bool_and("ok").alias("satisfied"), F.count(F.lit(1)).alias("n_groups"), F.count_if(~F.col("ok")).alias("n_violating"), F.sum("n").alias("n_relevant"))
+    """Many FDs over one table with one scan and one shuffle; all hold on an empty table."""
+    return _batch(df, [(named(a, b), F.lit(True), a, b, None) for a, b in deps])
+
+
+def cfd_batch(df: DataFrame, deps: list[tuple[list[str], list[str], dict[str, str]]], rhs_mode: str = "filter") -> DataFrame:
+    """Many CFDs over one table with one scan and one shuffle, with their vacuity."""
+    return _batch(df, [(named(a, b), *_pattern(df, a, b, p, rhs_mode)) for a, b, p in deps]).withColumn("vacuous", F.col("n_relevant") == 0)
 
 
 def fd_violations(df: DataFrame, lhs: list[str], rhs: list[str]) -> DataFrame:
-    """Violating groups with two right sides as evidence."""
-    each = df.select(_side(lhs).alias("key"), _side(rhs).alias("val"))
-    return each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("val").alias("one"), F.max("val").alias("other")).where("one != other")
+    """Violating groups with two right sides as evidence; only their rows meet again."""
+    rows, bad = _of_violating(df, lhs, rhs)
+    return rows.groupBy(*bad).agg(F.count(F.lit(1)).alias("n"), F.min("val").alias("one"), F.max("val").alias("other")).select(F.array(*(F.col(k).cast("string") for k in bad)).alias("key"), "n", "one", "other")
+
+
+def _of_violating(df: DataFrame, lhs: list[str], rhs: list[str], order: list[str] = ()) -> tuple[DataFrame, list[str]]:
+    keys = [f"k{i}" for i in range(len(lhs))]
+    rows = df.select(*(c.alias(k) for c, k in zip(_cols(lhs), keys)), _text(rhs).alias("val"), *_cols(order)).alias("r")
+    bad = fd_groups(df, lhs, rhs).where("not ok").select(*keys).alias("b")
+    return rows.join(bad, reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), "left_semi"), keys
 
 
-def matches(pattern: dict[str, str]) -> F.Column:
+def fd_violation_pairs(df: DataFrame, lhs: list[str], rhs: list[str], order: list[str], most: int = 3) -> DataFrame:
+    """key, one, other: the first row of each violating group beside each of the ``most`` next that differ from
+    it, in an order that the caller names. At most that many rows of a group are looked at."""
+    rows, keys = _of_violating(df, lhs, rhs, order)
+    first = W.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most + 1).withColumn("one", F.first("val").over(first))
+    return rows.where("place > 1 and one != val").select(F.array(*(F.col(k).cast("string") for k in keys)).alias("key"), "one", F.col("val").alias("other"), F.col("place").cast("long").alias("place"))
+
+
+def matches(pattern: dict[str, str]) -> Column:
     """All constants equal; ``_`` matches anything; unknown columns match nothing."""
     out = F.lit(True)
     for c, v in pattern.items():
@@ -65,26 +124,67 @@ def matches(pattern: dict[str, str]) -> F.Column:
     return out
 
 
+def _pattern(df: DataFrame, lhs, rhs, pattern: dict[str, str], rhs_mode: str) -> tuple[Column, list[str], list[str], Column | None]:
+    """The rows that a CFD is about, its sides, and what these rows must have."""
+    if any(c not in df.columns for c in pattern):
+        return F.lit(False), lhs, rhs, None
+    right = {c: v for c, v in pattern.items() if c in rhs and v != "_"}
+    if rhs_mode == "filter" or not right:
+        return matches(pattern), lhs, rhs, None
+    return matches({c: v for c, v in pattern.items() if c not in rhs}), lhs, rhs, matches(right)
+
+
 def cfd(df: DataFrame, lhs: list[str], rhs: list[str], pattern: dict[str, str], rhs_mode: str = "filter", name: str | None = None) -> DataFrame:
     """``filter``: constants of the right side choose rows too. ``check``: rows must have them. No rows: vacuous."""
-    chosen = pattern if rhs_mode == "filter" else {c: v for c, v in pattern.items() if c not in rhs}
-    unknown = [c for c in pattern if c not in df.columns]
-    own = df.where(F.lit(False) if unknown else matches(chosen))
-    groups = fd_groups(own, lhs, rhs)
-    if rhs_mode == "check" and any(c in rhs and v != "_" for c, v in pattern.items()):
-        good = own.select(_side(lhs).alias("key"), matches({c: v for c, v in pattern.items() if c in rhs}).alias("good")).groupBy("key").agg(F.bool_and("good").alias("good"))
-        groups = groups.join(good, "key").select("key", "n", (F.col("ok") & F.col("good")).alias("ok"))
-    return _verdict(groups, name or f"{','.join(lhs)}->{','.join(rhs)}").withColumn("vacuous", F.col("n_relevant") == 0)
+    about, _, _, must = _pattern(df, lhs, rhs, pattern, rhs_mode)
+    return _batch(df, [(name or named(lhs, rhs), about, lhs, rhs, must)]).withColumn("vacuous", F.col("n_relevant") == 0)
+
+
+def _common(*types: str) -> str:
+    """A type in which values of these types are equal as SQL has them equal."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if set(types) <= whole:
+        return "bigint"
+    if len(set(types)) == 1:
+        return types[0]
+    return "double" if all(t in whole | {"double", "float"} or t.startswith("decimal") for t in types) else "string"
+
+
+def _pair_types(r: DataFrame, x, s: DataFrame, y) -> list[str]:
+    return [_common(r.schema[a].dataType.simpleString(), s.schema[b].dataType.simpleString()) for a, b in zip(x, y)]
 
 
 def ind_missing(r: DataFrame, x: list[str], s: DataFrame, y: list[str]) -> DataFrame:
-    """Distinct left values without a partner; nulls equal nulls."""
-    key = lambda df, c: df.select(F.to_json(_side(c)).alias("j"), _side(c).alias("key")).distinct()
-    return key(r, x).join(key(s, y).select("j"), "j", "left_anti").select("key")
+    """Distinct left values without a partner, as texts; nulls equal nulls."""
+    keys, types = [f"k{i}" for i in range(len(x))], _pair_types(r, x, s, y)
+    own = lambda df, c: df.select(*(a.cast(t).alias(k) for a, t, k in zip(_cols(c), types, keys))).distinct()
+    left, right = own(r, x).alias("l"), own(s, y).alias("r")
+    met = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return left.join(right, met, "left_anti").select(_text(keys).alias("key"))
+
+
+def ind_batch(relations: dict[str, DataFrame], inds: list[tuple[str, list[str], str, list[str]]], names: list[str] | None = None) -> DataFrame:
+    """dep, satisfied, n_missing of (left relation, columns, right relation, columns): one scan a relation and
+    one shuffle. Hashes stand for the keys, as in FDs."""
+    names = names or [f"{r}.{','.join(x)}[={s}.{','.join(y)}" for r, x, s, y in inds]
+    sides: dict[str, list[Column]] = {}
+    for i, (r, x, s, y) in enumerate(inds):
+        types = _pair_types(relations[r], x, relations[s], y)
+        for rel, columns, left in ((r, x, True), (s, y, False)):
+            h = _hashes([c.cast(t) for c, t in zip(_cols(columns), types)])
+            sides.setdefault(rel, []).append(F.struct(F.lit(i).alias("i"), h[0].alias("k0"), h[1].alias("k1"), F.lit(left).alias("l")))
+    # What a relation has of a key is summed before tables are put together, so hot keys are small.
+    parts = [relations[r].select(F.inline(F.array(*own))).groupBy("i", "k0", "k1").agg(F.bool_or("l").alias("l"), F.bool_or(~F.col("l")).alias("r")) for r, own in sides.items()]
+    keys = reduce(DataFrame.union, parts).groupBy("i", "k0", "k1").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
+    missing = keys.groupBy("i").agg(F.count_if(F.col("l") & ~F.col("r")).alias("n"))
+    spark = next(iter(relations.values())).sparkSession
+    every = spark.createDataFrame(list(enumerate(names)), "i int, dep string")
+    n = F.coalesce("n", F.lit(0))
+    return every.join(F.broadcast(missing), "i", "left").select("dep", (n == 0).alias("satisfied"), n.alias("n_missing"))
 
 
 def ind(r: DataFrame, x: list[str], s: DataFrame, y: list[str], name: str) -> DataFrame:
-    return ind_missing(r, x, s, y).agg(F.count(F.lit(1)).alias("n_missing")).select(F.lit(name).alias("dep"), (F.col("n_missing") == 0).alias("satisfied"), "n_missing")
+    return ind_batch({"r": r, "s": s}, [("r", x, "s", y)], [name])
 
 
 def closure(attrs, fds: list[Dependency]) -> frozenset:
@@ -104,15 +204,21 @@ def minimise(deps: DataFrame) -> DataFrame:
     """lhs, rhs arrays: drops those that another with a smaller left side and a covering right side implies."""
     f, o = deps.alias("f"), deps.alias("o")
     implied = (F.size(F.array_except("o.lhs", "f.lhs")) == 0) & (F.size("o.lhs") < F.size("f.lhs")) & (F.size(F.array_except("f.rhs", "o.rhs")) == 0)
-    return f.join(F.broadcast(o), implied, "left_anti").distinct()
+    return f.join(F.broadcast(o), implied, "left_anti").distinct()  # dependencies are as many as a schema has
 
 
 def validate_all(spark: SparkSession, relations: dict[str, DataFrame], fds=(), cfds=(), inds=()) -> DataFrame:
-    """kind, dep, satisfied for lists of (relation, lhs, rhs), (relation, lhs, rhs, pattern), (relation, lhs, relation, rhs)."""
-    parts = [fd(relations[r], a, b).select(F.lit("fd").alias("kind"), "dep", "satisfied") for r, a, b in fds]
-    parts += [cfd(relations[r], a, b, p).select(F.lit("cfd").alias("kind"), "dep", "satisfied") for r, a, b, p in cfds]
-    parts += [ind(relations[r], a, relations[s], b, f"{r}.{','.join(a)}[={s}.{','.join(b)}").select(F.lit("ind").alias("kind"), "dep", "satisfied") for r, a, s, b in inds]
-    out = spark.createDataFrame([], "kind string, dep string, satisfied boolean")
-    for p in parts:
-        out = out.union(p)
-    return out
+    """kind, dep, satisfied for lists of (relation, lhs, rhs), (relation, lhs, rhs, pattern), (relation, lhs, relation, rhs).
+
+    FDs and CFDs of a relation share a scan and a shuffle, and so do all INDs.
+    """
+    out = [spark.createDataFrame([], "kind string, dep string, satisfied boolean")]
+    for r, df in relations.items():
+        own = [(f"fd|{r}.{named(a, b)}", F.lit(True), a, b, None) for q, a, b in fds if q == r]
+        own += [(f"cfd|{r}.{named(a, b)}", *_pattern(df, a, b, p, "filter")) for q, a, b, p in cfds if q == r]
+        if own:
+            kind = F.split("dep", r"\|", 2)
+            out.append(_batch(df, own).select(kind[0].alias("kind"), kind[1].alias("dep"), "satisfied"))
+    if inds:
+        out.append(ind_batch(relations, list(inds)).select(F.lit("ind").alias("kind"), "dep", "satisfied"))
+    return reduce(DataFrame.union, out)

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import embed, graph, mediator, profile, refine, remap, signals
 
 
-def match(spark: SparkSession, source: dict[str, DataFrame], target: DataFrame, fds: DataFrame, inds: DataFrame, rules: DataFrame | None = None, k: int = 3, hops: int = 5, config: refine.Config = refine.Config(), use_inds: bool = True, random_seed: int | None = None) -> dict[str, DataFrame]:
+SCORES = "t_attr int, s_attr int, subset double, type double, dist double, semantic double, total double"
+
+
+def features(spark: SparkSession, source: dict[str, DataFrame], rules: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """attr_id, row_gid: rules expanded over the rows of all tables, numbered on from table to table. Only columns
+    that a rule has a constant for are unpivoted."""
+    wanted = {r[0] for r in rules.select(F.explode(F.map_keys("pattern"))).distinct().collect()}  # attributes
+    parts, at = [], 0
+    for t, df in source.items():
+        own = {names.index((t, c)): c for c in df.columns}
+        have = [str(i) for i in own if i in wanted]
+        if have:
+            numbered = mediator.row_ids(df.select(*(F.col(f"`{own[int(i)]}`").alias(i) for i in have)), offset=at)
+            parts.append(numbered.unpivot("row_gid", have, "attr_id", "raw").select(F.col("attr_id").cast("int").alias("attr_id"), "row_gid", "raw"))
+        at += df.count()
+    empty = spark.createDataFrame([], "attr_id int, row_gid long, raw string")
+    return mediator.expand(rules, reduce(DataFrame.union, parts, empty))
+
+
+def match(spark: SparkSession, source: dict[str, DataFrame], target: DataFrame, fds: DataFrame, inds: DataFrame, rules: DataFrame | None = None, k: int = 3, hops: int = 5, config: refine.Config = refine.Config(), use_inds: bool = True, random_seed: int | None = None, cfds: list[tuple] = ()) -> dict[str, DataFrame]:
     """``source``: raw-string tables in order, whose columns are numbered on; ``target``: raw strings.
 
-    Gives score, bridge, sim and refined. ``use_inds`` leaves INDs out of the graph, ``random_seed``
-    draws random bridges.
+    Gives score, bridge, sim, refined, and the vectors (forward, backward). ``use_inds`` leaves INDs out of
+    the graph, ``random_seed`` draws random bridges, ``cfds`` take part in rewards with ``dep_mode="every"``.
     """
     names = [(t, c) for t, df in source.items() for c in df.columns]
     attr = spark.createDataFrame([(t, c, i) for i, (t, c) in enumerate(names)], "tbl string, col string, s_attr int")
-    cells = None
-    for t, df in source.items():
-        cells = profile.cells(df, t) if cells is None else cells.union(profile.cells(df, t))
-    profiles = profile.profile(cells).join(F.broadcast(attr), ["tbl", "col"])
+    profiles = profile.profile_tables(source).join(F.broadcast(attr), ["tbl", "col"])  # a row a column
     rows = [list(r) for r in target.collect()]  # a target is a handful of rows
     own = spark.createDataFrame([(i, j, v) for i, r in enumerate(rows) for j, v in enumerate(r)], "row_id int, t_attr int, raw string")
-    score = signals.score(own, profiles).cache()
+    score = spark.createDataFrame(signals.score(own, profiles).collect(), SCORES)  # target columns x source columns
     bridge = signals.top_k(score, k) if random_seed is None else signals.random_bridge(score, k, random_seed)
     n = len(names)
     with_id = lambda d: d.withColumn("dep_id", F.md5(F.to_json(F.struct("lhs", "rhs")).cast("binary")))
@@ -32,22 +49,10 @@ def match(spark: SparkSession, source: dict[str, DataFrame], target: DataFrame,
     all_fds = fds.select("lhs", "rhs").union(up(t_fds))
     all_inds = inds.select("lhs", "rhs").union(up(t_inds)) if use_inds else None
     p = graph.transition(graph.edges(all_fds, all_inds, bridge.select((F.col("t_attr") + n).alias("t_attr"), "s_attr")))
-    if rules is not None:
-        place, at = [], 0
-        for t, df in source.items():
-            numbered = df.select(*(F.col(f"`{c}`").alias(str(names.index((t, c)))) for c in df.columns))
-            count = df.count()
-            order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
-            place.append(numbered.withColumn("row_gid", (order + at).cast("long")).unpivot("row_gid", numbered.columns, "attr_id", "raw").select(F.col("attr_id").cast("int").alias("attr_id"), "row_gid", "raw"))
-            at += count
-        every = place[0]
-        for x in place[1:]:
-            every = every.union(x)
-        feature = mediator.expand(rules, every)
-    else:
-        feature = spark.createDataFrame([(i, i) for i in range(n)], "attr_id int, row_gid long")
-    sim = embed.similarity(*embed.embed_graph(p, feature, n + len(rows[0] if rows else []), hops=hops), n)
+    feature = features(spark, source, rules, names) if rules is not None else spark.createDataFrame([(i, i) for i in range(n)], "attr_id int, row_gid long")
+    vectors = embed.embed_graph(p, feature, n + len(rows[0] if rows else []), hops=hops)
+    sim = embed.similarity(*vectors, n)
     deps = [[(r["lhs"], r["rhs"]) for r in d.select("lhs", "rhs").collect()] for d in (fds, inds)]
-    run = spark.createDataFrame([refine.run_row("run", sim.tolist(), rows, *deps, config)], refine.RUN_SCHEMA)
+    run = spark.createDataFrame([refine.run_row("run", sim.tolist(), rows, *deps, config, cfds)], refine.RUN_SCHEMA)
     long = spark.createDataFrame([("run", i, j, float(v)) for i, r in enumerate(sim) for j, v in enumerate(r)], "run_id string, t_attr int, s_attr int, score double")
-    return {"score": score, "bridge": bridge, "sim": long, "refined": refine.refine_runs(run)}
+    return {"score": score, "bridge": bridge, "sim": long, "refined": refine.refine_runs(run), "vectors": vectors}

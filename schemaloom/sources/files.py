@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,36 @@ def csv_folder(spark: SparkSession, path: str, **options) -> dict[str, DataFrame
     return {n.rpartition("/")[2][:-4]: csv_table(spark, n, **options) for n in names}
 
 
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, by Spark's own file system, so any store works."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [str(f.getPath()) for f in found] if found else []
+
+
+def targets(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path`` that hold a target.csv, in natural order."""
+    return natural_order(p.split("/")[-2] for p in _paths(spark, f"{path}/*/target.csv"))
+
+
+def datasets(spark: SparkSession, path: str, preferred: list[str] = ()) -> dict[str, list[str]]:
+    """Data sets (folders with a source and a target folder) and their targets: preferred ones first, then by name."""
+    have = sorted({p.split("/")[-2] for p in _paths(spark, f"{path}/*/source")} & {p.split("/")[-2] for p in _paths(spark, f"{path}/*/target")})
+    order = [n for n in preferred if n in have] + [n for n in have if n not in preferred]
+    return {n: own for n in order if (own := targets(spark, f"{path}/{n}/target"))}
+
+
+def column_count(tables: dict[str, DataFrame]) -> int:
+    """Source columns over all tables, from their headers alone."""
+    return sum(len(df.columns) for df in tables.values())
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """tbl, ord, n_rows of parsed rows, so a quoted line end doesn't count as a row."""
+    one = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("tbl"), F.lit(i).alias("ord"), "n_rows") for i, (t, df) in enumerate(tables.items())]
+    return reduce(DataFrame.union, one)
+
+
 def natural_order(names) -> list[str]:
     return sorted(names, key=lambda n: (len(n), n))
 
@@ -87,6 +119,41 @@ def write_edges(edge: DataFrame, path: str) -> None:
     edge.select("attr_id", "row_gid").distinct().orderBy("attr_id", "row_gid").write.mode("overwrite").csv(path, sep=" ")
 
 
+def write_cfds(deps: DataFrame, path: str) -> None:
+    """``(0, 1=1996) => 2=x``: the constants stand by their attributes."""
+    one = lambda a: F.concat(a.cast("string"), F.coalesce(F.concat(F.lit("="), F.element_at("pattern", a)), F.lit("")))
+    side = lambda c: F.array_join(F.transform(c, one), ", ")
+    deps.select(F.concat(F.lit("("), side("lhs"), F.lit(") => "), side("rhs")).alias("value")).distinct().orderBy("value").write.mode("overwrite").text(path)
+
+
+def write_subsets(subsets: DataFrame, path: str) -> None:
+    """Edges or rules of nested subsets, a folder a fraction."""
+    subsets.write.mode("overwrite").partitionBy("fraction").parquet(path)
+
+
+def write_bridge(bridge: DataFrame, path: str, n_source: int = 0) -> None:
+    """A JSON row for each target attribute: t_attr, numbered after the sources, and its source ids, best first."""
+    own = bridge.groupBy((F.col("t_attr") + n_source).alias("t_attr")).agg(F.sort_array(F.collect_list(F.struct("rank", "s_attr"))).alias("x"))
+    own.select("t_attr", F.transform("x", lambda s: s["s_attr"]).alias("s_attrs")).write.mode("overwrite").json(path)
+
+
+def write_vectors(spark: SparkSession, forward, backward, path: str) -> None:
+    """attr_id, fwd, bwd: an embedding's vectors, a row a node."""
+    rows = [(i, f.tolist(), b.tolist()) for i, (f, b) in enumerate(zip(forward, backward))]
+    spark.createDataFrame(rows, "attr_id int, fwd array<double>, bwd array<double>").write.mode("overwrite").parquet(path)
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("attr_id int, fwd array<double>, bwd array<double>").parquet(path)
+
+
+def write_overview(metric: DataFrame, path: str) -> None:
+    """Metric rows as CSV with a header, and as JSON, in one order."""
+    own = metric.orderBy(*metric.columns).coalesce(1)  # a report
+    own.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    own.write.mode("overwrite").json(f"{path}/json")
+
+
 def write_matrix(sim: DataFrame, path: str, **parameters) -> None:
     """Long form with the parameters as columns, split by run."""
     sim.withColumns({k: F.lit(v) for k, v in parameters.items()}).write.mode("overwrite").partitionBy("run_id").parquet(path)

@@ -36,7 +36,7 @@ def rows(columns, data):
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got[1], "no rows"
+    assert got[1] or name == "graph_edges_none", "no rows"
     if name in catalogue.SQL:
         want = duck.sql(catalogue.SQL[name])
         assert got == rows(want.columns, want.fetchall())
