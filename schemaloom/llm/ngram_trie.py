@@ -1,22 +1,28 @@
 """Operator 9, language-model scoring with an Elias-Fano n-gram trie.
 
-The model is an interpolated bigram model with absolute discounting over add-one unigrams. Its
-trie has two levels. The first holds the vocabulary as a monotone sequence of word hashes in
-Elias-Fano code, with each word's count and the quantised weight that it passes on as a context.
-The second holds the successors of every context: monotone pointers into one sequence of keys
-(context, successor), both word numbers, in Elias-Fano code, with an 8-bit code of the quantised
-log probability. A bigram is found by a successor search for its key within its context's range.
-All arrays of a level lie in files that are mapped into memory, not read.
-
-Counts cover all training documents. Each task sums its words, or its pairs of words, in sorted
-arrays and sends them as one packed blob for each shard; a shard's blobs are merged in one task,
-whose size is bounded by the number of shards, which follows the number of tokens. Words are dealt
-to shards by the top bits of their hash; pairs by a hash of both words, so that a frequent context
-is spread over all shards. Files lie in the shared folder; where that isn't a local path, a task
-fetches them once and deletes its copies when its process ends.
-
-Unigram counts are exact, and base scores use them unquantised. The 64-bit hash of a word stands
-for it: two of V words share one with a probability below V^2 / 2^65.
+The model is an interpolated trigram model with absolute discounting over add-one unigrams. Its trie
+has three levels. The first holds the vocabulary as a monotone sequence of word hashes in Elias-Fano
+code, with each word's count and the quantised weight that it passes on as a context. The second holds
+the successors of every word, the third those of every pair of words: monotone pointers into one
+sequence of keys (context, successor) in Elias-Fano code, with an 8-bit code of each quantised log
+probability, and on the third level one of the weight that a pair passes on. A pair's context on the
+third level is its place on the second. An n-gram is found by a successor search for its key within
+its context's range; a bit array before each level tells most absent keys without a search. All arrays
+lie in files that are mapped into memory, not read.
+
+Trigrams that stand once in training are counted for the discount but not kept, so that the third
+level, unlike the second, is a small part of the text. A trigram can stand twice only if both of its
+pairs do; the others aren't gathered.
+
+Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
+sends them as one packed blob for each shard, as in any shuffle; a shard's blobs are merged in one task,
+whose size is bounded by the number of shards, which follows the number of tokens. Words are dealt to
+shards by the top bits of their hash, pairs and trigrams by a hash of a pair of words, so that a frequent
+word is spread over all shards. Files lie in the shared folder; where that isn't a local path, an
+executor fetches each once, for all its processes.
+
+Unigram counts are exact, and base scores use them unquantised. The 64-bit hash of a word stands for
+it: two of V words share one with a probability below V^2 / 2^65. More than 2^32 words are an error.
 
 Defined results: a null text is an empty one, of the end token alone. A null doc_id counts as not
 held out. Repeated rows are learned from as often as they stand. Without training documents all
@@ -26,29 +32,30 @@ probabilities are 1 and scores 0. Extra columns are ignored; an empty table give
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import os
-import shutil
 import tempfile
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, stored, utf8
+from .common import Scratch, scratch, small_batches
 
 U64 = np.uint64
 TOKENS_A_SHARD, WORDS_A_SHARD = 3_000_000, 1_000_000
-PAIRS_HELD, WORDS_HELD, CACHE_WORDS = 3_000_000, 400_000, 300_000
+PAIRS_HELD, WORDS_HELD, CACHE_WORDS, BATCH = 3_000_000, 400_000, 500_000, 16 << 20
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line end
 LEAST_LOG, STEP = -12.0, 12.0 / 255  # quantised log10 values
 
@@ -78,6 +85,11 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray | int]:
     return {"n": n, "low": low, "lows": lows, "high": high, "ones": ones}
 
 
+_EACH, _TOP = U64(0x0101010101010101), U64(0x8080808080808080)
+#: Place of the n-th one in a byte.
+_NTH = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     def __init__(self, n: int, low: int, lows: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low, self.lows, self.high, self.ones = n, low, lows, high, ones
@@ -86,16 +98,17 @@ class EliasFano:
         """Place of the rank-th (from 0) one or zero of the unary part."""
         before = np.arange(len(self.ones), dtype=U64) * U64(64) - self.ones if zeros else self.ones
         word = np.minimum(np.searchsorted(before, rank, side="right") - 1, len(self.high) - 1)
-        left = (rank - before[word]).astype(np.int64)
+        left = rank - before[word]
         bits = self.high[word]
-        bits = ~bits if zeros else bits
-        at = np.zeros(len(rank), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):  # binary search by population counts
-            count = np.bitwise_count((bits >> at.astype(U64)) & U64((1 << half) - 1)).astype(np.int64)
-            on = left >= count
-            left -= np.where(on, count, 0)
-            at += np.where(on, half, 0)
-        return word * 64 + at
+        if zeros:
+            bits = ~bits
+        # Counts of all bytes up to each one, side by side in a word; then the byte, then the bit in it.
+        sums = bits - ((bits >> U64(1)) & U64(0x5555555555555555))
+        sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH
+        byte = np.bitwise_count(((left * _EACH | _TOP) - sums) & _TOP).astype(U64) << U64(3)
+        left -= (sums << U64(8)) >> byte & U64(0xFF)
+        return word * 64 + byte.astype(np.int64) + _NTH[(bits >> byte & U64(0xFF)).astype(np.int64), np.minimum(left, U64(7)).astype(np.int64)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
@@ -150,20 +163,18 @@ def write_arrays(uri: str, **arrays) -> None:
     where.move(own, path)
 
 
-_fetched: dict[str, str] = {}
-
-
 def _local(uri: str) -> str:
-    """A path that can be mapped: the file's own, or a copy that goes when the process ends."""
+    """A path that can be mapped: the file's own, or this executor's one copy, which its maker deletes at its end."""
     if urlparse(uri).scheme in ("", "file"):
         return urlparse(uri).path
-    if uri not in _fetched:
-        folder = tempfile.mkdtemp()
-        atexit.register(shutil.rmtree, folder, True)
-        where, path = fs.FileSystem.from_uri(uri)
-        fs.copy_files(path, os.path.join(folder, "x"), where, fs.LocalFileSystem())
-        _fetched[uri] = os.path.join(folder, "x")
-    return _fetched[uri]
+    path = os.path.join(tempfile.gettempdir(), "schemaloom-" + hashlib.sha1(uri.encode()).hexdigest())
+    if not os.path.exists(path):
+        where, source = fs.FileSystem.from_uri(uri)
+        own = f"{path}.{os.getpid()}"
+        fs.copy_files(source, own, where, fs.LocalFileSystem())
+        os.replace(own, path)
+        atexit.register(lambda: os.path.exists(path) and os.remove(path))
+    return path
 
 
 def map_arrays(uri: str) -> dict:
@@ -185,18 +196,20 @@ def unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts = [unblob(x) for x in blobs]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
 # --- counting -------------------------------------------------------------------------------------
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def split(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, every word as a place among them, and each text's number of words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+    words = lists.flatten()
+    some = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), np.diff(upto)
 
 
 def _word_blobs(keys: np.ndarray, counts: np.ndarray, shards: int, per: int):
@@ -213,26 +226,32 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and their counts summed."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    ends = 0
+    held, n = [], 0
 
     def flush():
-        names = list(seen)
-        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), U64, len(names))
-        counts = np.fromiter((seen[w] for w in names), U64, len(names))
-        keys, counts = np.append(keys, U64(END)), np.append(counts, U64(ends))
-        order = np.argsort(keys)
-        return _batch(list(_word_blobs(keys[order], counts[order], shards, 1 << 16)))
-
-    for batch in small_batches(batches):
-        for text in utf8(batch.column("text")):
-            seen.update(tokens(text))
-            ends += 1
-        if len(seen) > WORDS_HELD:
+        return _batch(list(_word_blobs(*summed(*(np.concatenate(x) for x in zip(*held))), shards, 1 << 16)))
+
+    for batch in small_batches(batches, BATCH):
+        words, codes, sizes = split(batch.column("text"))
+        held.append((np.append(hashes(words), U64(END)), np.append(np.bincount(codes, minlength=len(words)), len(sizes)).astype(U64)))
+        n += len(words)
+        if n > WORDS_HELD:
             yield flush()
-            seen, ends = Counter(), 0
-    if ends:
+            held, n = [], 0
+    if held:
         yield flush()
 
 
@@ -251,7 +270,6 @@ class Level1:
         files = [map_arrays(f"{folder}/words-{s}") if n else None for s, n in enumerate(sizes)]
         self.parts = [f and (EliasFano(f["n"], f["low"], f["lows"], f["high"], f["ones"]), f["counts"]) for f in files]
         self.ids: dict[bytes, int] = {}
-        self.unknown = 0
 
     def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each word."""
@@ -269,14 +287,19 @@ class Level1:
             count[mine[ok]] = counts[at[ok]]
         return number, count
 
-    def numbers(self, split: list[list[bytes]]) -> None:
-        """Makes sure that ``ids`` has every word of these texts."""
-        seen = set().union(*split) if split else set()
-        new = [w for w in seen if w not in self.ids]
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Their numbers, through a bounded table."""
+        new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids, new = {}, list(seen)
-        found, _ = self.look(np.fromiter((xxhash.xxh64_intdigest(w) for w in new), U64, len(new)))
+            self.ids, new = {}, words
+        found, _ = self.look(hashes(new))
         self.ids.update(zip(new, found.tolist()))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+
+
+def mix(keys: np.ndarray) -> np.ndarray:
+    x = keys * U64(0x9E3779B97F4A7C15)
+    return x ^ (x >> U64(32))
 
 
 def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -284,17 +307,45 @@ def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(shards)) >> U64(32)
 
 
-def pairs_of(level: Level1, split: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all texts, each text with the end token before it and after it, and the
-    place of each text's first token. The end token before a text is its first context."""
-    level.numbers(split)
-    get, flat = level.ids.__getitem__, [end]
-    for words in split:
-        flat.extend(map(get, words))
-        flat.append(end)
-    ids = np.array(flat, np.int64)
-    sizes = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-    return ids, sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+class Texts:
+    """Some texts as one sequence of places in ``numbers`` (the words' numbers, the end token's last), each text
+    with the end token before it and after it. The one before a text is its first context."""
+
+    def __init__(self, level: Level1, column: pa.Array, end: int):
+        words, codes, sizes = split(column)
+        self.numbers = np.append(level.numbers(words), end)
+        self.sizes = sizes + 1
+        self.sequence = np.full(len(codes) + len(sizes) + 1, len(words), np.int64)
+        self.sequence[1 + np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+
+    def pairs(self) -> np.ndarray:
+        """Numbers of each token and of the one before it, as one key."""
+        ids = self.numbers[self.sequence].astype(U64)
+        return ids[:-1] << U64(32) | ids[1:]
+
+
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    """A bit array that has a bit for every key, of 16 bits a key or more."""
+    size = max(6, (16 * max(1, len(keys)) - 1).bit_length())
+    out = np.zeros(1 << (size - 6), U64)
+    at = mix(keys) >> U64(64 - size)
+    np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return out
+
+
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = mix(keys) >> U64(64 - (len(bits).bit_length() - 1 + 6))
+    return (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
+
+
+def _dealt(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each shard, in order."""
+    order = np.argsort(owner, kind="stable")
+    edge = np.searchsorted(owner[order], np.arange(shards + 1, dtype=U64))
+    for s in range(shards):
+        if edge[s] < edge[s + 1]:
+            yield s, order[edge[s] : edge[s + 1]]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
@@ -304,15 +355,11 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int
 
     def flush():
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        owner = _pair_shard(keys, shards)
-        order = np.argsort(owner, kind="stable")
-        edge = np.searchsorted(owner[order], np.arange(shards + 1, dtype=U64))
-        return _batch([(s, blob(keys[own], counts[own])) for s in range(shards) if len(own := order[edge[s] : edge[s + 1]])])
-
-    for batch in small_batches(batches):
-        ids, _, _ = pairs_of(level, [tokens(t) for t in utf8(batch.column("text"))], end)
-        held.append((ids[:-1].astype(U64) << U64(32)) | ids[1:].astype(U64))
-        n += len(ids) - 1
+        return _batch([(s, blob(keys[own], counts[own])) for s, own in _dealt(_pair_shard(keys, shards), shards)])
+
+    for batch in small_batches(batches, BATCH):
+        held.append(Texts(level, batch.column("text"), end).pairs())
+        n += len(held[-1])
         if n > PAIRS_HELD:
             yield flush()
             held, n = [], 0
@@ -320,24 +367,89 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int
         yield flush()
 
 
-def _merge_pairs(table: pa.Table, folder: str, words: int) -> pa.Table:
+def _merge_pairs(table: pa.Table, folder: str) -> pa.Table:
     """Writes a shard's pairs with counts; gives its contexts, and counts of pairs seen once and twice."""
     shard = table.column("shard")[0].as_py()
     keys, counts = merged(table.column("blob").to_pylist())
     write_arrays(f"{folder}/pairs-{shard}", keys=keys, counts=counts)
+    write_arrays(f"{folder}/often-{shard}", bits=bits_of(keys[counts > 1]))
     contexts, kinds = np.unique(keys >> U64(32), return_counts=True)
-    rows = [(int(c), b) for c, b in _context_blobs(contexts, kinds.astype(U64), words)]
+    rows = [(int(c), b) for c, b in _context_blobs(contexts, kinds.astype(U64))]
     return pa.table({"kind": pa.array(["context"] * len(rows) + ["once", "twice"], pa.string()), "shard": pa.array([r[0] for r in rows] + [shard, shard], pa.int32()), "blob": pa.array([r[1] for r in rows] + [None, None], pa.binary()), "n": pa.array([0] * len(rows) + [int((counts == 1).sum()), int((counts == 2).sum())], pa.int64())})
 
 
-def _context_blobs(contexts: np.ndarray, kinds: np.ndarray, words: int):
-    part = max(1, WORDS_A_SHARD)
-    owner = contexts // U64(part)
+def _context_blobs(contexts: np.ndarray, kinds: np.ndarray):
+    owner = contexts // U64(WORDS_A_SHARD)
     for s in np.unique(owner):
         own = owner == s
         yield s, blob(contexts[own], kinds[own])
 
 
+def triple_keys(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(mix(pairs) + words.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _packed(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
+    return zlib.compress(np.stack([pairs, words.astype(U64), counts.astype(U64)]).view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)).view(U64).reshape(3, -1)
+
+
+def _distinct(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = triple_keys(pairs, words)
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    one = order[first]
+    return pairs[one], words[one], np.add.reduceat(counts[order], first)
+
+
+def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
+    """Trigrams, both pairs of which stand twice or more (or seem to), by the shard of their first pair."""
+    level = Level1(folder, sizes)
+    end = int(level.look(np.array([END], U64))[0][0])
+    often = {}
+    held, n = [], 0
+
+    def flush():
+        pairs, words, counts = _distinct(*(np.concatenate(x) for x in zip(*held)))
+        return _batch([(s, _packed(pairs[own], words[own], counts[own])) for s, own in _dealt(_pair_shard(pairs, shards), shards)])
+
+    for batch in small_batches(batches, BATCH):
+        texts = Texts(level, batch.column("text"), end)
+        keys = texts.pairs()
+        codes, distinct = pd.factorize(keys)
+        ok = np.zeros(len(distinct), bool)
+        for s, own in _dealt(_pair_shard(distinct, shards), shards):
+            if s not in often:
+                often[s] = map_arrays(f"{folder}/often-{s}")["bits"]
+            ok[own] = may_have(often[s], distinct[own])
+        ok = ok[codes]
+        inside = ok[:-1] & ok[1:] & ((keys[:-1] & U64(0xFFFFFFFF)) != U64(end))  # a pair that ends a text is no context
+        at = np.flatnonzero(inside)
+        held.append((keys[at], keys[at + 1] & U64(0xFFFFFFFF), np.ones(len(at), U64)))
+        n += len(at)
+        if n > PAIRS_HELD:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _merge_triples(table: pa.Table, folder: str) -> pa.Table:
+    """Writes a shard's trigrams that stand twice or more; gives their number seen twice, and their occurrences."""
+    shard = table.column("shard")[0].as_py()
+    parts = [_unpacked(x) for x in table.column("blob").to_pylist()]
+    pairs, words, counts = _distinct(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+    keep = counts > 1
+    pairs, words, counts = pairs[keep], words[keep], counts[keep]
+    place = np.searchsorted(map_arrays(f"{folder}/pairs-{shard}")["keys"], pairs).astype(U64)
+    order = np.lexsort((words, place))
+    write_arrays(f"{folder}/triples-{shard}", contexts=place[order], words=words[order], counts=counts[order])
+    return pa.table({"shard": pa.array([shard], pa.int32()), "twice": pa.array([int((counts == 2).sum())], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
+
+
 def quantise(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((log10 - LEAST_LOG) / STEP), 0, 255).astype(np.uint8)
 
@@ -366,20 +478,75 @@ def counts_at(folder: str, sizes: list[int], numbers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _build_trie(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
-    """One shard's second level: contexts, monotone pointers, successors, codes."""
-    shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
-    raw = map_arrays(f"{folder}/pairs-{shard}")
-    keys, counts = np.array(raw["keys"]), np.array(raw["counts"]).astype(np.float64)
-    contexts, first = np.unique(keys >> U64(32), return_index=True)
-    own = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(keys))))
-    share = (counts - discount) / counts_at(folder, sizes, contexts.astype(np.int64))[own]
+def level_arrays(contexts: np.ndarray, words: np.ndarray, universe: int, vocabulary: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """A level of the trie: its contexts, monotone pointers and sequence of keys, from sorted pairs of a
+    context and a word; the distinct contexts, and the place of each pair's context among them."""
+    distinct, first = np.unique(contexts, return_index=True)
+    own = np.repeat(np.arange(len(distinct)), np.diff(np.append(first, len(contexts))))
     # A key is (context's place, successor), so the whole sequence is monotone.
-    sequence = encode(own.astype(U64) * U64(words) + (keys & U64(0xFFFFFFFF)), max(1, len(contexts) * words))
+    keys = own.astype(U64) * U64(vocabulary) + words.astype(U64)
     arrays = {}
-    for name, ef in (("c", encode(contexts, words + 1)), ("p", encode(np.append(first, len(keys)).astype(U64), len(keys) + 1)), ("s", sequence)):
+    for name, ef in (("c", encode(distinct, universe)), ("p", encode(np.append(first, len(contexts)).astype(U64), len(contexts) + 1)), ("s", encode(keys, max(1, len(distinct) * vocabulary)))):
         arrays |= {f"{name}_{k}": v for k, v in ef.items()}
-    write_arrays(f"{folder}/trie-{shard}", **arrays, codes=quantise(np.log10(share)))
+    return arrays | {"bits": bits_of(mix(contexts.astype(U64)) + words.astype(U64))}, distinct, own
+
+
+class Level:
+    """A mapped level. ``codes``: of the n-grams' shares."""
+
+    def __init__(self, uri: str, vocabulary: int):
+        self.arrays, self.vocabulary = map_arrays(uri), vocabulary
+        self.contexts, self.pointers, self.sequence = (EliasFano(*(self.arrays[f"{k}_{x}"] for x in ("n", "low", "lows", "high", "ones"))) for k in "cps")
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each n-gram, -1 where there is none."""
+        out = np.full(len(contexts), -1, np.int64)
+        held = np.flatnonzero(may_have(self.arrays["bits"], mix(contexts) + words))
+        if not len(held):
+            return out
+        at = self.place(contexts[held])
+        held, at = held[at >= 0], at[at >= 0]
+        which, back = np.unique(at, return_inverse=True)
+        first, last = (self.pointers.get(which + d).astype(np.int64)[back] for d in (0, 1))
+        want = at.astype(U64) * U64(self.vocabulary) + words[held]
+        order = np.argsort(want)  # neighbours are searched one after the other
+        found = np.empty(len(want), np.int64)
+        found[order] = self.sequence.successor(want[order], first[order], last[order])
+        ok = np.flatnonzero(found < last)
+        ok = ok[self.sequence.get(found[ok]) == want[ok]]
+        out[held[ok]] = found[ok]
+        return out
+
+    def place(self, contexts: np.ndarray) -> np.ndarray:
+        """The place of each context on the level, -1 where it has no successors."""
+        which, back = np.unique(contexts, return_inverse=True)
+        at = self.contexts.successor(which)
+        ok = at < self.contexts.n
+        ok[ok] = self.contexts.get(at[ok]) == which[ok]
+        return np.where(ok, at, -1)[back]
+
+
+def _build_second(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
+    shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
+    raw = map_arrays(f"{folder}/pairs-{shard}")
+    contexts, successors = raw["keys"] >> U64(32), raw["keys"] & U64(0xFFFFFFFF)
+    arrays, distinct, own = level_arrays(contexts, successors, words + 1, words)
+    share = (raw["counts"].astype(np.float64) - discount) / counts_at(folder, sizes, distinct.astype(np.int64))[own]
+    write_arrays(f"{folder}/second-{shard}", **arrays, codes=quantise(np.log10(share)))
+    return pa.table({"shard": pa.array([shard], pa.int32())})
+
+
+def _build_third(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
+    shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
+    raw, pairs = map_arrays(f"{folder}/triples-{shard}"), map_arrays(f"{folder}/pairs-{shard}")
+    if not len(raw["contexts"]):
+        return pa.table({"shard": pa.array([], pa.int32())})
+    arrays, distinct, own = level_arrays(raw["contexts"], raw["words"], len(pairs["keys"]) + 1, words)
+    share = (raw["counts"].astype(np.float64) - discount) / pairs["counts"][distinct.astype(np.int64)].astype(np.float64)[own]
+    left = 1.0 - np.bincount(own, share, len(distinct))  # what a pair passes on
+    parents = np.zeros((len(pairs["keys"]) + 63) // 64, U64)
+    np.bitwise_or.at(parents, (distinct >> U64(6)).astype(np.int64), U64(1) << (distinct & U64(63)))
+    write_arrays(f"{folder}/third-{shard}", **arrays, codes=quantise(np.log10(share)), passes=quantise(np.log10(np.maximum(left, 1e-12))), parents=parents)
     return pa.table({"shard": pa.array([shard], pa.int32())})
 
 
@@ -392,10 +559,7 @@ class Model:
         self.words, self.total = sum(info["sizes"]), info["tokens"]
         self.end = int(self.level.look(np.array([END], U64))[0][0]) if self.words else -1
         self.passes = {b: map_arrays(f"{folder}/passes-{b}")["codes"] for b in info["blocks"]}
-        self.tries = {}
-        for s in info["tries"]:
-            f = map_arrays(f"{folder}/trie-{s}")
-            self.tries[s] = [EliasFano(*(f[f"{k}_{x}"] for x in ("n", "low", "lows", "high", "ones"))) for k in "cps"] + [f["codes"]]
+        self.second, self.third = ({s: Level(f"{folder}/{name}-{s}", self.words) for s in info[name]} for name in ("second", "third"))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.total + self.words + 1.0)
@@ -408,80 +572,105 @@ class Model:
                 out[own] = 10 ** restore(self.passes[b][contexts[own] - b * WORDS_A_SHARD])
         return out
 
-    def shares(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted share of each pair of known words, 0 where it was never seen."""
-        out, owner = np.zeros(len(keys)), _pair_shard(keys, self.info["shards"])
-        for s in np.unique(owner):
-            if int(s) not in self.tries:
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct pair of known words its shard, its place there (-1: never seen) and its discounted share."""
+        owner, place, share = _pair_shard(keys, self.info["shards"]), np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        for s, own in _dealt(owner, self.info["shards"]):
+            if s in self.second:
+                level = self.second[s]
+                place[own] = level.find(keys[own] >> U64(32), keys[own] & U64(0xFFFFFFFF))
+                ok = own[place[own] >= 0]
+                share[ok] = 10 ** restore(level.arrays["codes"][place[ok]])
+        return owner.astype(np.int64), place, share
+
+    def triples(self, owner: np.ndarray, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each trigram (shard and place of its first pair, number of its word or -1) the weight that the pair
+        passes on, and the trigram's own discounted share."""
+        passed, share = np.ones(len(owner)), np.zeros(len(owner))
+        known = np.flatnonzero(place >= 0)
+        for s in np.unique(owner[known]):
+            if int(s) not in self.third:
                 continue
-            contexts, pointers, successors, codes = self.tries[int(s)]
-            mine = np.flatnonzero(owner == s)
-            context, word = keys[mine] >> U64(32), keys[mine] & U64(0xFFFFFFFF)
-            which, back = np.unique(context, return_inverse=True)
-            at = contexts.successor(which)
-            ok = at < contexts.n
-            ok[ok] = contexts.get(at[ok]) == which[ok]
-            first, last = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            first[ok], last[ok] = pointers.get(at[ok]).astype(np.int64), pointers.get(at[ok] + 1).astype(np.int64)
-            held = np.flatnonzero(ok[back])
-            mine, at, word, first, last = mine[held], at[back][held], word[held], first[back][held], last[back][held]
-            want = at.astype(U64) * U64(self.words) + word
-            found = successors.successor(want, first, last)
-            ok = found < last
-            ok[ok] = successors.get(found[ok]) == want[ok]
-            out[mine[ok]] = 10 ** restore(codes[found[ok]])
-        return out
+            level, own = self.third[int(s)], known[owner[known] == s]
+            at = place[own].astype(U64)
+            own = own[(level.arrays["parents"][(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)]
+            if not len(own):
+                continue
+            passed[own] = 10 ** restore(level.arrays["passes"][level.place(place[own].astype(U64))])
+            own = own[words[own] >= 0]
+            found = level.find(place[own].astype(U64), words[own].astype(U64))
+            share[own[found >= 0]] = 10 ** restore(level.arrays["codes"][found[found >= 0]])
+        return passed, share
 
-    def score(self, split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base and score of each text."""
-        ids, sizes, first = pairs_of(self.level, split, self.end)
-        own, context = ids[1:], ids[:-1]
-        numbers, back = np.unique(own, return_inverse=True)
+        texts = Texts(self.level, column, self.end)
+        numbers, own, context = texts.numbers, texts.sequence[1:], texts.sequence[:-1]
         counts = np.zeros(len(numbers), np.int64)
         if (numbers >= 0).any():
             counts[numbers >= 0] = counts_at(self.info["folder"], self.info["sizes"], numbers[numbers >= 0])
-        base = self.unigram(counts)
-        known, p = (counts > 0)[back], base[back]
-        heads, at = np.unique(context, return_inverse=True)
-        mixed = self.passed(heads)[at] * p
-        both = np.flatnonzero((own >= 0) & (context >= 0))
-        keys, where = np.unique((context[both].astype(U64) << U64(32)) | own[both].astype(U64), return_inverse=True)
-        mixed[both] += self.shares(keys)[where]
-        return sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(np.log10(p), first), np.add.reduceat(np.log10(np.minimum(mixed, 1.0)), first)
+        base, passed = self.unigram(counts), self.passed(numbers)
+        # Pairs by the places of their words, each distinct one once.
+        codes, distinct = pd.factorize(context * len(numbers) + own)
+        a, b = numbers[distinct // len(numbers)], numbers[distinct % len(numbers)]
+        owner, place, share = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1, np.int64), np.zeros(len(distinct))
+        both = np.flatnonzero((a >= 0) & (b >= 0))
+        owner[both], place[both], share[both] = self.pairs(a[both].astype(U64) << U64(32) | b[both].astype(U64))
+        two = passed[context] * base[own] + share[codes]
+        # A token's trigram has the pair before it as its context, but for the first token of a text.
+        place[b == self.end] = -1
+        again, trigrams = pd.factorize(codes[:-1] * np.int64(len(numbers)) + own[1:])
+        pair, word = trigrams // len(numbers), numbers[trigrams % len(numbers)]
+        weight, extra = self.triples(owner[pair], place[pair], word)
+        three = two.copy()
+        three[1:] = weight[again] * two[1:] + extra[again]
+        sums = lambda x: np.add.reduceat(x, texts.first)
+        return texts.sizes, sums((counts > 0)[own].astype(np.int64)), sums(np.log10(base)[own]), sums(np.log10(np.minimum(three, 1.0))), sums(np.log10(np.minimum(two, 1.0)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], info: dict) -> Iterator[pa.RecordBatch]:
     model = Model(info)
-    for batch in small_batches(batches):
-        n, known, base, score = model.score([tokens(t) for t in utf8(batch.column("text"))])
+    for batch in small_batches(batches, BATCH):
+        n, known, base, score, _ = model.score(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([model.total] * batch.num_rows, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _discount(once: int, twice: int) -> float:
+    return once / max(1, once + 2 * twice) or 0.5
+
+
 def fit(train: DataFrame) -> dict:
     """Builds the trie from the texts of ``train``; gives what a task needs to map it."""
     spark = train.sparkSession
     folder = scratch(spark, "trie")
     train = train.select("text")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, size // (6 * TOKENS_A_SHARD) + 1)
-    words = train.mapInArrow(partial(_count_words, shards=shards), "shard int, blob binary")
-    stats = stored(words.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _build_words(t, folder), "shard int, words long, tokens long"), "words").collect()
-    sizes = [0] * shards
-    for r in stats:
-        sizes[r["shard"]] = r["words"]
-    total = sum(r["tokens"] for r in stats)
-    info = {"folder": folder, "sizes": sizes, "tokens": total, "shards": shards, "tries": [], "blocks": []}
-    if not total:
-        return info
-    pairs = train.mapInArrow(partial(_count_pairs, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
-    n = sum(sizes)
-    made = stored(pairs.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _merge_pairs(t, folder, n), "kind string, shard int, blob binary, n long"), "contexts")
-    seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
-    discount = seen["once"] / max(1, seen["once"] + 2 * seen["twice"]) or 0.5
-    blocks = made.where("kind = 'context'").select("shard", "blob")
-    info["blocks"] = [r[0] for r in stored(blocks.repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard").applyInArrow(lambda t: _build_passes(t, folder, sizes, discount), "shard int"), "passes").collect()]
-    have = made.where("kind = 'once'").select("shard").repartition(shards, "shard")
-    info["tries"] = [r[0] for r in stored(have.groupBy("shard").applyInArrow(lambda t: _build_trie(t, folder, sizes, discount), "shard int"), "tries").collect()]
+    texts, size = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shards = max(4, (size or 0) // (6 * TOKENS_A_SHARD) + 1)
+    blobs = lambda f: train.mapInArrow(f, "shard int, blob binary").repartition(shards, "shard").groupBy("shard")
+    with Scratch(spark) as tmp:
+        stats = tmp.stored(blobs(partial(_count_words, shards=shards)).applyInArrow(lambda t: _build_words(t, folder), "shard int, words long, tokens long"), "words").collect()
+        sizes = [0] * shards
+        for r in stats:
+            sizes[r["shard"]] = r["words"]
+        n, total = sum(sizes), sum(r["tokens"] for r in stats)
+        if n >= 1 << 32:
+            raise ValueError("the vocabulary has more than 2^32 words")
+        info = {"folder": folder, "sizes": sizes, "tokens": total, "shards": shards, "second": [], "third": [], "blocks": []}
+        if not total:
+            return info
+        made = tmp.stored(blobs(partial(_count_pairs, folder=folder, sizes=sizes, shards=shards)).applyInArrow(lambda t: _merge_pairs(t, folder), "kind string, shard int, blob binary, n long"), "contexts")
+        seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
+        second = _discount(seen["once"], seen["twice"])
+        blocks = made.where("kind = 'context'").select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
+        info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder, sizes, second), "shard int"), "passes").collect()]
+        own = made.where("kind = 'once'").select("shard").repartition(shards, "shard").groupBy("shard")
+        info["second"] = [r[0] for r in tmp.stored(own.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
+        kept = tmp.stored(blobs(partial(_count_triples, folder=folder, sizes=sizes, shards=shards)).applyInArrow(lambda t: _merge_triples(t, folder), "shard int, twice long, n long"), "triples")
+        twice, held = kept.agg(F.sum("twice"), F.sum("n")).first()
+        # Every token but a text's first has a trigram; those that aren't kept stand once.
+        third = _discount(total - texts - (held or 0), twice or 0)
+        own = kept.select("shard").repartition(shards, "shard").groupBy("shard")
+        info["third"] = [r[0] for r in tmp.stored(own.applyInArrow(lambda t: _build_third(t, folder, sizes, third), "shard int"), "third").collect()]
     return info
 
 

@@ -252,23 +252,43 @@ def test_elias_fano():
 
 
 def test_scores(spark, docs, texts):
+    """Against counts in plain Python; the quantised weights allow a step's half for each of them."""
     import math
 
-    info = ngram_trie.fit(docs.where("doc_id % 3 > 0"))
+    import pyarrow as pa
+
+    info = ngram_trie.fit(docs.where("doc_id % 3 > 0").union(docs.where("doc_id % 6 = 1")))
     model = ngram_trie.Model(info)
-    split = [(t or "").lower().encode().split() for t in texts]
-    tokens = [[*w, b"\n"] for w in split]
-    train = [t for i, t in enumerate(tokens) if i % 3]
+    tokens = [[*(t or "").lower().encode().split(), b"\n"] for t in texts]
+    train = [t for i, t in enumerate(tokens) for _ in range((i % 3 > 0) + (i % 6 == 1))]
     c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b"\n", *t], t))
-    total, once, twice = sum(c.values()), sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values())
-    d, kinds = once / (once + 2 * twice), Counter(a for a, _ in pairs)
-    n, known, base, score = model.score(split)
+    triples = Counter(p for t in train for p in zip([b"\n", *t], t, t[1:]))
+    total, kinds = sum(c.values()), Counter(a for a, _ in pairs)
+    discount = lambda n: (one := sum(v == 1 for v in n.values())) / (one + 2 * sum(v == 2 for v in n.values()))
+    d, e = discount(pairs), discount(triples)
+    kept = {k: v for k, v in triples.items() if v > 1}
+    given = Counter()
+    for (a, b, _), v in kept.items():
+        given[a, b] += (v - e) / pairs[a, b]
+    n, known, base, score, two = model.score(pa.array(texts))
     for i, t in enumerate(tokens):
         p = [(c[w] + 1) / (total + len(c) + 1) for w in t]
         assert (n[i], known[i]) == (len(t), sum(w in c for w in t)) and base[i] == pytest.approx(sum(map(math.log10, p)))
-        want = sum(math.log10((q * min(1, d * kinds[a] / c[a]) + max(pairs[a, w] - d, 0) / c[a]) if c[a] else q) for a, w, q in zip([b"\n", *t], t, p))
-        assert abs(score[i] - want) < 0.03 * len(t)
-    assert ngram_trie.fit(docs.limit(0))["tokens"] == 0
+        q = [(u * min(1, d * kinds[a] / c[a]) + max(pairs[a, w] - d, 0) / c[a]) if c[a] else u for a, w, u in zip([b"\n", *t], t, p)]
+        r = q[:1] + [(1 - given[a, b]) * u + (max(kept[a, b, w] - e, 0) / pairs[a, b] if (a, b, w) in kept else 0) for a, b, w, u in zip([b"\n", *t], t, t[1:], q[1:])]
+        off = ngram_trie.STEP / 2 + 1e-6  # of a logarithm, for each of the mixed parts
+        assert abs(two[i] - sum(map(math.log10, q))) <= off * len(t) and abs(score[i] - sum(map(math.log10, r))) <= 2 * off * len(t)
+    assert sum(score) > sum(two) + 10  # copies stand out
+    none = ngram_trie.fit(docs.limit(0))
+    assert none["tokens"] == 0 and ngram_trie.Model(none).score(pa.array(["a b", None]))[3].tolist() == [0.0, 0.0]
+
+
+def test_splitting_is_pythons():
+    import pyarrow as pa
+
+    odd = [" Ab c\n\x0bD ", "", None, "É e\u00a0f\u2003g", "\x1ca\x1d b", "  "]
+    words, codes, sizes = ngram_trie.split(pa.array(odd))
+    assert [words[i] for i in codes] == [w for t in odd for w in (t or "").encode().lower().split()] and sizes.tolist() == [len((t or "").encode().split()) for t in odd]
 
 
 def test_rollup(spark):
