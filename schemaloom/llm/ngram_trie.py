@@ -204,11 +204,11 @@ def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def split(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of some texts, every word as a place among them, and each text's number of words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
     words = lists.flatten()
     some = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    coded = words.filter(pa.array(some)).dictionary_encode()
+    coded = pc.ascii_lower(words.filter(pa.array(some))).dictionary_encode()  # lower case of a slice of texts would be wrong
     return coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), np.diff(upto)
 
 

@@ -287,8 +287,11 @@ def test_splitting_is_pythons():
     import pyarrow as pa
 
     odd = [" Ab c\n\x0bD ", "", None, "É e\u00a0f\u2003g", "\x1ca\x1d b", "  "]
-    words, codes, sizes = ngram_trie.split(pa.array(odd))
-    assert [words[i] for i in codes] == [w for t in odd for w in (t or "").encode().lower().split()] and sizes.tolist() == [len((t or "").encode().split()) for t in odd]
+    for texts in (odd, [t for t in odd if t is not None]):
+        for at in range(len(texts)):
+            words, codes, sizes = ngram_trie.split(pa.array(texts).slice(at, 3))
+            part = [(t or "").encode().lower().split() for t in texts[at : at + 3]]
+            assert [words[i] for i in codes] == [w for t in part for w in t] and sizes.tolist() == [len(t) for t in part]
 
 
 def test_rollup(spark):
