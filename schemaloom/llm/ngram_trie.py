@@ -14,7 +14,8 @@ Trigrams that stand once in training are counted for the discount but not kept,
 level, unlike the second, is a small part of the text. A trigram can stand twice only if both of its
 pairs do; the others aren't gathered.
 
-Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
+Texts are split twice: to count words, and to write the numbers of their words, which all later passes
+read instead. Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
 sends them as one packed blob for each shard, as in any shuffle; a shard's blobs are merged in one task,
 whose size is bounded by the number of shards, which follows the number of tokens. Words are dealt to
 shards by the top bits of their hash, pairs and trigrams by a hash of a pair of words, so that a frequent
@@ -51,11 +52,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, scratch, small_batches
+from .common import Scratch, scratch, small_batches, stored
 
 U64 = np.uint64
 TOKENS_A_SHARD, WORDS_A_SHARD = 3_000_000, 1_000_000
-PAIRS_HELD, WORDS_HELD, CACHE_WORDS, BATCH = 3_000_000, 400_000, 500_000, 16 << 20
+PAIRS_HELD, TRIPLES_HELD, WORDS_HELD, CACHE_WORDS = 3_000_000, 1_500_000, 400_000, 400_000
+#: Bytes of texts, or of numbers of words, that are handled at once.
+BATCH, CODED = 12 << 20, 6 << 20
+UNKNOWN = 0xFFFFFFFF
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line end
 LEAST_LOG, STEP = -12.0, 12.0 / 255  # quantised log10 values
 
@@ -307,22 +311,27 @@ def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(shards)) >> U64(32)
 
 
-class Texts:
-    """Some texts as one sequence of places in ``numbers`` (the words' numbers, the end token's last), each text
-    with the end token before it and after it. The one before a text is its first context."""
+def coded(level: Level1, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers (-1: unknown) of all texts, each with the end token after it, and their sizes."""
+    words, codes, sizes = split(column)
+    out = np.full(len(codes) + len(sizes), end, np.int64)
+    out[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = level.numbers(words)[codes]
+    return out, sizes + 1
 
-    def __init__(self, level: Level1, column: pa.Array, end: int):
-        words, codes, sizes = split(column)
-        self.numbers = np.append(level.numbers(words), end)
-        self.sizes = sizes + 1
-        self.sequence = np.full(len(codes) + len(sizes) + 1, len(words), np.int64)
-        self.sequence[1 + np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
 
-    def pairs(self) -> np.ndarray:
-        """Numbers of each token and of the one before it, as one key."""
-        ids = self.numbers[self.sequence].astype(U64)
-        return ids[:-1] << U64(32) | ids[1:]
+def pair_keys(ids: np.ndarray, end: int) -> np.ndarray:
+    """Numbers of each token and of the one before it, as one key. The end token before a text is its first context."""
+    ids = ids.astype(U64)
+    return np.concatenate([[U64(end)], ids[:-1]]) << U64(32) | ids
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of coded texts with their numbers, -1 where unknown, and sizes."""
+    for batch in small_batches(batches, CODED):
+        each = batch.column("ids").to_pylist()
+        ids = np.frombuffer(b"".join(each), np.uint32).astype(np.int64)
+        ids[ids == UNKNOWN] = -1
+        yield batch, ids, np.array([len(x) // 4 for x in each], np.int64)
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -348,18 +357,31 @@ def _dealt(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s, order[edge[s] : edge[s + 1]]
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: shard and blob of the training texts' pairs; doc_id, held_out and ids of every text."""
     level = Level1(folder, sizes)
     end = int(level.look(np.array([END], U64))[0][0])
-    held, n = [], 0
+    names = ["shard", "blob", "doc_id", "held_out", "ids"]
+    held, n, kind = [], 0, None
 
     def flush():
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return _batch([(s, blob(keys[own], counts[own])) for s, own in _dealt(_pair_shard(keys, shards), shards)])
+        rows = [(s, blob(keys[own], counts[own])) for s, own in _dealt(_pair_shard(keys, shards), shards)]
+        own = _batch(rows)
+        none = lambda t: pa.nulls(len(rows), t)
+        return pa.RecordBatch.from_arrays([*own.columns, none(kind), none(pa.bool_()), none(pa.binary())], names)
 
     for batch in small_batches(batches, BATCH):
-        held.append(Texts(level, batch.column("text"), end).pairs())
-        n += len(held[-1])
+        kind = batch.schema.field("doc_id").type
+        ids, sizes_ = coded(level, batch.column("text"), end)
+        cuts = np.concatenate([[0], np.cumsum(sizes_)])
+        short = ids.astype(np.uint32).tobytes()  # -1 becomes UNKNOWN
+        out = pa.array([short[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary()), batch.column("doc_id"), batch.column("held_out"), out], names)
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        if end >= 0 and train.any():
+            held.append(pair_keys(ids[np.repeat(train, sizes_)], end))
+            n += len(held[-1])
         if n > PAIRS_HELD:
             yield flush()
             held, n = [], 0
@@ -416,9 +438,8 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
         pairs, words, counts = _distinct(*(np.concatenate(x) for x in zip(*held)))
         return _batch([(s, _packed(pairs[own], words[own], counts[own])) for s, own in _dealt(_pair_shard(pairs, shards), shards)])
 
-    for batch in small_batches(batches, BATCH):
-        texts = Texts(level, batch.column("text"), end)
-        keys = texts.pairs()
+    for _, ids, _ in _sequences(batches):
+        keys = pair_keys(ids, end)
         codes, distinct = pd.factorize(keys)
         ok = np.zeros(len(distinct), bool)
         for s, own in _dealt(_pair_shard(distinct, shards), shards):
@@ -426,11 +447,10 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
                 often[s] = map_arrays(f"{folder}/often-{s}")["bits"]
             ok[own] = may_have(often[s], distinct[own])
         ok = ok[codes]
-        inside = ok[:-1] & ok[1:] & ((keys[:-1] & U64(0xFFFFFFFF)) != U64(end))  # a pair that ends a text is no context
-        at = np.flatnonzero(inside)
-        held.append((keys[at], keys[at + 1] & U64(0xFFFFFFFF), np.ones(len(at), U64)))
+        at = np.flatnonzero(ok[:-1] & ok[1:] & (ids[:-1] != end))  # a pair that ends a text is no context
+        held.append((keys[at], ids[at + 1].astype(U64), np.ones(len(at), U64)))
         n += len(at)
-        if n > PAIRS_HELD:
+        if n > TRIPLES_HELD:
             yield flush()
             held, n = [], 0
     if n:
@@ -602,36 +622,37 @@ class Model:
             share[own[found >= 0]] = 10 ** restore(level.arrays["codes"][found[found >= 0]])
         return passed, share
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """n_tokens, n_known, base and score of each text."""
-        texts = Texts(self.level, column, self.end)
-        numbers, own, context = texts.numbers, texts.sequence[1:], texts.sequence[:-1]
+    def score(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """n_tokens, n_known, base and score of each coded text, and its score without the third level."""
+        own, numbers = pd.factorize(ids)
+        many = np.int64(len(numbers))
         counts = np.zeros(len(numbers), np.int64)
         if (numbers >= 0).any():
             counts[numbers >= 0] = counts_at(self.info["folder"], self.info["sizes"], numbers[numbers >= 0])
         base, passed = self.unigram(counts), self.passed(numbers)
+        context = np.concatenate([own[-1:], own[:-1]])  # the last token is an end, as before every text
         # Pairs by the places of their words, each distinct one once.
-        codes, distinct = pd.factorize(context * len(numbers) + own)
-        a, b = numbers[distinct // len(numbers)], numbers[distinct % len(numbers)]
+        codes, distinct = pd.factorize(context * many + own)
+        a, b = numbers[distinct // many], numbers[distinct % many]
         owner, place, share = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1, np.int64), np.zeros(len(distinct))
         both = np.flatnonzero((a >= 0) & (b >= 0))
         owner[both], place[both], share[both] = self.pairs(a[both].astype(U64) << U64(32) | b[both].astype(U64))
         two = passed[context] * base[own] + share[codes]
         # A token's trigram has the pair before it as its context, but for the first token of a text.
         place[b == self.end] = -1
-        again, trigrams = pd.factorize(codes[:-1] * np.int64(len(numbers)) + own[1:])
-        pair, word = trigrams // len(numbers), numbers[trigrams % len(numbers)]
-        weight, extra = self.triples(owner[pair], place[pair], word)
+        again, trigrams = pd.factorize(codes[:-1] * many + own[1:])
+        weight, extra = self.triples(owner[trigrams // many], place[trigrams // many], numbers[trigrams % many])
         three = two.copy()
         three[1:] = weight[again] * two[1:] + extra[again]
-        sums = lambda x: np.add.reduceat(x, texts.first)
-        return texts.sizes, sums((counts > 0)[own].astype(np.int64)), sums(np.log10(base)[own]), sums(np.log10(np.minimum(three, 1.0))), sums(np.log10(np.minimum(two, 1.0)))
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sums = lambda x: np.add.reduceat(x, first)
+        return sizes, sums((counts > 0)[own].astype(np.int64)), sums(np.log10(base)[own]), sums(np.log10(np.minimum(three, 1.0))), sums(np.log10(np.minimum(two, 1.0)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], info: dict) -> Iterator[pa.RecordBatch]:
     model = Model(info)
-    for batch in small_batches(batches, BATCH):
-        n, known, base, score, _ = model.score(batch.column("text"))
+    for batch, ids, sizes in _sequences(batches):
+        n, known, base, score, _ = model.score(ids, sizes)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([model.total] * batch.num_rows, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -639,43 +660,49 @@ def _discount(once: int, twice: int) -> float:
     return once / max(1, once + 2 * twice) or 0.5
 
 
-def fit(train: DataFrame) -> dict:
-    """Builds the trie from the texts of ``train``; gives what a task needs to map it."""
-    spark = train.sparkSession
+def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
+    """Builds the trie from the texts of ``docs`` (doc_id, text, held_out) that aren't held out; gives what a
+    task needs to map it, and all texts coded (doc_id, held_out, ids)."""
+    spark = docs.sparkSession
     folder = scratch(spark, "trie")
-    train = train.select("text")
+    docs = docs.select("doc_id", "text", "held_out")
+    train = docs.where("not held_out").select("text")
     texts, size = train.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = max(4, (size or 0) // (6 * TOKENS_A_SHARD) + 1)
-    blobs = lambda f: train.mapInArrow(f, "shard int, blob binary").repartition(shards, "shard").groupBy("shard")
+    by_shard = lambda blobs: blobs.repartition(shards, "shard").groupBy("shard")
     with Scratch(spark) as tmp:
-        stats = tmp.stored(blobs(partial(_count_words, shards=shards)).applyInArrow(lambda t: _build_words(t, folder), "shard int, words long, tokens long"), "words").collect()
+        blobs = train.mapInArrow(partial(_count_words, shards=shards), "shard int, blob binary")
+        stats = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _build_words(t, folder), "shard int, words long, tokens long"), "words").collect()
         sizes = [0] * shards
         for r in stats:
             sizes[r["shard"]] = r["words"]
         n, total = sum(sizes), sum(r["tokens"] for r in stats)
-        if n >= 1 << 32:
-            raise ValueError("the vocabulary has more than 2^32 words")
+        if n >= UNKNOWN:
+            raise ValueError("the vocabulary has 2^32 words or more")
         info = {"folder": folder, "sizes": sizes, "tokens": total, "shards": shards, "second": [], "third": [], "blocks": []}
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = stored(docs.mapInArrow(partial(_code, folder=folder, sizes=sizes, shards=shards), f"shard int, blob binary, doc_id {kind}, held_out boolean, ids binary"), "coded")
+        own = rows.where("shard is null").select("doc_id", "held_out", "ids")
         if not total:
-            return info
-        made = tmp.stored(blobs(partial(_count_pairs, folder=folder, sizes=sizes, shards=shards)).applyInArrow(lambda t: _merge_pairs(t, folder), "kind string, shard int, blob binary, n long"), "contexts")
+            return info, own
+        made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder), "kind string, shard int, blob binary, n long"), "contexts")
         seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
         second = _discount(seen["once"], seen["twice"])
         blocks = made.where("kind = 'context'").select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
         info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder, sizes, second), "shard int"), "passes").collect()]
-        own = made.where("kind = 'once'").select("shard").repartition(shards, "shard").groupBy("shard")
-        info["second"] = [r[0] for r in tmp.stored(own.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
-        kept = tmp.stored(blobs(partial(_count_triples, folder=folder, sizes=sizes, shards=shards)).applyInArrow(lambda t: _merge_triples(t, folder), "shard int, twice long, n long"), "triples")
+        each = by_shard(made.where("kind = 'once'").select("shard"))
+        info["second"] = [r[0] for r in tmp.stored(each.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
+        blobs = own.where("not held_out").select("ids").mapInArrow(partial(_count_triples, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
+        kept = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder), "shard int, twice long, n long"), "triples")
         twice, held = kept.agg(F.sum("twice"), F.sum("n")).first()
         # Every token but a text's first has a trigram; those that aren't kept stand once.
         third = _discount(total - texts - (held or 0), twice or 0)
-        own = kept.select("shard").repartition(shards, "shard").groupBy("shard")
-        info["third"] = [r[0] for r in tmp.stored(own.applyInArrow(lambda t: _build_third(t, folder, sizes, third), "shard int"), "third").collect()]
-    return info
+        info["third"] = [r[0] for r in tmp.stored(by_shard(kept.select("shard")).applyInArrow(lambda t: _build_third(t, folder, sizes, third), "shard int"), "third").collect()]
+    return info, own
 
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)))
-    info = fit(docs.where("not held_out"))
-    return docs.mapInArrow(partial(_score, info=info), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    info, own = fit(docs)
+    return own.mapInArrow(partial(_score, info=info), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -257,8 +257,11 @@ def test_scores(spark, docs, texts):
 
     import pyarrow as pa
 
-    info = ngram_trie.fit(docs.where("doc_id % 3 > 0").union(docs.where("doc_id % 6 = 1")))
+    own = docs.withColumn("held_out", ngram_trie.F.col("doc_id") % 3 == 0)
+    info, rows = ngram_trie.fit(own.union(own.where("doc_id % 6 = 1")))
     model = ngram_trie.Model(info)
+    assert rows.count() == len(texts) + sum(i % 6 == 1 for i in range(len(texts)))
+    score_of = lambda m, t: m.score(*ngram_trie.coded(m.level, pa.array(t, pa.string()), m.end))
     tokens = [[*(t or "").lower().encode().split(), b"\n"] for t in texts]
     train = [t for i, t in enumerate(tokens) for _ in range((i % 3 > 0) + (i % 6 == 1))]
     c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b"\n", *t], t))
@@ -270,7 +273,7 @@ def test_scores(spark, docs, texts):
     given = Counter()
     for (a, b, _), v in kept.items():
         given[a, b] += (v - e) / pairs[a, b]
-    n, known, base, score, two = model.score(pa.array(texts))
+    n, known, base, score, two = score_of(model, texts)
     for i, t in enumerate(tokens):
         p = [(c[w] + 1) / (total + len(c) + 1) for w in t]
         assert (n[i], known[i]) == (len(t), sum(w in c for w in t)) and base[i] == pytest.approx(sum(map(math.log10, p)))
@@ -279,8 +282,11 @@ def test_scores(spark, docs, texts):
         off = ngram_trie.STEP / 2 + 1e-6  # of a logarithm, for each of the mixed parts
         assert abs(two[i] - sum(map(math.log10, q))) <= off * len(t) and abs(score[i] - sum(map(math.log10, r))) <= 2 * off * len(t)
     assert sum(score) > sum(two) + 10  # copies stand out
-    none = ngram_trie.fit(docs.limit(0))
-    assert none["tokens"] == 0 and ngram_trie.Model(none).score(pa.array(["a b", None]))[3].tolist() == [0.0, 0.0]
+    got = {r["doc_id"]: r["score"] for r in rows.mapInArrow(ngram_trie.partial(ngram_trie._score, info=info), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()}
+    assert all(got[i] == pytest.approx(x) for i, x in enumerate(score.tolist()))
+    none, rows = ngram_trie.fit(own.withColumn("held_out", ngram_trie.F.lit(True)))
+    assert none["tokens"] == 0 and rows.count() == len(texts) and score_of(ngram_trie.Model(none), ["a b", None])[3].tolist() == [0.0, 0.0]
+    assert ngram_trie.fit(own.limit(0))[1].count() == 0
 
 
 def test_splitting_is_pythons():
