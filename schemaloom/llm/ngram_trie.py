@@ -10,9 +10,10 @@ third level is its place on the second. An n-gram is found by a successor search
 its context's range; a bit array before each level tells most absent keys without a search. All arrays
 lie in files that are mapped into memory, not read.
 
-Trigrams that stand once in training are counted for the discount but not kept, so that the third
-level, unlike the second, is a small part of the text. A trigram can stand twice only if both of its
-pairs do; the others aren't gathered.
+Pairs and trigrams that stand once in training are counted for the discounts but not kept, so that
+these levels are a small part of the text; what a context doesn't give to kept n-grams it passes on, so
+probabilities sum to one. A trigram can stand twice only if both of its pairs do; the others aren't
+gathered.
 
 Texts are split twice: to count words, and to write the numbers of their words, which all later passes
 read instead. Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
@@ -390,52 +391,49 @@ def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shar
 
 
 def _merge_pairs(table: pa.Table, folder: str) -> pa.Table:
-    """Writes a shard's pairs with counts; gives its contexts, and counts of pairs seen once and twice."""
+    """Writes a shard's pairs that stand twice or more, with counts. Gives what each context has of them (their
+    number and the sum of their counts), and the numbers of pairs seen once and twice."""
     shard = table.column("shard")[0].as_py()
     keys, counts = merged(table.column("blob").to_pylist())
+    seen = [int((counts == n).sum()) for n in (1, 2)]
+    keys, counts = keys[counts > 1], counts[counts > 1]
     write_arrays(f"{folder}/pairs-{shard}", keys=keys, counts=counts)
-    write_arrays(f"{folder}/often-{shard}", bits=bits_of(keys[counts > 1]))
-    contexts, kinds = np.unique(keys >> U64(32), return_counts=True)
-    rows = [(int(c), b) for c, b in _context_blobs(contexts, kinds.astype(U64))]
-    return pa.table({"kind": pa.array(["context"] * len(rows) + ["once", "twice"], pa.string()), "shard": pa.array([r[0] for r in rows] + [shard, shard], pa.int32()), "blob": pa.array([r[1] for r in rows] + [None, None], pa.binary()), "n": pa.array([0] * len(rows) + [int((counts == 1).sum()), int((counts == 2).sum())], pa.int64())})
+    contexts, first = np.unique(keys >> U64(32), return_index=True)
+    own = {"kinds": np.diff(np.append(first, len(keys))).astype(U64), "sums": np.add.reduceat(counts, first) if len(first) else counts}
+    rows = [(kind, int(c), b, 0) for kind, x in own.items() for c, b in _context_blobs(contexts, x)]
+    rows += [(kind, shard, None, n) for kind, n in zip(("once", "twice"), seen)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["kind", "shard", "blob", "n"])
 
 
-def _context_blobs(contexts: np.ndarray, kinds: np.ndarray):
+def _context_blobs(contexts: np.ndarray, values: np.ndarray):
     owner = contexts // U64(WORDS_A_SHARD)
     for s in np.unique(owner):
         own = owner == s
-        yield s, blob(contexts[own], kinds[own])
-
-
-def triple_keys(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(mix(pairs) + words.astype(U64) * U64(0xD6E8FEB86659FD93))
+        yield s, blob(contexts[own], values[own])
 
 
 def _packed(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
-    return zlib.compress(np.stack([pairs, words.astype(U64), counts.astype(U64)]).view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)
+    """Pairs, sorted, as differences; the zero bytes of all three compress away."""
+    rows = np.stack([np.diff(pairs, prepend=U64(0)), words.astype(U64), counts.astype(U64)])
+    return zlib.compress(rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)).view(U64).reshape(3, -1)
-
-
-def _distinct(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = triple_keys(pairs, words)
-    order = np.argsort(keys)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-    one = order[first]
-    return pairs[one], words[one], np.add.reduceat(counts[order], first)
+    rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)).view(U64).reshape(3, -1)
+    return np.stack([np.cumsum(rows[0], dtype=U64), rows[1], rows[2]])
 
 
 def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
-    """Trigrams, both pairs of which stand twice or more (or seem to), by the shard of their first pair."""
+    """Trigrams, both pairs of which are kept (or seem to be), by the shard of their first pair."""
     level = Level1(folder, sizes)
     end = int(level.look(np.array([END], U64))[0][0])
-    often = {}
+    kept = {}
     held, n = [], 0
 
     def flush():
-        pairs, words, counts = _distinct(*(np.concatenate(x) for x in zip(*held)))
+        pairs, ranks = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        keys, counts = np.unique(ranks.astype(U64) << U64(32) | np.concatenate([x for _, x in held]), return_counts=True)
+        pairs, words = pairs[(keys >> U64(32)).astype(np.int64)], keys & U64(0xFFFFFFFF)
         return _batch([(s, _packed(pairs[own], words[own], counts[own])) for s, own in _dealt(_pair_shard(pairs, shards), shards)])
 
     for _, ids, _ in _sequences(batches):
@@ -443,12 +441,12 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
         codes, distinct = pd.factorize(keys)
         ok = np.zeros(len(distinct), bool)
         for s, own in _dealt(_pair_shard(distinct, shards), shards):
-            if s not in often:
-                often[s] = map_arrays(f"{folder}/often-{s}")["bits"]
-            ok[own] = may_have(often[s], distinct[own])
+            if s not in kept:
+                kept[s] = map_arrays(f"{folder}/second-{s}")["bits"]
+            ok[own] = may_have(kept[s], mix(distinct[own] >> U64(32)) + (distinct[own] & U64(0xFFFFFFFF)))
         ok = ok[codes]
         at = np.flatnonzero(ok[:-1] & ok[1:] & (ids[:-1] != end))  # a pair that ends a text is no context
-        held.append((keys[at], ids[at + 1].astype(U64), np.ones(len(at), U64)))
+        held.append((keys[at], ids[at + 1].astype(U64)))
         n += len(at)
         if n > TRIPLES_HELD:
             yield flush()
@@ -460,13 +458,13 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
 def _merge_triples(table: pa.Table, folder: str) -> pa.Table:
     """Writes a shard's trigrams that stand twice or more; gives their number seen twice, and their occurrences."""
     shard = table.column("shard")[0].as_py()
-    parts = [_unpacked(x) for x in table.column("blob").to_pylist()]
-    pairs, words, counts = _distinct(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-    keep = counts > 1
-    pairs, words, counts = pairs[keep], words[keep], counts[keep]
-    place = np.searchsorted(map_arrays(f"{folder}/pairs-{shard}")["keys"], pairs).astype(U64)
-    order = np.lexsort((words, place))
-    write_arrays(f"{folder}/triples-{shard}", contexts=place[order], words=words[order], counts=counts[order])
+    pairs, words, counts = np.concatenate([_unpacked(x) for x in table.column("blob").to_pylist()], axis=1)
+    have = map_arrays(f"{folder}/pairs-{shard}")["keys"]
+    place = np.minimum(np.searchsorted(have, pairs), max(0, len(have) - 1))
+    real = have[place] == pairs if len(have) else np.zeros(len(pairs), bool)
+    keys, counts = summed(place[real].astype(U64) << U64(32) | words[real], counts[real]) if real.any() else (pairs[:0], counts[:0])
+    keys, counts = keys[counts > 1], counts[counts > 1]
+    write_arrays(f"{folder}/triples-{shard}", contexts=keys >> U64(32), words=keys & U64(0xFFFFFFFF), counts=counts)
     return pa.table({"shard": pa.array([shard], pa.int32()), "twice": pa.array([int((counts == 2).sum())], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
 
 
@@ -479,12 +477,12 @@ def restore(code: np.ndarray) -> np.ndarray:
 
 
 def _build_passes(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
-    """The weight that each word of a block of numbers passes on: discount * kinds / count."""
-    block = table.column("shard")[0].as_py()
-    contexts, kinds = merged(table.column("blob").to_pylist())
+    """The weight that each word of a block of numbers passes on: what its kept pairs leave."""
+    block, rows = table.column("shard")[0].as_py(), list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()))
+    (contexts, kinds), (_, sums) = (merged([b for k, b in rows if k == kind]) for kind in ("kinds", "sums"))
     counts = counts_at(folder, sizes, contexts.astype(np.int64))
     codes = np.full(WORDS_A_SHARD, 255, np.uint8)
-    codes[contexts.astype(np.int64) - block * WORDS_A_SHARD] = quantise(np.log10(np.minimum(1.0, discount * kinds / counts)))
+    codes[contexts.astype(np.int64) - block * WORDS_A_SHARD] = quantise(np.log10(1 - (sums - discount * kinds) / counts))
     write_arrays(f"{folder}/passes-{block}", codes=codes)
     return pa.table({"shard": pa.array([block], pa.int32())})
 
@@ -550,7 +548,7 @@ def _build_second(table: pa.Table, folder: str, sizes: list[int], discount: floa
     shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
     raw = map_arrays(f"{folder}/pairs-{shard}")
     contexts, successors = raw["keys"] >> U64(32), raw["keys"] & U64(0xFFFFFFFF)
-    arrays, distinct, own = level_arrays(contexts, successors, words + 1, words)
+    arrays, distinct, own = level_arrays(contexts, successors, words + 1, words)  # also without any, for its bits
     share = (raw["counts"].astype(np.float64) - discount) / counts_at(folder, sizes, distinct.astype(np.int64))[own]
     write_arrays(f"{folder}/second-{shard}", **arrays, codes=quantise(np.log10(share)))
     return pa.table({"shard": pa.array([shard], pa.int32())})
@@ -688,7 +686,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder), "kind string, shard int, blob binary, n long"), "contexts")
         seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
         second = _discount(seen["once"], seen["twice"])
-        blocks = made.where("kind = 'context'").select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
+        blocks = made.where("kind in ('kinds', 'sums')").select("kind", "shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
         info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder, sizes, second), "shard int"), "passes").collect()]
         each = by_shard(made.where("kind = 'once'").select("shard"))
         info["second"] = [r[0] for r in tmp.stored(each.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]

@@ -266,18 +266,20 @@ def test_scores(spark, docs, texts):
     train = [t for i, t in enumerate(tokens) for _ in range((i % 3 > 0) + (i % 6 == 1))]
     c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b"\n", *t], t))
     triples = Counter(p for t in train for p in zip([b"\n", *t], t, t[1:]))
-    total, kinds = sum(c.values()), Counter(a for a, _ in pairs)
+    total = sum(c.values())
     discount = lambda n: (one := sum(v == 1 for v in n.values())) / (one + 2 * sum(v == 2 for v in n.values()))
     d, e = discount(pairs), discount(triples)
-    kept = {k: v for k, v in triples.items() if v > 1}
-    given = Counter()
+    two_kept, kept = ({k: v for k, v in n.items() if v > 1} for n in (pairs, triples))
+    given, gave = Counter(), Counter()
+    for (a, _), v in two_kept.items():
+        gave[a] += (v - d) / c[a]
     for (a, b, _), v in kept.items():
         given[a, b] += (v - e) / pairs[a, b]
     n, known, base, score, two = score_of(model, texts)
     for i, t in enumerate(tokens):
         p = [(c[w] + 1) / (total + len(c) + 1) for w in t]
         assert (n[i], known[i]) == (len(t), sum(w in c for w in t)) and base[i] == pytest.approx(sum(map(math.log10, p)))
-        q = [(u * min(1, d * kinds[a] / c[a]) + max(pairs[a, w] - d, 0) / c[a]) if c[a] else u for a, w, u in zip([b"\n", *t], t, p)]
+        q = [u * (1 - gave[a]) + ((two_kept[a, w] - d) / c[a] if (a, w) in two_kept else 0) for a, w, u in zip([b"\n", *t], t, p)]
         r = q[:1] + [(1 - given[a, b]) * u + (max(kept[a, b, w] - e, 0) / pairs[a, b] if (a, b, w) in kept else 0) for a, b, w, u in zip([b"\n", *t], t, t[1:], q[1:])]
         off = ngram_trie.STEP / 2 + 1e-6  # of a logarithm, for each of the mixed parts
         assert abs(two[i] - sum(map(math.log10, q))) <= off * len(t) and abs(score[i] - sum(map(math.log10, r))) <= 2 * off * len(t)
