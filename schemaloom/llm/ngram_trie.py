@@ -38,7 +38,6 @@ import hashlib
 import json
 import os
 import tempfile
-import zlib
 from collections.abc import Iterator
 from functools import partial
 from urllib.parse import urlparse
@@ -48,6 +47,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -189,14 +189,25 @@ def map_arrays(uri: str) -> dict:
     return {k: whole[start + v[2] : start + v[2] + np.dtype(v[0]).itemsize * v[1]].view(v[0]) if isinstance(v, list) else v for k, v in head.items()}
 
 
-def blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, and counts; the zero bytes of both compress away."""
-    return zlib.compress(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def _planes(*rows: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes first, so that zero bytes compress away."""
+    return zstandard.compress(np.stack([r.astype(np.uint64) for r in rows]).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes(), 1)
 
 
-def unblob(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 8, -1)
-    return np.cumsum(np.ascontiguousarray(both[0].T).view(U64).reshape(-1), dtype=U64), np.ascontiguousarray(both[1].T).view(U64).reshape(-1)
+def _numbers(data: bytes, rows: int) -> np.ndarray:
+    own = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(rows, 8, -1).transpose(0, 2, 1)
+    return np.ascontiguousarray(own).view(U64).reshape(rows, -1)
+
+
+def blob(keys: np.ndarray, *rows: np.ndarray) -> bytes:
+    """Sorted keys, as differences, and what stands by them."""
+    return _planes(np.diff(keys, prepend=U64(0)), *rows)
+
+
+def unblob(data: bytes, rows: int = 1) -> np.ndarray:
+    own = _numbers(data, 1 + rows)
+    own[0] = np.cumsum(own[0], dtype=U64)
+    return own
 
 
 def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -307,9 +318,30 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    x = keys * U64(0x9E3779B97F4A7C15)
-    return ((x >> U64(32)) * U64(shards)) >> U64(32)
+#: An odd number, whose product with keys of up to 64 bits spreads them, and can be taken back.
+SPREAD = 0x9E3779B97F4A7C15
+
+
+def spread(keys: np.ndarray, words: int) -> np.ndarray:
+    """Keys of two numbers below ``words`` (or -1, as any), spread evenly over all numbers of their 2 * bits bits.
+    A shard has a range of these, so the differences in its blobs are as small however many shards there are."""
+    bits = words.bit_length()
+    mask = U64((1 << 2 * bits) - 1)
+    return ((keys >> U64(32)) << U64(bits) | keys & U64((1 << bits) - 1)) * U64(SPREAD & int(mask)) & mask
+
+
+def gathered(keys: np.ndarray, words: int) -> np.ndarray:
+    """What ``spread`` was given."""
+    bits = words.bit_length()
+    mask = (1 << 2 * bits) - 1
+    narrow = keys * U64(pow(SPREAD, -1, 1 << 2 * bits)) & U64(mask)
+    return narrow >> U64(bits) << U64(32) | narrow & U64((1 << bits) - 1)
+
+
+def shard_of(keys: np.ndarray, words: int, shards: int) -> np.ndarray:
+    """The shard of keys that ``spread`` gave."""
+    top = keys << U64(64 - 2 * words.bit_length())
+    return ((top >> U64(32)) * U64(shards)) >> U64(32)
 
 
 def coded(level: Level1, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -363,11 +395,11 @@ def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shar
     level = Level1(folder, sizes)
     end = int(level.look(np.array([END], U64))[0][0])
     names = ["shard", "blob", "doc_id", "held_out", "ids"]
-    held, n, kind = [], 0, None
+    held, n, kind, words = [], 0, None, sum(sizes)
 
     def flush():
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        rows = [(s, blob(keys[own], counts[own])) for s, own in _dealt(_pair_shard(keys, shards), shards)]
+        keys, counts = np.unique(spread(np.concatenate(held), words), return_counts=True)
+        rows = [(s, blob(keys[own], counts[own])) for s, own in _dealt(shard_of(keys, words, shards), shards)]
         own = _batch(rows)
         none = lambda t: pa.nulls(len(rows), t)
         return pa.RecordBatch.from_arrays([*own.columns, none(kind), none(pa.bool_()), none(pa.binary())], names)
@@ -390,13 +422,15 @@ def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shar
         yield flush()
 
 
-def _merge_pairs(table: pa.Table, folder: str) -> pa.Table:
+def _merge_pairs(table: pa.Table, folder: str, words: int) -> pa.Table:
     """Writes a shard's pairs that stand twice or more, with counts. Gives what each context has of them (their
     number and the sum of their counts), and the numbers of pairs seen once and twice."""
     shard = table.column("shard")[0].as_py()
     keys, counts = merged(table.column("blob").to_pylist())
     seen = [int((counts == n).sum()) for n in (1, 2)]
-    keys, counts = keys[counts > 1], counts[counts > 1]
+    keys, counts = gathered(keys[counts > 1], words), counts[counts > 1]
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
     write_arrays(f"{folder}/pairs-{shard}", keys=keys, counts=counts)
     contexts, first = np.unique(keys >> U64(32), return_index=True)
     own = {"kinds": np.diff(np.append(first, len(keys))).astype(U64), "sums": np.add.reduceat(counts, first) if len(first) else counts}
@@ -412,35 +446,24 @@ def _context_blobs(contexts: np.ndarray, values: np.ndarray):
         yield s, blob(contexts[own], values[own])
 
 
-def _packed(pairs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Pairs, sorted, as differences; the zero bytes of all three compress away."""
-    rows = np.stack([np.diff(pairs, prepend=U64(0)), words.astype(U64), counts.astype(U64)])
-    return zlib.compress(rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    rows = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)).view(U64).reshape(3, -1)
-    return np.stack([np.cumsum(rows[0], dtype=U64), rows[1], rows[2]])
-
-
 def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
     """Trigrams, both pairs of which are kept (or seem to be), by the shard of their first pair."""
     level = Level1(folder, sizes)
     end = int(level.look(np.array([END], U64))[0][0])
     kept = {}
-    held, n = [], 0
+    held, n, words = [], 0, sum(sizes)
 
     def flush():
-        pairs, ranks = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        pairs, ranks = np.unique(spread(np.concatenate([x for x, _ in held]), words), return_inverse=True)
         keys, counts = np.unique(ranks.astype(U64) << U64(32) | np.concatenate([x for _, x in held]), return_counts=True)
-        pairs, words = pairs[(keys >> U64(32)).astype(np.int64)], keys & U64(0xFFFFFFFF)
-        return _batch([(s, _packed(pairs[own], words[own], counts[own])) for s, own in _dealt(_pair_shard(pairs, shards), shards)])
+        pairs, last = pairs[(keys >> U64(32)).astype(np.int64)], keys & U64(0xFFFFFFFF)
+        return _batch([(s, blob(pairs[own], last[own], counts[own])) for s, own in _dealt(shard_of(pairs, words, shards), shards)])
 
     for _, ids, _ in _sequences(batches):
         keys = pair_keys(ids, end)
         codes, distinct = pd.factorize(keys)
         ok = np.zeros(len(distinct), bool)
-        for s, own in _dealt(_pair_shard(distinct, shards), shards):
+        for s, own in _dealt(shard_of(spread(distinct, words), words, shards), shards):
             if s not in kept:
                 kept[s] = map_arrays(f"{folder}/second-{s}")["bits"]
             ok[own] = may_have(kept[s], mix(distinct[own] >> U64(32)) + (distinct[own] & U64(0xFFFFFFFF)))
@@ -455,14 +478,15 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
         yield flush()
 
 
-def _merge_triples(table: pa.Table, folder: str) -> pa.Table:
+def _merge_triples(table: pa.Table, folder: str, words: int) -> pa.Table:
     """Writes a shard's trigrams that stand twice or more; gives their number seen twice, and their occurrences."""
     shard = table.column("shard")[0].as_py()
-    pairs, words, counts = np.concatenate([_unpacked(x) for x in table.column("blob").to_pylist()], axis=1)
+    pairs, last, counts = np.concatenate([unblob(x, 2) for x in table.column("blob").to_pylist()], axis=1)
+    pairs = gathered(pairs, words)
     have = map_arrays(f"{folder}/pairs-{shard}")["keys"]
     place = np.minimum(np.searchsorted(have, pairs), max(0, len(have) - 1))
     real = have[place] == pairs if len(have) else np.zeros(len(pairs), bool)
-    keys, counts = summed(place[real].astype(U64) << U64(32) | words[real], counts[real]) if real.any() else (pairs[:0], counts[:0])
+    keys, counts = summed(place[real].astype(U64) << U64(32) | last[real], counts[real]) if real.any() else (pairs[:0], counts[:0])
     keys, counts = keys[counts > 1], counts[counts > 1]
     write_arrays(f"{folder}/triples-{shard}", contexts=keys >> U64(32), words=keys & U64(0xFFFFFFFF), counts=counts)
     return pa.table({"shard": pa.array([shard], pa.int32()), "twice": pa.array([int((counts == 2).sum())], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
@@ -592,7 +616,7 @@ class Model:
 
     def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each distinct pair of known words its shard, its place there (-1: never seen) and its discounted share."""
-        owner, place, share = _pair_shard(keys, self.info["shards"]), np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        owner, place, share = shard_of(spread(keys, self.words), self.words, self.info["shards"]), np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         for s, own in _dealt(owner, self.info["shards"]):
             if s in self.second:
                 level = self.second[s]
@@ -683,7 +707,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         own = rows.where("shard is null").select("doc_id", "held_out", "ids")
         if not total:
             return info, own
-        made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder), "kind string, shard int, blob binary, n long"), "contexts")
+        made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder, n), "kind string, shard int, blob binary, n long"), "contexts")
         seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
         second = _discount(seen["once"], seen["twice"])
         blocks = made.where("kind in ('kinds', 'sums')").select("kind", "shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
@@ -691,7 +715,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         each = by_shard(made.where("kind = 'once'").select("shard"))
         info["second"] = [r[0] for r in tmp.stored(each.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
         blobs = own.where("not held_out").select("ids").mapInArrow(partial(_count_triples, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
-        kept = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder), "shard int, twice long, n long"), "triples")
+        kept = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder, n), "shard int, twice long, n long"), "triples")
         twice, held = kept.agg(F.sum("twice"), F.sum("n")).first()
         # Every token but a text's first has a trigram; those that aren't kept stand once.
         third = _discount(total - texts - (held or 0), twice or 0)

@@ -506,3 +506,13 @@ def test_pipeline_leaves_no_copies(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     ids = sorted(r["doc_id"] for r in packed)
     assert brute_pipeline_near(ids, texts, texts) == set(ids)
+
+
+def test_spread_keys_come_back():
+    rng = np.random.default_rng(4)
+    for words in (1, 2, 1000, 3_000_000, (1 << 32) - 2):
+        a, b = (rng.integers(0, words, 500, dtype=np.uint64) for _ in range(2))
+        keys = a << np.uint64(32) | b
+        out = ngram_trie.spread(keys, words)
+        assert (ngram_trie.gathered(out, words) == keys).all() and ngram_trie.shard_of(out, words, 7).max() < 7
+    assert len(set(ngram_trie.shard_of(out, words, 7).tolist())) == 7
