@@ -433,17 +433,17 @@ def _merge_pairs(table: pa.Table, folder: str, words: int) -> pa.Table:
     keys, counts = keys[order], counts[order]
     write_arrays(f"{folder}/pairs-{shard}", keys=keys, counts=counts)
     contexts, first = np.unique(keys >> U64(32), return_index=True)
-    own = {"kinds": np.diff(np.append(first, len(keys))).astype(U64), "sums": np.add.reduceat(counts, first) if len(first) else counts}
-    rows = [(kind, int(c), b, 0) for kind, x in own.items() for c, b in _context_blobs(contexts, x)]
+    kinds, sums = np.diff(np.append(first, len(keys))), np.add.reduceat(counts, first) if len(first) else counts
+    rows = [("context", int(c), b, 0) for c, b in _context_blobs(contexts, kinds, sums)]
     rows += [(kind, shard, None, n) for kind, n in zip(("once", "twice"), seen)]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["kind", "shard", "blob", "n"])
 
 
-def _context_blobs(contexts: np.ndarray, values: np.ndarray):
+def _context_blobs(contexts: np.ndarray, kinds: np.ndarray, sums: np.ndarray):
     owner = contexts // U64(WORDS_A_SHARD)
     for s in np.unique(owner):
         own = owner == s
-        yield s, blob(contexts[own], values[own])
+        yield s, blob(contexts[own], kinds[own], sums[own])
 
 
 def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
@@ -502,8 +502,9 @@ def restore(code: np.ndarray) -> np.ndarray:
 
 def _build_passes(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
     """The weight that each word of a block of numbers passes on: what its kept pairs leave."""
-    block, rows = table.column("shard")[0].as_py(), list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()))
-    (contexts, kinds), (_, sums) = (merged([b for k, b in rows if k == kind]) for kind in ("kinds", "sums"))
+    block = table.column("shard")[0].as_py()
+    each = np.concatenate([unblob(x, 2) for x in table.column("blob").to_pylist()], axis=1)
+    (contexts, kinds), (_, sums) = (summed(each[0], row) for row in each[1:])
     counts = counts_at(folder, sizes, contexts.astype(np.int64))
     codes = np.full(WORDS_A_SHARD, 255, np.uint8)
     codes[contexts.astype(np.int64) - block * WORDS_A_SHARD] = quantise(np.log10(1 - (sums - discount * kinds) / counts))
@@ -710,7 +711,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder, n), "kind string, shard int, blob binary, n long"), "contexts")
         seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
         second = _discount(seen["once"], seen["twice"])
-        blocks = made.where("kind in ('kinds', 'sums')").select("kind", "shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
+        blocks = made.where("kind = 'context'").select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
         info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder, sizes, second), "shard int"), "passes").collect()]
         each = by_shard(made.where("kind = 'once'").select("shard"))
         info["second"] = [r[0] for r in tmp.stored(each.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
