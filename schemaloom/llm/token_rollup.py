@@ -1,15 +1,21 @@
 """Operator 8, token counts: rollups maintained by deltas.
 
-Totals by source, language and tokenizer version are sums of committed deltas. An insert adds a
-document and its tokens, a delete takes them away, and a revised count does both: it takes away
-the old count under the old version and adds the new one. A batch is aggregated before it is
-written, so a commit is as small as its groups, and a hot source meets partial sums only. A batch
-is written aside and moved to its name, which takes effect whole or not at all; a batch whose name
-exists has been committed, and committing it again changes nothing.
+Totals by source, language and tokenizer version are a base and the deltas committed since. An insert
+adds a document and its tokens, a delete takes them away, and a revised count does both: it takes away
+the old count under the old version and adds the new one. A batch is aggregated before it is written,
+so a commit is as small as its groups, and a hot source meets partial sums only. A batch is written
+aside and moved to its name, which takes effect whole or not at all; a batch that has been committed
+changes nothing when it is committed again. ``compact`` rolls all deltas up into a new base, which
+remembers the names of the batches in it, so that totals read a row a group and few deltas however many
+batches there have been. A compaction that dies leaves the old base or the new one.
+
+The versions of the query are patterns that built-in functions count, so that SQL can count them too;
+``commit`` takes any counts, such as those that a tokenizer gives.
 
 Defined results: null sources and languages are groups of their own; a null text has 0 tokens;
 repeated events count as often as they come; groups whose documents and tokens are both 0 are not
-listed. Extra columns of events are ignored. No batches: no rows.
+listed. Extra columns of events are ignored. No batches: no rows. In the query, of rows with equal texts
+all but those with the least doc_id are taken out; null texts have no copies.
 """
 
 from __future__ import annotations
@@ -37,11 +43,40 @@ class Rollup:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _names(self, prefix: str) -> list[str]:
+        top = self._at("")
+        found = self._fs.listStatus(top) if self._fs.exists(top) else []
+        return sorted(n[len(prefix) :] for x in found if (n := x.getPath().getName()).startswith(prefix))
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base, and the batches in it."""
+        bases = self._names("base=")
+        if not bases:
+            return None, set()
+        name = f"base={max(bases, key=int)}"
+        return name, {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{name}/batches").collect()}
+
+    def committed(self, batch: str) -> bool:
+        return self._fs.exists(self._at(f"batch={batch}")) or batch in self._base()[1]
+
+    def compact(self) -> None:
+        """Rolls the base and the deltas up into a new base, and drops what it replaces. One writer at a time."""
+        old, known = self._base()
+        new = set(self._names("batch=")) - known
+        if new:
+            aside = f"_aside-{uuid.uuid4().hex}"
+            self.totals().coalesce(1).write.parquet(f"{self.path}/{aside}/totals")
+            self.spark.createDataFrame([(b,) for b in sorted(known | new)], "batch string").coalesce(1).write.parquet(f"{self.path}/{aside}/batches")
+            self._fs.rename(self._at(aside), self._at(f"base={int(old[5:]) + 1 if old else 0}"))
+        name, known = self._base()
+        for x in [f"batch={b}" for b in self._names("batch=") if b in known] + [f"base={b}" for b in self._names("base=") if f"base={b}" != name]:
+            self._fs.delete(self._at(x), True)
+
     def commit(self, batch: str, events: DataFrame) -> bool:
         """events: op (insert, delete, revise), source, lang, tokenizer_version, n_tokens and, for
         revise, old_version, old_tokens. False if the batch had been committed."""
         name = f"batch={batch}"
-        if self._fs.exists(self._at(name)):
+        if self.committed(batch):
             return False
         sign = F.when(F.col("op") == "delete", -1).otherwise(1)
         row = lambda version, tokens, by: F.struct(F.col(version).alias("tokenizer_version"), by.cast("long").alias("n_docs"), (by * F.coalesce(F.col(tokens), F.lit(0))).cast("long").alias("n_tokens"))
@@ -49,14 +84,15 @@ class Rollup:
         deltas = events.select("source", "lang", F.explode(F.array_compact(signed)).alias("x")).select("source", "lang", "x.*").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         aside = f"_aside-{uuid.uuid4().hex}"
         deltas.coalesce(1).write.parquet(f"{self.path}/{aside}")
-        if self._fs.exists(self._at(name)) or not self._fs.rename(self._at(aside), self._at(name)):
+        if self.committed(batch) or not self._fs.rename(self._at(aside), self._at(name)):
             self._fs.delete(self._at(aside), True)
             return False
         return True
 
     def totals(self) -> DataFrame:
-        batches = [str(s.getPath()) for s in (self._fs.listStatus(self._at("")) if self._fs.exists(self._at("")) else []) if s.getPath().getName().startswith("batch=")]
-        deltas = self.spark.read.schema(TOTALS).parquet(*batches) if batches else self.spark.createDataFrame([], TOTALS)
+        base, known = self._base()
+        parts = [f"{self.path}/batch={b}" for b in self._names("batch=") if b not in known] + ([f"{self.path}/{base}/totals"] if base else [])
+        deltas = self.spark.read.schema(TOTALS).parquet(*parts) if parts else self.spark.createDataFrame([], TOTALS)
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 
@@ -67,8 +103,12 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents go in under two tokenizers; a batch comes twice; all counts of one tokenizer
-    are revised to its next version; copies of a text with a smaller doc_id are taken out."""
+    """All documents go in under two tokenizers; a batch comes twice, once after a compaction; all counts
+    of one tokenizer are revised to its next version; copies of a text with a smaller doc_id are taken out.
+
+    The first of each group of copies is a stored table, so that the join with all rows can be split where a
+    group is hot.
+    """
     each = stored(counted(spark.read.parquet(f"{sf_dir}/documents.parquet")), "counted")
     rollup = Rollup(spark, scratch(spark, "rollup"))
 
@@ -76,9 +116,11 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(f"`{version}`").alias("n_tokens"), F.lit(old.get("was")).cast("string").alias("old_version"), (F.col(f"`{old['was']}`") if old else F.lit(None).cast("long")).alias("old_tokens"))
 
     first = each.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first, "firsts")
     copies = each.join(first, "digest").where("doc_id != first")
     rollup.commit("1-words", events("insert", "words-1"))
     rollup.commit("2-marks", events("insert", "marks-1"))
+    rollup.compact()
     rollup.commit("1-words", events("insert", "words-1"))
     rollup.commit("3-revision", events("revise", "marks-2", was="marks-1"))
     rollup.commit("4-copies", events("delete", "words-1", copies).union(events("delete", "marks-2", copies)))
