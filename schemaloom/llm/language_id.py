@@ -9,10 +9,12 @@ contexts, the weights that pass to the lower order; lookups are binary searches
 
 A text's cross-entropy under a language is the sum over its words divided by its characters. The
 lowest one wins. ``score`` is the winner's share when the cross-entropies are weighed as evidence
-of at most ``EVIDENCE`` characters. ``rejected`` is calibrated: each language learns, on the words
-it was trained on, the mean and the spread of the cross-entropy a character, and a text farther
-above the mean than ``REJECT`` spreads (and their sampling error) is not taken for that language
-with confidence; the label stays the best one that was learned.
+of at most ``EVIDENCE`` characters. ``rejected`` is calibrated
+on a tenth of the sample that is kept out of the counts: for each language, the deviation of a text's
+cross-entropy from that fold's mean, times the root of its characters, that all but ``ERROR`` of the
+fold's texts stay below. A text that deviates more is not taken for that language with confidence; the
+label stays the best one that was learned. Where the fold has fewer than ``FOLD_TEXTS`` texts of a language,
+nothing is rejected for it.
 
 The models learn from a bounded sample: about ``SAMPLE_DOCS`` documents a language, chosen by a
 hash of doc_id, from their whole texts. Each word's sums are kept in a bounded table, so a text
@@ -38,7 +40,9 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 ORDER, SAMPLE_DOCS, DISCOUNT = 4, 1500, 0.75
-EVIDENCE, REJECT = 60, 4.0
+EVIDENCE = 60
+#: Share of a language's own texts that calibration lets be rejected; texts that it needs; one part in so many is kept out.
+ERROR, FOLD_TEXTS, FOLDS = 0.01, 20, 10
 CACHE_WORDS, LONGEST_KEPT = 200_000, 64
 START, STOP = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,13 +135,18 @@ class Models:
     def __init__(self, grams: dict[str, dict[str, int]]):
         self.langs = sorted(grams)
         self.models = [Model(grams[x]) for x in self.langs]
-        mean = []
-        for lang, model in zip(self.langs, self.models):
-            own = grams[lang]
-            bits, n = self._bits(list(own), [model], whole=True)[0], np.array(list(own.values()), float)
-            m = (bits * n).sum() / n.sum()
-            mean.append((m, (n * (bits - m) ** 2).sum() / n.sum()))
-        self.mean, self.variance = (np.array(x) for x in zip(*mean)) if mean else (np.empty(0), np.empty(0))
+        self.mean, self.limit = np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
+
+    def calibrate(self, fold: list[tuple[str, float, float]]) -> None:
+        """fold: language, cross-entropy under its model and characters of texts kept out of the counts."""
+        for j, lang in enumerate(self.langs):
+            own = np.array([(h, n) for x, h, n in fold if x == lang]).reshape(-1, 2)
+            if len(own) >= FOLD_TEXTS:
+                self.mean[j] = np.median(own[:, 0])
+                self.limit[j] = np.quantile((own[:, 0] - self.mean[j]) * own[:, 1] ** 0.5, 1 - ERROR)
+
+    def rejects(self, j: int, entropy: float, n: float) -> bool:
+        return bool((entropy - self.mean[j]) * n**0.5 > self.limit[j])
 
     @staticmethod
     def _hashes(c: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -213,22 +222,37 @@ def _predict(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBat
             labels.append(own.langs[best])
             scores.append(float(1 / np.exp2((h[best] - h) * min(n[i], EVIDENCE)).sum()))
             entropies.append(float(h[best]))
-            rejected.append(bool(h[best] - own.mean[best] > REJECT * (own.variance[best] / n[i]) ** 0.5 + 0.5))
+            rejected.append(own.rejects(best, h[best], n[i]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
 
+def _fold(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+    """Each text's cross-entropy under the model of its own language, and its characters."""
+    own: Models = models.value
+    words = Words(own)
+    for batch in small_batches(batches, 4 << 20):
+        sums = words.texts(batch.column("text").to_pylist())
+        rows = [(x, s[own.langs.index(x)] / s[-1], s[-1]) for x, s in zip(batch.column("lang").to_pylist(), sums) if x in own.langs and s[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))], ["lang", "h", "n"])
+
+
 def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models from about ``sample_docs`` documents of each language of ``train`` (doc_id, text, lang)."""
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return Models({})
     rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))))
-    sample = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20)).select("lang", "text")
-    rows = sample.mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    sample = train.where(draw < F.element_at(rate, F.col("lang")) * (1 << 20))
+    kept_out = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == 0
+    rows = sample.where(~kept_out).select("lang", "text").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator()
     grams: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in rows:
         grams[lang][gram] = n
-    return Models(grams)
+    models = Models(grams)
+    own = train.sparkSession.sparkContext.broadcast(models)
+    models.calibrate([tuple(r) for r in sample.where(kept_out).select("lang", "text").mapInArrow(partial(_fold, models=own), "lang string, h double, n double").collect()])
+    return models
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
