@@ -230,6 +230,12 @@ def test_language_id(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:200])
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "x"
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    # Rejection: texts of a learned language rarely, of one that wasn't learned nearly always.
+    odd = [(2000 + i, make("abcdefgh"), None) for i in range(60)] + [(3000 + i, " ".join("".join(rng.choice("mnopqrst") for _ in range(5)) for _ in range(40)), None) for i in range(60)]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string").withColumn("held_out", language_id.F.lit(True))
+    many = spark.createDataFrame([(i, make("abcdefgh" if i % 2 else "efghijkl"), "x" if i % 2 else "y") for i in range(700)], "doc_id long, text string, lang string")
+    said = {r["doc_id"]: r["rejected"] for r in language_id.predict(more, language_id.fit(many)).collect()}
+    assert sum(said[2000 + i] for i in range(60)) <= 4 and all(said[3000 + i] for i in range(60))
     none = language_id.predict(df, language_id.fit(df.limit(0))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
 
@@ -237,8 +243,40 @@ def test_language_id(spark):
 def test_kneser_ney_sums_to_one():
     m = language_id.Models({"a": Counter(g for w in ("abba", "abc", "cab") for s in ["\x02" * 3 + w + "\x03"] for g in (s[i : i + 4] for i in range(len(w) + 1)))})
     for context in ("\x02ab", "abb", "zzz", "\x02\x02\x02"):
-        bits = m._bits([context + c for c in "abc\x03"], m.models)[0]
-        assert np.exp2(-bits).sum() == pytest.approx(1 - m.models[0].uniform, abs=0.25) and np.exp2(-bits).sum() <= 1 + 1e-9
+        bits = m._bits([context + c for c in "abc\x03z"], m.models)[0]  # z stands for all characters that were never seen
+        assert np.exp2(-bits).sum() == pytest.approx(1)
+
+
+def plain_kneser_ney(words):
+    """Probability of a character after a context, by recursion over plain counts."""
+    grams = [Counter(s[i : i + 4] for w in words for s in ["\x02" * 3 + w + "\x03"] for i in range(len(w) + 1))]
+    for _ in range(3):
+        grams.append(Counter(g[1:] for g in grams[-1]))
+    grams.reverse()
+    size = len(grams[0]) + 1
+
+    def p(context, c, k):
+        lower = p(context[1:], c, k - 1) if k else 1 / size
+        n = {g: v for g, v in grams[k].items() if g[:-1] == context}
+        if not n:
+            return lower
+        total = sum(n.values())
+        return max(n.get(context + c, 0) - 0.75, 0) / total + 0.75 * len(n) / total * lower
+
+    return lambda context, c: p(context, c, 3)
+
+
+def test_kneser_ney_against_recursion():
+    import math
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    grams = Counter(s[i : i + 4] for w in words for s in ["\x02" * 3 + w + "\x03"] for i in range(len(w) + 1))
+    m, p = language_id.Models({"x": grams}), plain_kneser_ney(words)
+    for w in (*words[:20], "zab", "ddddddd", "a"):
+        s = "\x02" * 3 + w + "\x03"
+        want = -sum(math.log2(p(s[i : i + 3], s[i + 3])) for i in range(len(w) + 1))
+        assert m.words([w])[0].tolist() == pytest.approx([want, len(w) + 1])
 
 
 def test_elias_fano():
@@ -308,8 +346,24 @@ def test_rollup(spark):
     df = spark.createDataFrame([("insert", "a", None, "v1", 5, None, None), ("insert", "a", None, "v1", 7, None, None), ("revise", "a", None, "v2", 9, "v1", 7)], "op string, source string, lang string, tokenizer_version string, n_tokens long, old_version string, old_tokens long")
     assert r.commit("1", df) and not r.commit("1", df)
     assert sorted(map(tuple, r.totals().collect())) == [("a", None, "v1", 1, 5), ("a", None, "v2", 1, 9)]
+    r.compact()
+    assert not r.commit("1", df) and r.committed("1") and sorted(map(tuple, r.totals().collect())) == [("a", None, "v1", 1, 5), ("a", None, "v2", 1, 9)]
     r.commit("2", df.where("n_tokens = 5").withColumn("op", token_rollup.F.lit("delete")))
-    assert [tuple(x) for x in r.totals().collect()] == [("a", None, "v2", 1, 9)]
+    for _ in range(3):  # also without new batches
+        assert [tuple(x) for x in r.totals().collect()] == [("a", None, "v2", 1, 9)]
+        r.compact()
+    assert not r.commit("2", df) and r._names("batch=") == [] and len(r._names("base=")) == 1
+    empty_one = token_rollup.Rollup(spark, scratch(spark, "roll"))
+    empty_one.compact()
+    assert empty_one.commit("x", df.limit(0)) and empty_one.totals().count() == 0
+
+
+def test_rollup_of_odd_rows(spark, tmp_path):
+    """Null texts have no copies; repeated rows are copies of no smaller id; null groups stand by themselves."""
+    rows = [(3, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (2, "a b", None, None, 3), (4, None, "en", "s", 0), (5, None, "en", "s", 0), (6, "", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["source"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in token_rollup.op8_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {("s", "words-1"): (5, 4), ("s", "marks-2"): (5, 4)}
 
 
 def test_weak_labels():
