@@ -50,7 +50,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = whole.join(ids, "doc_id", "left_semi").join(own, "doc_id")
     split = lambda c: F.split(c, "\n")
     cut = cut.where((F.size(split("own")) < F.size(split("text"))) & (F.size(F.array_except(split("own"), split("text"))) == 0))
-    return min_max_hash.keep(docs, k=5, also=cut.select("doc_id", "text"))
+    # Few rows, which the operator reads several times.
+    return min_max_hash.keep(docs, k=5, also=stored(cut.select("doc_id", "text"), "whole"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
