@@ -9,8 +9,8 @@ changes nothing when it is committed again. ``compact`` rolls all deltas up into
 remembers the names of the batches in it, so that totals read a row a group and few deltas however many
 batches there have been. A compaction that dies leaves the old base or the new one.
 
-The versions of the query are patterns that built-in functions count, so that SQL can count them too;
-``commit`` takes any counts, such as those that a tokenizer gives.
+The versions of the query are patterns, so that SQL can count them too; ``commit`` takes any counts, such
+as those that a tokenizer gives.
 
 Defined results: null sources and languages are groups of their own; a null text has 0 tokens;
 repeated events count as often as they come; groups whose documents and tokens are both 0 are not
@@ -20,16 +20,21 @@ all but those with the least doc_id are taken out; null texts have no copies.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, scratch, stored
+from .common import WORD, scratch, small_batches, stored, utf8
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-#: Tokenizer versions that built-in functions can count.
+#: Tokenizer versions, as patterns; ``_count`` counts their matches.
 MARK = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
 VERSIONS = {"words-1": WORD, "marks-1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|" + MARK, "marks-2": r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[0-9]|" + MARK}
 
@@ -96,10 +101,35 @@ class Rollup:
         return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 
+#: Per byte: may it stand in a run of words-1, marks-1 or marks-2 (bits 0 to 2), is it a mark, a digit (bits 3, 4).
+#: Bytes of characters beyond ASCII belong to all runs, as the characters do.
+_CLASS = np.zeros(256, np.uint8)
+for _i in range(256):
+    _mark = bool(re.fullmatch(MARK, chr(_i)))
+    _digit, _letter = chr(_i) in "0123456789", _i >= 0x80 or chr(_i).isalpha()
+    _CLASS[_i] = (_i not in (0x20, *range(0x09, 0x0E))) | (_letter or _digit) << 1 | _letter << 2 | _mark << 3 | _digit << 4
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the texts by their counts; whole batches are counted as one array of bytes."""
+    for batch in small_batches(batches):
+        texts = [t or b"" for t in utf8(batch.column("text"))]
+        own = _CLASS[np.frombuffer(b"\n" + b"\n".join(texts), np.uint8)]  # a line end stands in no run
+        begins = own.copy()
+        begins[1:] &= ~own[:-1]  # what begins a run
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+        total = lambda bits: np.add.reduceat(bits, first, dtype=np.int64)
+        marks, digits = total(own >> 3 & 1), total(own >> 4 & 1)
+        counts = {"words-1": total(begins & 1), "marks-1": total(begins >> 1 & 1) + marks, "marks-2": total(begins >> 2 & 1) + marks + digits}
+        keep = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(counts[v]) for v in VERSIONS)], [*keep, *VERSIONS])
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, a digest of the text and a count for each version, in one pass."""
-    counts = (F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(v) for v, p in VERSIONS.items())
-    return docs.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("digest"), *counts)
+    own = docs.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    schema = T.StructType([*own.drop("text").schema, *(T.StructField(v, T.LongType()) for v in VERSIONS)])
+    return own.mapInArrow(_count, schema)
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -570,3 +570,14 @@ def test_spread_keys_come_back():
         out = ngram_trie.spread(keys, words)
         assert (ngram_trie.gathered(out, words) == keys).all() and ngram_trie.shard_of(out, words, 7).max() < 7
     assert len(set(ngram_trie.shard_of(out, words, 7).tolist())) == 7
+
+
+def test_counts_are_matches(spark):
+    import re
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab9 \n\t\x1c.,-_é日~\x7f\x0b") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in token_rollup.counted(df).collect()}
+    for i, t in enumerate(texts):
+        assert {v: got[i][v] for v in token_rollup.VERSIONS} == {v: len(re.findall(p, t or "")) for v, p in token_rollup.VERSIONS.items()}, t
