@@ -20,7 +20,7 @@ from ..functions.text import canonical, char_class, dtype_vote, is_null_token, n
 EXACT_UNIQUE, SAMPLE_VALUES = 500, 200
 QUANTILES = (0.25, 0.5, 0.75)
 #: Accuracy of the sketches (rank error 1 / ACCURACY) and half the width of a bracket, ten times that error.
-ACCURACY, BRACKET = 10_000, 1e-3
+ACCURACY, BRACKET = 2_000, 5e-3
 
 
 def kind_of(type_name: str) -> str | None:
@@ -71,7 +71,10 @@ def _edges(x: Column) -> Column:
 
 def _brackets(df: DataFrame, table: str) -> DataFrame:
     """tbl, col, edges of a table's columns, in one pass that moves sketches only."""
-    own = [(n, kind_of(t)) for n, t in df.dtypes if kind_of(t)]
+    # Dates, times and booleans are texts that are never numbers.
+    own = [(n, kind_of(t)) for n, t in df.dtypes if kind_of(t) in ("whole", "double") or t == "string"]
+    if not own:
+        return df.sparkSession.createDataFrame([], "tbl string, col string, edges array<double>")
     x = lambda n, k: number(F.trim(F.col(f"`{n}`").cast("string"))) if k == "text" else F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None))
     one = df.agg(F.array(*(F.struct(F.lit(n).alias("col"), _edges(x(n, k)).alias("edges")) for n, k in own)).alias("all"))
     return one.select(F.lit(table).alias("tbl"), F.inline("all"))
@@ -108,7 +111,7 @@ def _from_domain(domain: DataFrame, edges: DataFrame, exact: int, sample: int) -
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("cnt"))), F.lit(0)).alias("n_null"),
         F.count("v").alias("n_unique"),
         F.when(F.count("v") == 0, "str").when(F.max(typed) == "whole", "int").when(F.max(typed) == "double", "float").otherwise(dtype_vote(text)).alias("dtype"),
-        char_class(F.col("v")).alias("char_class"),
+        F.when(F.max("kind") == "double", "mixed").otherwise(char_class(F.when(F.col("kind") != "double", F.col("v")))).alias("char_class"),
         (F.sum(F.length("v") * F.col("cnt")) / F.sum(F.when(F.col("v").isNotNull(), F.col("cnt")))).alias("avg_len"),
         F.min("x").alias("lo"),
         F.max("x").alias("hi"),
