@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .language_id import op5_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .min_max_hash import OP10_SQL, op10_min_max_hash
@@ -13,5 +14,5 @@ from .token_rollup import OP8_SQL, op8_token_rollup
 from .warc import OP1_SQL, op1_warc
 from .weak_quality import op7_weak_quality
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_decontaminate, op4_packing, op5_language_id, op6_quality_rules, op7_weak_quality, op8_token_rollup, op9_ngram_trie, op10_min_max_hash)}
-SQL = {"op1_warc": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_token_rollup": OP8_SQL, "op10_min_max_hash": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_decontaminate, op4_packing, op5_language_id, op6_quality_rules, op7_weak_quality, op8_token_rollup, op9_ngram_trie, op10_min_max_hash, op11_filter_audit)}
+SQL = {"op1_warc": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_token_rollup": OP8_SQL, "op10_min_max_hash": OP10_SQL, "op11_filter_audit": OP11_SQL}
