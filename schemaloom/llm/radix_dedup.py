@@ -257,11 +257,11 @@ def owners(docs: DataFrame, tmp: Scratch, digest: Digest = sha256, budget: int =
         settled = out.where("settled").drop("settled")
         done = settled if done is None else done.unionByName(settled)
         left = out.where("NOT settled").drop("settled")
-        size = left.agg(F.sum(F.col("length") + NODE)).first()[0]
-        if not size:
+        size, rows = left.agg(F.sum(F.col("length") + NODE), F.count(F.lit(1))).first()
+        if not rows:
             return done
         # So many tasks that a share fits, were all strings different.
-        parts = max(2 * parts, 2 * -(-size // budget))
+        parts = max(2 * parts, min(rows, 2 * -(-size // budget)))
         deal = left.repartition(parts, "length", "digest")
 
 
