@@ -50,6 +50,32 @@ def signatures(feature: DataFrame) -> DataFrame:
     return feature.distinct().groupBy("row_gid").agg(F.sort_array(F.collect_list("attr_id")).alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("mult"))
 
 
+def reversed_start(columns: DataFrame) -> DataFrame:
+    """attr_id, col, mult, value from sig, col and mult: features normalised by row and then by column."""
+    each = columns.select("col", "mult", F.explode("sig").alias("attr_id"))
+    row = each.groupBy("attr_id").agg(F.sum("mult").alias("w"))
+    each = each.join(row, "attr_id").withColumn("r", 1 / F.col("w"))
+    return each.select("attr_id", "col", "mult", (F.col("r") / F.sum("r").over(W.partitionBy("col"))).alias("value"))
+
+
+def backward(p: DataFrame, columns: DataFrame, hops: int, alpha: float = 0.5) -> DataFrame:
+    """attr_id, col, value: walks along reversed edges to the columns (sig, col, mult) of the features."""
+    start = reversed_start(columns)
+    return propagate(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "p"), start.select("attr_id", "col", "value"), hops, alpha)
+
+
+def log_affinity_backward(value: DataFrame, columns: DataFrame) -> DataFrame:
+    """attr_id, col, value: log2(d * y + 1) of values normalised by node over all d columns, with their multiplicities.
+
+    A node's sum is taken before it meets the node's cells again, so no node's columns are gathered.
+    """
+    each = value.join(columns.select("col", "mult"), "col")
+    share = each.groupBy("attr_id").agg(F.sum(F.col("mult") * F.abs("value")).alias("share"))
+    d = columns.agg(F.sum("mult").alias("d"))
+    y = F.when(F.col("share") == 0, 0.0).otherwise(F.col("value") / F.col("share"))
+    return each.join(share, "attr_id").crossJoin(d).select("attr_id", "col", F.log2(F.col("d") * y + 1).alias("value"))  # one number
+
+
 #: Nodes from which on affinities aren't normalised.
 MANY_NODES = 1_000_000
 

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, char_class, dtype_vote, is_null_token, number
+from ..sources.shared import stored
 
 #: Distinct values up to which a column counts as exact, and the size of the sample beyond.
 EXACT_UNIQUE, SAMPLE_VALUES = 500, 200
@@ -98,11 +99,36 @@ def _quantiles(domain: DataFrame, edges: DataFrame) -> DataFrame:
     ranked = near.withColumn("upto", F.sum("cnt").over(order)).where("x is not null").join(F.broadcast(n), key)
     want = F.element_at(F.array(*map(F.lit, QUANTILES)), F.col("i") + 1) * (F.col("n") - 1)
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
-    got = ranked.groupBy(*key, "i").agg(at(F.floor(want)).alias("a"), at(F.ceil(want)).alias("b"), F.first(want - F.floor(want)).alias("f"))
+    row = lambda df: df.groupBy(*key, "i").agg(at(F.floor(want)).alias("a"), at(F.ceil(want)).alias("b"), F.first(want - F.floor(want)).alias("f"), ((F.min(F.col("upto") - F.col("cnt")) <= F.floor(F.first(want))) & (F.max("upto") > F.ceil(F.first(want)))).alias("there"))
+    got = row(ranked)
+    # A sketch errs beyond its bracket with some small probability; then the whole column is ranked.
+    missed = each.select(*key, "i", "x", "cnt").join(got.where("NOT there").select(*key, "i"), [*key, "i"], "left_semi")
+    missed = missed.withColumn("upto", F.sum("cnt").over(W.partitionBy(*key, "i").orderBy("x"))).join(F.broadcast(n), key)
+    got = got.where("there").unionByName(row(missed))
     got = got.select(*key, "i", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("v"))
     return got.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
 
 
+def _kept(domain: DataFrame, exact: int) -> DataFrame:
+    """tbl, col, own: each column's first ``exact`` values in the order of their md5, with their places."""
+    order = W.partitionBy("tbl", "col").orderBy(F.md5(F.col("v").cast("binary")), "v")
+    kept = domain.where("v is not null").select("tbl", "col", "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= exact)
+    return kept.groupBy("tbl", "col").agg(F.collect_list(F.struct("k", "v")).alias("own"))
+
+
+def _values(exact: int, sample: int) -> Column:
+    """All values of a column that has up to ``exact``, else the first ``sample``."""
+    own = F.filter("own", lambda s: (F.col("n_unique") <= exact) | (s["k"] <= sample))
+    return F.coalesce(F.sort_array(F.transform(own, lambda s: s["v"])), F.array().cast("array<string>"))
+
+
+def value_lists(tables: dict[str, DataFrame], exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VALUES) -> DataFrame:
+    """tbl, col, n_rows, n_unique, exact_unique, unique_vals of a profile, without the rest of it."""
+    domain = _union([_domain(df, t) for t, df in tables.items()])
+    base = domain.groupBy("tbl", "col").agg(F.sum("cnt").alias("n_rows"), F.count("v").alias("n_unique"))
+    return base.join(_kept(domain, exact), ["tbl", "col"], "left").select("tbl", "col", "n_rows", "n_unique", (F.col("n_unique") <= exact).alias("exact_unique"), _values(exact, sample).alias("unique_vals"))
+
+
 def _from_domain(domain: DataFrame, edges: DataFrame, exact: int, sample: int) -> DataFrame:
     text = F.when(F.col("kind") == "text", F.col("v"))
     typed = F.when(F.col("kind") != "text", F.col("kind"))
@@ -118,18 +144,15 @@ def _from_domain(domain: DataFrame, edges: DataFrame, exact: int, sample: int) -
     )
     numeric = F.col("dtype").isin("int", "float")
     stat = lambda c, name: F.when(numeric, c).alias(name)
-    order = W.partitionBy("tbl", "col").orderBy(F.md5(F.col("v").cast("binary")), "v")
-    kept = domain.where("v is not null").select("tbl", "col", "v").withColumn("k", F.row_number().over(order)).where(F.col("k") <= exact)
-    kept = kept.groupBy("tbl", "col").agg(F.collect_list(F.struct("k", "v")).alias("own"))
-    both = base.join(F.broadcast(kept), ["tbl", "col"], "left").join(F.broadcast(_quantiles(domain, edges)), ["tbl", "col"], "left")  # a row a column
-    values = F.coalesce(F.sort_array(F.transform(F.filter("own", lambda s: (F.col("n_unique") <= exact) | (s["k"] <= sample)), lambda s: s["v"])), F.array().cast("array<string>"))
+    # A row a column; the values kept may be long, so the optimiser says how they are joined.
+    both = base.join(_kept(domain, exact), ["tbl", "col"], "left").join(F.broadcast(_quantiles(domain, edges)), ["tbl", "col"], "left")
     return both.select(
         "tbl", "col", "dtype", "n_rows", "n_unique",
         (F.col("n_null") / F.greatest("n_rows", F.lit(1))).alias("null_rate"),
         stat(F.col("lo"), "num_min"), stat(F.col("hi"), "num_max"),
         stat(F.col("q")[0], "num_p25"), stat(F.col("q")[1], "num_p50"), stat(F.col("q")[2], "num_p75"),
         F.col("avg_len").alias("str_avg_len"), F.col("char_class").alias("str_char_class"),
-        (F.col("n_unique") <= exact).alias("exact_unique"), values.alias("unique_vals"),
+        (F.col("n_unique") <= exact).alias("exact_unique"), _values(exact, sample).alias("unique_vals"),
     )
 
 
@@ -140,7 +163,8 @@ def profile_tables(tables: dict[str, DataFrame], exact: int = EXACT_UNIQUE, samp
     ``exact``, else the ``sample`` first by md5. Declared types decide; only texts are voted on.
     """
     some = {t: df for t, df in tables.items() if any(kind_of(k) for _, k in df.dtypes)}
-    return _from_domain(_union([_domain(df, t) for t, df in some.items()]), _union([_brackets(df, t) for t, df in some.items()]), exact, sample)
+    domain = stored(_union([_domain(df, t) for t, df in some.items()]), "domain")  # read by the counts, the lists and the quantiles
+    return _from_domain(domain, _union([_brackets(df, t) for t, df in some.items()]), exact, sample)
 
 
 def profile(cell: DataFrame, exact: int = EXACT_UNIQUE, sample: int = SAMPLE_VALUES) -> DataFrame:

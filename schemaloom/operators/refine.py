@@ -1,8 +1,9 @@
 """Refinement of similarity matrices by rewards for dependencies that hold on the target rows.
 
 The rounds of one run are sequential and bounded by its matrix; runs are independent, so a table of
-runs is refined with one grouped function. Which remapped dependencies hold depends on the target
-rows alone, so it is worked out once per mapping and looked up in every round.
+runs is refined a row at a time. Which remapped dependencies hold depends on the target rows alone: a
+relation says so for all runs at once (``validity``), and the rounds only look it up. What a round asks
+for follows from the rewards of the rounds before, so the relation grows until no run has anything to ask.
 
 A run is one array, the state of its rounds. What a round needs to know of the last one (how far the
 array moved, how many source columns changed their best target, how many mappings held) is measured on
@@ -16,11 +17,15 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.shared import stored
+from . import validity
 
 KINDS = ("fd", "ind", "cfd")
 
@@ -112,24 +117,19 @@ class Rounds:
         return "stop" if self.quiet >= self.config.patience else "go"
 
 
-class Rows:
-    """Target rows, and which dependencies between their columns hold."""
-
-    def __init__(self, rows: list[list[str]], first_rows: int, support: int):
-        self.rows, self.first_rows, self.support = rows, first_rows, support
-        self.fd, self.ind = lru_cache(None)(self._fd), lru_cache(None)(self._ind)
+class Known:
+    """What the relation of ``validity`` says of a run's target; what it doesn't know yet is asked for."""
 
-    def _fd(self, lhs: tuple, rhs: tuple, pattern: tuple = ()) -> bool:
-        """Also conditional: with a pattern, it must apply to a row."""
-        groups: dict[tuple, list[tuple]] = {}
-        for r in self.rows:
-            if all(v == "_" or r[i] == v for i, v in pattern):
-                groups.setdefault(tuple(r[i] for i in lhs), []).append(tuple(r[i] for i in rhs))
-        seen = (g[: self.first_rows] if self.first_rows else g for g in groups.values())
-        return (bool(groups) or not pattern) and all(len(set(g)) == 1 for g in seen) and max(map(len, groups.values()), default=0) >= self.support
+    def __init__(self, verdicts: dict[tuple, tuple[bool, int | None]], support: int = 1):
+        self.verdicts, self.support, self.asks = verdicts, support, set()
 
-    def _ind(self, lhs: tuple, rhs: tuple) -> bool:
-        return {tuple(r[i] for i in lhs) for r in self.rows} <= {tuple(r[i] for i in rhs) for r in self.rows}
+    def holds(self, kind: str, lhs: tuple, rhs: tuple, pattern: tuple = ()) -> bool:
+        ask = (kind, lhs, rhs, tuple(sorted(pattern)))
+        if ask not in self.verdicts:
+            self.asks.add(ask)
+            return False
+        ok, largest = self.verdicts[ask]
+        return ok and (kind == "ind" or largest >= self.support)
 
 
 def _choices(m: np.ndarray, attrs: tuple, k: int) -> list[dict[int, int]]:
@@ -138,21 +138,39 @@ def _choices(m: np.ndarray, attrs: tuple, k: int) -> list[dict[int, int]]:
     return [dict(zip(attrs, x)) for x in itertools.product(*best)]
 
 
-def _mappings(m: np.ndarray, kind: str, dep: tuple, k: int, rows: Rows) -> Iterator[list[dict[int, int]]]:
-    """The mappings of one dependency that hold. ``m`` may change between them: the candidates of an IND's right side are then looked up anew."""
-    lhs, rhs = dep[:2]
+def _images(kind: str, dep: tuple, a: dict[int, int], b: dict[int, int]) -> tuple | None:
+    """The dependency carried over; None if its sides meet, or a left side that must not repeat does."""
+    x, y = tuple(a[i] for i in dep[0]), tuple(b[i] for i in dep[1])
+    pattern = tuple((a[i], v) for i, v in dep[2]) if kind == "cfd" else ()
+    if set(x) & set(y) or kind != "ind" and len(set(x)) < len(x) or kind == "cfd" and not pattern:
+        return None
+    return kind, x, y, pattern
+
+
+def _pairs(m: np.ndarray, kind: str, dep: tuple, k: int) -> Iterator[tuple[dict[int, int], dict[int, int]]]:
+    """What the left and the right side are mapped by. ``m`` may change between them: the candidates of an IND's right side are then looked up anew."""
     if kind == "ind":
-        for a in _choices(m, lhs, k):
-            for b in _choices(m, rhs, k):
-                x, y = tuple(a[i] for i in lhs), tuple(b[i] for i in rhs)
-                if not set(x) & set(y) and rows.ind(x, y):
-                    yield [a, b]
-        return
-    for a in _choices(m, tuple(dict.fromkeys(lhs + rhs)), k):
-        x, y = tuple(a[i] for i in lhs), tuple(a[i] for i in rhs)
-        pattern = tuple((a[i], v) for i, v in dep[2]) if kind == "cfd" else ()
-        if len(set(x)) == len(x) and not set(x) & set(y) and (kind == "fd" or pattern) and rows.fd(x, y, pattern):
-            yield [a]
+        for a in _choices(m, dep[0], k):
+            for b in _choices(m, dep[1], k):
+                yield a, b
+    else:
+        for a in _choices(m, tuple(dict.fromkeys(dep[0] + dep[1])), k):
+            yield a, a
+
+
+def _mappings(m: np.ndarray, kind: str, dep: tuple, k: int, known: Known, wide: int) -> Iterator[list[dict[int, int]]]:
+    """The mappings of one dependency that hold. If one isn't known, those of ``wide`` candidates are asked for, since
+    rewards will bring some of them in."""
+    for a, b in _pairs(m, kind, dep, k):
+        image = _images(kind, dep, a, b)
+        if image:
+            before = len(known.asks)
+            if known.holds(*image):
+                yield [a, b] if kind == "ind" else [a]
+            elif len(known.asks) > before:
+                for x, y in _pairs(m, kind, dep, wide):
+                    if more := _images(kind, dep, x, y):
+                        known.holds(*more)
 
 
 def _give(m: np.ndarray, mapping: dict[int, int], r: float, ceiling: float) -> None:
@@ -160,10 +178,13 @@ def _give(m: np.ndarray, mapping: dict[int, int], r: float, ceiling: float) -> N
         m[t, s] += min(r, max(ceiling - m[t, s], 0.0))
 
 
-def refine(matrix, rows: list[list[str]], fds: list[tuple], inds: list[tuple], c: Config = Config(), cfds: list[tuple] = ()) -> list[list[float]]:
+def refine(matrix, known: Known, fds: list[tuple], inds: list[tuple], c: Config = Config(), cfds: list[tuple] = ()) -> list[list[float]]:
     """``fds``, ``inds``, ``cfds``: (lhs, rhs) of source columns, for CFDs with a pattern of (column,
-    constant) pairs, in order. Rewards act at once, so order matters."""
-    state, holds = Rounds(np.array(matrix, float), c), Rows(rows, c.first_rows, c.min_group_support)
+    constant) pairs, in order. Rewards act at once, so order matters.
+
+    If ``known.asks`` isn't empty afterwards, the array is that of an unfinished run.
+    """
+    state = Rounds(np.array(matrix, float), c)
     deps = {"fd": fds, "ind": inds, "cfd": cfds}
     if not state.now.size:
         return state.now.tolist()
@@ -171,7 +192,7 @@ def refine(matrix, rows: list[list[str]], fds: list[tuple], inds: list[tuple], c
         raw = state.now.copy()
         for kind in c.kinds():
             for d in deps[kind]:
-                for mapping in itertools.chain.from_iterable(_mappings(raw, kind, d, c.k_max, holds)):
+                for mapping in itertools.chain.from_iterable(_mappings(raw, kind, d, c.k_max, known, c.k_max)):
                     _give(state.now, mapping, c.fixed.get(kind, 0.01), math.inf)
         return state.now.tolist()
     for _ in range(c.max_iter):
@@ -179,10 +200,12 @@ def refine(matrix, rows: list[list[str]], fds: list[tuple], inds: list[tuple], c
         k, r, held = state.width(), state.reward(), 0
         for kind in c.kinds():
             for d in deps[kind]:
-                for mappings in _mappings(state.now, kind, d, k, holds):
+                for mappings in _mappings(state.now, kind, d, k, known, c.k_max + 1):
                     held += 1
                     for mapping in mappings:
                         _give(state.now, mapping, r, c.ceiling)
+        if known.asks:
+            break
         then = state.close(held)
         if then == "mean":
             return np.mean(state.starts[-4:], axis=0).tolist()
@@ -191,30 +214,66 @@ def refine(matrix, rows: list[list[str]], fds: list[tuple], inds: list[tuple], c
     return state.now.tolist()
 
 
-RUN_SCHEMA = "run_id string, matrix string, rows string, deps string, config string"
-
-
-def refine_runs(runs: DataFrame) -> DataFrame:
-    """runs: run_id, and matrix, rows, deps (by kind) and config as JSON. Gives run_id, t_attr, s_attr, score."""
-
-    def one(table):
-        out = {"run_id": [], "t_attr": [], "s_attr": [], "score": []}
-        for r in table.to_pylist():
-            deps = {k: [tuple(tuple(map(tuple, x)) if i == 2 else tuple(x) for i, x in enumerate(d)) for d in v] for k, v in json.loads(r["deps"]).items()}
-            m = refine(json.loads(r["matrix"]), json.loads(r["rows"]), deps.get("fd", []), deps.get("ind", []), Config(**json.loads(r["config"] or "{}")), deps.get("cfd", []))
-            for i, row in enumerate(m):
-                for j, v in enumerate(row):
-                    for k, x in zip(out, (r["run_id"], i, j, v)):
-                        out[k].append(x)
-        return pa.table({"run_id": pa.array(out["run_id"], pa.string()), "t_attr": pa.array(out["t_attr"], pa.int32()), "s_attr": pa.array(out["s_attr"], pa.int32()), "score": pa.array(out["score"], pa.float64())})
-
-    return runs.groupBy("run_id").applyInArrow(one, "run_id string, t_attr int, s_attr int, score double")
-
-
-def run_row(run_id: str, matrix, rows, fds, inds=(), config: Config = Config(), cfds=()) -> tuple:
-    return run_id, json.dumps(matrix), json.dumps(rows), json.dumps({"fd": list(fds), "ind": list(inds), "cfd": list(cfds)}), json.dumps(asdict(config))
-
-
-def grid(run_id: str, matrix, rows, fds, inds=(), cfds=(), configs: dict[str, Config] | None = None) -> list[tuple]:
-    """One run for each configuration of a sweep, named after it."""
-    return [run_row(f"{run_id}|{name}", matrix, rows, fds, inds, c, cfds) for name, c in (configs or {"": Config()}).items()]
+DEP = "struct<kind:string,lhs:array<int>,rhs:array<int>,pattern:array<struct<attr:int,value:string>>>"
+#: A run: the case that its rows and dependencies belong to, its array by target column, dependencies in order.
+RUN_SCHEMA = f"run_id string, case_id string, config string, matrix array<array<double>>, deps array<{DEP}>"
+_OUT = f"run_id string, case_id string, first_rows int, matrix array<array<double>>, asks array<{DEP}>"
+
+
+def runs(scores: DataFrame, deps: DataFrame, configs: dict[str, Config]) -> DataFrame:
+    """A run for each case and configuration, named case|configuration (or case, for the name "").
+
+    ``scores``: case_id, t_attr, s_attr, score, every cell of a case, columns numbered from 0. ``deps``: case_id,
+    kind, place, lhs, rhs, pattern.
+    """
+    listed = lambda at, value: F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value])
+    matrix = scores.groupBy("case_id", "t_attr").agg(listed("s_attr", "score").alias("row")).groupBy("case_id").agg(listed("t_attr", "row").alias("matrix"))
+    own = deps.select("case_id", "place", F.struct("kind", "lhs", "rhs", "pattern").cast(DEP).alias("dep"))
+    own = own.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "dep"))), lambda x: x["dep"]).alias("deps"))
+    each = scores.sparkSession.createDataFrame([(n, json.dumps(asdict(c))) for n, c in configs.items()], "name string, config string")
+    out = matrix.join(own, "case_id", "left").crossJoin(F.broadcast(each))  # configurations are a list in hand
+    name = F.when(F.col("name") == "", F.col("case_id")).otherwise(F.concat_ws("|", "case_id", "name"))
+    return out.select(name.alias("run_id"), "case_id", "config", "matrix", F.coalesce("deps", F.array().cast(f"array<{DEP}>")).alias("deps"))
+
+
+def _one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.struct([("kind", pa.string()), ("lhs", pa.list_(pa.int32())), ("rhs", pa.list_(pa.int32())), ("pattern", pa.list_(pa.struct([("attr", pa.int32()), ("value", pa.string())])))])
+    plain = lambda d: (d["kind"], tuple(d["lhs"]), tuple(d["rhs"]), tuple((e["attr"], e["value"]) for e in d["pattern"] or ()))
+    for batch in batches:
+        out = {"run_id": [], "case_id": [], "first_rows": [], "matrix": [], "asks": []}
+        for r in batch.to_pylist():
+            c, deps = Config(**json.loads(r["config"] or "{}")), {k: [] for k in KINDS}
+            for d in r["deps"] or ():
+                name, lhs, rhs, pattern = plain(d)
+                deps[name].append((lhs, rhs, pattern) if name == "cfd" else (lhs, rhs))
+            known = Known({plain(v): (v["holds"], v["support"]) for v in r["known"] or () if v["first_rows"] == c.first_rows}, c.min_group_support)
+            m = refine(r["matrix"], known, deps["fd"], deps["ind"], c, deps["cfd"])
+            asks = [{"kind": a[0], "lhs": a[1], "rhs": a[2], "pattern": [{"attr": i, "value": v} for i, v in a[3]]} for a in sorted(known.asks)]
+            for k, v in zip(out, (r["run_id"], r["case_id"], c.first_rows, m, asks)):
+                out[k].append(v)
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.float64())), pa.list_(kind))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+
+def refine_runs(own: DataFrame, target: DataFrame) -> DataFrame:
+    """run_id, t_attr, s_attr, score of runs of RUN_SCHEMA over target cells (case_id, row_id, t_attr, raw).
+
+    A pass carries every run as far as the known verdicts go and gives out the dependencies that it needs next;
+    one job finds out about these for all runs, and the runs that asked go on. Runs hold arrays, dependencies and
+    verdicts, as large as a schema; target rows are in the relation's job only.
+    """
+    own, target = stored(own, "runs"), stored(target, "target")
+    known, done = own.sparkSession.createDataFrame([], validity.ASK + ", first_rows int, holds boolean, support long"), []
+    while True:
+        verdicts = known.groupBy("case_id").agg(F.collect_list(F.struct("kind", "lhs", "rhs", "pattern", "first_rows", "holds", "support")).alias("known"))
+        out = stored(own.join(verdicts, "case_id", "left").mapInArrow(_one, _OUT), "refined")
+        done.append(out.where(F.size("asks") == 0))
+        asks = out.select("case_id", "first_rows", F.explode("asks").alias("a")).select("case_id", "first_rows", "a.*").distinct()
+        depths = [r[0] for r in asks.select("first_rows").distinct().collect()]  # as many as configurations differ in
+        if not depths:
+            break
+        own = own.join(out.where(F.size("asks") > 0).select("run_id"), "run_id", "left_semi")
+        asked = [validity.relation(asks.where(F.col("first_rows") == d).drop("first_rows"), target, (d,)) for d in depths]
+        known = stored(reduce(DataFrame.unionByName, [known, *asked]), "known")
+    cells = reduce(DataFrame.union, done).select("run_id", F.posexplode("matrix").alias("t_attr", "row"))
+    return cells.select("run_id", "t_attr", F.posexplode("row").alias("s_attr", "score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import validity
 from .signals import top_k
 from .validate import minimise
 
@@ -17,14 +18,20 @@ def candidates(scores: DataFrame, k: int = 3) -> DataFrame:
 def assignments(deps: DataFrame, cand: DataFrame) -> DataFrame:
     """dep_id, lhs, rhs, assign for every choice of a candidate per attribute; none if an attribute has none.
 
-    Attributes are bound one position at a time, over at most the longest dependency.
+    Choices are counted through: the digits of a choice's number, in the mixed radix of the attributes' candidate
+    counts, say which candidate each attribute gets. One join and one grouping, however long dependencies are.
     """
-    out = deps.withColumn("attrs", F.array_distinct(F.concat("lhs", "rhs"))).withColumn("assign", F.create_map().cast("map<int,int>"))
-    longest = out.agg(F.max(F.size("attrs"))).first()[0] or 0
-    for i in range(longest):
-        bound = out.join(F.broadcast(cand), F.get("attrs", F.lit(i)) == cand["s_attr"]).withColumn("assign", F.map_concat("assign", F.create_map("s_attr", "t_attr"))).drop("s_attr", "t_attr")
-        out = bound.union(out.where(F.size("attrs") <= i))
-    return out.drop("attrs")
+    options = cand.groupBy("s_attr").agg(F.sort_array(F.collect_list("t_attr")).alias("own"))
+    each = deps.select("dep_id", "lhs", "rhs", F.posexplode(F.array_distinct(F.concat("lhs", "rhs"))).alias("at", "s_attr"))
+    bound = each.join(options, "s_attr", "left").groupBy("dep_id", "lhs", "rhs").agg(F.sort_array(F.collect_list(F.struct("at", "s_attr", "own"))).alias("attrs"))
+    total = F.aggregate("attrs", F.lit(1).cast("long"), lambda n, a: n * F.size(a["own"]))
+    bound = bound.where(F.forall("attrs", lambda a: a["own"].isNotNull())).withColumn("choice", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)))
+    start = F.struct(F.col("choice").alias("left"), F.array().cast("array<struct<s:int,t:int>>").alias("picked"))
+    pick = lambda state, a: F.struct(
+        F.floor(state["left"] / F.size(a["own"])).cast("long").alias("left"),
+        F.concat(state["picked"], F.array(F.struct(a["s_attr"].cast("int").alias("s"), F.get(a["own"], (state["left"] % F.size(a["own"])).cast("int")).cast("int").alias("t")))).alias("picked"),
+    )
+    return bound.select("dep_id", "lhs", "rhs", F.map_from_entries(F.aggregate("attrs", start, pick)["picked"]).alias("assign"))
 
 
 def _mapped(c: str):
@@ -44,24 +51,20 @@ def mapped_inds(deps: DataFrame, cand: DataFrame) -> DataFrame:
     return left.join(right, "dep_id").where(~F.arrays_overlap("lhs", "rhs")).select("lhs", "rhs").distinct()
 
 
-def row_maps(target: DataFrame) -> DataFrame:
-    """row_id, m (attribute to value) from row_id, t_attr, raw."""
-    return target.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("t_attr", "raw"))).alias("m"))
+def _holding(deps: DataFrame, target: DataFrame, kind: str, pattern=None) -> DataFrame:
+    """The verdicts of ``validity`` on dependencies of one kind and one target (row_id, t_attr, raw)."""
+    none = F.array().cast("array<struct<attr:int,value:string>>")
+    asks = deps.select(F.lit("").alias("case_id"), F.lit(kind).alias("kind"), "lhs", "rhs", (none if pattern is None else pattern).alias("pattern"))
+    return validity.relation(asks, target.withColumn("case_id", F.lit(""))).where("holds")
 
 
 def holding_fds(deps: DataFrame, target: DataFrame, min_group: int = 1) -> DataFrame:
     """The FDs (lhs, rhs) that hold on the target rows; with min_group > 1 only those with a group so large."""
-    key = lambda c: F.transform(c, lambda a: F.element_at("m", a))
-    groups = row_maps(target).crossJoin(F.broadcast(deps)).groupBy("lhs", "rhs", key("lhs").alias("k")).agg(F.count(F.lit(1)).alias("n"), (F.min(key("rhs")) == F.max(key("rhs"))).alias("ok"))
-    return groups.groupBy("lhs", "rhs").agg(F.bool_and("ok").alias("ok"), F.max("n").alias("n")).where(F.col("ok") & (F.col("n") >= min_group)).select("lhs", "rhs")
+    return _holding(deps, target, "fd").where(F.col("support") >= min_group).select("lhs", "rhs")
 
 
 def holding_inds(deps: DataFrame, target: DataFrame) -> DataFrame:
-    key = lambda c: F.to_json(F.transform(c, lambda a: F.element_at("m", a)))
-    each = row_maps(target).crossJoin(F.broadcast(deps))
-    left, right = each.select("lhs", "rhs", key("lhs").alias("k")).distinct(), each.select("lhs", "rhs", key("rhs").alias("k")).distinct()
-    broken = left.join(right, ["lhs", "rhs", "k"], "left_anti").select("lhs", "rhs").distinct()
-    return deps.select("lhs", "rhs").join(broken, ["lhs", "rhs"], "left_anti")
+    return _holding(deps, target, "ind").select("lhs", "rhs")
 
 
 def mapped_cfds(deps: DataFrame, cand: DataFrame) -> DataFrame:
@@ -75,13 +78,9 @@ def mapped_cfds(deps: DataFrame, cand: DataFrame) -> DataFrame:
 
 def holding_cfds(deps: DataFrame, target: DataFrame) -> DataFrame:
     """The CFDs (lhs, rhs, pattern) that hold on target rows, of which at least one has the pattern's constants."""
-    key = lambda c: F.transform(c, lambda a: F.element_at("m", a))
-    met = F.forall("p", lambda e: (e["value"] == "_") | F.coalesce(F.element_at("m", e["key"]) == e["value"], F.lit(False)))
-    own = deps.select("lhs", "rhs", F.sort_array(F.map_entries("pattern")).alias("p"))
-    each = row_maps(target).crossJoin(F.broadcast(own)).where(met)  # dependencies are as many as a schema has
-    groups = each.groupBy("lhs", "rhs", "p", key("lhs").alias("k")).agg((F.min(key("rhs")) == F.max(key("rhs"))).alias("ok"))
-    held = groups.groupBy("lhs", "rhs", "p").agg(F.bool_and("ok").alias("ok")).where("ok")
-    return held.select("lhs", "rhs", F.map_from_entries("p").alias("pattern"))
+    entries = F.transform(F.sort_array(F.map_entries("pattern")), lambda e: F.struct(e["key"].cast("int").alias("attr"), e["value"].alias("value")))
+    held = _holding(deps, target, "cfd", entries)
+    return held.select("lhs", "rhs", F.map_from_entries("pattern").alias("pattern"))
 
 
 def target_dependencies(fds: DataFrame, inds: DataFrame, scores: DataFrame, target: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,12 @@ summaries and bounded value lists (at most EXACT_UNIQUE a column) are crossed, n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import char_class, dtype_vote, is_null_token, number
+from ..sources.shared import stored
 
 WEIGHTS = {"subset": 0.4, "type": 0.2, "dist": 0.2, "semantic": 0.2}
 
@@ -18,10 +19,15 @@ WEIGHTS = {"subset": 0.4, "type": 0.2, "dist": 0.2, "semantic": 0.2}
 def target_summary(target: DataFrame) -> DataFrame:
     v = F.when(~is_null_token(F.col("raw")), F.trim("raw"))
     x = number(F.trim("raw"))
-    return target.groupBy("t_attr").agg(
+    # The middle number by counts of equal ones, which combine before a column's numbers are put in order.
+    counts = target.select("t_attr", x.alias("x")).where("x is not null").groupBy("t_attr", "x").agg(F.count(F.lit(1)).alias("c"))
+    order = W.partitionBy("t_attr")
+    middle = counts.withColumns({"upto": F.sum("c").over(order.orderBy("x")), "half": F.floor(F.sum("c").over(order) / 2)}).where("upto > half").groupBy("t_attr").agg(F.min("x").alias("t_med"))
+    summary = target.groupBy("t_attr").agg(
         dtype_vote(v).alias("t_type"), F.count_distinct("raw").alias("t_card"), F.avg(F.length(v)).alias("t_len"), char_class(v).alias("t_class"),
-        F.min(x).alias("t_min"), F.max(x).alias("t_max"), F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int")).alias("t_med"), F.count(x).alias("t_nums"), F.count(v).alias("t_vals"),
+        F.min(x).alias("t_min"), F.max(x).alias("t_max"), F.count(x).alias("t_nums"), F.count(v).alias("t_vals"),
     )
+    return summary.join(middle, "t_attr", "left")
 
 
 def pairs(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -63,22 +69,86 @@ def distribution_signal(pair: DataFrame) -> DataFrame:
     return pair.select("t_attr", "s_attr", F.when(F.col("dtype").isin("int", "float"), numeric).otherwise(text).alias("dist"))
 
 
+#: Lengths in a band; rounds of best_similarity look at their own band, 3, 12, 48 .. more to either side.
+BAND = 4
+
+
+def _letters(c: Column) -> Column:
+    """64 bits, one for each letter by its code: a letter of one text whose bit another lacks costs an edit."""
+    codes = F.transform(F.array_distinct(F.split(c, "")), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 64))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def _closest(values: Column, start: Column) -> Column:
+    """The best similarity of a text (a, n, letters) to values (b, m, letters), or ``start`` if that is better.
+
+    The best so far is the bound to beat: a value that lacks too many letters isn't compared, and edits are counted
+    only as far as they would be few enough.
+    """
+
+    def step(best: Column, v: Column) -> Column:
+        longest = F.greatest(F.col("n"), v["m"], F.lit(1))
+        allowed = F.floor((1 - best) * longest + 1e-9).cast("int")
+        lacking = F.greatest(F.bit_count(F.col("letters").bitwiseAND(F.bitwise_not(v["letters"]))), F.bit_count(v["letters"].bitwiseAND(F.bitwise_not(F.col("letters")))))
+        edits = F.pmod(F.call_function("levenshtein", F.col("a"), v["b"], allowed), F.lit(1 << 30))  # -1 (too many) is very many
+        return F.when(lacking > allowed, best).otherwise(F.greatest(best, 1 - edits / longest))
+
+    return F.aggregate(values, start, step)
+
+
+def best_similarity(own: DataFrame, values: DataFrame) -> DataFrame:
+    """a, s_attr, best: the greatest edit similarity of each a to a value b of each column (s_attr, b).
+
+    Equal values meet by equality. Others meet by bands of their length, the nearest bands first; a text
+    whose best similarity to every column is no less than what a longer difference in length allows is settled, and
+    the others look at bands further off, with what they have found as the bound to beat. The maximum is exact.
+    """
+    own, values = own.select("a").distinct(), values.select("s_attr", "b").where("b is not null").distinct()
+    lists = stored(values.withColumn("band", F.floor(F.length("b") / BAND).cast("int")).groupBy("s_attr", "band").agg(F.collect_list(F.struct("b", F.length("b").alias("m"), _letters(F.col("b")).alias("letters"))).alias("own")), "bands")
+    # Both are a few numbers.
+    columns, last = lists.agg(F.count_distinct("s_attr"), F.max("band")).first()
+    if not columns:
+        return own.select("a", F.lit(0).alias("s_attr"), F.lit(0.0).alias("best")).limit(0)
+    best = stored(own.join(values.select(F.col("b").alias("a"), "s_attr"), "a").select("a", "s_attr", F.lit(1.0).cast("double").alias("best")), "best")
+    # Comparing is what takes time, so texts stay spread however few bytes they are.
+    wide = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = stored(own.select("a", F.length("a").alias("n"), _letters(F.col("a")).alias("letters")).repartition(wide, "a"), "texts")
+    longest = texts.agg(F.max("n")).first()[0] or 0
+    from_, to = 0, 0
+    while True:
+        # Bands whose distance from the text's own is from_ to to; the first round has its own only.
+        home = F.floor(F.col("n") / BAND).cast("int")
+        away = F.array_distinct(F.concat(F.sequence(home + from_, home + to), F.sequence(home - from_, home - to)))
+        near = texts.withColumn("band", F.explode(away)).where(F.col("band").between(0, last))
+        met = near.join(lists, "band").join(best, ["a", "s_attr"], "left")
+        found = met.select("a", "s_attr", _closest(F.col("own"), F.coalesce("best", F.lit(0.0))).alias("best"))
+        best = stored(best.unionByName(found).groupBy("a", "s_attr").agg(F.max("best").alias("best")), "best")
+        if to >= max(last, longest // BAND):
+            return best
+        # Values in bands beyond differ by so many letters at least.
+        off = F.lit(to * BAND + 1)
+        bound = F.greatest(1 - off / F.greatest("n", F.lit(1)), 1 - off / (F.col("n") + off))
+        done = texts.join(best, "a").where(F.col("best") >= bound).groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == columns)
+        texts = stored(texts.join(done, "a", "left_anti").repartition(wide, "a"), "texts")
+        if texts.isEmpty():
+            return best
+        from_, to = to + 1, 4 * to + 3
+
+
 def semantic_signal(target: DataFrame, source: DataFrame) -> DataFrame:
     """Mean over distinct target values of the best edit similarity to a stored source value."""
     own = target.where(~is_null_token(F.col("raw"))).select("t_attr", F.lower(F.trim("raw")).alias("a")).distinct()
     values = source.select("s_attr", F.explode("unique_vals").alias("b")).select("s_attr", F.lower("b").alias("b"))
-    close = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    best = own.crossJoin(F.broadcast(values)).groupBy("t_attr", "s_attr", "a").agg(F.max(close).alias("best"))
-    return best.groupBy("t_attr", "s_attr").agg(F.avg("best").alias("semantic"))
+    return own.join(best_similarity(own, values), "a").groupBy("t_attr", "s_attr").agg(F.avg("best").alias("semantic"))
 
 
 def score(target: DataFrame, source: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """t_attr, s_attr, the four signals and their weighted total.
 
-    Each signal reads the profile, which is written once into memory (a row a column, at most EXACT_UNIQUE
-    values in it) instead of being worked out for each.
+    Each signal reads the profile and the target, which are stored once instead of being worked out for each.
     """
-    source = source.sparkSession.createDataFrame(source.select("s_attr", "dtype", "n_rows", "n_unique", "num_min", "num_max", "num_p25", "num_p75", "str_avg_len", "str_char_class", "exact_unique", "unique_vals").toArrow())
+    source = stored(source.select("s_attr", "dtype", "n_rows", "n_unique", "num_min", "num_max", "num_p25", "num_p75", "str_avg_len", "str_char_class", "exact_unique", "unique_vals"), "profiles")
+    target = stored(target.select("t_attr", "raw"), "target")
     weights, pair = weights or WEIGHTS, pairs(target, source)
     out = subset_signal(target, source).join(type_signal(pair), ["t_attr", "s_attr"]).join(distribution_signal(pair), ["t_attr", "s_attr"]).join(semantic_signal(target, source), ["t_attr", "s_attr"], "left")
     out = out.withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))

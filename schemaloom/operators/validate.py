@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
 @dataclass(frozen=True)
 class Dependency:
@@ -188,6 +189,7 @@ def ind(r: DataFrame, x: list[str], s: DataFrame, y: list[str], name: str) -> Da
 
 
 def closure(attrs, fds: list[Dependency]) -> frozenset:
+    """What a set of attributes determines, for a few dependencies in hand; ``closures`` is for tables of them."""
     out, more = set(attrs), True
     while more:
         new = {b for d in fds if set(d.lhs) <= out for b in d.rhs} - out
@@ -196,15 +198,62 @@ def closure(attrs, fds: list[Dependency]) -> frozenset:
     return frozenset(out)
 
 
+def closures(starts: DataFrame, fds: DataFrame) -> DataFrame:
+    """start, closure (both sorted) of every start set at once, from start (array) and lhs, rhs.
+
+    A recursion in the plan: a step adds the right sides of all FDs whose left side is there, and a set that
+    doesn't grow isn't carried on. The dependencies are one array beside the sets, as large as a schema's.
+    Spark's limit of steps (spark.sql.cteRecursionLevelLimit) is the longest chain of dependencies.
+    """
+    own = starts.select(F.array_sort(F.array_distinct("start")).alias("start")).distinct()
+    listed = fds.where("size(rhs) > 0").agg(F.collect_set(F.struct("lhs", "rhs")).alias("fds"))
+    query = """
+        WITH RECURSIVE reached(start, attrs, more) AS (
+          SELECT start, start, true FROM {own}
+          UNION ALL
+          SELECT start, new, size(new) > size(attrs) FROM (
+            SELECT start, attrs, array_sort(array_distinct(concat(attrs, flatten(transform(filter(fds, d -> size(array_except(d.lhs, attrs)) = 0), d -> d.rhs))))) AS new
+            FROM reached, {listed} WHERE more))
+        SELECT start, max_by(attrs, size(attrs)) AS closure FROM reached GROUP BY start"""
+    return starts.sparkSession.sql(query, own=own, listed=listed)
+
+
+def keys(attrs: DataFrame, fds: DataFrame, most: int = 3) -> DataFrame:
+    """start, closure, superkey, minimal for all sets of at most ``most`` attributes (attr): a minimal key is a
+    superkey that is none any more without one of its attributes."""
+    every = attrs.select("attr").distinct()
+    sets = every.select(F.array("attr").alias("start"))
+    out = sets
+    for _ in range(most - 1):
+        sets = sets.crossJoin(F.broadcast(every)).where(F.col("attr") > F.element_at("start", -1)).select(F.concat("start", F.array("attr")).alias("start"))  # attributes of one schema
+        out = out.union(sets)
+    n = every.agg(F.count(F.lit(1)).alias("n"))
+    got = closures(out, fds).crossJoin(F.broadcast(n)).select("start", "closure", (F.size("closure") >= F.col("n")).alias("superkey"))
+    less = got.where("superkey").select("start", F.explode("start").alias("a")).select("start", F.array_remove("start", F.col("a")).alias("part"))
+    beaten = less.join(got.where("superkey").select(F.col("start").alias("part")), "part", "left_semi").select("start").distinct().withColumn("beaten", F.lit(True))
+    return got.join(beaten, "start", "left").select("start", "closure", "superkey", (F.col("superkey") & F.col("beaten").isNull()).alias("minimal"))
+
+
 def is_superkey(attrs, everything, fds: list[Dependency]) -> bool:
     return set(everything) <= closure(attrs, fds)
 
 
 def minimise(deps: DataFrame) -> DataFrame:
-    """lhs, rhs arrays: drops those that another with a smaller left side and a covering right side implies."""
-    f, o = deps.alias("f"), deps.alias("o")
-    implied = (F.size(F.array_except("o.lhs", "f.lhs")) == 0) & (F.size("o.lhs") < F.size("f.lhs")) & (F.size(F.array_except("f.rhs", "o.rhs")) == 0)
-    return f.join(F.broadcast(o), implied, "left_anti").distinct()  # dependencies are as many as a schema has
+    """lhs, rhs arrays: drops those that another with a smaller left side and a covering right side implies.
+
+    The lattice below a left side is listed: each of its subsets, beside one attribute of the right side,
+    looks by equality for a dependency with that left side and that attribute. So a dependency meets those that may
+    imply it, never all others.
+    """
+    own = stored(deps.select("lhs", "rhs").distinct(), "dependencies").withColumn("key", F.array_sort(F.array_distinct("lhs")))
+    subsets = F.aggregate("key", F.array(F.array().cast(deps.schema["lhs"].dataType)), lambda got, a: F.concat(got, F.transform(got, lambda s: F.concat(s, F.array(a)))))
+    kind = deps.schema["rhs"].dataType.elementType
+    asked = own.select("lhs", "rhs", F.explode(subsets).alias("part"), F.array_min("rhs").cast(kind).alias("b"))
+    # An empty right side is covered by any.
+    named = own.select(F.col("key").alias("part"), F.col("lhs").alias("o_lhs"), F.col("rhs").alias("o_rhs"), F.explode(F.concat(F.array_distinct("rhs"), F.array(F.lit(None).cast(kind)))).alias("o_b"))
+    met = (asked["part"] == named["part"]) & asked["b"].eqNullSafe(named["o_b"]) & (F.size("o_lhs") < F.size("lhs")) & (F.size(F.array_except("rhs", "o_rhs")) == 0)
+    implied = asked.join(named, met).select("lhs", "rhs").distinct()
+    return own.select("lhs", "rhs").join(implied, ["lhs", "rhs"], "left_anti")
 
 
 def validate_all(spark: SparkSession, relations: dict[str, DataFrame], fds=(), cfds=(), inds=()) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import char_class, dtype_vote, is_null_token
-from ..operators import embed, graph, mediator, metrics, profile, refine, remap, signals, validate
+from ..operators import embed, graph, mediator, metrics, profile, refine, remap, signals, sketch, validate, validity
+from ..sources.shared import stored
 from . import evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,46 @@ for _name in KINDS:
     query(f"profile_{_name}", _profile_sql(_name))(_profile(_name))
 
 
+@query(
+    "profile_sketched_orders",
+    f"SELECT tbl, col, dtype, n_rows, null_rate, num_min, num_max, str_avg_len, str_char_class, exact_unique, unique_vals_md5, true AS n_unique_within, CASE WHEN num_min IS NOT NULL THEN true END AS quantiles_within FROM ({_profile_sql('orders')})",
+)
+def _(spark, sf_dir):
+    """The approximate profile: what it gives exactly, and whether its estimates are within 5 % of the distinct count
+    and 1 % of the ranks."""
+    orders = table(spark, sf_dir, "orders")
+    own = stored(sketch.profile_sketched({"orders": orders}), "sketched")
+    true = profile.value_lists({"orders": orders}).select("col", F.col("n_unique").alias("true_unique"))
+    # How many numbers are at most an estimate, or less than it: a row a column and quantile.
+    estimates = own.select("col", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"num_p{int(100 * q)}").alias("x")) for q in profile.QUANTILES))).alias("e")).where("e.x is not null").select("col", "e.q", "e.x")
+    numbers = [n for n, t in orders.dtypes if profile.kind_of(t) in ("whole", "double")]
+    cells = orders.select(*(F.col(n).cast("double").alias(n) for n in numbers)).unpivot([], numbers, "col", "v")
+    rank = cells.join(F.broadcast(estimates), "col").groupBy("col", "q").agg(F.avg((F.col("v") < F.col("x")).cast("double")).alias("less"), F.avg((F.col("v") <= F.col("x")).cast("double")).alias("upto"))
+    within = rank.groupBy("col").agg(F.bool_and((F.col("less") <= F.col("q") + 0.01) & (F.col("upto") >= F.col("q") - 0.01)).alias("quantiles_within"))
+    out = rounded(own).join(true, "col").join(within, "col", "left")
+    md5 = F.when(F.size("unique_vals") > 0, F.md5(F.array_join("unique_vals", "|").cast("binary"))).alias("unique_vals_md5")
+    exact = ("tbl", "col", "dtype", "n_rows", "null_rate", "num_min", "num_max", "str_avg_len", "str_char_class", "exact_unique")
+    return out.select(*exact, md5, (F.abs(F.col("n_unique") - F.col("true_unique")) <= 0.05 * F.col("true_unique")).alias("n_unique_within"), "quantiles_within")
+
+
+_DRAWN = "round(-ln((('0x' || substr(md5('42|{c}|' || {i}), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / {w}, 12)"
+_SAMPLED = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_totalprice": "o_totalprice::DECIMAL(18,6)::VARCHAR"}
+
+
+@query("row_weighted_sample", " UNION ALL ".join(f"(SELECT '{c}' AS col, {v} AS v, row_number() OVER (ORDER BY {_DRAWN.format(c=c, i='o_orderkey', w='1.0')}, o_orderkey::VARCHAR) AS place FROM orders QUALIFY place <= 200)" for c, v in _SAMPLED.items()))
+def _(spark, sf_dir):
+    """200 rows of each column, every row alike: frequent values come often."""
+    out = sketch.row_sample(table(spark, sf_dir, "orders"), list(_SAMPLED), ["o_orderkey"])
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("row_weighted_sample_by_quantity", f"SELECT 'l_shipdate' AS col, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS v, row_number() OVER (ORDER BY {_DRAWN.format(c='l_shipdate', i='concat_ws(chr(124), l_orderkey, l_linenumber)', w='l_quantity')}, concat_ws('|', l_orderkey, l_linenumber)) AS place FROM lineitem WHERE l_quantity > 0 QUALIFY place <= 200")
+def _(spark, sf_dir):
+    """200 rows in proportion to their quantities."""
+    out = sketch.row_sample(table(spark, sf_dir, "lineitem"), ["l_shipdate"], ["l_orderkey", "l_linenumber"], weight="l_quantity")
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 @query("value_domain_lineitem_flags", "SELECT 'l_' || k AS col, v AS raw, count(*) AS cnt FROM (SELECT 'returnflag' AS k, l_returnflag AS v FROM lineitem UNION ALL SELECT 'linestatus', l_linestatus FROM lineitem) GROUP BY ALL")
 def _(spark, sf_dir):
     return profile.value_domain(profile.cells(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), "lineitem")).drop("tbl")
@@ -289,9 +330,26 @@ SELECT unnest(s)::BIGINT AS attr, list_has_all(s, [0, 1, 2, 3, 4, 5]) AS superke
 )
 def _(spark, sf_dir):
     """What the name of a part determines, by the FDs that hold, and whether that is everything."""
-    deps = [validate.Dependency(tuple(r["lhs"]), tuple(r["rhs"])) for r in _held_fds(spark, sf_dir).collect()]
-    whole = validate.is_superkey([1], range(6), deps)
-    return values(spark, "attr long, superkey boolean", *((a, whole) for a in sorted(validate.closure([1], deps))))
+    got = validate.closures(values(spark, "start array<int>", ([1],)), _held_fds(spark, sf_dir))
+    return got.select(F.explode(F.col("closure").cast("array<long>")).alias("attr"), (F.size("closure") >= 6).alias("superkey"))
+
+
+@query(
+    "candidate_keys",
+    f"""
+WITH RECURSIVE {_HELD}, f AS (SELECT lhs, unnest(rhs) AS b FROM held), a AS (SELECT unnest(range(6))::INTEGER AS x),
+k AS (SELECT [x] AS s FROM a UNION ALL SELECT [a.x, b.x] FROM a, a b WHERE a.x < b.x UNION ALL SELECT [a.x, b.x, c.x] FROM a, a b, a c WHERE a.x < b.x AND b.x < c.x),
+c AS (SELECT s AS s0, s, 0 AS i FROM k UNION ALL SELECT s0, list_sort(list_distinct(s || coalesce((SELECT list(b) FROM f WHERE list_has_all(s, lhs)), []))), i + 1 FROM c WHERE i < 6),
+d AS (SELECT s0, s, len(s) = 6 AS superkey FROM c WHERE i = 6)
+SELECT array_to_string(s0, ',') AS start, array_to_string(s, ',') AS closure, superkey,
+  superkey AND NOT EXISTS (SELECT 1 FROM d o WHERE o.superkey AND len(o.s0) = len(d.s0) - 1 AND list_has_all(d.s0, o.s0)) AS minimal FROM d
+""",
+)
+def _(spark, sf_dir):
+    """The closures of all sets of up to three attributes of part, the superkeys and the minimal ones among them."""
+    got = validate.keys(values(spark, "attr int", *((a,) for a in range(6))), _held_fds(spark, sf_dir))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return got.select(text("start"), text("closure"), "superkey", "minimal")
 
 
 # --- signals --------------------------------------------------------------------------------------
@@ -445,8 +503,9 @@ def _remap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     texts = both.select(F.col("n_nationkey").alias("row_id"), *(F.col(c).cast("string").alias(str(k)) for k, c in TARGET_COLUMNS.items()))
     target = texts.unpivot("row_id", [str(k) for k in TARGET_COLUMNS], "t_attr", "raw").withColumn("t_attr", F.col("t_attr").cast("int"))
     ids = values(spark, "tbl string, col string, s_attr int", *((t, c, k) for k, (t, c) in SOURCES.items()))
-    own = profile.profile_tables({t: table(spark, sf_dir, t).select(c) for t, c in SOURCES.values()}).join(F.broadcast(ids), ["tbl", "col"])
-    scores = signals.subset_signal(target, own).withColumn("total", F.col("subset"))
+    own = profile.value_lists({t: table(spark, sf_dir, t).select(c) for t, c in SOURCES.values()}).join(F.broadcast(ids), ["tbl", "col"])
+    # A cell for each pair of columns, read by all that follows.
+    scores = stored(signals.subset_signal(target, own).withColumn("total", F.col("subset")), "scores")
     return scores, remap.candidates(scores, 2), target
 
 
@@ -690,42 +749,144 @@ def _(spark, sf_dir):
     return graph.nearest(e, e.where("id % 20 = 0"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str):
-    """Vectors of the attributes of part and of two targets: features are the parts, by size, brand and type."""
-    part = table(spark, sf_dir, "part")
-    has = [F.col("p_size") <= 25, F.col("p_size") % 2 == 0, F.col("p_retailprice") > 1200, F.col("p_brand") > "Brand#3", F.col("p_type") < "M", F.length("p_name") > 12]
-    feature = part.select(F.col("p_partkey").alias("row_gid"), F.explode(F.array_compact(F.array(*(F.when(c, i) for i, c in enumerate(has))))).alias("attr_id"))
-    return embed.embed_graph(graph.transition(_edges(spark, sf_dir)), feature, NODES)
+# Features are the parts, by size, brand and type.
+_PART_RULES = ["p_size <= 25", "p_size % 2 = 0", "p_retailprice > 1200", "p_brand > 'Brand#3'", "p_type < 'M'", "length(p_name) > 12"]
+_COLUMNS = (
+    "fr AS (" + " UNION ALL ".join(f"SELECT p_partkey AS r, {i} AS a FROM part WHERE {c}" for i, c in enumerate(_PART_RULES)) + "), "
+    "fs AS (SELECT col, count(*) AS mult FROM (SELECT string_agg(a::VARCHAR, ',' ORDER BY a) AS col FROM fr GROUP BY r) GROUP BY col), "
+    "f AS (SELECT unnest(string_split(col, ','))::INTEGER AS a, col, mult FROM fs), wt AS (SELECT a, sum(mult) AS w FROM f GROUP BY a), "
+    "fn AS (SELECT f.a, col, 1 / w AS r FROM f JOIN wt USING (a))"
+)
+
+
+def _part_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.array_compact(F.array(*(F.when(F.expr(c), i) for i, c in enumerate(_PART_RULES))))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_gid"), F.explode(rules).alias("attr_id"))
+
+
+def _part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sig, col (its text), mult."""
+    return graph.signatures(_part_feature(spark, sf_dir)).withColumn("col", F.array_join(F.transform("sig", lambda x: x.cast("string")), ","))
+
+
+def _walk_sql(start: str, forth: bool) -> str:
+    """Two hops from x0 (a, col, v)."""
+    to, at = ("src", "dst") if forth else ("dst", "src")
+    hop = lambda i: f"x{i} AS (SELECT {to} AS a, col, sum(p * v) AS v FROM p JOIN x{i - 1} ON {at} = a GROUP BY ALL)"
+    return f"x0 AS ({start}), {hop(1)}, {hop(2)}, x AS (SELECT a, col, sum(v) AS v FROM (SELECT a, col, 0.5 * v AS v FROM x0 UNION ALL SELECT a, col, 0.25 * v FROM x1 UNION ALL SELECT a, col, 0.125 * v FROM x2) GROUP BY ALL)"
+
+
+_BACKWARD = f"WITH {_EDGES}, {_COLUMNS}, {_walk_sql('SELECT a, col, r / sum(r) OVER (PARTITION BY col) AS v FROM fn', False)}"
+
+
+@query("propagate_backward", f"{_BACKWARD} SELECT a AS attr_id, col, round(v, 9) AS value FROM x")
+def _(spark, sf_dir):
+    """Walks along reversed edges to the features of parts, normalised by row and then by column."""
+    return rounded(graph.backward(graph.transition(_edges(spark, sf_dir)), _part_columns(spark, sf_dir), 2), 9)
+
+
+@query("log_affinity_backward", f"{_BACKWARD} SELECT a AS attr_id, col, round(log2((SELECT sum(mult) FROM fs) * v / sum(v * mult) OVER (PARTITION BY a) + 1), 6) AS value FROM x JOIN fs USING (col)")
+def _(spark, sf_dir):
+    columns = _part_columns(spark, sf_dir)
+    return rounded(graph.log_affinity_backward(graph.backward(graph.transition(_edges(spark, sf_dir)), columns, 2), columns))
+
+
+def _affinities(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    p = embed.transition_matrix(graph.transition(_edges(spark, sf_dir)), NODES)
+    return stored(embed.affinities(p, stored(embed.columns_of(_part_feature(spark, sf_dir)), "columns"), hops), "affinity")
+
+
+@query(
+    "centred_gram",
+    f"""
+WITH {_EDGES}, {_COLUMNS}, {_walk_sql('SELECT a, col, r AS v FROM fn', True)},
+z AS (SELECT a, col, log2({NODES} * v / sum(v) OVER (PARTITION BY col) + 1) AS z FROM x),
+dense AS (SELECT i, fs.col, mult, coalesce(z, 0) AS z FROM (SELECT unnest(range({NODES}))::INTEGER AS i) CROSS JOIN fs LEFT JOIN z ON z.a = i AND z.col = fs.col),
+c AS (SELECT i, col, mult, z - avg(z) OVER (PARTITION BY col) AS z FROM dense)
+SELECT a.i, b.i AS j, round(sum(a.mult * a.z * b.z), 4) AS g FROM c a JOIN c b ON a.col = b.col AND a.i <= b.i GROUP BY ALL
+""",
+)
+def _(spark, sf_dir):
+    """The Gram matrix whose vectors are the forward factor: affinities less their mean over the nodes, two hops."""
+    g = embed.centred_gram(_affinities(spark, sf_dir, 2), NODES)
+    return values(spark, "i int, j int, g double", *((i, j, round(float(g[i, j]), 4) + 0.0) for i in range(NODES) for j in range(i, NODES)))
+
+
+@query("forward_spectrum")
+def _(spark, sf_dir):
+    """Singular values of the forward affinities. No SQL: eigenvalues; their Gram matrix has SQL, and tests compare."""
+    _, s = embed.leading(embed.centred_gram(_affinities(spark, sf_dir, 5), NODES), NODES - 1)
+    return values(spark, "k int, s double", *((i, round(float(x), 6)) for i, x in enumerate(s)))
+
+
+@query("feature_clusters")
+def _(spark, sf_dir):
+    """Columns of the features of parts in three clusters by their largest left singular component, summed up. No SQL:
+    eigenvectors; tests compare with a dense computation."""
+    columns = embed.columns_of(_part_feature(spark, sf_dir))
+    own = embed.clustered(columns, NODES, 3)
+    return own.select(F.array_join(F.transform("attrs", lambda x: x.cast("string")), ",").alias("sig"), "mult", "cluster")
+
+
+_FACTORS = """
+x AS (SELECT p_size % 6 AS a, p_brand AS col, count(*)::DOUBLE AS v FROM part WHERE p_size <= 25 GROUP BY ALL),
+w AS (SELECT p_size % 6 AS a, avg(p_retailprice) / 1000 AS w1, avg(p_size) / 10 AS w2 FROM part GROUP BY ALL),
+h AS (SELECT p_brand AS col, count(*) / 10 AS h1, avg(p_size) / 50 AS h2, 2 AS mult FROM part GROUP BY ALL),
+c AS (SELECT mult, coalesce(v, 0) AS x, w1 * h1 + w2 * h2 AS y FROM w CROSS JOIN h LEFT JOIN x USING (a, col))"""
+
+
+@query(
+    "beta_divergence",
+    f"""
+WITH {_FACTORS}
+SELECT 2.0::DOUBLE AS beta, round(sum(mult * (x - y) * (x - y)) / 2, 4) AS value FROM c
+UNION ALL SELECT 1.0, round(sum(mult * (CASE WHEN x > 0 THEN x * ln(x / y) ELSE 0 END + y - x)), 4) FROM c
+UNION ALL SELECT 0.0, round(sum(mult * CASE WHEN x > 0 THEN x / y - ln(x / y) ELSE 0 END) - sum(mult), 4) FROM c
+""",
+)
+def _(spark, sf_dir):
+    """How far counts of sizes and brands are from a product of two factors; only the stored counts meet them."""
+    part, a = table(spark, sf_dir, "part"), (F.col("p_size") % 6).alias("attr_id")
+    x = part.where("p_size <= 25").groupBy(a, F.col("p_brand").alias("col")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    w = part.groupBy(a).agg(F.array(F.avg("p_retailprice") / 1000, F.avg("p_size") / 10).alias("v"))
+    h = part.groupBy(F.col("p_brand").alias("col")).agg(F.array(F.count(F.lit(1)) / 10, F.avg("p_size") / 50).alias("v"), F.lit(2).alias("mult"))
+    each = [embed.divergence(x, w, h, b).select(F.lit(float(b)).alias("beta"), F.round("value", 4).alias("value")) for b in (2, 1, 0)]
+    return each[0].union(each[1]).union(each[2])
 
 
 @query("embedding_full")
 def _(spark, sf_dir):
     """Cosines of the two targets with the nine attributes. No SQL: eigenvectors and coordinate descent; tests
     compare with a dense computation."""
-    sim = embed.similarity(*_vectors(spark, sf_dir), 9)
-    return values(spark, "t_attr int, s_attr int, score double", *((i, j, round(float(v), 6)) for i, r in enumerate(sim) for j, v in enumerate(r)))
+    p = graph.transition(_edges(spark, sf_dir))
+    own = embed.vectors(spark, *embed.embed_graph(p, _part_feature(spark, sf_dir), NODES))
+    return rounded(evaluate.embedding_sim(own, 9).select("t_attr", "s_attr", "score"))
 
 
 # --- refinement -----------------------------------------------------------------------------------
 # The matrix is that of the remapping's scores, on all rows of its target.
 
 
-def _runs(spark: SparkSession, sf_dir: str, configs: dict[str, refine.Config]) -> DataFrame:
+def _source_dependencies(spark: SparkSession) -> DataFrame:
+    """case_id, kind, place, lhs, rhs, pattern of the source's dependencies."""
+    rows = [("remap", kind, i, d[0], d[1], sorted(d[2].items()) if kind == "cfd" else []) for kind, own in (("fd", SOURCE_FDS), ("ind", SOURCE_INDS), ("cfd", SOURCE_CFDS)) for i, d in enumerate(own)]
+    return values(spark, "case_id string, kind string, place int, lhs array<int>, rhs array<int>, pattern array<struct<attr:int,value:string>>", *rows)
+
+
+def _refined(spark: SparkSession, sf_dir: str, configs: dict[str, refine.Config]) -> DataFrame:
     scores, _, target = _remap_inputs(spark, sf_dir)
-    m = [[0.0] * len(SOURCES) for _ in TARGET_COLUMNS]
-    for r in scores.collect():  # four by four
-        m[r["t_attr"] - 10][r["s_attr"]] = round(r["subset"], 9)
-    cells = target.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t_attr", "raw"))), lambda x: x["raw"]).alias("r")).orderBy("row_id")
-    rows = [r["r"] for r in cells.collect()]  # a target
-    cfds = [(a, b, sorted(p.items())) for a, b, p in SOURCE_CFDS]
-    return values(spark, refine.RUN_SCHEMA, *(x for name, c in configs.items() for x in [refine.run_row(name, m, rows, SOURCE_FDS, SOURCE_INDS, c, cfds)]))
+    case, at = F.lit("remap").alias("case_id"), (F.col("t_attr") - 10).alias("t_attr")
+    scores = scores.select(case, at, "s_attr", F.round("subset", 9).alias("score"))
+    runs = refine.runs(scores, _source_dependencies(spark), configs)
+    out = refine.refine_runs(runs, target.select(case, "row_id", at, "raw"))
+    return rounded(out.withColumn("run_id", F.element_at(F.split("run_id", r"\|"), -1)), 9)
 
 
 @query("refine_iterative")
 def _(spark, sf_dir):
     """No SQL: rounds depend on the rewards of the rounds before; tests hold the published results and an
     independent computation."""
-    return rounded(refine.refine_runs(_runs(spark, sf_dir, {mode: refine.Config(dep_mode=mode) for mode in ("all", "fd", "ind", "every")})), 9)
+    return _refined(spark, sf_dir, {mode: refine.Config(dep_mode=mode) for mode in ("all", "fd", "ind", "every")})
 
 
 def _fixed_sql(name: str, kinds: tuple[str, ...]) -> str:
@@ -748,7 +909,39 @@ FIXED_MODES = {"all": ("fd", "ind"), "cfd": ("cfd",), "every": ("fd", "ind", "cf
 def _(spark, sf_dir):
     """One round with fixed rewards and no ceiling; also for CFDs."""
     fixed = {m: refine.Config(dep_mode=m, k_max=2, fixed=dict.fromkeys(refine.KINDS, 0.01)) for m in FIXED_MODES}
-    return rounded(refine.refine_runs(_runs(spark, sf_dir, fixed)), 9)
+    return _refined(spark, sf_dir, fixed)
+
+
+_VERDICT = """SELECT '{kind}' AS kind, lhs, rhs, pattern, bool_and(d = 1) AS holds, max(n) AS support FROM (
+  SELECT lhs, rhs, pattern, [m.v[x] FOR x IN lhs] AS key, count(DISTINCT [m.v[x] FOR x IN rhs]) AS d, count(*) AS n
+  FROM ({mapped}) a, m WHERE len([1 FOR e IN pattern IF m.v[e.k] <> e.v]) = 0 GROUP BY ALL) GROUP BY ALL"""
+_EVERY = "SELECT s, t FROM sc"
+
+
+@query(
+    "dependency_validity",
+    f"""
+WITH {_REMAP}, every AS ({_EVERY}), fa AS (SELECT DISTINCT lhs, rhs, pattern FROM ({_assigned(SOURCE_FDS, 'every')})), ca AS (SELECT DISTINCT lhs, rhs, pattern FROM ({_assigned(SOURCE_CFDS, 'every')})),
+v AS (
+  SELECT f.* FROM ({_VERDICT.format(kind='fd', mapped='SELECT * FROM fa')}) f
+  UNION ALL SELECT 'cfd', ca.lhs, ca.rhs, ca.pattern, coalesce(holds, false), coalesce(support, 0) FROM ca LEFT JOIN ({_VERDICT.format(kind='cfd', mapped='SELECT * FROM ca')}) c ON c.lhs = ca.lhs AND c.rhs = ca.rhs AND c.pattern = ca.pattern
+  UNION ALL SELECT 'ind', [l], [r], [], {_IND_HOLDS}, NULL FROM ({_IND_MAPPED.format(c='every')}))
+SELECT kind, array_to_string(lhs, ',') AS lhs, array_to_string(rhs, ',') AS rhs, array_to_string([e.k || '=' || e.v FOR e IN pattern], ',') AS pattern, holds, support FROM v
+""",
+)
+def _(spark, sf_dir):
+    """The relation that refinement looks up: every dependency of the source under every assignment of targets, with
+    its verdict on the target rows and its largest group."""
+    scores, _, target = _remap_inputs(spark, sf_dir)
+    case, every = F.lit("remap").alias("case_id"), scores.select("s_attr", "t_attr")
+    none = F.array().cast("array<struct<attr:int,value:string>>").alias("pattern")
+    asks = remap.mapped_fds(_deps(spark, SOURCE_FDS), every).select(case, F.lit("fd").alias("kind"), "lhs", "rhs", none)
+    asks = asks.union(remap.mapped_inds(_deps(spark, SOURCE_INDS), every).select(case, F.lit("ind"), "lhs", "rhs", none))
+    entries = F.transform(F.map_entries("pattern"), lambda e: F.struct(e["key"].alias("attr"), e["value"].alias("value")))
+    asks = asks.union(remap.mapped_cfds(_cfds(spark), every).select(case, F.lit("cfd"), "lhs", "rhs", entries))
+    held = validity.relation(asks, target.withColumn("case_id", F.lit("remap")))
+    pattern = F.array_join(F.transform("pattern", lambda e: F.concat_ws("=", e["attr"].cast("string"), e["value"])), ",").alias("pattern")
+    return held.select("kind", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("lhs", "rhs")), pattern, "holds", "support")
 
 
 # --- metrics --------------------------------------------------------------------------------------

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed, graph, mediator, profile, refine, remap, signals
-
-
-SCORES = "t_attr int, s_attr int, subset double, type double, dist double, semantic double, total double"
+from ..sources.shared import stored
+from . import evaluate
 
 
 def features(spark: SparkSession, source: dict[str, DataFrame], rules: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
@@ -30,19 +29,21 @@ def features(spark: SparkSession, source: dict[str, DataFrame], rules: DataFrame
 
 
 def match(spark: SparkSession, source: dict[str, DataFrame], target: DataFrame, fds: DataFrame, inds: DataFrame, rules: DataFrame | None = None, k: int = 3, hops: int = 5, config: refine.Config = refine.Config(), use_inds: bool = True, random_seed: int | None = None, cfds: list[tuple] = ()) -> dict[str, DataFrame]:
-    """``source``: raw-string tables in order, whose columns are numbered on; ``target``: raw strings.
+    """``source``: raw-string tables in order, whose columns are numbered on; ``target``: raw strings, any number of rows.
 
-    Gives score, bridge, sim, refined, and the vectors (forward, backward). ``use_inds`` leaves INDs out of
+    Gives score, bridge, sim, refined, and the vectors (attr_id, fwd, bwd). ``use_inds`` leaves INDs out of
     the graph, ``random_seed`` draws random bridges, ``cfds`` take part in rewards with ``dep_mode="every"``.
+    The driver holds what a schema holds: edges of the graph, and vectors of its nodes.
     """
     names = [(t, c) for t, df in source.items() for c in df.columns]
+    n, m = len(names), len(target.columns)
     attr = spark.createDataFrame([(t, c, i) for i, (t, c) in enumerate(names)], "tbl string, col string, s_attr int")
     profiles = profile.profile_tables(source).join(F.broadcast(attr), ["tbl", "col"])  # a row a column
-    rows = [list(r) for r in target.collect()]  # a target is a handful of rows
-    own = spark.createDataFrame([(i, j, v) for i, r in enumerate(rows) for j, v in enumerate(r)], "row_id int, t_attr int, raw string")
-    score = spark.createDataFrame(signals.score(own, profiles).collect(), SCORES)  # target columns x source columns
+    wide = target.toDF(*map(str, range(m))).withColumn("row_id", F.monotonically_increasing_id())
+    cells = wide.unpivot("row_id", [str(j) for j in range(m)], "t_attr", "raw").select("row_id", F.col("t_attr").cast("int").alias("t_attr"), "raw")
+    own = stored(cells, "target")  # numbered once
+    score = stored(signals.score(own, profiles), "score")
     bridge = signals.top_k(score, k) if random_seed is None else signals.random_bridge(score, k, random_seed)
-    n = len(names)
     with_id = lambda d: d.withColumn("dep_id", F.md5(F.to_json(F.struct("lhs", "rhs")).cast("binary")))
     t_fds, t_inds = remap.target_dependencies(with_id(fds), with_id(inds), score, own, k)
     up = lambda d: d.select(F.transform("lhs", lambda a: a + n).alias("lhs"), F.transform("rhs", lambda a: a + n).alias("rhs"))
@@ -50,9 +51,12 @@ def match(spark: SparkSession, source: dict[str, DataFrame], target: DataFrame,
     all_inds = inds.select("lhs", "rhs").union(up(t_inds)) if use_inds else None
     p = graph.transition(graph.edges(all_fds, all_inds, bridge.select((F.col("t_attr") + n).alias("t_attr"), "s_attr")))
     feature = features(spark, source, rules, names) if rules is not None else spark.createDataFrame([(i, i) for i in range(n)], "attr_id int, row_gid long")
-    vectors = embed.embed_graph(p, feature, n + len(rows[0] if rows else []), hops=hops)
-    sim = embed.similarity(*vectors, n)
-    deps = [[(r["lhs"], r["rhs"]) for r in d.select("lhs", "rhs").collect()] for d in (fds, inds)]
-    run = spark.createDataFrame([refine.run_row("run", sim.tolist(), rows, *deps, config, cfds)], refine.RUN_SCHEMA)
-    long = spark.createDataFrame([("run", i, j, float(v)) for i, r in enumerate(sim) for j, v in enumerate(r)], "run_id string, t_attr int, s_attr int, score double")
-    return {"score": score, "bridge": bridge, "sim": long, "refined": refine.refine_runs(run), "vectors": vectors}
+    vectors = embed.vectors(spark, *embed.embed_graph(p, feature, n + m, hops=hops))
+    sim = stored(evaluate.embedding_sim(vectors, n, "run"), "sim")
+    none = F.array().cast("array<struct<attr:int,value:string>>").alias("pattern")
+    listed = lambda d, kind: d.select(F.lit("run").alias("case_id"), F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("place"), "lhs", "rhs", none)
+    by_hand = spark.createDataFrame([("run", "cfd", i, list(a), list(b), list(e)) for i, (a, b, e) in enumerate(cfds)], "case_id string, kind string, place long, lhs array<int>, rhs array<int>, pattern array<struct<attr:int,value:string>>")
+    deps = listed(fds, "fd").union(listed(inds, "ind")).union(by_hand)
+    runs = refine.runs(sim.withColumnRenamed("run_id", "case_id"), deps, {"": config})
+    refined = refine.refine_runs(runs, own.withColumn("case_id", F.lit("run")))
+    return {"score": score, "bridge": bridge, "sim": sim, "refined": refined, "vectors": vectors}

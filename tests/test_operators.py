@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from schemaloom.operators import embed, graph, mediator, metrics, profile, refine, signals, validate
 from schemaloom.sources import files
@@ -147,6 +148,22 @@ def plain_refine(m, rows, fds, inds, cfds, rounds, reward, k, ceiling):
     return m
 
 
+class Rows:
+    """Answers from rows in hand, as the validity relation gives them."""
+
+    def __init__(self, rows, first_rows=0):
+        self.rows, self.first_rows, self.asks = rows, first_rows, set()
+
+    def holds(self, kind, lhs, rhs, pattern=()):
+        if kind == "ind":
+            return {tuple(r[i] for i in lhs) for r in self.rows} <= {tuple(r[i] for i in rhs) for r in self.rows}
+        groups = {}
+        for r in self.rows:
+            if all(v == "_" or r[i] == v for i, v in pattern):
+                groups.setdefault(tuple(r[i] for i in lhs), []).append(tuple(r[i] for i in rhs))
+        return bool(groups) and all(len(set(g[: self.first_rows or None])) == 1 for g in groups.values())
+
+
 def test_refinement_by_loops():
     """Against a plain computation, with rewards and widths held fast."""
     rng = np.random.default_rng(11)
@@ -156,9 +173,9 @@ def test_refinement_by_loops():
         fds, inds = [((0,), (1,)), ((0, 2), (3,))], [((1,), (4,)), ((0, 1), (2, 3))]
         cfds = [((0,), (3,), ((0, "1"),)), ((2,), (1,), ((1, "0"),)), ((4,), (2,), ((2, "9"),))]
         c = refine.Config(max_iter=1, k_min=2, k_max=2, reward_min=0.05, reward_max=0.05, ceiling=0.97, dep_mode="every")
-        got = refine.refine(m, rows, fds, inds, refine.Config(**(c.__dict__ | {"decay": 1.0})), cfds)
+        got = refine.refine(m, Rows(rows), fds, inds, refine.Config(**(c.__dict__ | {"decay": 1.0})), cfds)
         assert np.allclose(got, plain_refine(m, rows, fds, inds, cfds, 1, 0.05, 2, 0.97)), trial
-    assert refine.refine([], [], [], []) == [] and refine.refine([[0.5]], [], [((0,), (0,))], []) == [[0.5]]
+    assert refine.refine([], Rows([]), [], []) == [] and refine.refine([[0.5]], Rows([]), [((0,), (0,))], []) == [[0.5]]
 
 
 def _deps(path, arrow):
@@ -178,7 +195,7 @@ def test_published_refinements():
         k = int(re.match(r"inst(\d+)", run)[1])
         own = [own[i] for i in SAMPLES[k]] if k in SAMPLES else own
         raw = json.load(open(path.replace(path.split("/")[-1], "sim_matrix.json")))
-        got = refine.refine(raw, own, _deps(f"{DATA}/{ds}/source/fds.txt", "->"), _deps(f"{DATA}/{ds}/source/inds.txt", "[="), refine.Config(**({"first_rows": 4} if n % 2 else {})))  # both rules give these
+        got = refine.refine(raw, Rows(own, 4 * (n % 2)), _deps(f"{DATA}/{ds}/source/fds.txt", "->"), _deps(f"{DATA}/{ds}/source/inds.txt", "[="))  # both rules give these
         assert np.allclose(got, json.load(open(path)), rtol=0, atol=1e-9)
         assert (np.array(got) >= np.array(raw) - 1e-12).all() and np.max(got) <= 1.5 + 1e-12
         n += 1
@@ -196,63 +213,131 @@ def test_assignment_is_optimal():
         assert got == pytest.approx(best)
 
 
-def dense_embedding(p, feature, n, hops, alpha=0.5):
-    """Without signatures: a column a row, powers of the walk one by one, eigenvectors by SVD."""
-    rows = sorted({r for _, r in feature})
-    f = np.zeros((n, len(rows)))
-    for a, r in feature:
-        f[a, rows.index(r)] = 1
-    f = np.divide(f, f.sum(axis=1, keepdims=True), out=np.zeros_like(f), where=f.sum(axis=1, keepdims=True) > 0)
-    g = np.divide(f, f.sum(axis=0), out=np.zeros_like(f), where=f.sum(axis=0) > 0)
+def dense_affinities(p, f, hops, alpha=0.5):
+    """Forward and backward, nodes by columns: powers of the walk one by one."""
+    n, d = f.shape
+    over = lambda a, axis: np.divide(a, np.abs(a).sum(axis=axis, keepdims=True), out=np.zeros_like(a), where=np.abs(a).sum(axis=axis, keepdims=True) > 0)
+    f = over(f, 1)
     z = sum(alpha * (1 - alpha) ** k * np.linalg.matrix_power(p, k) @ f for k in range(hops + 1))
-    y = sum(alpha * (1 - alpha) ** k * np.linalg.matrix_power(p.T, k) @ g for k in range(hops + 1))
-    z = np.log2(n * np.divide(z, z.sum(axis=0), out=np.zeros_like(z), where=z.sum(axis=0) > 0) + 1)
-    y = np.log2(len(rows) * np.divide(y, y.sum(axis=1, keepdims=True), out=np.zeros_like(y), where=y.sum(axis=1, keepdims=True) > 0) + 1)
-    u, s, vt = np.linalg.svd(z, full_matrices=False)
-    keep = s**2 > 1e-10
-    u, s, h = u[:, keep][:, : n - 1], s[keep][: n - 1], vt[keep][: n - 1].T.copy()
-    w = y @ h
-    for _ in range(hops):
+    y = sum(alpha * (1 - alpha) ** k * np.linalg.matrix_power(p.T, k) @ over(f, 0) for k in range(hops + 1))
+    return np.log2(n * over(z, 0) + 1), np.log2(d * over(y, 1) + 1)
+
+
+def dense_descent(y, w, h, rounds, nonneg=False):
+    w, h = w.copy(), h.copy()
+    for _ in range(rounds):
         for x, other, target in ((w, h, y), (h, w, y.T)):
             for k in range(x.shape[1]):
                 x[:, k] -= (x @ other.T - target) @ other[:, k] / (other[:, k] @ other[:, k])
+                if nonneg:
+                    np.maximum(x[:, k], 0, out=x[:, k])
+    return w, h
+
+
+def dense_embedding(p, f, hops):
+    z, y = dense_affinities(p, f, hops)
+    u, s, vt = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+    keep = s**2 > 1e-10
+    u, s, h = u[:, keep][:, : len(p) - 1], s[keep][: len(p) - 1], vt[keep][: len(p) - 1].T.copy()
+    w, _ = dense_descent(y, y @ h, h, hops)
     return u * s, w
 
 
-def test_embedding_equals_a_dense_computation(spark):
-    rng = np.random.default_rng(6)
-    for trial in range(3):
-        n = 7
-        p = rng.random((n, n)) * (rng.random((n, n)) < 0.5)
-        p = np.divide(p, p.sum(axis=1, keepdims=True), out=np.zeros_like(p), where=p.sum(axis=1, keepdims=True) > 0)
-        feature = [(int(a), r) for r in range(60) for a in np.flatnonzero(rng.random(5) < 0.4)]
-        sigs = {}
-        for r in {r for _, r in feature}:
-            sigs[k] = sigs.get(k := tuple(sorted(a for a, q in feature if q == r)), 0) + 1
-        got = embed.similarity(*embed.embed(p, [(list(k), m) for k, m in sorted(sigs.items())]), 5)
-        want = embed.similarity(*dense_embedding(p, feature, n, 5), 5)
-        assert np.allclose(got, want, atol=1e-6), trial
-    edges = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n) if p[i, j]], "src int, dst int, p double")
-    rows = spark.createDataFrame(feature, "attr_id int, row_gid long")
-    assert np.allclose(embed.similarity(*embed.embed_graph(edges, rows, n), 5), got)
-
-
-def test_frobenius_error_and_nonnegative_descent():
-    rng = np.random.default_rng(2)
-    y, w, h, mult = rng.random((5, 9)), rng.random((5, 3)), rng.random((9, 3)), np.ones(9)
-    before = embed.frobenius_error(y, mult, w, h)
-    assert before == pytest.approx(np.linalg.norm(y - w @ h.T))
-    w, h, _ = embed.coordinate_descent(y, mult, w, h, 20, nonneg=True)
-    assert embed.frobenius_error(y, mult, w, h) < before and w.min() >= 0 and h.min() >= 0
+def random_graph(rng, n):
+    p = rng.random((n, n)) * (rng.random((n, n)) < 0.5)
+    return np.divide(p, p.sum(axis=1, keepdims=True), out=np.zeros_like(p), where=p.sum(axis=1, keepdims=True) > 0)
+
 
+def feature_frame(spark, f):
+    """attr_id, row_gid of a 0/1 matrix of nodes by rows."""
+    return spark.createDataFrame([(int(a), int(r)) for a, r in zip(*np.nonzero(f))], "attr_id int, row_gid long")
 
-def test_coordinate_descent_lowers_the_error():
+
+def test_embedding_equals_a_dense_computation(spark):
+    """The dense one has a column a row, so multiplicities are tested too."""
+    rng = np.random.default_rng(6)
+    for trial, (n, rows) in enumerate(((7, 60), (12, 300))):
+        p, f = random_graph(rng, n), (rng.random((n, rows)) < 0.35).astype(float)
+        f[n - 2 :] = 0
+        f = f[:, f.sum(axis=0) > 0]
+        edges = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n) if p[i, j]], "src int, dst int, p double")
+        got = embed.embed_graph(edges, feature_frame(spark, f), n)
+        want = dense_embedding(p, f, 5)
+        assert np.allclose(embed.similarity(*got, n - 2), embed.similarity(*want, n - 2), atol=1e-8), trial
+        assert np.allclose(got[1] @ got[1].T, want[1] @ want[1].T, atol=1e-8)
+
+
+def test_descent_equals_a_dense_one(spark):
+    """Also clamped, and stopping early; nothing is on the driver but w."""
     rng = np.random.default_rng(2)
-    y, w, h, mult = rng.random((5, 9)), rng.random((5, 3)), rng.random((9, 3)), np.array([1, 2, 1, 1, 3, 1, 1, 1, 1.0])
-    error = lambda: (((y - w @ h.T) ** 2) * mult).sum()
-    before = error()
-    embed.coordinate_descent(y, mult, w, h, 20)
-    assert error() < before
+    y, mult = rng.random((5, 40)), rng.integers(1, 4, 40)
+    w, h = rng.random((5, 3)), rng.random((40, 3))
+    own = spark.createDataFrame([(int(mult[j]), y[:, j].tolist(), h[j].tolist()) for j in range(40)], "mult long, y array<double>, h array<double>").repartition(4)
+    wide = np.repeat(y, mult, axis=1), np.repeat(h, mult, axis=0)
+    for nonneg in (False, True):
+        got, rows, _ = embed.descend(own, w, 4, 0.0, nonneg)
+        want_w, want_h = dense_descent(wide[0], w, wide[1], 4, nonneg)
+        assert np.allclose(got, want_w, atol=1e-8)
+        fit = {tuple(np.round(r["y"], 9)): r["h"] for r in rows.collect()}
+        assert np.allclose([fit[tuple(np.round(y[:, j], 9))] for j in np.repeat(np.arange(40), mult)], want_h, atol=1e-8)
+        assert not nonneg or got.min() >= 0
+    assert embed.descend(own, w, 30, 0.5)[2] and not embed.descend(own, w, 1, 1e-9)[2]
+
+
+def test_many_signatures(spark):
+    """Far more columns than the driver would take, and their clusters."""
+    n = 20
+    ids = spark.range(1 << 20).where("id > 0")
+    columns = ids.select(F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.call_function("shiftright", "id", i).bitwiseAND(F.lit(1)) == 1, i)), lambda x: x.isNotNull()).alias("attrs"))
+    columns = columns.where("pmod(xxhash64(attrs), 7) = 0").select("attrs", F.transform("attrs", lambda _: F.lit(1.0)).alias("weights"), F.lit(1).cast("long").alias("mult"))
+    assert columns.count() > 100_000
+    p = random_graph(np.random.default_rng(1), n)
+    forward, backward = embed.embed(p, columns, hops=1, dims=4)
+    assert forward.shape == (n, 4) and np.isfinite(backward).all()
+    small = embed.compress(columns, n, 5).collect()
+    assert len(small) <= 5 and sum(sum(r["weights"]) for r in small) == columns.agg(F.sum(F.size("attrs"))).first()[0]
+
+
+def test_clusters_equal_a_dense_svd(spark):
+    rng = np.random.default_rng(9)
+    f = (rng.random((8, 200)) < rng.random((8, 1))).astype(float)
+    f = f[:, f.sum(axis=0) > 0]
+    unit = f.T / np.linalg.norm(f.T, axis=1, keepdims=True)
+    u, _, _ = np.linalg.svd(unit, full_matrices=False)
+    u = u[:, :3] * np.sign(u[np.abs(u).argmax(axis=0), range(u.shape[1])])[:3]
+    want = {tuple(np.flatnonzero(c)): int(x.argmax()) for c, x in zip(f.T, u)}
+    own = embed.clustered(embed.columns_of(feature_frame(spark, f)), 8, 3)
+    assert {tuple(r["attrs"]): r["cluster"] for r in own.collect()} == want
+    for r in embed.compress(embed.columns_of(feature_frame(spark, f)), 8, 3).collect():
+        cluster = next(c for c in range(3) if all(f[a, [want[tuple(np.flatnonzero(x))] == c for x in f.T]].sum() == w for a, w in zip(r["attrs"], r["weights"])))
+        assert cluster in range(3)
+
+
+def test_spectrum_and_gram(spark):
+    rng = np.random.default_rng(3)
+    p, f = random_graph(rng, 6), (rng.random((6, 80)) < 0.4).astype(float)
+    f = f[:, f.sum(axis=0) > 0]
+    z, y = dense_affinities(p, f, 3)
+    both = embed.affinities(p, embed.columns_of(feature_frame(spark, f)), 3)
+    c = z - z.mean(axis=0)
+    gram = embed.centred_gram(both, 6)
+    assert np.allclose(gram, c @ c.T, atol=1e-9)
+    assert np.allclose(embed.leading(gram, 5)[1], np.linalg.svd(c)[1][:5], atol=1e-6)
+    assert np.isclose(both.agg(F.sum(F.col("mult") * F.aggregate("y", F.lit(0.0), lambda t, v: t + v))).first()[0], y.sum())
+
+
+def test_divergences(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((6, 9)) * (rng.random((6, 9)) < 0.5)
+    w, h, mult = rng.random((6, 2)), rng.random((9, 2)), rng.integers(1, 4, 9)
+    frames = spark.createDataFrame([(i, j, float(x[i, j])) for i, j in zip(*map(lambda a: a.tolist(), np.nonzero(x)))], "attr_id int, col int, value double"), spark.createDataFrame([(i, w[i].tolist()) for i in range(6)], "attr_id int, v array<double>"), spark.createDataFrame([(j, h[j].tolist(), int(mult[j])) for j in range(9)], "col int, v array<double>, mult long")
+    fit, on = w @ h.T, x > 0
+    each = np.where(on, x * np.log(np.where(on, x, 1) / fit), 0) + fit - x
+    ratio = np.where(on, x / fit - np.log(np.where(on, x, 1) / fit), 0) - 1
+    for beta, want in ((2, ((x - fit) ** 2 / 2 * mult).sum()), (1, (each * mult).sum()), (0, (ratio * mult).sum())):
+        assert embed.divergence(*frames, beta).first()[0] == pytest.approx(want, rel=1e-9)
+    with pytest.raises(ValueError):
+        embed.divergence(*frames, 3)
 
 
 def test_signatures_lose_nothing(spark):
@@ -443,12 +528,14 @@ def test_match_with_rules_and_options(spark, tmp_path):
     rules = spark.createDataFrame([(0, [0], [1], {1: "name2"}), (1, [1], [0], {1: "none"})], "rule_id int, lhs array<int>, rhs array<int>, pattern map<int,string>")
     config = refine.Config(dep_mode="every", min_group_support=1)
     out = pipeline.match(spark, source, target, deps(([0], [1])), deps(), rules, use_inds=False, random_seed=7, config=config, cfds=[((0,), (1,), ((1, "name3"),))])
-    assert out["refined"].count() == 4 and out["sim"].count() == 4 and len(out["vectors"]) == 2
+    assert out["refined"].count() == 4 and out["sim"].count() == 4 and out["vectors"].count() == 4
     assert pipeline.features(spark, source, rules, [("a", "id"), ("a", "name")]).groupBy("attr_id").count().collect()[0]["count"] == 5
     truth = spark.createDataFrame([("run", 0, 0), ("run", 1, 1)], "run_id string, t_attr int, s_attr int")
     got = evaluate.expected_of(out["refined"], truth, (1, 2)).collect()
     assert {r["name"] for r in got} == {"p1", "p2", "mrr", "recall"} and all(0 <= r["value"] <= 1 for r in got)
     assert evaluate.hits_and_errors(out["refined"], truth, (1, 2)).count() == 4
-    sweep = refine.grid("t", [[0.5, 0.1], [0.2, 0.4]], [["1", "a"]], [((0,), (1,))], configs=evaluate.reward_sweep((0.01, 0.5), (1,)))
-    made = refine.refine_runs(spark.createDataFrame(sweep, refine.RUN_SCHEMA))
+    cells = spark.createDataFrame([("t", i, j, v) for i, r in enumerate([[0.5, 0.1], [0.2, 0.4]]) for j, v in enumerate(r)], "case_id string, t_attr int, s_attr int, score double")
+    deps = spark.createDataFrame([("t", "fd", 0, [0], [1], [])], "case_id string, kind string, place int, lhs array<int>, rhs array<int>, pattern array<struct<attr:int,value:string>>")
+    own = spark.createDataFrame([("t", 0, 0, "1"), ("t", 0, 1, "a")], "case_id string, row_id int, t_attr int, raw string")
+    made = refine.refine_runs(refine.runs(cells, deps, evaluate.reward_sweep((0.01, 0.5), (1,))), own)
     assert {(r["run_id"], round(r["score"], 6)) for r in made.where("t_attr = 0 and s_attr = 0").collect()} == {("t|r0.01_k1", 0.51), ("t|r0.5_k1", 1.0)}
