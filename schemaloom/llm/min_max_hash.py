@@ -57,8 +57,8 @@ ESTIMATE = int(2 * PERMUTATIONS * (PERCENT / 100 - 6 * (0.16 / (2 * PERMUTATIONS
 OUTSIDERS, MEMBERS = 512, 8192
 #: Pairs that a block names for a component in the first pass.
 FIRST = 2
-#: Rows of small buckets that are handled together.
-ROWS_A_GROUP = 4096
+#: Rows of small buckets that are handled together; bytes of sets in a side of a block, or in a group, of the second pass.
+ROWS_A_GROUP, SET_BYTES = 4096, 64 << 20
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1 << 62, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,18 +139,11 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of 16 bits a value: equal values stay equal, others are equal in 1 of 65536 cases."""
-    for batch in batches:
-        sigs = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column("sig").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "sig"])
-
-
 def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Short signatures and full sets of texts."""
+    """Signatures and full sets of texts."""
     for batch in small_batches(batches):
         sets = [shingles(t, k) for t in utf8(batch.column("text"))]
-        sigs = [signature(s).astype(np.uint32).astype(np.uint16).tobytes() for s in sets]
+        sigs = [signature(s).astype(np.uint32).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "set"])
 
 
@@ -158,8 +151,8 @@ def _near(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> Iterator
     """For each outsider (left) of a bucket its place, those of the members (right) that it may be linked
     with, and in how many values they agree, best first.
 
-    A pair that shares several buckets is looked at in the bucket of its first common band only, and
-    a pair of outsiders from its smaller id only.
+    A pair that shares several buckets is looked at in the bucket of its first common band only, by the values
+    that the buckets are made of, and a pair of outsiders from its smaller id only.
     """
     band, ids, comps, sigs = int(left["band"][0]), right["id"], right["comp"], right["sig"]
     for i, (x, c, p) in enumerate(zip(left["id"].tolist(), left["comp"].tolist(), left["sig"])):
@@ -217,7 +210,7 @@ def _blocks(left: pa.Table, right: pa.Table, first: int, percent: int) -> pa.Tab
         def by_bucket(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
             t = t.sort_by("bucket").combine_chunks()
             own = {c: t.column(c).to_numpy() for c in ("bucket", "band", "id", "comp", "outside")}
-            own["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS)
+            own["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, 2 * PERMUTATIONS)
             if "set" in t.column_names:
                 own["set"] = np.array([*t.column("set").to_pylist(), None], object)[:-1]
             return own, *np.unique(own["bucket"], return_index=True)
@@ -277,13 +270,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def _grid(members: DataFrame, comps: DataFrame, sigs: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     """sigs: id, sig and, for the second pass, set. Both sides of the comparison inside buckets of several components: outsiders and members, each
-    copied to the blocks that it meets."""
-    named = tmp.stored(_labelled(members.select("id", "bucket", "band"), comps), "named")
-    sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = tmp.stored(mixed.select("bucket", F.col("top.comp").alias("top"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("rs"), F.ceil((F.col("n") - F.col("top.c")) / OUTSIDERS).cast("int").alias("ls"), "n"), "mixed")
-    groups = max(1, (mixed.agg(F.sum("n")).first()[0] or 0) // ROWS_A_GROUP)
-    inside = named.join(mixed.drop("n"), "bucket").join(sigs, "id").withColumn("outside", F.col("comp") != F.col("top"))
+    copied to the blocks that it meets. Blocks are bounded by rows, and by the bytes of sets where there are any."""
+    named = _labelled(members.select("id", "bucket", "band"), comps)
+    held = sigs.select("id", F.octet_length("set").cast("long").alias("w")) if "set" in sigs.columns else None
+    named = tmp.stored(named.withColumn("w", F.lit(0).cast("long")) if held is None else named.join(held.groupBy("id").agg(F.sum("w").alias("w")), "id"), "named")
+    sizes = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("w"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum("w").alias("w"), F.max(F.struct("c", "comp", "w")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda n, w, most: F.ceil(F.greatest(n / most, w / SET_BYTES)).cast("int")
+    others = F.col("n") - F.col("top.c"), F.col("w") - F.col("top.w")
+    mixed = tmp.stored(mixed.select("bucket", F.col("top.comp").alias("top"), blocks(F.col("n"), F.col("w"), MEMBERS).alias("rs"), blocks(*others, OUTSIDERS).alias("ls"), "n", "w"), "mixed")
+    rows, weight = mixed.agg(F.sum("n"), F.sum("w")).first()
+    groups = max(1, (rows or 0) // ROWS_A_GROUP, (weight or 0) // SET_BYTES)
+    inside = named.drop("w").join(mixed.drop("n", "w"), "bucket").join(sigs, "id").withColumn("outside", F.col("comp") != F.col("top"))
     # Buckets of one block by one block are handled together, so many to a group.
     inside = tmp.stored(inside.withColumn("g", F.when((F.col("ls") == 1) & (F.col("rs") == 1), F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket"))), "inside")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -336,8 +334,7 @@ def classes(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
         comps = components(links)
 
         # Buckets that still hold several components: first by signatures, then by sets where pairs were held back.
-        short = sigs.mapInArrow(_short, "id long, sig binary")
-        found = _compared(members, comps, short, tmp, percent)
+        found = _compared(members, comps, sigs, tmp, percent)
         new = tmp.stored(_confirmed(found.select("a", "b").distinct(), texts, k, percent), "links")
         links, comps = _joined(links, new, comps)
         members = tmp.stored(members.join(found.where("more").select("bucket").distinct(), "bucket", "left_semi"), "held")
