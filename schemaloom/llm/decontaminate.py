@@ -1,8 +1,9 @@
 """Operator 3, benchmark decontamination: a BM25 index of test items, searched with block-max WAND.
 
-Each passage of each training text is a query; the items are the indexed side. A passage is a
-window of twice the longest item, every window starting that many words after the last, so every
-copy of an item lies whole in a window. Impacts are divided by the item's threshold (a share of
+Each passage of each training text is a query; the items are the indexed side. Items are indexed by
+length, those of up to 16, 64, 256 .. words together. A passage is a window of twice the longest item of
+an index, every window starting that many words after the last, so every copy of an item lies whole in
+a window that isn't much longer than items of its kind. Impacts are divided by the item's threshold (a share of
 the score that the item's own text gets), so one bound of 1 serves all items. Items stand in
 blocks; for each term and block the greatest impact is known. For all windows of a batch at once,
 arrays sum these maxima over the window's distinct terms; a block that stays below 1 holds no item
@@ -12,8 +13,10 @@ pairs are verified: enough of the 3-word shingles of the question (the item with
 sentence) and of the answer (the last sentence) must occur in the passage. Items without a second
 sentence are all question.
 
-The index is broadcast in shards of at most ``SHARD_WORDS`` words of items, one pass over the
-texts for each, so its size is bounded however many items there are.
+Document frequencies, the number of items and their mean length are those of the whole benchmark,
+counted by Spark. The indexes are broadcast in shards of at most ``SHARD_WORDS`` words of items, one pass
+over the texts for each, so their size is bounded however many items there are, and scores are the same
+however they are dealt out.
 
 Defined results: null or empty texts and items match nothing. Equal items all match. A text that
 holds an item several times gives one row, with its best passage (the earliest of equals). A null
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, utf8
+from .common import Scratch, small_batches, utf8
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; shares of shingles that verify it.
@@ -69,23 +72,38 @@ def _shingles(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+class Statistics:
+    """Of all items: their number, the mean of their lengths, and in how many of them each word stands."""
+
+    def __init__(self, n: int, mean: float, df: dict[bytes, int]):
+        self.n, self.mean, self.df = n, mean, df
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Statistics:
+        """Those of items in hand."""
+        own = [words_of(t) for t in texts if t and t.split()]
+        return cls(len(own), sum(map(len, own)) / max(1, len(own)), dict(Counter(w for x in own for w in set(x))))
+
+    def weight(self, word: bytes) -> float:
+        return math.log(1 + (self.n - self.df[word] + 0.5) / (self.df[word] + 0.5))
+
+
 class Index:
     """Postings in item order, cut into blocks that know their greatest impact."""
 
-    def __init__(self, items: list[tuple[object, bytes]]):
+    def __init__(self, items: list[tuple[object, bytes]], stats: Statistics | None = None):
+        stats = stats or Statistics.of([t for _, t in items])
         kept = [(i, words_of(t), *parts(t)) for i, t in items if t and t.split()]
         self.ids = [x[0] for x in kept]
         self.question = [_shingles(x[2]) for x in kept]
         self.answer = [_shingles(x[3]) for x in kept]
         self.longest = max((len(x[1]) for x in kept), default=0)
         counts = [Counter(x[1]) for x in kept]
-        df = Counter(w for c in counts for w in c)
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        mean = sum(sum(c.values()) for c in counts) / max(1, len(counts))
+        self.terms = {w: i for i, w in enumerate(sorted({w for c in counts for w in c}))}
         posts: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for n, c in enumerate(counts):
             size = sum(c.values())
-            impact = {w: math.log(1 + (len(counts) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
+            impact = {w: stats.weight(w) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / stats.mean)) for w, f in c.items()}
             least = RETRIEVE * sum(impact.values())
             for w, x in impact.items():
                 posts[self.terms[w]].append((n, x / least))
@@ -125,13 +143,12 @@ class Index:
                 for _, t in live[:pivot]:
                     at[t] = bisect_left(self.docs[t], doc, at[t])
 
-    def find(self, texts: list[bytes | None]) -> list[list[tuple]]:
-        """For each text, (item, score, question share, answer share, first word) of each verified item."""
-        out: list[list[tuple]] = [[] for _ in texts]
-        if not self.ids:
+    def find(self, split: list[list[bytes]]) -> list[list[tuple]]:
+        """For each text's words, (item, score, question share, answer share, first word) of each verified item."""
+        out: list[list[tuple]] = [[] for _ in split]
+        if not self.ids or not self.longest:
             return out
         none, step = len(self.terms), self.longest
-        split = [words_of(t) for t in texts]
         # Stretches of ``step`` words; a window is a stretch and the next one of the same text.
         stretches = [-(-len(w) // step) + 1 for w in split]
         base = np.concatenate([[0], np.cumsum(stretches)])
@@ -181,24 +198,50 @@ def _share(part: set, grams: set, own: list[bytes]) -> float:
     return float(b" ".join(short) in b" ".join(own)) if len(short) < 3 else len(part & grams) / len(part)
 
 
-def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in lists of at most ``shard_words`` words (or one item), read one partition at a time."""
-    own, size = [], 0
-    for row in items.select("item_id", F.col("text").cast("binary")).where("text is not null").toLocalIterator():
-        n = len(row[1].split())
-        if own and size + n > shard_words:
-            yield own
-            own, size = [], 0
-        own.append((row[0], bytes(row[1])))
-        size += n
-    yield own
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, and its length beside the first of them."""
+    for batch in small_batches(batches):
+        for at, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist()):
+            own = words_of(text)
+            if own:
+                some = sorted(set(own))
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array([len(own)] + [0] * (len(some) - 1), pa.int64())], ["at", "word", "length"])
+
+
+def shards(items: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[Index]]:
+    """Indexes of at most ``shard_words`` words of items (or one item), a list a shard, made of items read one partition
+    at a time. Each item comes with the frequencies of its words in the whole benchmark."""
+    with Scratch(items.sparkSession) as tmp:
+        own = tmp.stored(items.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null").withColumn("at", F.monotonically_increasing_id()), "items")
+        words = tmp.stored(own.select("at", "text").mapInArrow(_words, "at long, word binary, length long"), "words")
+        n, total = words.agg(F.count_distinct("at"), F.sum("length")).first()
+        df = tmp.stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+        terms = words.join(df, "word").groupBy("at").agg(F.collect_list(F.struct("word", "df")).alias("terms"))  # of one item
+        stats, kinds, size = Statistics(n, (total or 0) / max(1, n), {}), {}, 0
+        for row in own.join(terms, "at").select("item_id", "text", "terms").toLocalIterator():
+            text = bytes(row["text"])
+            long = len(words_of(text))
+            if kinds and size + long > shard_words:
+                yield [Index(x, stats) for x in kinds.values()]
+                stats, kinds, size = Statistics(stats.n, stats.mean, {}), {}, 0
+            stats.df.update((bytes(t["word"]), t["df"]) for t in row["terms"])
+            kinds.setdefault(max(0, (long - 1).bit_length() - 3) // 2, []).append((row["item_id"], text))
+            size += long
+        yield [Index(x, stats) for x in kinds.values()]
+
+
+def _find(indexes: list[Index], texts: list[bytes | None]) -> list[list[tuple]]:
+    """What all indexes of a shard find in each text."""
+    split = [words_of(t) for t in texts]
+    each = [ix.find(split) for ix in indexes]
+    return [[hit for own in each for hit in own[i]] for i in range(len(texts))]
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    ix, names = index.value, ["item_id", "score", "question_share", "answer_share", "first_word"]
+    names = ["item_id", "score", "question_share", "answer_share", "first_word"]
     for batch in small_batches(batches):
         rows, out = [], []
-        for i, hits in enumerate(ix.find(utf8(batch.column("text")))):
+        for i, hits in enumerate(_find(index.value, utf8(batch.column("text")))):
             rows += [i] * len(hits)
             out += hits
         kinds = [None, pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -212,20 +255,20 @@ def leaks(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) ->
     schema = T.StructType([docs.schema["doc_id"], items.schema["item_id"], *(T.StructField(c, T.DoubleType()) for c in ("score", "question_share", "answer_share")), T.StructField("first_word", T.LongType())])
     out = None
     for own in shards(items, shard_words):
-        one = docs.select("doc_id", "text").mapInArrow(partial(_leaks, index=docs.sparkSession.sparkContext.broadcast(Index(own))), schema)
+        one = docs.select("doc_id", "text").mapInArrow(partial(_leaks, index=docs.sparkSession.sparkContext.broadcast(own)), schema)
         out = one if out is None else out.union(one)
     return out
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        yield batch.filter(pa.array([not hits for hits in index.value.find(utf8(batch.column("text")))], pa.bool_()))
+        yield batch.filter(pa.array([not hits for hits in _find(index.value, utf8(batch.column("text")))], pa.bool_()))
 
 
 def keep(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents that hold no item, with all their columns. No shuffle."""
     for own in shards(items, shard_words):
-        docs = docs.mapInArrow(partial(_clean, index=docs.sparkSession.sparkContext.broadcast(Index(own))), docs.schema)
+        docs = docs.mapInArrow(partial(_clean, index=docs.sparkSession.sparkContext.broadcast(own)), docs.schema)
     return docs
 
 

@@ -152,13 +152,44 @@ def test_leaks(spark, docs, texts):
     planted = [(1000 + i, f"{words(rng, 150)} {t.upper()} {words(rng, 77)}") for i, t in items[:9]]
     both = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
     bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    found = []
     for shard in (2_000_000, 300):
-        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(both, bench, shard).collect()}
-        assert got == {(1000 + i, i) for i in range(9)}
+        rows = decontaminate.leaks(both, bench, shard).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1000 + i, i) for i in range(9)}
+        found.append({(r["doc_id"], r["item_id"]): r["score"] for r in rows})
+    assert found[0] == pytest.approx(found[1])  # statistics are those of all items
     assert {r["doc_id"] for r in decontaminate.keep(both, bench).collect()} == set(range(len(texts)))
     assert decontaminate.leaks(both, bench.limit(0)).count() == 0
 
 
+def test_scores_are_those_of_bm25_over_all_items(spark):
+    """In shards of 40 words as in one; windows are those of items of like length, however long another item is."""
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(8, 16), 90) for _ in range(60)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(500, words(rng, 3000, 90))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (7, texts[7]), (900, items[-1][1])], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS item_id")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 AS doc_id")
+    stats = decontaminate.Statistics.of([t.encode() for _, t in items])
+
+    def score(text, item):
+        own, size = {}, len(item.split())
+        for w in set(item.split()):
+            f = item.split().count(w)
+            own[w] = math.log(1 + (len(items) - stats.df[w.encode()] + 0.5) / (stats.df[w.encode()] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / stats.mean))
+        return sum(own[w] for w in set(text.split()) if w in own) / (decontaminate.RETRIEVE * sum(own.values()))
+
+    import math
+
+    for shard in (2_000_000, 40):
+        got = decontaminate.leaks(docs, bench, shard).collect()
+        assert all(r["score"] == pytest.approx(score(texts[r["doc_id"] or 0], texts[r["item_id"]])) for r in got if r["item_id"] < 500 and (r["doc_id"] or 0) < 60)
+        seen = {(r["doc_id"], r["item_id"]) for r in got}
+        assert seen >= {(i, i) for i in range(60)} | {(None, 0), (900, 500)}
+        # The window of a short item is at most twice the longest of its kind.
+        assert sum(r["doc_id"] == 900 and r["item_id"] < 500 for r in got) == 0
+    assert decontaminate.keep(docs, bench).columns == docs.columns and decontaminate.keep(docs, bench).count() == 0
+
+
 def test_wand_retrieves_all_above_the_threshold():
     rng = random.Random(2)
     index = decontaminate.Index([(i, words(rng, rng.randrange(8, 40), 60).encode()) for i in range(200)])
@@ -444,7 +475,7 @@ def test_one_outsider_in_a_large_bucket(spark):
     sig = rng.integers(1 << 30, size=2 * min_max_hash.PERMUTATIONS, dtype=np.int64).astype(np.uint32)
     members = spark.createDataFrame([(i, 7, 0) for i in range(20_000)], "id long, bucket long, band int")
     comps = spark.createDataFrame([(i, 0) for i in range(1, 19_999)], "id long, comp long")  # the last one stands alone
-    short = spark.range(20_000).select("id", min_max_hash.F.lit(bytearray(sig.astype(np.uint16).tobytes())).alias("sig"))
+    short = spark.range(20_000).select("id", min_max_hash.F.lit(bytearray(sig.tobytes())).alias("sig"))
     with min_max_hash.Scratch(spark) as tmp:
         left, right = min_max_hash._grid(members, comps, short, tmp)
         assert (left.count(), right.count()) == (-(-20_000 // min_max_hash.MEMBERS), 20_000)
@@ -453,6 +484,27 @@ def test_one_outsider_in_a_large_bucket(spark):
     assert 0 < len(found) <= 3 * 2 and all(r["b"] == 19_999 and r["more"] for r in found)
 
 
+def test_first_common_band_is_that_of_the_buckets():
+    """Two signatures that agree in band 1, and in the low halves of the values of band 0: they meet in band 1."""
+    rng = np.random.default_rng(8)
+    one = rng.integers(1 << 32, size=2 * min_max_hash.PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
+    other = one.copy()
+    other[: min_max_hash.ROWS] ^= np.uint32(1 << 20)
+    side = lambda i, sig, outside: {"band": np.array([1]), "id": np.array([i]), "comp": np.array([i]), "outside": np.array([outside]), "sig": sig[None]}
+    assert [at.tolist() for _, at, _ in min_max_hash._near(side(1, one, True), side(2, other, False))] == [[0]]
+
+
+def test_blocks_of_large_sets_are_small(spark):
+    """Sets of 4 MB each: no side of a block has more than SET_BYTES of them, or one more by chance of the hash."""
+    members = spark.createDataFrame([(i, 7, 0) for i in range(100)], "id long, bucket long, band int")
+    sets = spark.range(100).select("id", min_max_hash.F.lit(bytearray(512)).alias("sig"), min_max_hash.F.expr("cast(repeat('x', 4000000) as binary)").alias("set"))
+    with min_max_hash.Scratch(spark) as tmp:
+        left, right = min_max_hash._grid(members, spark.createDataFrame([(1, 0), (2, 0)], "id long, comp long"), sets, tmp)
+        for side in (left, right):
+            most = side.groupBy("alone", "g", "i", "j").agg(min_max_hash.F.sum(min_max_hash.F.octet_length("set").cast("long")).alias("n")).agg({"n": "max"}).first()[0]
+            assert most <= 2 * min_max_hash.SET_BYTES
+
+
 def test_blocks_are_asked_again(spark, monkeypatch):
     """Two groups in common buckets whose only link is between two members that agree less than others do."""
     rng = random.Random(21)
