@@ -10,18 +10,18 @@ third level is its place on the second. An n-gram is found by a successor search
 its context's range; a bit array before each level tells most absent keys without a search. All arrays
 lie in files that are mapped into memory, not read.
 
-Pairs and trigrams that stand once in training are counted for the discounts but not kept, so that
-these levels are a small part of the text; what a context doesn't give to kept n-grams it passes on, so
-probabilities sum to one. A trigram can stand twice only if both of its pairs do; the others aren't
-gathered.
+Every word, pair and trigram of the training texts is in the trie. Codes are rounded down, and what a
+context passes on is what the restored shares of its n-grams leave, in 16 bits, so that the probabilities of
+the trie as it stands sum to one, but for the rounding of the passed weight.
 
 Texts are split twice: to count words, and to write the numbers of their words, which all later passes
 read instead. Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
 sends them as one packed blob for each shard, as in any shuffle; a shard's blobs are merged in one task,
 whose size is bounded by the number of shards, which follows the number of tokens. Words are dealt to
 shards by the top bits of their hash, pairs and trigrams by a hash of a pair of words, so that a frequent
-word is spread over all shards. Files lie in the shared folder; where that isn't a local path, an
-executor fetches each once, for all its processes.
+word is spread over all shards. Counts wait for the discounts in packed files that go once the levels are
+made. Files lie in the shared folder; where that isn't a local path, a process copies each into a file without
+a name, so that it can be mapped, and the system frees that when the process ends, however it ends.
 
 Unigram counts are exact, and base scores use them unquantised. The 64-bit hash of a word stands for
 it: two of V words share one with a probability below V^2 / 2^65. More than 2^32 words are an error.
@@ -33,10 +33,7 @@ probabilities are 1 and scores 0. Extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
-import atexit
-import hashlib
 import json
-import os
 import tempfile
 from collections.abc import Iterator
 from functools import partial
@@ -53,16 +50,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, scratch, small_batches, stored
+from .common import Scratch, remove, scratch, small_batches, stored
 
 U64 = np.uint64
 TOKENS_A_SHARD, WORDS_A_SHARD = 3_000_000, 1_000_000
 PAIRS_HELD, TRIPLES_HELD, WORDS_HELD, CACHE_WORDS = 3_000_000, 1_500_000, 400_000, 400_000
 #: Bytes of texts, or of numbers of words, that are handled at once.
 BATCH, CODED = 12 << 20, 6 << 20
+#: Keys in a packed piece.
+PACKED = 1 << 18
+#: Sums of shares in a blob are whole numbers of this part of one.
+UNIT = float(1 << 50)
 UNKNOWN = 0xFFFFFFFF
 END = xxhash.xxh64_intdigest(b"\n", 7)  # no word holds a line end
-LEAST_LOG, STEP = -12.0, 12.0 / 255  # quantised log10 values
+LEAST_LOG = -12.0  # of quantised log10 values
 
 
 # --- Elias-Fano -----------------------------------------------------------------------------------
@@ -168,27 +169,44 @@ def write_arrays(uri: str, **arrays) -> None:
     where.move(own, path)
 
 
-def _local(uri: str) -> str:
-    """A path that can be mapped: the file's own, or this executor's one copy, which its maker deletes at its end."""
+#: Files of this process that lie in a store which can't be mapped.
+_COPIES: dict[str, np.ndarray] = {}
+
+
+def _mapped(uri: str) -> np.ndarray:
+    """The bytes of a file, mapped: of the file itself, or of this process's copy, which has no name to be left behind."""
     if urlparse(uri).scheme in ("", "file"):
-        return urlparse(uri).path
-    path = os.path.join(tempfile.gettempdir(), "schemaloom-" + hashlib.sha1(uri.encode()).hexdigest())
-    if not os.path.exists(path):
+        return np.memmap(urlparse(uri).path, np.uint8, "r")
+    if uri not in _COPIES:
         where, source = fs.FileSystem.from_uri(uri)
-        own = f"{path}.{os.getpid()}"
-        fs.copy_files(source, own, where, fs.LocalFileSystem())
-        os.replace(own, path)
-        atexit.register(lambda: os.path.exists(path) and os.remove(path))
-    return path
+        with tempfile.TemporaryFile() as own, where.open_input_stream(source) as data:
+            while part := data.read(1 << 22):
+                own.write(part)
+            own.flush()
+            _COPIES[uri] = np.memmap(own, np.uint8, "r")
+    return _COPIES[uri]
 
 
 def map_arrays(uri: str) -> dict:
-    whole = np.memmap(_local(uri), np.uint8, "r")
+    whole = _mapped(uri)
     size = int(whole[:8].view(np.uint64)[0])
     head, start = json.loads(whole[8 : 8 + size].tobytes()), 8 + -(-size // 8) * 8
     return {k: whole[start + v[2] : start + v[2] + np.dtype(v[0]).itemsize * v[1]].view(v[0]) if isinstance(v, list) else v for k, v in head.items()}
 
 
+def write_packed(uri: str, keys: np.ndarray, *rows: np.ndarray) -> None:
+    """Sorted keys and what stands by them, in pieces that are packed one by one."""
+    parts = [np.frombuffer(blob(keys[at : at + PACKED], *(r[at : at + PACKED] for r in rows)), np.uint8) for at in range(0, len(keys), PACKED)]
+    write_arrays(uri, sizes=np.array([len(p) for p in parts], np.int64), data=np.concatenate(parts) if parts else np.empty(0, np.uint8))
+
+
+def read_packed(uri: str, rows: int = 1) -> np.ndarray:
+    own = map_arrays(uri)
+    ends = np.cumsum(own["sizes"])
+    parts = [unblob(own["data"][e - n : e].tobytes(), rows) for e, n in zip(ends.tolist(), own["sizes"].tolist())]
+    return np.concatenate(parts, axis=1) if parts else np.empty((1 + rows, 0), U64)
+
+
 def _planes(*rows: np.ndarray) -> bytes:
     """Numbers byte by byte, the lowest bytes first, so that zero bytes compress away."""
     return zstandard.compress(np.stack([r.astype(np.uint64) for r in rows]).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes(), 1)
@@ -368,8 +386,8 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
-    """A bit array that has a bit for every key, of 16 bits a key or more."""
-    size = max(6, (16 * max(1, len(keys)) - 1).bit_length())
+    """A bit array that has a bit for every key, of 8 bits a key or more."""
+    size = max(6, (8 * max(1, len(keys)) - 1).bit_length())
     out = np.zeros(1 << (size - 6), U64)
     at = mix(keys) >> U64(64 - size)
     np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
@@ -423,34 +441,22 @@ def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shar
 
 
 def _merge_pairs(table: pa.Table, folder: str, words: int) -> pa.Table:
-    """Writes a shard's pairs that stand twice or more, with counts. Gives what each context has of them (their
-    number and the sum of their counts), and the numbers of pairs seen once and twice."""
+    """Writes a shard's pairs with their counts; gives how many stand once and twice."""
     shard = table.column("shard")[0].as_py()
     keys, counts = merged(table.column("blob").to_pylist())
-    seen = [int((counts == n).sum()) for n in (1, 2)]
-    keys, counts = gathered(keys[counts > 1], words), counts[counts > 1]
+    keys = gathered(keys, words)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    write_arrays(f"{folder}/pairs-{shard}", keys=keys, counts=counts)
-    contexts, first = np.unique(keys >> U64(32), return_index=True)
-    kinds, sums = np.diff(np.append(first, len(keys))), np.add.reduceat(counts, first) if len(first) else counts
-    rows = [("context", int(c), b, 0) for c, b in _context_blobs(contexts, kinds, sums)]
-    rows += [(kind, shard, None, n) for kind, n in zip(("once", "twice"), seen)]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["kind", "shard", "blob", "n"])
+    write_packed(f"{folder}/raw/pairs-{shard}", keys[order], counts[order])
+    return _seen(shard, counts)
 
 
-def _context_blobs(contexts: np.ndarray, kinds: np.ndarray, sums: np.ndarray):
-    owner = contexts // U64(WORDS_A_SHARD)
-    for s in np.unique(owner):
-        own = owner == s
-        yield s, blob(contexts[own], kinds[own], sums[own])
+def _seen(shard: int, counts: np.ndarray) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), **{name: pa.array([int((counts == n).sum())], pa.int64()) for n, name in ((1, "once"), (2, "twice"))}})
 
 
 def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
-    """Trigrams, both pairs of which are kept (or seem to be), by the shard of their first pair."""
-    level = Level1(folder, sizes)
-    end = int(level.look(np.array([END], U64))[0][0])
-    kept = {}
+    """The training texts' trigrams, by the shard of their first pair."""
+    end = int(Level1(folder, sizes).look(np.array([END], U64))[0][0])
     held, n, words = [], 0, sum(sizes)
 
     def flush():
@@ -461,14 +467,7 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
 
     for _, ids, _ in _sequences(batches):
         keys = pair_keys(ids, end)
-        codes, distinct = pd.factorize(keys)
-        ok = np.zeros(len(distinct), bool)
-        for s, own in _dealt(shard_of(spread(distinct, words), words, shards), shards):
-            if s not in kept:
-                kept[s] = map_arrays(f"{folder}/second-{s}")["bits"]
-            ok[own] = may_have(kept[s], mix(distinct[own] >> U64(32)) + (distinct[own] & U64(0xFFFFFFFF)))
-        ok = ok[codes]
-        at = np.flatnonzero(ok[:-1] & ok[1:] & (ids[:-1] != end))  # a pair that ends a text is no context
+        at = np.flatnonzero(ids[:-1] != end)  # a pair that ends a text is no context
         held.append((keys[at], ids[at + 1].astype(U64)))
         n += len(at)
         if n > TRIPLES_HELD:
@@ -479,35 +478,37 @@ def _count_triples(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[i
 
 
 def _merge_triples(table: pa.Table, folder: str, words: int) -> pa.Table:
-    """Writes a shard's trigrams that stand twice or more; gives their number seen twice, and their occurrences."""
+    """Writes a shard's trigrams, the places of their first pairs and their words, with counts; gives how many stand
+    once and twice."""
     shard = table.column("shard")[0].as_py()
     pairs, last, counts = np.concatenate([unblob(x, 2) for x in table.column("blob").to_pylist()], axis=1)
-    pairs = gathered(pairs, words)
-    have = map_arrays(f"{folder}/pairs-{shard}")["keys"]
-    place = np.minimum(np.searchsorted(have, pairs), max(0, len(have) - 1))
-    real = have[place] == pairs if len(have) else np.zeros(len(pairs), bool)
-    keys, counts = summed(place[real].astype(U64) << U64(32) | last[real], counts[real]) if real.any() else (pairs[:0], counts[:0])
-    keys, counts = keys[counts > 1], counts[counts > 1]
-    write_arrays(f"{folder}/triples-{shard}", contexts=keys >> U64(32), words=keys & U64(0xFFFFFFFF), counts=counts)
-    return pa.table({"shard": pa.array([shard], pa.int32()), "twice": pa.array([int((counts == 2).sum())], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
+    place = np.searchsorted(read_packed(f"{folder}/raw/pairs-{shard}")[0], gathered(pairs, words)).astype(U64)
+    keys, counts = summed(place << U64(32) | last, counts)
+    write_packed(f"{folder}/raw/triples-{shard}", keys, counts)
+    return _seen(shard, counts)
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((log10 - LEAST_LOG) / STEP), 0, 255).astype(np.uint8)
+def quantise(log10: np.ndarray, kind=np.uint8) -> np.ndarray:
+    """Codes of 8 or 16 bits, rounded down, so that restored shares sum to no more than the shares."""
+    most = np.iinfo(kind).max
+    return np.clip(np.floor((log10 / -LEAST_LOG + 1) * most + 1e-9), 0, most).astype(kind)
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return LEAST_LOG + code.astype(np.float64) * STEP
+    return LEAST_LOG + code.astype(np.float64) * (-LEAST_LOG / np.iinfo(code.dtype).max)
 
 
-def _build_passes(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
-    """The weight that each word of a block of numbers passes on: what its kept pairs leave."""
+def left_over(sums: np.ndarray) -> np.ndarray:
+    """Codes of what restored shares leave of one. There is one a context, so these have 16 bits."""
+    return quantise(np.log10(np.clip(1.0 - sums, 10.0**LEAST_LOG, 1.0)), np.uint16)
+
+
+def _build_passes(table: pa.Table, folder: str) -> pa.Table:
+    """The weight that each word of a block of numbers passes on: what the shares of its pairs leave."""
     block = table.column("shard")[0].as_py()
-    each = np.concatenate([unblob(x, 2) for x in table.column("blob").to_pylist()], axis=1)
-    (contexts, kinds), (_, sums) = (summed(each[0], row) for row in each[1:])
-    counts = counts_at(folder, sizes, contexts.astype(np.int64))
-    codes = np.full(WORDS_A_SHARD, 255, np.uint8)
-    codes[contexts.astype(np.int64) - block * WORDS_A_SHARD] = quantise(np.log10(1 - (sums - discount * kinds) / counts))
+    contexts, sums = merged(table.column("blob").to_pylist())
+    codes = np.full(WORDS_A_SHARD, np.iinfo(np.uint16).max, np.uint16)
+    codes[contexts.astype(np.int64) - block * WORDS_A_SHARD] = left_over(sums / UNIT)
     write_arrays(f"{folder}/passes-{block}", codes=codes)
     return pa.table({"shard": pa.array([block], pa.int32())})
 
@@ -570,26 +571,28 @@ class Level:
 
 
 def _build_second(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
+    """Writes a shard's second level; gives what it has of each context's shares, as blobs of blocks of words."""
     shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
-    raw = map_arrays(f"{folder}/pairs-{shard}")
-    contexts, successors = raw["keys"] >> U64(32), raw["keys"] & U64(0xFFFFFFFF)
-    arrays, distinct, own = level_arrays(contexts, successors, words + 1, words)  # also without any, for its bits
-    share = (raw["counts"].astype(np.float64) - discount) / counts_at(folder, sizes, distinct.astype(np.int64))[own]
-    write_arrays(f"{folder}/second-{shard}", **arrays, codes=quantise(np.log10(share)))
-    return pa.table({"shard": pa.array([shard], pa.int32())})
+    keys, counts = read_packed(f"{folder}/raw/pairs-{shard}")
+    arrays, distinct, own = level_arrays(keys >> U64(32), keys & U64(0xFFFFFFFF), words + 1, words)
+    codes = quantise(np.log10(np.maximum(counts.astype(np.float64) - discount, 1e-12) / counts_at(folder, sizes, distinct.astype(np.int64))[own]))
+    write_arrays(f"{folder}/second-{shard}", **arrays, codes=codes)
+    sums = np.round(np.bincount(own, 10 ** restore(codes), len(distinct)) * UNIT).astype(U64)
+    owner = distinct // U64(WORDS_A_SHARD)
+    rows = [(shard, int(b), blob(distinct[owner == b], sums[owner == b])) for b in np.unique(owner)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["made", "shard", "blob"])
 
 
 def _build_third(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
     shard, words = table.column("shard")[0].as_py(), int(sum(sizes))
-    raw, pairs = map_arrays(f"{folder}/triples-{shard}"), map_arrays(f"{folder}/pairs-{shard}")
-    if not len(raw["contexts"]):
-        return pa.table({"shard": pa.array([], pa.int32())})
-    arrays, distinct, own = level_arrays(raw["contexts"], raw["words"], len(pairs["keys"]) + 1, words)
-    share = (raw["counts"].astype(np.float64) - discount) / pairs["counts"][distinct.astype(np.int64)].astype(np.float64)[own]
-    left = 1.0 - np.bincount(own, share, len(distinct))  # what a pair passes on
-    parents = np.zeros((len(pairs["keys"]) + 63) // 64, U64)
+    keys, counts = read_packed(f"{folder}/raw/triples-{shard}")
+    pairs = read_packed(f"{folder}/raw/pairs-{shard}")[1]
+    arrays, distinct, own = level_arrays(keys >> U64(32), keys & U64(0xFFFFFFFF), len(pairs) + 1, words)
+    codes = quantise(np.log10(np.maximum(counts.astype(np.float64) - discount, 1e-12) / pairs[distinct.astype(np.int64)].astype(np.float64)[own]))
+    passes = left_over(np.bincount(own, 10 ** restore(codes), len(distinct)))
+    parents = np.zeros((len(pairs) + 63) // 64, U64)
     np.bitwise_or.at(parents, (distinct >> U64(6)).astype(np.int64), U64(1) << (distinct & U64(63)))
-    write_arrays(f"{folder}/third-{shard}", **arrays, codes=quantise(np.log10(share)), passes=quantise(np.log10(np.maximum(left, 1e-12))), parents=parents)
+    write_arrays(f"{folder}/third-{shard}", **arrays, codes=codes, passes=passes, parents=parents)
     return pa.table({"shard": pa.array([shard], pa.int32())})
 
 
@@ -669,7 +672,7 @@ class Model:
         three[1:] = weight[again] * two[1:] + extra[again]
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         sums = lambda x: np.add.reduceat(x, first)
-        return sizes, sums((counts > 0)[own].astype(np.int64)), sums(np.log10(base)[own]), sums(np.log10(np.minimum(three, 1.0))), sums(np.log10(np.minimum(two, 1.0)))
+        return sizes, sums((counts > 0)[own].astype(np.int64)), sums(np.log10(base)[own]), sums(np.log10(three)), sums(np.log10(two))
 
 
 def _score(batches: Iterator[pa.RecordBatch], info: dict) -> Iterator[pa.RecordBatch]:
@@ -679,8 +682,8 @@ def _score(batches: Iterator[pa.RecordBatch], info: dict) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([model.total] * batch.num_rows, pa.int64()), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _discount(once: int, twice: int) -> float:
-    return once / max(1, once + 2 * twice) or 0.5
+def _discount(once: int | None, twice: int | None) -> float:
+    return (once or 0) / max(1, (once or 0) + 2 * (twice or 0)) or 0.5
 
 
 def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
@@ -708,19 +711,17 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
         own = rows.where("shard is null").select("doc_id", "held_out", "ids")
         if not total:
             return info, own
-        made = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder, n), "kind string, shard int, blob binary, n long"), "contexts")
-        seen = {r["kind"]: r["s"] for r in made.groupBy("kind").agg(F.sum("n").alias("s")).collect()}
-        second = _discount(seen["once"], seen["twice"])
-        blocks = made.where("kind = 'context'").select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
-        info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder, sizes, second), "shard int"), "passes").collect()]
-        each = by_shard(made.where("kind = 'once'").select("shard"))
-        info["second"] = [r[0] for r in tmp.stored(each.applyInArrow(lambda t: _build_second(t, folder, sizes, second), "shard int"), "second").collect()]
+        count = "shard int, once long, twice long"
+        pairs = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder, n), count), "pairs")
         blobs = own.where("not held_out").select("ids").mapInArrow(partial(_count_triples, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
-        kept = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder, n), "shard int, twice long, n long"), "triples")
-        twice, held = kept.agg(F.sum("twice"), F.sum("n")).first()
-        # Every token but a text's first has a trigram; those that aren't kept stand once.
-        third = _discount(total - texts - (held or 0), twice or 0)
-        info["third"] = [r[0] for r in tmp.stored(by_shard(kept.select("shard")).applyInArrow(lambda t: _build_third(t, folder, sizes, third), "shard int"), "third").collect()]
+        triples = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder, n), count), "triples")
+        second, third = (_discount(*df.agg(F.sum("once"), F.sum("twice")).first()) for df in (pairs, triples))
+        made = tmp.stored(by_shard(pairs.select("shard")).applyInArrow(lambda t: _build_second(t, folder, sizes, second), "made int, shard int, blob binary"), "second")
+        info["second"] = [r[0] for r in made.select("made").distinct().collect()]
+        blocks = made.select("shard", "blob").repartition(-(-n // WORDS_A_SHARD), "shard").groupBy("shard")
+        info["blocks"] = [r[0] for r in tmp.stored(blocks.applyInArrow(lambda t: _build_passes(t, folder), "shard int"), "passes").collect()]
+        info["third"] = [r[0] for r in tmp.stored(by_shard(triples.select("shard")).applyInArrow(lambda t: _build_third(t, folder, sizes, third), "shard int"), "third").collect()]
+        remove(spark, f"{folder}/raw")
     return info, own
 
 

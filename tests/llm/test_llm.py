@@ -321,7 +321,7 @@ def test_elias_fano():
 
 
 def test_scores(spark, docs, texts):
-    """Against counts in plain Python; the quantised weights allow a step's half for each of them."""
+    """Against counts in plain Python, with the model's own codes, to 1e-9."""
     import math
 
     import pyarrow as pa
@@ -338,20 +338,25 @@ def test_scores(spark, docs, texts):
     total = sum(c.values())
     discount = lambda n: (one := sum(v == 1 for v in n.values())) / (one + 2 * sum(v == 2 for v in n.values()))
     d, e = discount(pairs), discount(triples)
-    two_kept, kept = ({k: v for k, v in n.items() if v > 1} for n in (pairs, triples))
+    # As the trie has them: rounded down to a code, and passing on what the rounded ones leave.
+    down = lambda x: float(ngram_trie.restore(ngram_trie.quantise(np.log10(np.array([x]))))[0])
+    two_kept, kept = {k: 10 ** down((v - d) / c[k[0]]) for k, v in pairs.items()}, {k: 10 ** down((v - e) / pairs[k[:2]]) for k, v in triples.items()}
     given, gave = Counter(), Counter()
     for (a, _), v in two_kept.items():
-        gave[a] += (v - d) / c[a]
+        gave[a] += v
     for (a, b, _), v in kept.items():
-        given[a, b] += (v - e) / pairs[a, b]
+        given[a, b] += v
+    left = lambda x: 10 ** float(ngram_trie.restore(ngram_trie.left_over(np.array([x])))[0])
     n, known, base, score, two = score_of(model, texts)
     for i, t in enumerate(tokens):
         p = [(c[w] + 1) / (total + len(c) + 1) for w in t]
         assert (n[i], known[i]) == (len(t), sum(w in c for w in t)) and base[i] == pytest.approx(sum(map(math.log10, p)))
-        q = [u * (1 - gave[a]) + ((two_kept[a, w] - d) / c[a] if (a, w) in two_kept else 0) for a, w, u in zip([b"\n", *t], t, p)]
-        r = q[:1] + [(1 - given[a, b]) * u + (max(kept[a, b, w] - e, 0) / pairs[a, b] if (a, b, w) in kept else 0) for a, b, w, u in zip([b"\n", *t], t, t[1:], q[1:])]
-        off = ngram_trie.STEP / 2 + 1e-6  # of a logarithm, for each of the mixed parts
-        assert abs(two[i] - sum(map(math.log10, q))) <= off * len(t) and abs(score[i] - sum(map(math.log10, r))) <= 2 * off * len(t)
+        q = [u * left(gave[a]) + two_kept.get((a, w), 0) for a, w, u in zip([b"\n", *t], t, p)]
+        r = q[:1] + [left(given[a, b]) * u + kept.get((a, b, w), 0) for a, b, w, u in zip([b"\n", *t], t, t[1:], q[1:])]
+        assert two[i] == pytest.approx(sum(map(math.log10, q)), rel=1e-9) and score[i] == pytest.approx(sum(map(math.log10, r)), rel=1e-9)
+    # Over all words and an unknown one, probabilities sum to one, but for the rounding of two passed weights.
+    for a, b in list(given)[::7]:
+        assert 1 - 2e-3 <= given[a, b] + left(given[a, b]) * (gave[b] + left(gave[b])) <= 1 + 1e-9
     assert sum(score) > sum(two) + 10  # copies stand out
     got = {r["doc_id"]: r["score"] for r in rows.mapInArrow(ngram_trie.partial(ngram_trie._score, info=info), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()}
     assert all(got[i] == pytest.approx(x) for i, x in enumerate(score.tolist()))
@@ -360,6 +365,42 @@ def test_scores(spark, docs, texts):
     assert ngram_trie.fit(own.limit(0))[1].count() == 0
 
 
+def test_held_out_texts_gain_from_all_ngrams(spark):
+    """Mean log10 of a held-out token on real tables: add-one unigrams give -4.07, pairs and trigrams that stand twice -3.84."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    F = ngram_trie.F
+    r = registry.QUERIES["op9_ngram_trie"](spark, sf).where("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("score"), (F.sum("base_score") / F.sum("n_tokens")).alias("base")).first()
+    assert r["base"] == pytest.approx(-4.07, abs=0.01) and r["score"] >= -3.3
+
+
+def test_copies_of_files_have_no_name(tmp_path, monkeypatch):
+    """Files in a store that can't be mapped are copied into one that is gone with the process."""
+    import os
+    import tempfile
+
+    own = {"keys": np.arange(9, dtype=np.uint64), "n": 4}
+    ngram_trie.write_arrays(f"file://{tmp_path}/x", **own)
+    monkeypatch.setattr(ngram_trie, "urlparse", lambda uri: type("U", (), {"scheme": "store", "path": ""}))
+    before = set(os.listdir(tempfile.gettempdir()))
+    got = ngram_trie.map_arrays(f"file://{tmp_path}/x")
+    assert got["keys"].tolist() == list(range(9)) and got["n"] == 4 and ngram_trie.map_arrays(f"file://{tmp_path}/x")["n"] == 4
+    assert not [f for f in set(os.listdir(tempfile.gettempdir())) - before if "schemaloom" in f]
+
+
+def test_packed_keys_come_back(tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "PACKED", 7)
+    keys, counts = np.unique(np.random.default_rng(1).integers(0, 1 << 60, 40).astype(np.uint64)), None
+    counts = np.arange(len(keys), dtype=np.uint64)
+    ngram_trie.write_packed(f"file://{tmp_path}/a", keys, counts)
+    assert (ngram_trie.read_packed(f"file://{tmp_path}/a") == np.stack([keys, counts])).all()
+    ngram_trie.write_packed(f"file://{tmp_path}/b", keys[:0], counts[:0])
+    assert ngram_trie.read_packed(f"file://{tmp_path}/b").shape == (2, 0)
+
+
 def test_splitting_is_pythons():
     import pyarrow as pa
 
