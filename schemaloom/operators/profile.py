@@ -109,6 +109,16 @@ def _quantiles(domain: DataFrame, edges: DataFrame) -> DataFrame:
     return got.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
 
 
+def quantiles_by(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, lo, hi, q: extremes and exact quantiles of a number in each group. Only values inside a bracket are
+    ranked, so a group with most of the rows isn't gathered."""
+    own = df.select(F.col(group).alias("col"), F.col(value).cast("double").alias("x")).withColumn("tbl", F.lit(""))
+    domain = stored(own.groupBy("tbl", "col", "x").agg(F.count(F.lit(1)).alias("cnt")), "domain")
+    ends = domain.groupBy("tbl", "col").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    edges = own.groupBy("tbl", "col").agg(_edges(F.col("x")).alias("edges"))
+    return ends.join(_quantiles(domain, edges), ["tbl", "col"], "left").select(F.col("col").alias(group), "lo", "hi", "q")
+
+
 def _kept(domain: DataFrame, exact: int) -> DataFrame:
     """tbl, col, own: each column's first ``exact`` values in the order of their md5, with their places."""
     order = W.partitionBy("tbl", "col").orderBy(F.md5(F.col("v").cast("binary")), "v")

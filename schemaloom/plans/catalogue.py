@@ -143,8 +143,7 @@ def _(spark, sf_dir):
 
 @query("quantiles_lineitem_price", "SELECT l_returnflag, round(min(l_extendedprice), 4) AS lo, round(max(l_extendedprice), 4) AS hi, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75 FROM lineitem GROUP BY l_returnflag")
 def _(spark, sf_dir):
-    x = "l_extendedprice"
-    q = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, [0.25, 0.5, 0.75]).alias("q"))
+    q = profile.quantiles_by(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
     return rounded(q.select("l_returnflag", "lo", "hi", *(F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75")))), 4)
 
 
@@ -617,18 +616,26 @@ def _(spark, sf_dir):
     return mediator.nested(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("row_gid")), "row_gid", [0.25, 0.5])
 
 
-@query("nesting_assertion", "SELECT count(*) AS n FROM part WHERE false")
+@query(
+    "nesting_assertion",
+    """
+WITH r AS (SELECT p_name AS rule, row_number() OVER (ORDER BY md5('42|' || p_name), p_name) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_name FROM part)),
+s AS (SELECT f AS fraction, rule FROM r, (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS f) WHERE k <= floor(f * n + 1e-9))
+SELECT fraction, count(*) AS n, count(*) FILTER (fraction < 1 AND NOT EXISTS (SELECT 1 FROM s o WHERE o.fraction = s.fraction + 0.25 AND o.rule = s.rule)) AS lacking, md5(string_agg(rule, '|' ORDER BY rule)) AS rules FROM s GROUP BY fraction
+""",
+)
 def _(spark, sf_dir):
-    """Items of a fraction that the next larger one lacks: none."""
+    """The items of each fraction, and how many of them the next larger one lacks."""
     subsets = mediator.nested(table(spark, sf_dir, "part").select(F.col("p_name").alias("rule")), "rule", [0.25, 0.5, 0.75, 1.0])
-    return mediator.not_nested(subsets, "rule").agg(F.count(F.lit(1)).alias("n"))
+    lacking = mediator.not_nested(subsets, "rule").select((F.col("fraction") - 0.25).alias("fraction"), "rule").groupBy("fraction").agg(F.count(F.lit(1)).alias("lacking"))
+    own = subsets.groupBy("fraction").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("rule")), "|").cast("binary")).alias("rules"))
+    return own.join(lacking, "fraction", "left").na.fill(0, ["lacking"])
 
 
-@query("row_ids", "SELECT count(*) AS n, count(DISTINCT i) AS ids, min(i) AS lo, max(i) AS hi FROM (SELECT 100 + row_number() OVER () - 1 AS i FROM lineitem)")
+@query("row_ids", "SELECT l_orderkey, l_linenumber, 100 + row_number() OVER () - 1 AS row_gid FROM lineitem")
 def _(spark, sf_dir):
-    """Row numbers of a file scan: gapless from the offset on."""
-    ids = mediator.row_ids(table(spark, sf_dir, "lineitem").select("l_orderkey"), offset=100)
-    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_gid").alias("ids"), F.min("row_gid").alias("lo"), F.max("row_gid").alias("hi"))
+    """Row numbers of a file scan: gapless from the offset on, in the order of the file."""
+    return mediator.row_ids(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), offset=100)
 
 
 RANGES = [("a", 0, 0, 2), ("b", 1, 3, 5), ("c", 2, 4, 9)]
@@ -677,9 +684,10 @@ def _(spark, sf_dir):
     return graph.edges(inds=_held_fds(spark, sf_dir), positional=False).select("src", "dst", "kind", "weight")
 
 
-@query("graph_edges_none", "SELECT 0 AS src, 0 AS dst, 'x' AS kind, 0.0::DOUBLE AS weight FROM part WHERE false")
+@query("graph_edges_none", f"WITH {_HELD} SELECT src, dst, 'fd' AS kind, count(*)::DOUBLE AS weight FROM (SELECT l AS src, unnest(rhs) AS dst FROM (SELECT unnest(lhs) AS l, rhs FROM held WHERE len(lhs) > 2)) GROUP BY ALL")
 def _(spark, sf_dir):
-    return graph.edges()
+    """Edges of the dependencies with a left side of three: none of the candidates."""
+    return graph.edges(_held_fds(spark, sf_dir).where("size(lhs) > 2"))
 
 
 @query("transition_matrix", f"WITH {_EDGES} SELECT src, dst, round(p, 6) AS p FROM p")

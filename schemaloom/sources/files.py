@@ -22,6 +22,11 @@ def csv_folder(spark: SparkSession, path: str, **options) -> dict[str, DataFrame
     return {n.rpartition("/")[2][:-4]: csv_table(spark, n, **options) for n in names}
 
 
+def csv_tables(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """Every *.csv under ``path``, a file or a folder of parts, by its stem, in order of name."""
+    return {n.rpartition("/")[2][:-4]: csv_table(spark, n, **options) for n in sorted(_paths(spark, f"{path}/*.csv"))}
+
+
 def _paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match, by Spark's own file system, so any store works."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -109,6 +114,11 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema="attr_id int, row_gid long")
 
 
+def write_csv(table: DataFrame, path: str, sep: str = ",") -> None:
+    """Cells as they are, for ``csv_table``: quoted where they must be, nulls empty."""
+    table.write.mode("overwrite").csv(path, header=True, sep=sep, escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
+
+
 def write_deps(deps: DataFrame, path: str, arrow: str = " -> ") -> None:
     """FDs with `` -> ``, INDs with ``[=``; always written, also when empty."""
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -137,10 +147,9 @@ def write_bridge(bridge: DataFrame, path: str, n_source: int = 0) -> None:
     own.select("t_attr", F.transform("x", lambda s: s["s_attr"]).alias("s_attrs")).write.mode("overwrite").json(path)
 
 
-def write_vectors(spark: SparkSession, forward, backward, path: str) -> None:
+def write_vectors(vectors: DataFrame, path: str) -> None:
     """attr_id, fwd, bwd: an embedding's vectors, a row a node."""
-    rows = [(i, f.tolist(), b.tolist()) for i, (f, b) in enumerate(zip(forward, backward))]
-    spark.createDataFrame(rows, "attr_id int, fwd array<double>, bwd array<double>").write.mode("overwrite").parquet(path)
+    vectors.select("attr_id", "fwd", "bwd").write.mode("overwrite").parquet(path)
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:

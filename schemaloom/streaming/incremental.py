@@ -1,23 +1,22 @@
-"""Incremental profiles of a stream: counts and mergeable sketches per micro-batch (an extension)."""
+"""Incremental profiles of a stream: a mergeable state of each micro-batch (an extension)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.profile import cells, sketches
+from ..operators import sketch
 
 
 def start(stream: DataFrame, table: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch writes the sketches of its rows under its own number; a repeated batch replaces itself."""
+    """Each micro-batch writes the states of its columns under its own number; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        sketches(cells(batch, table)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        sketch.states(batch, table).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def profile(spark, path: str) -> DataFrame:
-    """Counts and estimated distinct values over all batches so far."""
-    return spark.read.parquet(path).groupBy("tbl", "col").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_unique"))
+def profile(spark: SparkSession, path: str) -> DataFrame:
+    """The approximate profile of all batches so far."""
+    return sketch.finished(sketch.merged(spark.read.parquet(path).drop("batch")))

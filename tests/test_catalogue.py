@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from schemaloom.plans import catalogue
+from schemaloom.plans import catalogue, exchange  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

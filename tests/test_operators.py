@@ -363,7 +363,7 @@ def test_stream_profile(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.start(stream, "t", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r["col"]: (r["n"], r["n_unique"]) for r in incremental.profile(spark, str(tmp_path / "out")).collect()}
+    got = {r["col"]: (r["n_rows"], r["n_unique"]) for r in incremental.profile(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": (100, 7), "b": (100, 3)}
 
 
@@ -509,7 +509,7 @@ def test_writers_round_trip(spark, tmp_path):
     assert mediator.not_nested(back.where("fraction = 0.5").union(back.limit(0)).union(spark.createDataFrame([(99, 1.0)], back.schema)), "row_gid").count() == 1
     files.write_bridge(spark.createDataFrame([(0, 3, 2), (0, 1, 1)], "t_attr int, s_attr int, rank int"), str(tmp_path / "b"), 10)
     assert rows(spark.read.json(str(tmp_path / "b")).select("t_attr", "s_attrs")) == [(10, [1, 3])]
-    files.write_vectors(spark, np.eye(2), np.eye(2) * 2, str(tmp_path / "v"))
+    files.write_vectors(embed.vectors(spark, np.eye(2), np.eye(2) * 2), str(tmp_path / "v"))
     from schemaloom.plans import evaluate
 
     assert rows(evaluate.embedding_sim(files.vectors(spark, str(tmp_path / "v")), 1)) == [("emb", 0, 0, 0.0)]
