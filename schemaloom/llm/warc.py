@@ -138,12 +138,18 @@ def write_monoliths(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def decide(manifest: DataFrame) -> DataFrame:
-    """archive, seq, revisit, refers_to."""
+    """archive, seq, revisit, refers_to.
+
+    Small payloads, of which very many may be equal, have no part in the join; a large one that very many
+    pages have meets a table of its own, so that adaptive execution can split it.
+    """
     place = F.struct("page_id", "archive", "seq")
-    shared = manifest.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("digest").agg(F.max(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = manifest.join(shared, "digest", "left")
+    large = F.col("payload_bytes") >= LEAST_BYTES
+    shared = manifest.where(large).groupBy("digest").agg(F.max(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    both = manifest.where(large).join(stored(shared, "shared"), "digest", "left")
     revisit = F.coalesce(F.col("keep") != place, F.lit(False))
-    return both.select("archive", "seq", revisit.alias("revisit"), F.when(revisit, F.col("keep.page_id")).alias("refers_to"))
+    decided = both.select("archive", "seq", revisit.alias("revisit"), F.when(revisit, F.col("keep.page_id")).alias("refers_to"))
+    return decided.unionByName(manifest.where(~large).select("archive", "seq", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def _chunks(uri: str) -> Iterator[bytes]:
