@@ -9,8 +9,8 @@ changes nothing when it is committed again. ``compact`` rolls all deltas up into
 remembers the names of the batches in it, so that totals read a row a group and few deltas however many
 batches there have been. A compaction that dies leaves the old base or the new one.
 
-The versions of the query are patterns, so that SQL can count them too; ``commit`` takes any counts, such
-as those that a tokenizer gives.
+The versions of the query are patterns, so that SQL can count them too; ``tokenized`` counts by tokenizer
+files, and ``commit`` takes either.
 
 Defined results: null sources and languages are groups of their own; a null text has 0 tokens;
 repeated events count as often as they come; groups whose documents and tokens are both 0 are not
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Rollup:
         new = set(self._names("batch=")) - known
         if new:
             aside = f"_aside-{uuid.uuid4().hex}"
-            self.totals().coalesce(1).write.parquet(f"{self.path}/{aside}/totals")
+            self.totals().write.parquet(f"{self.path}/{aside}/totals")
             self.spark.createDataFrame([(b,) for b in sorted(known | new)], "batch string").coalesce(1).write.parquet(f"{self.path}/{aside}/batches")
             self._fs.rename(self._at(aside), self._at(f"base={int(old[5:]) + 1 if old else 0}"))
         name, known = self._base()
@@ -88,10 +89,15 @@ class Rollup:
         signed = F.array(row("tokenizer_version", "n_tokens", sign), F.when(F.col("op") == "revise", row("old_version", "old_tokens", F.lit(-1))))
         deltas = events.select("source", "lang", F.explode(F.array_compact(signed)).alias("x")).select("source", "lang", "x.*").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         aside = f"_aside-{uuid.uuid4().hex}"
-        deltas.coalesce(1).write.parquet(f"{self.path}/{aside}")
+        deltas.write.parquet(f"{self.path}/{aside}")
         if self.committed(batch) or not self._fs.rename(self._at(aside), self._at(name)):
             self._fs.delete(self._at(aside), True)
             return False
+        # Two writers may have passed the tests together. The later one's folder lands in the earlier one's, where its
+        # name hides it from readers.
+        if self._fs.exists(self._at(f"{name}/{aside}")):
+            self._fs.delete(self._at(f"{name}/{aside}"), True)
+            return False
         return True
 
     def totals(self) -> DataFrame:
@@ -132,6 +138,27 @@ def counted(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(_count, schema)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], files: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    from tokenizers import Tokenizer
+
+    own = {name: Tokenizer.from_file(path) for name, path in files.items()}
+    for t in own.values():
+        t.encode_special_tokens = True  # their strings are ordinary text here
+    for batch in small_batches(batches, 2 << 20):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        keep = [c for c in batch.schema.names if c != "text"]
+        counts = [pa.array([len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)], pa.int64()) for t in own.values()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *counts], [*keep, *own])
+
+
+def tokenized(docs: DataFrame, files: dict[str, str]) -> DataFrame:
+    """doc_id, source, lang and the number of tokens of each version: ``files`` names the tokenizer file of each, which
+    every executor must have."""
+    own = docs.select("doc_id", "source", "lang", "text")
+    schema = T.StructType([*own.drop("text").schema, *(T.StructField(v, T.LongType()) for v in files)])
+    return own.mapInArrow(partial(_tokens, files=files), schema)
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents go in under two tokenizers; a batch comes twice, once after a compaction; all counts
     of one tokenizer are revised to its next version; copies of a text with a smaller doc_id are taken out.

@@ -249,6 +249,25 @@ def test_warc(spark):
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {1: ("revisit", 6), 2: ("revisit", 6), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
     assert got[1]["payload_bytes"] == len(big.encode()) and got[3]["payload_digest"] == "da39a3ee5e6b4b0d3255bfef95601890afd80709"
     assert warc.write_monoliths(pages.limit(0), folder).count() == 0
+    none = warc.decide(warc.write_monoliths(pages.limit(0), folder))
+    assert none.count() == 0 and warc.read_back(warc.normalise(none, folder), folder).count() == 0
+
+
+def test_warc_of_empty_and_long_pages(spark):
+    """95 % of the pages are empty: none of them takes part in a join. One page is of 10 MB; names clash."""
+    F = warc.F
+    long = "x" * 10_000_000
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 1900, F.lit("")).when(F.col("id") < 1998, F.concat(F.lit("y" * 1500), F.col("id") % 3)).otherwise(F.lit(long)).alias("html"), F.lit(1).alias("digest"), F.lit(2).alias("archive"), F.lit(3).alias("seq"))
+    folder = scratch(spark, "t")
+    manifest = warc.write_monoliths(pages.repartition(4), folder)
+    decisions = warc.decide(manifest)
+    plan = decisions._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload_bytes" in plan and "LeftOuter" in plan and plan.index("Union") < plan.index("LeftOuter")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_back(warc.normalise(decisions, folder), folder).collect()}
+    assert all(got[i] == ("response", None, 0) for i in range(1900))
+    last = {k: max(i for i in range(1900, 1998) if i % 3 == k) for k in range(3)}
+    assert all(got[i] == (("response", None, 1501) if i == last[i % 3] else ("revisit", last[i % 3], 1501)) for i in range(1900, 1998))
+    assert got[1998] == ("revisit", 1999, 10_000_000) and got[1999] == ("response", None, 10_000_000)
 
 
 def test_language_id(spark):
@@ -430,6 +449,38 @@ def test_rollup(spark):
     assert empty_one.commit("x", df.limit(0)) and empty_one.totals().count() == 0
 
 
+def test_two_writers_of_one_batch(spark):
+    """Both have passed the tests before either moves its folder: one commits, the other says that it hasn't."""
+    df = spark.createDataFrame([("insert", "a", None, "v1", 5, None, None)], "op string, source string, lang string, tokenizer_version string, n_tokens long, old_version string, old_tokens long")
+    path = scratch(spark, "roll")
+    first, second = token_rollup.Rollup(spark, path), token_rollup.Rollup(spark, path)
+    second.committed = lambda batch: False
+    assert first.commit("1", df) and not second.commit("1", df)
+    assert [tuple(x) for x in first.totals().collect()] == [("a", None, "v1", 1, 5)] and first._names("_aside") == []
+
+
+def test_rollup_of_tokenizers(spark, docs, texts):
+    """Inserted under one tokenizer and revised to another."""
+    from tokenizers import Tokenizer
+
+    files = {"bytes": public_tokenizers.path("byte_bpe_50k.json"), "words": public_tokenizers.path("word_bpe_49k.json")}
+    each = token_rollup.stored(token_rollup.tokenized(docs, files), "each")
+    want = {}
+    for name, path in files.items():
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        want[name] = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    got = {r["doc_id"]: r for r in each.collect()}
+    assert all(got[i][name] == n for name, own in want.items() for i, n in enumerate(own))
+    F = token_rollup.F
+    event = lambda op, version, old: each.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(version).alias("n_tokens"), F.lit(old).cast("string").alias("old_version"), (F.col(old) if old else F.lit(None)).cast("long").alias("old_tokens"))
+    r = token_rollup.Rollup(spark, scratch(spark, "roll"))
+    r.commit("1", event("insert", "bytes", None))
+    r.commit("2", event("revise", "words", "bytes"))
+    total = r.totals().collect()
+    assert {x["tokenizer_version"] for x in total} == {"words"} and sum(x["n_tokens"] for x in total) == sum(want["words"]) and sum(x["n_docs"] for x in total) == len(texts)
+
+
 def test_rollup_of_odd_rows(spark, tmp_path):
     """Null texts have no copies; repeated rows are copies of no smaller id; null groups stand by themselves."""
     rows = [(3, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (2, "a b", None, None, 3), (4, None, "en", "s", 0), (5, None, "en", "s", 0), (6, "", "en", "s", 0)]
