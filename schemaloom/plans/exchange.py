@@ -90,7 +90,7 @@ def _(spark, sf_dir):
     return back.select("t_attr", F.array_join(F.transform("s_attrs", lambda x: x.cast("string")), ",").alias("s_attrs"))
 
 
-@query("matrix_files", f"WITH {_NATION_CELLS} SELECT 'long' AS form, run_id, t_attr, s_attr, score FROM m UNION ALL SELECT 'json', 'j', dense_rank() OVER (ORDER BY t_attr) - 1, row_number() OVER (PARTITION BY t_attr ORDER BY s_attr) - 1, score FROM (SELECT t_attr, s_attr, round(sum(score), 4) AS score FROM m WHERE t_attr < 3 GROUP BY ALL)")
+@query("matrix_files", f"WITH {_NATION_CELLS} SELECT 'long' AS form, run_id, t_attr, s_attr, score FROM m UNION ALL SELECT 'json', 'j', (dense_rank() OVER (ORDER BY t_attr) - 1)::INTEGER, (row_number() OVER (PARTITION BY t_attr ORDER BY s_attr) - 1)::INTEGER, score FROM (SELECT t_attr, s_attr, round(sum(score), 4) AS score FROM m WHERE t_attr < 3 GROUP BY ALL)")
 def _(spark, sf_dir):
     """Matrices in long form, split by run, and one as JSON, whose cells are numbered by their places."""
     sim, _, _ = _matches(spark, sf_dir)
