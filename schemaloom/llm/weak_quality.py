@@ -139,21 +139,22 @@ def _votes(batches: Iterator[pa.RecordBatch], learned: Learned) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array([a for a, _ in both], pa.string()), pa.array([b for _, b in both], pa.string())], ["doc_id", "k", "quality", "toxic"])
 
 
-def expectation_maximisation(patterns: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
-    """The posterior of good for each pattern of votes."""
+def expectation_maximisation(patterns: dict[str, int], rounds: int = ROUNDS, anchored: bool = True) -> dict[str, float]:
+    """The posterior of good for each pattern of votes, the last of which is human. ``anchored``: a document with
+    a human vote has its posterior from that; else the human voter is one labeller among the others."""
     names = list(patterns)
     if not names:
         return {}
     n = np.array([patterns[x] for x in names], float)
     votes = np.array([["b-g".index(v) for v in x] for x in names])
-    label = votes[:, -1] - 1  # the last voter is human
+    label = votes[:, -1] - 1 if anchored else np.zeros(len(votes))
     good = np.clip(0.5 + 0.2 * (votes - 1).sum(axis=1), 0.05, 0.95)
     for _ in range(rounds):
         good = np.where(label == 0, good, np.where(label > 0, TRUST, 1 - TRUST))
         like = []
         for p in (1 - good, good):
             own = np.log((p * n).sum() + 1)
-            for j in range(votes.shape[1] - 1):
+            for j in range(votes.shape[1] - anchored):
                 seen = np.array([(p * n)[votes[:, j] == v].sum() for v in range(3)]) + 0.1
                 own = own + np.log(seen / seen.sum())[votes[:, j]]
             like.append(own)
@@ -232,10 +233,12 @@ def _score(batches: Iterator[pa.RecordBatch], weights, learned: Learned) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1])], ["doc_id", "quality_score", "clean_score"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rest: int = SAMPLE_REST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rest: int = SAMPLE_REST, rest_weight: float = REST_WEIGHT, anchored: bool = True) -> DataFrame:
     """doc_id, quality_score, clean_score (1: not toxic) and kept, which both must allow.
 
-    docs: doc_id, text; labels: doc_id, quality, toxic, those that may be learned from.
+    docs: doc_id, text; labels: doc_id, quality, toxic, those that may be learned from. With ``rest_weight`` 1 and
+    not ``anchored``, posteriors of the labellers alone label what the scorers learn from, human votes being one
+    labeller's; the defaults lean on human labels, see above.
     """
     spark = docs.sparkSession
     docs, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
@@ -247,13 +250,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
     votes = stored(votes.select("doc_id", "k", F.concat("quality", say("hq", 1)).alias("quality"), F.concat("toxic", say("ht", 0)).alias("toxic")), "votes")
     posterior = {}
     for head in HEADS:
-        posterior[head] = expectation_maximisation({r[0]: r[1] for r in votes.groupBy(head).count().collect()})
+        posterior[head] = expectation_maximisation({r[0]: r[1] for r in votes.groupBy(head).count().collect()}, anchored=anchored)
     look = lambda head, c: F.element_at(F.create_map(*(F.lit(x) for kv in posterior[head].items() for x in kv)), F.col(c)) if posterior[head] else F.lit(None).cast("double")
     labelled = F.greatest(*(~F.col(h).endswith("-") for h in HEADS))
     n = {r[0]: r[1] for r in votes.groupBy(labelled).count().collect()}
     most = {x: int((1 << 20) * min(1.0, size / max(1, n.get(x, 0)))) + 1 for x, size in ((True, sample_docs), (False, sample_rest))}
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 20))
-    weight = lambda h: F.when(F.col(h).endswith("-"), REST_WEIGHT).otherwise(1.0)
+    weight = lambda h: F.when(F.col(h).endswith("-"), float(rest_weight)).otherwise(1.0)
     chosen = votes.where(draw < F.when(labelled, most[True]).otherwise(most[False])).dropDuplicates(["k"])
     chosen = chosen.select("k", *(c for h in HEADS for c in (look(h, h).alias(f"p_{h}"), weight(h).alias(f"w_{h}"))))
     sample = docs.withColumn("k", F.xxhash64("doc_id", "text")).where(draw < max(most.values())).join(chosen, "k").select(*TARGETS, "text")

@@ -499,6 +499,59 @@ def test_weak_labels():
     assert p["gggg"] > 0.95 and p["bbbb"] < 0.05
 
 
+def plain_em(documents, anchored, rounds=50):
+    """A document at a time, with logarithms of products only."""
+    import math
+
+    sign = {"b": -1, "-": 0, "g": 1}
+    trusted = lambda d: {"g": weak_quality.TRUST, "b": 1 - weak_quality.TRUST}.get(d[-1]) if anchored else None
+    good = [min(0.95, max(0.05, 0.5 + 0.2 * sum(sign[v] for v in d))) for d in documents]
+    voters = range(len(documents[0]) - anchored)
+    for _ in range(rounds):
+        good = [trusted(d) if trusted(d) is not None else p for d, p in zip(documents, good)]
+        tables, sizes = [], []
+        for side in (0, 1):
+            mass = [p if side else 1 - p for p in good]
+            sizes.append(sum(mass) + 1)
+            each = []
+            for j in voters:
+                seen = {v: 0.1 + sum(m for d, m in zip(documents, mass) if d[j] == v) for v in "b-g"}
+                each.append({v: n / sum(seen.values()) for v, n in seen.items()})
+            tables.append(each)
+        good = []
+        for d in documents:
+            odds = [math.log(sizes[s]) + sum(math.log(tables[s][j][d[j]]) for j in voters) for s in (0, 1)]
+            good.append(1 / (1 + math.exp(min(50, max(-50, odds[0] - odds[1])))))
+    return {d: trusted(d) if trusted(d) is not None else p for d, p in zip(documents, good)}
+
+
+@pytest.mark.parametrize("anchored", [True, False])
+def test_em_by_brute_force(anchored):
+    """Posteriors of patterns with counts are those of the documents one by one; ties, repeats and voters that say nothing too."""
+    rng = random.Random(4)
+    documents = []
+    for _ in range(300):
+        good = rng.random() < 0.7
+        votes = ["-" if rng.random() < 0.3 else "g" if good == (rng.random() < q) else "b" for q in (0.9, 0.75, 0.6)]
+        documents.append("".join([*votes, "-", rng.choice("-" * 5 + ("g" if good else "b"))]))
+    got = weak_quality.expectation_maximisation(dict(Counter(documents)), anchored=anchored)
+    want = plain_em(documents, anchored)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(p, abs=1e-6) for k, p in want.items())
+    assert weak_quality.expectation_maximisation({}) == {}
+
+
+def test_weak_quality_of_odd_rows(spark, docs, texts):
+    """Repeated rows, null ids and clashing names; labellers alone, without a human label."""
+    odd = docs.select("doc_id", "text").union(docs.select(weak_quality.F.lit(None).cast("long"), "text")).union(docs.select("doc_id", "text").limit(5))
+    odd = odd.selectExpr("*", "1 AS k", "2 AS quality", "3 AS toxic", "4 AS p_quality")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = weak_quality.classify(odd, labels, rest_weight=1.0, anchored=False)
+    assert got.columns == ["doc_id", "quality_score", "clean_score", "kept"] and got.count() == 2 * len(texts) + 5
+    scores = {}
+    for r in got.where("doc_id is not null").collect():
+        assert scores.setdefault(r["doc_id"], r["quality_score"]) == r["quality_score"]
+
+
 def test_weak_quality(spark, docs, texts):
     labels = spark.createDataFrame([(20, 1, 0), (21, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = weak_quality.classify(docs, labels).collect()
