@@ -1,8 +1,8 @@
 """Operator 6, quality rules: a cascade that stops at a document's first failed rule.
 
 Each rule is a predicate on cheap counts of the text. On a sample, the operator measures what
-a rule costs and how many documents it rejects, then runs the rules in descending order of
-rejections per second. The verdict is a conjunction, so the order changes cost, never the result.
+a rule costs and which documents it rejects, then takes as the next rule the one with most rejections per
+second among the documents that the rules before it let through. The verdict is a conjunction, so the order changes cost, never the result.
 
 Defined results: a null text has no words and fails the base rule; so does an empty one.
 Null or repeated doc_ids don't matter, as every row is judged by itself. An empty table gives
@@ -107,30 +107,42 @@ RULES: dict[str, Callable[[Doc], bool]] = {
 
 
 def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spent, hits, n = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
+    """Seconds of each rule, and how many documents fail which rules together (a bit a rule)."""
+    spent, failed = dict.fromkeys(RULES, 0.0), Counter()
     for batch in small_batches(batches):
         for text in utf8(batch.column(0)):
-            n += 1
-            for name, rule in RULES.items():
+            bits = 0
+            for i, (name, rule) in enumerate(RULES.items()):
                 doc = Doc(text)
                 began = time.perf_counter()
-                hits[name] += rule(doc)
+                bits |= rule(doc) << i
                 spent[name] += time.perf_counter() - began
-    yield pa.RecordBatch.from_pydict({"rule": list(RULES), "s": list(spent.values()), "hits": list(hits.values()), "n": [n] * len(RULES)})
+            failed[bits] += 1
+    none = [None] * len(failed)
+    yield pa.RecordBatch.from_arrays([pa.array([*RULES, *none], pa.string()), pa.array([*spent.values(), *none], pa.float64()), pa.array([None] * len(RULES) + list(failed), pa.int32()), pa.array([None] * len(RULES) + list(failed.values()), pa.int64())], ["rule", "s", "bits", "n"])
+
+
+def ranked(seconds: dict[str, float], failed: dict[int, int]) -> list[str]:
+    """Rules by rejections per second, each counted on what the rules before it leave. Ties go by name."""
+    names, left, out = list(RULES), dict(failed), []
+    while len(out) < len(names):
+        rate = lambda x: sum(n for bits, n in left.items() if bits >> names.index(x) & 1) / max(seconds.get(x, 0.0), 1e-9)
+        best = min((x for x in names if x not in out), key=lambda x: (-rate(x), x))
+        out.append(best)
+        left = {bits: n for bits, n in left.items() if not bits >> names.index(best) & 1}
+    return out
 
 
 def plan(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, most rejections per second first, by a sample of about ``sample_rows`` documents.
+    """Rule names in the order of the cascade, by a sample of about ``sample_rows`` documents.
 
     The sample takes texts by a hash of their doc_id and text, so that null and repeated doc_ids don't
-    enlarge it. Ties go by name. The figures of a task are
-    sums over its sample, so the driver receives a few numbers a task at most.
+    enlarge it. What is summed has a row a rule and one for each set of rules that documents fail together.
     """
     rows = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(1, rows)) + 1)).select("text")
-    seen = part.mapInArrow(_trial, "rule string, s double, hits long, n long").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits")).collect()
-    rate = {r["rule"]: r["hits"] / max(r["s"], 1e-9) for r in seen}
-    return sorted(RULES, key=lambda x: (-rate.get(x, 0.0), x))
+    seen = part.mapInArrow(_trial, "rule string, s double, bits int, n long").groupBy("rule", "bits").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    return ranked({r["rule"]: r["s"] for r in seen if r["rule"]}, {r["bits"]: r["n"] for r in seen if not r["rule"]})
 
 
 def verdict(doc: Doc, order: list[str]) -> bool:

@@ -50,6 +50,14 @@ def test_quality_counts(docs, texts):
         assert not (got[i]["base_failed"] and got[i]["kept"])
 
 
+def test_rules_that_repeat_others_come_late(monkeypatch):
+    """The second of two alike rules rejects nothing that is left, so a rule with fewer rejections goes before it."""
+    monkeypatch.setattr(quality_rules, "RULES", dict.fromkeys(["alike1", "alike2", "other", "never"]))
+    seconds = {"alike1": 1.0, "alike2": 1.1, "other": 1.0, "never": 0.001}
+    assert quality_rules.ranked(seconds, {0b0011: 50, 0b0111: 10, 0b0100: 5, 0: 900}) == ["alike1", "other", "alike2", "never"]
+    assert quality_rules.ranked({}, {}) == ["alike1", "alike2", "never", "other"]
+
+
 def test_quality_keep_agrees(spark, docs):
     want = {r["doc_id"] for r in quality_rules.measure(docs).where("kept").collect()}
     assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == want
