@@ -234,6 +234,23 @@ def test_packing(spark, docs, texts):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    """Null doc_ids and rows repeated with theirs are documents of their own; clashing names and a 3 MB text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "a b c"), (None, None), (7, "same text"), (7, "same text"), (7, "another text"), (8, "long word " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS sequence_id", "3 AS tokens").repartition(3)
+    got = packing.pack_documents(df, path).collect()
+    total = Counter()
+    for r in got:
+        total[r["doc_id"]] += r["length"]
+    assert total == {None: 3 + 1 + 1, 7: 3 + 3 + 3, 8: 600_001}
+    assert sorted((r["start"], r["length"]) for r in got if r["doc_id"] == 7) == [(0, 3)] * 3
+    held = Counter()
+    for r in got:
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 4096 and sum(n < 4096 for n in held.values()) <= 2
+
+
 def test_fill_is_closest():
     rng = random.Random(4)
     for _ in range(60):
@@ -298,6 +315,18 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_language_id_of_odd_rows(spark):
+    """Null doc_ids, repeated rows and clashing names; texts that are as likely under two languages go to one of them, always the same."""
+    same = [(i, "abc abd bcd " * 20, "x" if i % 2 else "y") for i in range(80)] + [(None, "abc abd " * 9, "x"), (None, None, None), (3, "abc " * 30, "x"), (3, "abc " * 30, "x")]
+    df = spark.createDataFrame(same, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS gram", "4 AS n", "false AS held_out")
+    models = language_id.fit(df.where("lang is not null and text is not null"))
+    got = language_id.predict(df.repartition(3), models).collect()
+    assert len(got) == len(same)
+    ties = {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] is not None and r["doc_id"] != 3}
+    assert len(ties) == 1 and next(iter(ties))[0] in ("x", "y")
+    assert {r["lang_pred"] for r in got if r["doc_id"] is None} <= {"x", "y", "und"} and sum(r["lang_pred"] == "und" for r in got) == 1
+
+
 def test_kneser_ney_sums_to_one():
     m = language_id.Models({"a": Counter(g for w in ("abba", "abc", "cab") for s in ["\x02" * 3 + w + "\x03"] for g in (s[i : i + 4] for i in range(len(w) + 1)))})
     for context in ("\x02ab", "abb", "zzz", "\x02\x02\x02"):
