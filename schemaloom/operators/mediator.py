@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,12 @@ def offsets(tables: DataFrame) -> DataFrame:
 def row_ids(df: DataFrame, name: str = "row_gid", offset: int = 0) -> DataFrame:
     """A file scan's rows numbered from ``offset`` on, in the order of files and of rows in them.
 
-    Rows are counted by scan partition, a row each, and the counts are summed up; no row is moved.
+    Rows are counted by scan partition, a row each, and the counts are summed up; no row is moved. The two scans
+    must have the same partitions, so a plan that moves, joins or drops rows is an error.
     """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if moved := re.search(r"^[\s+:*()\d-]*((?:Exchange|Join|HashAggregate|Sort|Window|Generate|Limit|Sample|Union|Coalesce|MapIn|FlatMap)\w*|\w+Join|\w+Aggregate|\w*Limit\b)", plan, re.M):
+        raise ValueError(f"rows of a plain scan can be numbered, not those of {moved[1]}")
     at = F.monotonically_increasing_id()
     placed = df.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import Rows
 
-from schemaloom.operators import profile, refine, remap, signals, sketch, validate, validity
+from schemaloom.operators import mediator, profile, refine, remap, signals, sketch, validate, validity
 
 CELLS = "case_id string, row_id int, t_attr int, raw string"
 DEPS = "case_id string, kind string, place int, lhs array<int>, rhs array<int>, pattern array<struct<attr:int,value:string>>"
@@ -83,6 +83,15 @@ def test_validity_of_many_rows(spark):
     assert "Cartesian" not in plan and "Python" not in plan and "BuildLeft" not in plan  # rows are never what is broadcast
 
 
+def test_only_plain_scans_are_numbered(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS k").repartition(4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["row_gid"] for r in mediator.row_ids(df.select("k").where("k < 3"), offset=5).collect()) == list(range(5, 105))
+    for other in (df.repartition(3), df.distinct(), df.join(df.withColumnRenamed("k", "j"), "id"), df.orderBy("id"), df.limit(7)):
+        with pytest.raises(ValueError):
+            mediator.row_ids(other)
+
+
 # Remapping, closures, minimisation.
 
 
