@@ -69,7 +69,7 @@ def distribution_signal(pair: DataFrame) -> DataFrame:
     return pair.select("t_attr", "s_attr", F.when(F.col("dtype").isin("int", "float"), numeric).otherwise(text).alias("dist"))
 
 
-#: Lengths in a band; rounds of best_similarity look at their own band, 3, 12, 48 .. more to either side.
+#: Lengths in a band; rounds of best_similarity look at their own band and 1, 6, 24 .. more to either side.
 BAND = 4
 
 
@@ -114,9 +114,9 @@ def best_similarity(own: DataFrame, values: DataFrame) -> DataFrame:
     wide = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = stored(own.select("a", F.length("a").alias("n"), _letters(F.col("a")).alias("letters")).repartition(wide, "a"), "texts")
     longest = texts.agg(F.max("n")).first()[0] or 0
-    from_, to = 0, 0
+    from_, to = 0, 1
     while True:
-        # Bands whose distance from the text's own is from_ to to; the first round has its own only.
+        # Bands whose distance from the text's own is from_ to to.
         home = F.floor(F.col("n") / BAND).cast("int")
         away = F.array_distinct(F.concat(F.sequence(home + from_, home + to), F.sequence(home - from_, home - to)))
         near = texts.withColumn("band", F.explode(away)).where(F.col("band").between(0, last))
@@ -142,13 +142,26 @@ def semantic_signal(target: DataFrame, source: DataFrame) -> DataFrame:
     return own.join(best_similarity(own, values), "a").groupBy("t_attr", "s_attr").agg(F.avg("best").alias("semantic"))
 
 
+SOURCE_COLUMNS = ["s_attr", "dtype", "n_rows", "n_unique", "num_min", "num_max", "num_p25", "num_p75", "str_avg_len", "str_char_class", "exact_unique", "unique_vals"]
+
+
+def signal(name: str, target: DataFrame, source: DataFrame) -> DataFrame:
+    """t_attr, s_attr and one signal of every pair of columns, without the others."""
+    if name == "subset":
+        return subset_signal(target, source)
+    pair = pairs(target, source)
+    if name != "semantic":
+        return {"type": type_signal, "dist": distribution_signal}[name](pair)
+    best = semantic_signal(target, source)
+    return pair.select("t_attr", "s_attr").join(best, ["t_attr", "s_attr"], "left").select("t_attr", "s_attr", F.coalesce("semantic", F.lit(0.0)).alias("semantic"))
+
+
 def score(target: DataFrame, source: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """t_attr, s_attr, the four signals and their weighted total.
 
     Each signal reads the profile and the target, which are stored once instead of being worked out for each.
     """
-    source = stored(source.select("s_attr", "dtype", "n_rows", "n_unique", "num_min", "num_max", "num_p25", "num_p75", "str_avg_len", "str_char_class", "exact_unique", "unique_vals"), "profiles")
-    target = stored(target.select("t_attr", "raw"), "target")
+    source, target = stored(source.select(*SOURCE_COLUMNS), "profiles"), stored(target.select("t_attr", "raw"), "target")
     weights, pair = weights or WEIGHTS, pairs(target, source)
     out = subset_signal(target, source).join(type_signal(pair), ["t_attr", "s_attr"]).join(distribution_signal(pair), ["t_attr", "s_attr"]).join(semantic_signal(target, source), ["t_attr", "s_attr"], "left")
     out = out.withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))

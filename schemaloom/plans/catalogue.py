@@ -430,7 +430,7 @@ def _(spark, sf_dir):
 
 
 for _c in ("subset", "type", "dist", "semantic"):
-    query(f"signal_{_c}", _SIGNALS + f"SELECT t_attr, s_attr, round({_c}::DOUBLE, 6) AS {_c} FROM fin")(lambda spark, sf_dir, c=_c: rounded(signals.score(*_signal_inputs(spark, sf_dir)).select("t_attr", "s_attr", c)))
+    query(f"signal_{_c}", _SIGNALS + f"SELECT t_attr, s_attr, round({_c}::DOUBLE, 6) AS {_c} FROM fin")(lambda spark, sf_dir, c=_c: rounded(signals.signal(c, *_signal_inputs(spark, sf_dir))))
 
 OTHER_WEIGHTS = {"subset": 0.7, "semantic": 0.3}
 
