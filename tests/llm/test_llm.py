@@ -615,7 +615,7 @@ def test_toxic_labellers_are_learned(spark):
 def test_registry_and_pipeline(spark):
     import corpus_pipeline
 
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "sequence_id" in out.columns
 
