@@ -1,6 +1,7 @@
 """Steps that must not hold in one task what grows with the table."""
 
 import re
+from itertools import takewhile
 
 from schemaloom.operators import combine, validate
 
@@ -11,9 +12,12 @@ def lines(df):
 
 def before_shuffle(df, keys):
     """Whether groups by these keys are held before the rows are dealt out by them."""
-    own = lines(df)
-    at = next(i for i, x in enumerate(own) if re.search(rf"Exchange hashpartitioning\({keys}, \d+\)", re.sub(r"#\d+L?", "", x)))
-    return any("Aggregate(keys=[i" in x for x in own[at + 1 :])
+    own = [re.sub(r"#\d+L?", "", x) for x in lines(df)]
+    depth = lambda x: re.search(r"[A-Za-z*]", x).start() if re.search(r"[A-Za-z*]", x) else 0
+    dealt = [i for i, x in enumerate(own) if re.search(rf"Exchange hashpartitioning\({keys}, \d+\)", x)]
+    assert dealt
+    below = lambda i: takewhile(lambda x: depth(x) > depth(own[i]), own[i + 1 :])
+    return any("Aggregate(keys=[i" in x for i in dealt for x in below(i))
 
 
 def partitions(df, keys):
@@ -43,3 +47,27 @@ def test_chunks_are_bounded():
     seen = []
     list(combine.chunks(lambda t: seen.append(t.num_rows) or t.slice(0, 1), size=100)(iter(batches)))
     assert seen == [100, 100, 50]
+
+
+def test_profile_holds_no_column_in_a_task(spark, monkeypatch):
+    from schemaloom.operators import profile
+
+    monkeypatch.setattr(combine, "SHARE", 1000)
+    df = spark.range(3_000).selectExpr("id AS a", "CASE WHEN id % 3 > 0 THEN id / 4D WHEN id % 2 = 0 THEN -0D ELSE double('nan') END AS x", "concat(' v', id) AS s")
+    domain = profile._domain(df, "t")
+    assert not before_shuffle(domain, "i, raw") and not before_shuffle(domain, "i, v") and partitions(domain, "i, raw") == 3
+    got = {r["col"]: r for r in profile.profile_tables({"t": df}, exact=10, sample=5).collect()}
+    assert [(c, got[c]["n_rows"], got[c]["n_unique"]) for c in "asx"] == [("a", 3_000, 3_000), ("s", 3_000, 3_000), ("x", 3_000, 2_001)]
+    assert round(got["x"]["null_rate"] * 3_000) == 500 and got["x"]["num_min"] == 0.0 and got["a"]["num_p50"] == 1499.5
+    import hashlib
+
+    first = sorted((f"v{i}" for i in range(3_000)), key=lambda v: hashlib.md5(v.encode()).hexdigest())[:5]
+    assert got["s"]["unique_vals"] == sorted(first)
+
+
+def test_profile_sorts_no_values(spark):
+    from schemaloom.operators import profile
+
+    got = lines(profile.profile_tables({"t": spark.range(100).selectExpr("id AS a", "string(id) AS s")}))
+    sorted_by = [x for x in got if "SortAggregate(key=[tbl" in x and "kind" in x]
+    assert not sorted_by, sorted_by
