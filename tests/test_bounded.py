@@ -71,3 +71,12 @@ def test_profile_sorts_no_values(spark):
     got = lines(profile.profile_tables({"t": spark.range(100).selectExpr("id AS a", "string(id) AS s")}))
     sorted_by = [x for x in got if "SortAggregate(key=[tbl" in x and "kind" in x]
     assert not sorted_by, sorted_by
+
+
+def test_row_sample_orders_equal_keys(spark):
+    from schemaloom.operators import sketch
+
+    rows = [(7, f"v{i}") for i in range(50)]
+    for own in (rows, rows[::-1]):
+        got = sketch.row_sample(spark.createDataFrame(own, "id int, s string"), ["s"], ["id"], k=20).orderBy("place").collect()
+        assert [r["v"] for r in got] == sorted((v for _, v in rows), reverse=True)[:20]
