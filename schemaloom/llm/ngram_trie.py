@@ -36,7 +36,7 @@ from __future__ import annotations
 import json
 import tempfile
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 from urllib.parse import urlparse
 
 import numpy as np
@@ -116,37 +116,70 @@ class EliasFano:
         left -= (sums << U64(8)) >> byte & U64(0xFF)
         return word * 64 + byte.astype(np.int64) + _NTH[(bits >> byte & U64(0xFF)).astype(np.int64), np.minimum(left, U64(7)).astype(np.int64)]
 
+    def _next(self, start: np.ndarray, rank: np.ndarray, zeros: bool) -> np.ndarray:
+        """Place of the rank-th one or zero, which is the first at or after ``start``; mostly it is in the same word."""
+        bits = self.high[start >> 6]
+        rest = (~bits if zeros else bits) >> (start & 63).astype(U64)
+        out = start + np.bitwise_count(~rest & (rest - U64(1)))
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            out[far] = self._select(rank[far], zeros)
+        return out
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of elements."""
+        at = i.astype(U64) * U64(self.low)
+        word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
+        part = self.lows[word] >> shift | self.lows[word + 1] << U64(1) << (U64(63) - shift)
+        return part & U64((1 << self.low) - 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
         high = (self._select(i.astype(U64), False) - i).astype(U64) << U64(self.low)
-        if not self.low:
-            return high
-        at = i.astype(U64) * U64(self.low)
-        word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-        part = self.lows[word] >> shift
-        over = shift + U64(self.low) > U64(64)
-        part[over] |= self.lows[word[over] + 1] << (U64(64) - shift[over])
-        return high | part & U64((1 << self.low) - 1)
+        return high | self._lows(i) if self.low else high
 
-    def successor(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """Index of the least element >= value, within [first, last) where given."""
+    def range(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements at i and i + 1."""
+        i = i.astype(np.int64)
+        place = self._select(i.astype(U64), False)
+        highs = (place - i, self._next(place + 1, (i + 1).astype(U64), False) - i - 1)
+        return tuple(h.astype(U64) << U64(self.low) | (self._lows(i + k) if self.low else U64(0)) for k, h in enumerate(highs))
+
+    @cached_property
+    def _most(self) -> int:
+        """The greatest high part."""
+        return int(self.get(np.array([self.n - 1]))[0]) >> self.low if self.n else 0
+
+    def _search(self, value: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the least element >= value, within [first, last) where given, and the end of the elements
+        of the same high part; among those only low bits are compared."""
         top = value >> U64(self.low)
-        most = int(self.get(np.array([self.n - 1]))[0]) >> self.low if self.n else 0
-        inside = np.minimum(top, U64(most))
-        lo = np.where(inside == 0, 0, self._select(np.maximum(inside, U64(1)) - U64(1), True) + 1 - inside.astype(np.int64))
-        hi = np.where(inside == U64(most), self.n, self._select(inside, True) - inside.astype(np.int64))
-        lo = np.where(top > U64(most), self.n, lo)
-        hi = np.where(top > U64(most), self.n, hi)
+        inside = np.minimum(top, U64(self._most))
+        start = np.where(inside == 0, 0, self._select(np.maximum(inside, U64(1)) - U64(1), True) + 1)
+        lo, hi = (np.where(top > inside, self.n, x - inside.astype(np.int64)) for x in (start, self._next(start, inside, True)))
         if first is not None:
             lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
+        end, low = hi.copy(), value & U64((1 << self.low) - 1)
+        open_ = np.flatnonzero(lo < hi) if self.low else lo[:0]
+        while len(open_):
             mid = (lo[open_] + hi[open_]) // 2
-            below = self.get(mid) < value[open_]
+            below = self._lows(mid) < low[open_]
             lo[open_[below]] = mid[below] + 1
             hi[open_[~below]] = mid[~below]
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo, end
+
+    def successor(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the least element >= value, within [first, last) where given."""
+        return self._search(value, first, last)[0]
+
+    def find(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Index of the first element that equals value, within [first, last) where given; -1 where there is none."""
+        at, end = self._search(value, first, last)
+        ok = at < end
+        if self.low:
+            ok[ok] = self._lows(at[ok]) == value[ok] & U64((1 << self.low) - 1)
+        return np.where(ok, at, -1)
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -188,7 +221,7 @@ def _mapped(uri: str) -> np.ndarray:
 
 
 def map_arrays(uri: str) -> dict:
-    whole = _mapped(uri)
+    whole = _mapped(uri).view(np.ndarray)  # slices of a memmap are slow
     size = int(whole[:8].view(np.uint64)[0])
     head, start = json.loads(whole[8 : 8 + size].tobytes()), 8 + -(-size // 8) * 8
     return {k: whole[start + v[2] : start + v[2] + np.dtype(v[0]).itemsize * v[1]].view(v[0]) if isinstance(v, list) else v for k, v in head.items()}
@@ -209,12 +242,22 @@ def read_packed(uri: str, rows: int = 1) -> np.ndarray:
 
 def _planes(*rows: np.ndarray) -> bytes:
     """Numbers byte by byte, the lowest bytes first, so that zero bytes compress away."""
-    return zstandard.compress(np.stack([r.astype(np.uint64) for r in rows]).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+    out = np.zeros((len(rows), 8, len(rows[0])), np.uint8)
+    for own, row in zip(out, rows):
+        each = np.ascontiguousarray(row, np.uint64).view(np.uint8).reshape(-1, 8)
+        for i in range((int(row.max(initial=0)).bit_length() + 7) // 8):
+            own[i] = each[:, i]
+    return zstandard.compress(out.tobytes(), 1)
 
 
 def _numbers(data: bytes, rows: int) -> np.ndarray:
-    own = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(rows, 8, -1).transpose(0, 2, 1)
-    return np.ascontiguousarray(own).view(U64).reshape(rows, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(rows, 8, -1)
+    out = np.zeros((rows, planes.shape[2], 8), np.uint8)
+    for own, each in zip(out, planes):
+        for i, plane in enumerate(each):
+            if plane.any():
+                own[:, i] = plane
+    return out.view(U64).reshape(rows, -1)
 
 
 def blob(keys: np.ndarray, *rows: np.ndarray) -> bytes:
@@ -314,9 +357,8 @@ class Level1:
                 continue
             ef, counts = self.parts[s]
             mine = np.flatnonzero(owner == s)
-            at = ef.successor(hashes[mine])
-            ok = at < ef.n
-            ok[ok] = ef.get(at[ok]) == hashes[mine][ok]
+            at = ef.find(hashes[mine])
+            ok = at >= 0
             number[mine[ok]] = at[ok] + self.first[s]
             count[mine[ok]] = counts[at[ok]]
         return number, count
@@ -401,8 +443,8 @@ def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _dealt(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each shard, in order."""
-    order = np.argsort(owner, kind="stable")
-    edge = np.searchsorted(owner[order], np.arange(shards + 1, dtype=U64))
+    order = np.argsort(owner.astype(np.uint16 if shards <= 1 << 16 else np.int64), kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(owner.astype(np.int64), minlength=shards))])
     for s in range(shards):
         if edge[s] < edge[s + 1]:
             yield s, order[edge[s] : edge[s + 1]]
@@ -542,32 +584,27 @@ class Level:
         self.arrays, self.vocabulary = map_arrays(uri), vocabulary
         self.contexts, self.pointers, self.sequence = (EliasFano(*(self.arrays[f"{k}_{x}"] for x in ("n", "low", "lows", "high", "ones"))) for k in "cps")
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The place of each n-gram, -1 where there is none."""
+    def find(self, contexts: np.ndarray, words: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """The place of each n-gram, -1 where there is none. ``places``: those of the contexts, where they are known."""
         out = np.full(len(contexts), -1, np.int64)
         held = np.flatnonzero(may_have(self.arrays["bits"], mix(contexts) + words))
         if not len(held):
             return out
-        at = self.place(contexts[held])
+        at = self.place(contexts[held]) if places is None else places[held]
         held, at = held[at >= 0], at[at >= 0]
-        which, back = np.unique(at, return_inverse=True)
-        first, last = (self.pointers.get(which + d).astype(np.int64)[back] for d in (0, 1))
         want = at.astype(U64) * U64(self.vocabulary) + words[held]
         order = np.argsort(want)  # neighbours are searched one after the other
-        found = np.empty(len(want), np.int64)
-        found[order] = self.sequence.successor(want[order], first[order], last[order])
-        ok = np.flatnonzero(found < last)
-        ok = ok[self.sequence.get(found[ok]) == want[ok]]
-        out[held[ok]] = found[ok]
+        held, at, want = held[order], at[order], want[order]
+        new = np.diff(at, prepend=-1) > 0
+        back = np.cumsum(new) - 1
+        first, last = (x.astype(np.int64)[back] for x in self.pointers.range(at[new]))
+        out[held] = self.sequence.find(want, first, last)
         return out
 
     def place(self, contexts: np.ndarray) -> np.ndarray:
         """The place of each context on the level, -1 where it has no successors."""
         which, back = np.unique(contexts, return_inverse=True)
-        at = self.contexts.successor(which)
-        ok = at < self.contexts.n
-        ok[ok] = self.contexts.get(at[ok]) == which[ok]
-        return np.where(ok, at, -1)[back]
+        return self.contexts.find(which)[back]
 
 
 def _build_second(table: pa.Table, folder: str, sizes: list[int], discount: float) -> pa.Table:
@@ -629,24 +666,25 @@ class Model:
                 share[ok] = 10 ** restore(level.arrays["codes"][place[ok]])
         return owner.astype(np.int64), place, share
 
-    def triples(self, owner: np.ndarray, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each trigram (shard and place of its first pair, number of its word or -1) the weight that the pair
-        passes on, and the trigram's own discounted share."""
-        passed, share = np.ones(len(owner)), np.zeros(len(owner))
+    def triples(self, owner: np.ndarray, place: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """owner, place: shards and places of distinct pairs. Of each trigram (which of these its first pair is, number
+        of its word or -1) the weight that the pair passes on, and the trigram's own discounted share."""
+        passed, context, share = np.ones(len(owner)), np.full(len(owner), -1, np.int64), np.zeros(len(first))
         known = np.flatnonzero(place >= 0)
-        for s in np.unique(owner[known]):
-            if int(s) not in self.third:
+        for s, own in _dealt(owner[known], self.info["shards"]):
+            if s not in self.third:
                 continue
-            level, own = self.third[int(s)], known[owner[known] == s]
+            level, own = self.third[s], known[own]
             at = place[own].astype(U64)
             own = own[(level.arrays["parents"][(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)]
-            if not len(own):
-                continue
-            passed[own] = 10 ** restore(level.arrays["passes"][level.place(place[own].astype(U64))])
-            own = own[words[own] >= 0]
-            found = level.find(place[own].astype(U64), words[own].astype(U64))
+            context[own] = level.place(place[own].astype(U64))
+            passed[own] = 10 ** restore(level.arrays["passes"][context[own]])
+        some = np.flatnonzero((context[first] >= 0) & (words >= 0))
+        for s, own in _dealt(owner[first[some]], self.info["shards"]):
+            level, own = self.third[s], some[own]
+            found = level.find(place[first[own]].astype(U64), words[own].astype(U64), context[first[own]])
             share[own[found >= 0]] = 10 ** restore(level.arrays["codes"][found[found >= 0]])
-        return passed, share
+        return passed[first], share
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base and score of each coded text, and its score without the third level."""
@@ -667,7 +705,7 @@ class Model:
         # A token's trigram has the pair before it as its context, but for the first token of a text.
         place[b == self.end] = -1
         again, trigrams = pd.factorize(codes[:-1] * many + own[1:])
-        weight, extra = self.triples(owner[trigrams // many], place[trigrams // many], numbers[trigrams % many])
+        weight, extra = self.triples(owner, place, trigrams // many, numbers[trigrams % many])
         three = two.copy()
         three[1:] = weight[again] * two[1:] + extra[again]
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])

@@ -376,6 +376,33 @@ def test_elias_fano():
         assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
 
 
+def test_elias_fano_finds_by_low_bits(monkeypatch):
+    """Lookups read no element whole: high parts come from the bucket, so only low bits are compared."""
+    rng = np.random.default_rng(5)
+    for n, universe in ((0, 10), (1, 1 << 64), (5, 5), (700, 900), (3000, 1 << 40), (3000, 1 << 64)):
+        values = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
+        values = np.sort(np.concatenate([values, values[: len(values) // 2] // np.uint64(1 << 6)]))  # crowded at the lower end, with equal ones
+        values = np.unique(values) if universe > 900 else values
+        ef = ngram_trie.EliasFano(**ngram_trie.encode(values, universe))
+        asked = np.concatenate([values, rng.integers(0, universe, 500, dtype=np.uint64), np.array([0, universe - 1], np.uint64)])
+        least = np.searchsorted(values, asked)
+        equal = np.append(values, np.uint64(0))[least] == asked
+        first = rng.integers(0, len(values) + 1, len(asked))
+        last = np.minimum(first + rng.integers(0, 40, len(asked)), len(values))
+        assert ef._most == (int(values[-1]) >> ef.low if len(values) else 0)
+        with monkeypatch.context() as m:
+            m.setattr(ef, "get", None)
+            assert (ef.successor(asked) == least).all()
+            assert (ef.successor(asked, first, last) == np.clip(least, first, last)).all()
+            assert (ef.find(asked) == np.where(equal & (least < len(values)), least, -1)).all()
+            inside = np.clip(least, first, last)
+            same = (inside < last) & (np.append(values, np.uint64(0))[inside] == asked)
+            assert (ef.find(asked, first, last) == np.where(same, inside, -1)).all()
+            if len(values) > 1:
+                at = rng.integers(0, len(values) - 1, 200)
+                assert all((x == values[at + k]).all() for k, x in enumerate(ef.range(at)))
+
+
 def test_scores(spark, docs, texts):
     """Against counts in plain Python, with the model's own codes, to 1e-9."""
     import math
