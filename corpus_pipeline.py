@@ -46,8 +46,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = docs.select("doc_id", F.col("text").alias("own"))
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = docs.select("doc_id", F.xxhash64("text").alias("x")).join(whole.select("doc_id", F.xxhash64("text").alias("y")), "doc_id").where("x != y").select("doc_id").distinct()
-    cut = whole.join(ids, "doc_id", "left_semi").join(own, "doc_id")
+    # Each text of a doc_id once, or rows repeated with it would meet in pairs.
+    ids = docs.select("doc_id", F.xxhash64("text").alias("x")).distinct().join(whole.select("doc_id", F.xxhash64("text").alias("y")).distinct(), "doc_id").where("x != y").select("doc_id").distinct()
+    ids = stored(ids, "cut")
+    once = lambda rows, c: rows.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64(c)).dropDuplicates(["doc_id", "h"]).drop("h")
+    cut = once(whole, "text").join(once(own, "own"), "doc_id")
     split = lambda c: F.split(c, "\n")
     cut = cut.where((F.size(split("own")) < F.size(split("text"))) & (F.size(F.array_except(split("own"), split("text"))) == 0))
     # Few rows, which the operator reads several times.

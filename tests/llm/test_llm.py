@@ -842,3 +842,18 @@ def test_counts_are_matches(spark):
     got = {r["doc_id"]: r for r in token_rollup.counted(df).collect()}
     for i, t in enumerate(texts):
         assert {v: got[i][v] for v in token_rollup.VERSIONS} == {v: len(re.findall(p, t or "")) for v, p in token_rollup.VERSIONS.items()}, t
+
+
+def test_near_dedup_meets_repeated_rows_once(spark, tmp_path, monkeypatch):
+    """Rows repeated with their doc_id don't meet in pairs where documents stand for their whole texts."""
+    import corpus_pipeline
+
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(30)]
+    whole, cut, other = "\n".join(lines), "\n".join(lines[:9] + lines[15:]), "\n".join(lines).replace("w29x11", "else")
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, whole), (2, other)] * 6, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = {}, corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name: seen.setdefault(name, real(df, name)))
+    got = corpus_pipeline.near(spark, spark.createDataFrame([(2, other)] * 6 + [(1, cut)] * 6, schema), str(tmp_path)).collect()
+    assert [tuple(r) for r in seen["whole"].collect()] == [(1, whole)]
+    assert [tuple(r) for r in got] == [(1, cut)] * 6
