@@ -15,7 +15,8 @@ context passes on is what the restored shares of its n-grams leave, in 16 bits,
 the trie as it stands sum to one, but for the rounding of the passed weight.
 
 Texts are split twice: to count words, and to write the numbers of their words, which all later passes
-read instead. Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
+read instead; pairs and trigrams are counted from these, in a pass each, so that only their blobs' shuffle and the
+shards' packed files hold them. Counts cover all training documents. Each task sums its words, pairs or trigrams in sorted arrays and
 sends them as one packed blob for each shard, as in any shuffle; a shard's blobs are merged in one task,
 whose size is bounded by the number of shards, which follows the number of tokens. Words are dealt to
 shards by the top bits of their hash, pairs and trigrams by a hash of a pair of words, so that a frequent
@@ -450,31 +451,30 @@ def _dealt(owner: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s, order[edge[s] : edge[s + 1]]
 
 
-def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: shard and blob of the training texts' pairs; doc_id, held_out and ids of every text."""
+def _code(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """doc_id, held_out and ids of every text."""
     level = Level1(folder, sizes)
     end = int(level.look(np.array([END], U64))[0][0])
-    names = ["shard", "blob", "doc_id", "held_out", "ids"]
-    held, n, kind, words = [], 0, None, sum(sizes)
-
-    def flush():
-        keys, counts = np.unique(spread(np.concatenate(held), words), return_counts=True)
-        rows = [(s, blob(keys[own], counts[own])) for s, own in _dealt(shard_of(keys, words, shards), shards)]
-        own = _batch(rows)
-        none = lambda t: pa.nulls(len(rows), t)
-        return pa.RecordBatch.from_arrays([*own.columns, none(kind), none(pa.bool_()), none(pa.binary())], names)
-
     for batch in small_batches(batches, BATCH):
-        kind = batch.schema.field("doc_id").type
         ids, sizes_ = coded(level, batch.column("text"), end)
         cuts = np.concatenate([[0], np.cumsum(sizes_)])
         short = ids.astype(np.uint32).tobytes()  # -1 becomes UNKNOWN
         out = pa.array([short[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary()), batch.column("doc_id"), batch.column("held_out"), out], names)
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        if end >= 0 and train.any():
-            held.append(pair_keys(ids[np.repeat(train, sizes_)], end))
-            n += len(held[-1])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), out], ["doc_id", "held_out", "ids"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], folder: str, sizes: list[int], shards: int) -> Iterator[pa.RecordBatch]:
+    """The training texts' pairs."""
+    end = int(Level1(folder, sizes).look(np.array([END], U64))[0][0])
+    held, n, words = [], 0, sum(sizes)
+
+    def flush():
+        keys, counts = np.unique(spread(np.concatenate(held), words), return_counts=True)
+        return _batch([(s, blob(keys[own], counts[own])) for s, own in _dealt(shard_of(keys, words, shards), shards)])
+
+    for _, ids, _ in _sequences(batches):
+        held.append(pair_keys(ids, end))
+        n += len(held[-1])
         if n > PAIRS_HELD:
             yield flush()
             held, n = [], 0
@@ -745,14 +745,14 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame]:
             raise ValueError("the vocabulary has 2^32 words or more")
         info = {"folder": folder, "sizes": sizes, "tokens": total, "shards": shards, "second": [], "third": [], "blocks": []}
         kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = stored(docs.mapInArrow(partial(_code, folder=folder, sizes=sizes, shards=shards), f"shard int, blob binary, doc_id {kind}, held_out boolean, ids binary"), "coded")
-        own = rows.where("shard is null").select("doc_id", "held_out", "ids")
+        own = stored(docs.mapInArrow(partial(_code, folder=folder, sizes=sizes), f"doc_id {kind}, held_out boolean, ids binary"), "coded")
         if not total:
             return info, own
         count = "shard int, once long, twice long"
-        pairs = tmp.stored(by_shard(rows.where("shard is not null").select("shard", "blob")).applyInArrow(lambda t: _merge_pairs(t, folder, n), count), "pairs")
-        blobs = own.where("not held_out").select("ids").mapInArrow(partial(_count_triples, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
-        triples = tmp.stored(by_shard(blobs).applyInArrow(lambda t: _merge_triples(t, folder, n), count), "triples")
+        known = own.where("not held_out").select("ids")
+        blobs = lambda f: known.mapInArrow(partial(f, folder=folder, sizes=sizes, shards=shards), "shard int, blob binary")
+        pairs = tmp.stored(by_shard(blobs(_count_pairs)).applyInArrow(lambda t: _merge_pairs(t, folder, n), count), "pairs")
+        triples = tmp.stored(by_shard(blobs(_count_triples)).applyInArrow(lambda t: _merge_triples(t, folder, n), count), "triples")
         second, third = (_discount(*df.agg(F.sum("once"), F.sum("twice")).first()) for df in (pairs, triples))
         made = tmp.stored(by_shard(pairs.select("shard")).applyInArrow(lambda t: _build_second(t, folder, sizes, second), "made int, shard int, blob binary"), "second")
         info["second"] = [r[0] for r in made.select("made").distinct().collect()]

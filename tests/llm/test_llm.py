@@ -857,3 +857,10 @@ def test_near_dedup_meets_repeated_rows_once(spark, tmp_path, monkeypatch):
     got = corpus_pipeline.near(spark, spark.createDataFrame([(2, other)] * 6 + [(1, cut)] * 6, schema), str(tmp_path)).collect()
     assert [tuple(r) for r in seen["whole"].collect()] == [(1, whole)]
     assert [tuple(r) for r in got] == [(1, cut)] * 6
+
+
+def test_pairs_are_not_stored_beside_the_coded_texts(spark, docs):
+    """The coded texts stay until all are scored; pairs are counted from them and go straight to their shards."""
+    info, rows = ngram_trie.fit(docs.withColumn("held_out", ngram_trie.F.col("doc_id") % 3 == 0))
+    whole = spark.read.parquet(rows.inputFiles()[0].rpartition("/")[0])
+    assert whole.columns == ["doc_id", "held_out", "ids"] and whole.count() == docs.count() and info["second"]
