@@ -48,6 +48,8 @@ RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
 #: Items in a block; more where there would be over MOST_BLOCKS.
 BLOCK, MOST_BLOCKS = 4, 64
 SHARD_WORDS = 2_000_000
+#: Bytes of texts that are searched at once, and rows of block maxima that are summed at once.
+BATCH, ROWS = 1 << 20, 1 << 16
 
 
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + (_MARKS := b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_MARKS))
@@ -163,8 +165,8 @@ class Index:
         held = np.searchsorted(keys, keys - none)
         new = keys[np.minimum(held, len(keys) - 1)] != keys - none
         sums = np.zeros((2, base[-1] + 1, self.block_max.shape[1]), np.float32)
-        for lo in range(0, len(keys), 1 << 18):  # bounded blocks
-            s, m, w = stretch[lo : lo + (1 << 18)], self.block_max[term[lo : lo + (1 << 18)]], new[lo : lo + (1 << 18)]
+        for lo in range(0, len(keys), ROWS):  # bounded blocks
+            s, m, w = stretch[lo : lo + ROWS], self.block_max[term[lo : lo + ROWS]], new[lo : lo + ROWS]
             first = np.flatnonzero(np.diff(s, prepend=-1))
             sums[0, s[first]] += np.add.reduceat(m, first)
             m[~w] = 0
@@ -239,7 +241,7 @@ def _find(indexes: list[Index], texts: list[bytes | None]) -> list[list[tuple]]:
 
 def _leaks(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     names = ["item_id", "score", "question_share", "answer_share", "first_word"]
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, BATCH):
         rows, out = [], []
         for i, hits in enumerate(_find(index.value, utf8(batch.column("text")))):
             rows += [i] * len(hits)
@@ -261,7 +263,7 @@ def leaks(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) ->
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, BATCH):
         yield batch.filter(pa.array([not hits for hits in _find(index.value, utf8(batch.column("text")))], pa.bool_()))
 
 

@@ -864,3 +864,23 @@ def test_pairs_are_not_stored_beside_the_coded_texts(spark, docs):
     info, rows = ngram_trie.fit(docs.withColumn("held_out", ngram_trie.F.col("doc_id") % 3 == 0))
     whole = spark.read.parquet(rows.inputFiles()[0].rpartition("/")[0])
     assert whole.columns == ["doc_id", "held_out", "ids"] and whole.count() == docs.count() and info["second"]
+
+
+def test_decontamination_holds_few_texts_at_once():
+    """What a task holds follows a slice of texts, not its batch."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    items = [(i, words(rng, 40, 4000).encode()) for i in range(200)]
+    texts = [words(rng, 600, 4000) for _ in range(2000)]
+    texts[::100] = [f"{t} {items[i][1].decode()}" for i, t in enumerate(texts[::100])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    index = SimpleNamespace(value=[decontaminate.Index(items)])
+    tracemalloc.start()
+    kept = [i for b in decontaminate._clean(iter([batch]), index) for i in b.column("doc_id").to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == [i for i in range(2000) if i % 100] and most < 60e6, most
