@@ -39,6 +39,8 @@ from .common import small_batches, stored, utf8
 WINDOW, END = 4096, 2
 BLOCK_TOKENS = 1 << 22
 CACHE_WORDS = 500_000
+#: Bytes of texts whose words are numbered at once.
+BATCH = 1 << 20
 MARKS = ".,;:!?#*$%&|"
 GROUP = 4096
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -211,7 +213,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int)
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in PIECE.split(", ")])
 
-    for batch in small_batches(batches, 4 << 20):
+    for batch in small_batches(batches, BATCH):
         for doc, ids in zip(batch.column("doc_id").to_pylist(), words.ids(utf8(batch.column("text")))):
             n = len(ids) // 4
             full = n - n % window

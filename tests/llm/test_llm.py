@@ -884,3 +884,18 @@ def test_decontamination_holds_few_texts_at_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert kept == [i for i in range(2000) if i % 100] and most < 60e6, most
+
+
+def test_packing_holds_few_texts_at_once(monkeypatch):
+    """What a task holds of its texts follows a slice, not its batch; every id still lies in one piece."""
+    import pyarrow as pa
+
+    rng, seen, real = random.Random(29), [], packing.utf8
+    texts = [words(rng, 600) for _ in range(2000)]
+    monkeypatch.setattr(packing, "utf8", lambda column: seen.append(column.nbytes) or real(column))
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = [r for b in packing._pieces(iter([batch]), path, 4096, 2) for r in b.to_pylist()]
+    assert max(seen) <= 1.2 * (1 << 20) and len({r["doc_id"] for r in out}) == 2000
+    assert sum(r["length"] for r in out) == sum({r["doc_id"]: r["doc_tokens"] for r in out}.values())
