@@ -80,3 +80,21 @@ def test_row_sample_orders_equal_keys(spark):
     for own in (rows, rows[::-1]):
         got = sketch.row_sample(spark.createDataFrame(own, "id int, s string"), ["s"], ["id"], k=20).orderBy("place").collect()
         assert [r["v"] for r in got] == sorted((v for _, v in rows), reverse=True)[:20]
+
+
+def test_quantity_sample_leaves_equal_keys_in_the_tables_order(spark, tmp_path):
+    """Rows that share identity and quantity, in two files: smaller dates first for one key, greater first for the other."""
+    from datetime import datetime
+
+    from schemaloom.plans import catalogue
+
+    days = [datetime(2001, 1, d) for d in (5, 9, 2, 7, 1)]
+    for i, part in enumerate((days[:3], days[3:])):
+        rows = [(1, 1, 30.0, d) for d in part] + [(2, 1, 30.0, d) for d in part[::-1]]
+        df = spark.createDataFrame(rows, "l_orderkey int, l_linenumber int, l_quantity double, l_shipdate timestamp").coalesce(1)
+        df.write.parquet(str(tmp_path / f"part{i}"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"part{i}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{i}.parquet")
+    got = [r["v"][:10] for r in catalogue.QUERIES["row_weighted_sample_by_quantity"](spark, str(tmp_path)).orderBy("place").collect()]
+    one, two = days, days[2::-1] + days[:2:-1]
+    assert got in ([str(d)[:10] for d in first + second] for first, second in ((one, two), (two, one)))
